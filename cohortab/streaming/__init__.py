@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source work has no streaming part: no watermark, time window, stateful
+operator or late-data rule. Re-running a table when a report control changes is
+a fresh batch query over the current tables, so every report here is a batch
+DataFrame. Nothing is built in this package on purpose.
+"""

@@ -1,0 +1,44 @@
+"""The hand fixture: 6 subjects, 9 adverse events, 8 lab results (FIXTURES.md section 3)."""
+
+P, H, L = "Placebo", "Xanomeline High Dose", "Xanomeline Low Dose"
+
+ADSL_SCHEMA = "usubjid string, trt01p string, trt01a string, arm string, age double, sex string, race string, saffl string"
+ADSL_ROWS = [
+    ("S01", P, P, P, 60.0, "F", "WHITE", "Y"),
+    ("S02", P, P, P, 70.0, "M", "WHITE", "Y"),
+    ("S03", H, H, H, 65.0, "F", "BLACK", "Y"),
+    ("S04", H, H, H, 75.0, "M", "WHITE", "Y"),
+    ("S05", L, L, L, 80.0, "F", "WHITE", "Y"),
+    ("S06", L, L, L, None, "M", "WHITE", "N"),
+]
+
+ADAE_SCHEMA = "usubjid string, trta string, aebodsys string, aedecod string, aerel string, aesev string, saffl string"
+ADAE_ROWS = [
+    ("S01", P, "GI", "NAUSEA", "NONE", "MILD", "Y"),
+    ("S01", P, "GI", "NAUSEA", "POSSIBLE", "MODERATE", "Y"),
+    ("S01", P, "GI", "VOMITING", "NONE", "MILD", "Y"),
+    ("S03", H, "GI", "NAUSEA", "PROBABLE", "SEVERE", "Y"),
+    ("S03", H, "SKIN", "RASH", "POSSIBLE", "MILD", "Y"),
+    ("S04", H, "SKIN", "RASH", "PROBABLE", "MODERATE", "Y"),
+    ("S04", H, "SKIN", "PRURITUS", "NONE", "MILD", "Y"),
+    ("S05", L, "SKIN", "RASH", "REMOTE", "MILD", "Y"),
+    ("S06", L, "GI", "NAUSEA", "NONE", "MILD", "N"),
+]
+
+ADLB_SCHEMA = "usubjid string, trta string, param string, lbnrind string, saffl string"
+ADLB_ROWS = [
+    ("S01", P, "ALT", "NORMAL", "Y"),
+    ("S01", P, "ALT", "HIGH", "Y"),
+    ("S02", P, "ALT", "LOW", "Y"),
+    ("S02", P, "ALT", "NORMAL", "Y"),
+    ("S03", H, "ALT", "NORMAL", "Y"),
+    ("S04", H, "ALT", None, "Y"),
+    ("S05", L, "K", "HIGH", "Y"),
+    ("S05", L, "K", "LOW", "Y"),
+]
+
+
+def frames(spark):
+    return (spark.createDataFrame(ADSL_ROWS, ADSL_SCHEMA),
+            spark.createDataFrame(ADAE_ROWS, ADAE_SCHEMA),
+            spark.createDataFrame(ADLB_ROWS, ADLB_SCHEMA))
