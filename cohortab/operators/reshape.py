@@ -49,6 +49,10 @@ def complete_grid(df: DataFrame, keys: DataFrame, values: Sequence, value_col: s
     ``|keys| x len(values)`` rows, built by exploding a literal array (no join
     against a data-sized table), then left-joined to the data.
     """
+    from cohortab.operators.incidence import join_null_safe
+
     grid = keys.select(*on).withColumn(value_col, F.explode(F.array(*[F.lit(v) for v in values])))
-    joined = grid.join(df, list(on) + [value_col], "left")
-    return joined.fillna({c: v for c, v in fill_cols.items()})
+    rest = df.drop(*[c for c in df.columns if c in on or c == value_col])
+    joined = join_null_safe(grid, df.select(*on, value_col, *rest.columns), list(on) + [value_col])
+    return joined.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fill_cols[c])).alias(c) if c in fill_cols else F.col(f"`{c}`")
+                           for c in joined.columns])

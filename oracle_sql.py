@@ -75,8 +75,9 @@ def cell(n: str, d: str, style: str = "strict") -> str:
 
 
 def num_text(x: str, d: int) -> str:
-    """Half-even rounding to d decimals, printed without trailing zeros."""
-    s = f"regexp_replace(CAST(CAST(round_even(CAST({x} AS DOUBLE), {d}) AS DECIMAL(38,{d})) AS VARCHAR), '\\.?0+$', '')"
+    """Half-even rounding of the shortest decimal form to d decimals, without trailing zeros."""
+    dec = f"CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18))"
+    s = f"regexp_replace(CAST(CAST(round_even({dec}, {d}) AS DECIMAL(38,{d})) AS VARCHAR), '\\.?0+$', '')"
     return f"CASE WHEN {s} = '-0' THEN '0' ELSE {s} END"
 
 
@@ -104,9 +105,111 @@ BIGN = """bign AS (
   UNION ALL
   SELECT 'Total', count(DISTINCT usubjid) FROM adsl WHERE saffl = 'Y' AND usubjid IS NOT NULL)"""
 
+ADSL_COLS = "usubjid, trt01p, trt01a, arm, age, sex, race, saffl"
+ADAE_COLS = "usubjid, trta, aebodsys, aedecod, aerel, aesev, aeser"
+
+
+def _population() -> str:
+    return with_ctes(ADSL) + f"SELECT {ADSL_COLS} FROM adsl WHERE saffl = 'Y'"
+
+
+def _with_total() -> str:
+    return with_ctes(ADSL) + """SELECT usubjid, trt01a FROM adsl WHERE saffl = 'Y'
+UNION ALL SELECT usubjid, 'Total' FROM adsl WHERE saffl = 'Y'"""
+
+
+def _big_n() -> str:
+    return with_ctes(ADSL, BIGN) + "SELECT trta, N FROM bign"
+
+
+def _choice_filter() -> str:
+    return with_ctes(ADAE) + f"""SELECT {ADAE_COLS} FROM adae
+WHERE aerel = 'F' AND aesev IN ('1-URGENT', '2-HIGH')"""
+
+
+def _facet(col: str) -> str:
+    return with_ctes(ADLB) + f"""SELECT value, CAST(pos AS BIGINT) AS pos, pos <= 5 AS is_default FROM (
+  SELECT value, row_number() OVER (ORDER BY value) AS pos
+  FROM (SELECT DISTINCT {col} AS value FROM adlb WHERE {col} IS NOT NULL) v) x"""
+
+
+# --------------------------------------------------------------------------- demography
+
+SPLIT = [("N", "CAST(n AS VARCHAR)"), ("Mean", num_text("mean", 2)), ("Median", num_text("median", 2)),
+         ("SD", num_text("sd", 2)), ("Min", num_text("mn", 2)), ("Max", num_text("mx", 2))]
+COMBINED = [("N", "CAST(n AS VARCHAR)"),
+            ("Mean (SD)", f"(coalesce({num_text('mean', 2)}, 'NA') || ' (' || coalesce({num_text('sd', 3)}, 'NA') || ')')"),
+            ("Median", num_text("median", 2)), ("Min", num_text("mn", 2)), ("Max", num_text("mx", 2))]
+
+
+def _num_ctes(trt: str, var: str, where: str = "") -> str:
+    """CTE ``ns``: typed statistics per arm (incl. Total) of one numeric variable."""
+    return f"""nd AS (
+  SELECT coalesce(CAST({trt} AS VARCHAR), 'NA') AS arm,
+         CASE WHEN isnan(CAST({var} AS DOUBLE)) THEN NULL ELSE CAST({var} AS DOUBLE) END AS x
+  FROM adsl WHERE TRUE {where}),
+nd2 AS (SELECT arm, x FROM nd UNION ALL SELECT 'Total', x FROM nd),
+nst AS (SELECT arm, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx
+        FROM nd2 GROUP BY arm),
+nrk AS (SELECT arm, x, row_number() OVER (PARTITION BY arm ORDER BY x) AS r,
+               count(*) OVER (PARTITION BY arm) AS c FROM nd2 WHERE x IS NOT NULL),
+nmed AS (SELECT arm, sum(0.5 * x) * 2.0 / count(*) AS median FROM nrk
+         WHERE r = (c + 1) // 2 OR r = c // 2 + 1 GROUP BY arm),
+ns AS (SELECT nst.*, nmed.median FROM nst LEFT JOIN nmed ON nst.arm = nmed.arm)"""
+
+
+def _num_rows(var: str, stats) -> str:
+    parts = []
+    for i, (name, expr) in enumerate(stats, start=1):
+        parts.append(f"SELECT '{var}' AS Variable, '{name}' AS Stat, CAST({i} AS BIGINT) AS stat_pos, arm, "
+                     f"{expr} AS Value FROM ns")
+    return "\nUNION ALL ".join(parts)
+
+
+def _cat_ctes(trt: str, variables, where: str = "") -> str:
+    """CTE ``cs``: ``Variable, Stat, stat_pos, arm, Value`` for categorical variables."""
+    unions = " UNION ALL ".join(f"SELECT arm, '{v}' AS Variable, CAST({v} AS VARCHAR) AS Stat FROM cd"
+                                for v in variables)
+    return f"""cd AS (SELECT coalesce(CAST({trt} AS VARCHAR), 'NA') AS arm, * FROM adsl WHERE TRUE {where}),
+cl AS ({unions}),
+cl2 AS (SELECT arm, Variable, Stat FROM cl UNION ALL SELECT 'Total', Variable, Stat FROM cl),
+cc AS (SELECT arm, Variable, Stat, count(*) AS n FROM cl2 GROUP BY arm, Variable, Stat),
+cc2 AS (SELECT *, sum(n) OVER (PARTITION BY arm, Variable) AS denom FROM cc),
+clv AS (SELECT Variable, Stat, dense_rank() OVER (PARTITION BY Variable ORDER BY Stat ASC NULLS LAST) AS stat_pos
+        FROM (SELECT DISTINCT Variable, Stat FROM cc) u),
+cs AS (SELECT cc2.Variable, cc2.Stat, CAST(clv.stat_pos AS BIGINT) AS stat_pos, cc2.arm,
+              {cell('cc2.n', 'cc2.denom', 'percent')} AS Value
+       FROM cc2 LEFT JOIN clv ON cc2.Variable = clv.Variable AND cc2.Stat IS NOT DISTINCT FROM clv.Stat)"""
+
+
+def _numeric(style) -> str:
+    stats = SPLIT if style == "split" else COMBINED
+    return with_ctes(ADSL, _num_ctes("trt01a", "age")) + \
+        f"SELECT Variable, Stat, stat_pos, arm AS trt01a, Value FROM ({_num_rows('age', stats)}) x"
+
+
+def _categorical() -> str:
+    return with_ctes(ADSL, _cat_ctes("trt01a", ["sex", "race"])) + \
+        "SELECT Variable, Stat, stat_pos, arm AS trt01a, Value FROM cs"
+
+
+def _demo(trt: str, style: str, where: str = "") -> str:
+    stats = SPLIT if style == "split" else COMBINED
+    body = with_ctes(ADSL, _num_ctes(trt, "age", where), _cat_ctes(trt, ["sex", "race"], where))
+    long = f"""SELECT Variable, Stat, stat_pos, arm, Value FROM ({_num_rows('age', stats)}) a
+  UNION ALL SELECT Variable, Stat, stat_pos, arm, Value FROM cs"""
+    return body + f"""SELECT Variable, Stat,
+  CAST(CASE Variable WHEN 'age' THEN 1 WHEN 'sex' THEN 2 WHEN 'race' THEN 3 END AS BIGINT) AS var_pos,
+  stat_pos,
+  {pivot('Value', 'arm', ARMS_T)}
+FROM ({long}) l
+GROUP BY Variable, Stat, stat_pos"""
+
+
+# --------------------------------------------------------------------------- adverse events
 
 def _ae_long(where: str = "") -> str:
-    """CTEs ev2 .. cells for the adverse-event summary (optionally with extra event filters)."""
+    """CTEs ev .. cells for the adverse-event summary (optionally with extra event filters)."""
     return f"""ev AS (
   SELECT usubjid, trta, aebodsys AS soc, aedecod AS pt FROM adae
    WHERE saffl = 'Y' AND usubjid IS NOT NULL {where}),
@@ -147,8 +250,241 @@ GROUP BY label, ord_soc, ord, ord_pt"""
 AE_FILTER = "AND aerel = 'F' AND aesev = '1-URGENT'"
 
 
+def _incidence() -> str:
+    return with_ctes(ADSL, ADAE, BIGN, _ae_long()) + \
+        "SELECT trta, CAST(level AS INTEGER) AS level, soc AS aebodsys, pt AS aedecod, n FROM inc"
+
+
+def _rank_levels() -> str:
+    return with_ctes(ADSL, ADAE, BIGN, _ae_long()) + """SELECT 1 AS level, soc AS aebodsys,
+  CAST(NULL AS VARCHAR) AS aedecod, CAST(ord_1 AS BIGINT) AS ord FROM socr
+UNION ALL SELECT 2, soc, pt, CAST(ord_2 AS BIGINT) FROM ptr"""
+
+
+def _with_percent() -> str:
+    return with_ctes(ADSL, ADAE, BIGN, _ae_long()) + """SELECT trta, CAST(level AS INTEGER) AS level,
+  soc AS aebodsys, pt AS aedecod, n, CAST(ord_1 AS BIGINT) AS ord_1, CAST(ord_2 AS BIGINT) AS ord_2,
+  denom, cell FROM cells"""
+
+
+TERM = f"""tc AS (SELECT aebodsys, aedecod, trta, count(DISTINCT usubjid) AS n FROM adae
+        WHERE usubjid IS NOT NULL GROUP BY aebodsys, aedecod, trta),
+sn AS (SELECT trta, count(DISTINCT usubjid) AS N FROM adae WHERE usubjid IS NOT NULL GROUP BY trta),
+tl AS (SELECT tc.*, {cell('tc.n', 'sn.N', 'sprintf')} AS cell
+       FROM tc LEFT JOIN sn ON tc.trta IS NOT DISTINCT FROM sn.trta),
+tw AS (SELECT aebodsys, aedecod,
+  {",  ".join(f"coalesce(max(CASE WHEN trta = '{a}' THEN cell END), '0 (0.0%)') AS {_q(a)}" for a in ARMS)},
+  CAST(sum(CASE WHEN trta IN ({", ".join(f"'{a}'" for a in ARMS)}) THEN n ELSE 0 END) AS VARCHAR) AS "Total"
+  FROM tl GROUP BY aebodsys, aedecod),
+thf AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY aebodsys ORDER BY aedecod ASC NULLS LAST) AS rn FROM tw) z WHERE rn = 1)"""
+
+ARM_COLS = ", ".join(_q(a) for a in ARMS) + ', "Total"'
+
+
+def _self_big_n() -> str:
+    return with_ctes(ADAE) + """SELECT trta, count(DISTINCT usubjid) AS N FROM adae
+WHERE usubjid IS NOT NULL GROUP BY trta"""
+
+
+def _row_total() -> str:
+    return with_ctes(ADAE) + """SELECT aebodsys, aedecod, CAST(sum(n) AS BIGINT) AS total_n FROM (
+  SELECT aebodsys, aedecod, trta, count(DISTINCT usubjid) AS n FROM adae
+  WHERE usubjid IS NOT NULL GROUP BY aebodsys, aedecod, trta) t
+GROUP BY aebodsys, aedecod"""
+
+
+def _soc_header_first() -> str:
+    return with_ctes(ADAE, TERM) + f"SELECT aebodsys, {ARM_COLS} FROM thf"
+
+
+def _soc_header_distinct() -> str:
+    return with_ctes(ADAE) + f"""SELECT aebodsys,
+  {",  ".join(f"coalesce(max(CASE WHEN trta = '{a}' THEN cell END), '0 (0.0%)') AS {_q(a)}" for a in ARMS)},
+  CAST(sum(CASE WHEN trta IN ({", ".join(f"'{a}'" for a in ARMS)}) THEN n ELSE 0 END) AS VARCHAR) AS "Total"
+FROM (
+  SELECT c.aebodsys, c.trta, c.n, {cell('c.n', 'sn.N', 'sprintf')} AS cell
+  FROM (SELECT aebodsys, trta, count(DISTINCT usubjid) AS n FROM adae WHERE usubjid IS NOT NULL
+        GROUP BY aebodsys, trta) c
+  LEFT JOIN (SELECT trta, count(DISTINCT usubjid) AS N FROM adae WHERE usubjid IS NOT NULL GROUP BY trta) sn
+    ON c.trta IS NOT DISTINCT FROM sn.trta) x
+GROUP BY aebodsys"""
+
+
+def _ae_term_table() -> str:
+    return with_ctes(ADAE, TERM) + f"""SELECT aebodsys AS label, aebodsys AS soc_key, TRUE AS is_header,
+  CAST(NULL AS VARCHAR) AS term_key, {ARM_COLS} FROM thf
+UNION ALL
+SELECT '  ' || coalesce(aedecod, 'NA'), aebodsys, FALSE, aedecod, {ARM_COLS} FROM tw"""
+
+
+# --------------------------------------------------------------------------- labs
+
+def _lab_ctes(param_filter: str = "") -> str:
+    return f"""lp AS (SELECT usubjid, trta, param, lbnrind FROM adlb
+       WHERE saffl = 'Y' AND usubjid IS NOT NULL {param_filter}),
+lfirst AS (SELECT usubjid, trta, param, min(lbnrind) AS lbnrind FROM lp GROUP BY usubjid, trta, param
+           UNION ALL SELECT usubjid, 'Total', param, min(lbnrind) FROM lp GROUP BY usubjid, param),
+fc AS (SELECT trta, 1 AS level, param, CAST(NULL AS VARCHAR) AS lbnrind, count(*) AS n
+       FROM lfirst GROUP BY trta, param
+       UNION ALL SELECT trta, 2, param, lbnrind, count(*) FROM lfirst GROUP BY trta, param, lbnrind),
+pr AS (SELECT param, row_number() OVER (ORDER BY n DESC, param ASC NULLS LAST) AS ord_par
+       FROM fc WHERE trta = 'Total' AND level = 1),
+fr AS (SELECT param, lbnrind, row_number() OVER (PARTITION BY param ORDER BY lbnrind ASC NULLS LAST) AS ord_gra
+       FROM fc WHERE trta = 'Total' AND level = 2),
+lc AS (SELECT fc.*, pr.ord_par, CASE WHEN fc.level = 1 THEN 0 ELSE fr.ord_gra END AS ord_gra,
+              {cell('fc.n', 'b.N', 'paste')} AS cell
+       FROM fc
+       LEFT JOIN pr ON fc.param IS NOT DISTINCT FROM pr.param
+       LEFT JOIN fr ON fc.level = 2 AND fc.param IS NOT DISTINCT FROM fr.param
+                   AND fc.lbnrind IS NOT DISTINCT FROM fr.lbnrind
+       LEFT JOIN bign b ON fc.trta IS NOT DISTINCT FROM b.trta)"""
+
+
+FLAG_CODE_SQL = ("CASE WHEN lbnrind = 'LOW' THEN 1 WHEN lbnrind = 'NORMAL' THEN 2 "
+                 "WHEN lbnrind = 'HIGH' THEN 3 END")
+
+
+def _flag_code() -> str:
+    return with_ctes(ADLB) + f"""SELECT usubjid, trta, param, lbnrind,
+  CAST({FLAG_CODE_SQL} AS DOUBLE) AS lbnrindn FROM adlb"""
+
+
+def _one_flag() -> str:
+    return with_ctes(ADSL, BIGN, ADLB, _lab_ctes()) + "SELECT usubjid, trta, param, lbnrind FROM lfirst"
+
+
+def _param_incidence() -> str:
+    return with_ctes(ADSL, BIGN, ADLB, _lab_ctes()) + """SELECT fc.trta, fc.param, fc.n,
+  CAST(pr.ord_par AS BIGINT) AS ord_par FROM fc JOIN pr ON fc.param = pr.param WHERE fc.level = 1"""
+
+
+def _flag_incidence() -> str:
+    return with_ctes(ADSL, BIGN, ADLB, _lab_ctes()) + """SELECT fc.trta, fc.param, fc.lbnrind, fc.n,
+  CAST(fr.ord_gra AS BIGINT) AS ord_gra
+FROM fc LEFT JOIN fr ON fc.param IS NOT DISTINCT FROM fr.param AND fc.lbnrind IS NOT DISTINCT FROM fr.lbnrind
+WHERE fc.level = 2"""
+
+
+def _lab_table() -> str:
+    return with_ctes(ADSL, BIGN, ADLB, _lab_ctes()) + f"""SELECT label, param, ord, ord_gra,
+  {pivot('cell', 'trta', ARMS_T, fill='0')}
+FROM (SELECT CASE WHEN level = 2 AND lbnrind IS NOT NULL THEN lbnrind ELSE param END AS label, param,
+             CAST(level AS BIGINT) AS ord, CAST(ord_gra AS BIGINT) AS ord_gra, trta, cell FROM lc) s
+WHERE label IS NOT NULL AND label <> ''
+GROUP BY label, param, ord, ord_gra"""
+
+
+DEFAULT_PARAMS = """AND param IN (SELECT value FROM (SELECT DISTINCT param AS value FROM adlb
+                                  WHERE param IS NOT NULL) v ORDER BY value LIMIT 5)"""
+
+
+def _lab_grid(flags_only: bool = False) -> str:
+    arm_fill = ", ".join(f"coalesce(w.{_q(a)}, '0') AS {_q(a)}" for a in ARMS_T)
+    arm_cols = ", ".join(_q(a) for a in ARMS_T)
+    body = with_ctes(ADSL, BIGN, ADLB, _lab_ctes(DEFAULT_PARAMS)) + f""", coded AS (
+  SELECT param, CAST(ord_par AS BIGINT) AS ord_par,
+         CAST(CASE WHEN level = 1 THEN 0 ELSE {FLAG_CODE_SQL} END AS BIGINT) AS flag_code, trta, cell FROM lc),
+wide AS (SELECT param, ord_par, flag_code, {pivot('cell', 'trta', ARMS_T, fill='0')}
+         FROM coded WHERE flag_code IS NOT NULL GROUP BY param, ord_par, flag_code),
+heads AS (SELECT * FROM wide WHERE flag_code = 0),
+grid AS (SELECT h.param, h.ord_par, CAST(c.code AS BIGINT) AS flag_code
+         FROM heads h CROSS JOIN (VALUES (1), (2), (3)) c(code)),
+flags AS (SELECT g.param, g.ord_par, g.flag_code, {arm_fill}
+          FROM grid g LEFT JOIN wide w ON g.param IS NOT DISTINCT FROM w.param
+           AND g.ord_par IS NOT DISTINCT FROM w.ord_par AND g.flag_code = w.flag_code),
+allrows AS (SELECT param, ord_par, flag_code, {arm_cols} FROM heads
+            UNION ALL SELECT param, ord_par, flag_code, {arm_cols} FROM flags)
+"""
+    return body.replace("\n, coded", ",\ncoded") + f"""SELECT CASE flag_code WHEN 0 THEN param WHEN 1 THEN 'LOW' WHEN 2 THEN 'NORMAL'
+  WHEN 3 THEN 'HIGH' END AS label, param, ord_par, flag_code, {arm_cols}
+FROM allrows {'WHERE flag_code > 0' if flags_only else ''}"""
+
+
+# --------------------------------------------------------------------------- reshaping, exploration
+
+def _to_long() -> str:
+    return with_ctes(ADSL) + """SELECT usubjid, 'trt01a' AS Stat, CAST(trt01a AS VARCHAR) AS Value FROM adsl
+UNION ALL SELECT usubjid, 'sex', CAST(sex AS VARCHAR) FROM adsl
+UNION ALL SELECT usubjid, 'race', CAST(race AS VARCHAR) FROM adsl"""
+
+
+def _to_wide_fill() -> str:
+    return with_ctes(ADSL, BIGN, ADLB, _lab_ctes()) + f"""SELECT param, lbnrind,
+  {pivot('CAST(n AS VARCHAR)', 'trta', ARMS_T, fill='0')}
+FROM fc WHERE level = 2 GROUP BY param, lbnrind"""
+
+
+def _histogram() -> str:
+    eps = "2.220446049250313e-16"
+    return with_ctes(ADLB).rstrip("\n") + f""",
+hv AS (SELECT CAST(aval AS DOUBLE) AS x FROM adlb WHERE aval IS NOT NULL AND NOT isnan(aval)),
+hs AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM hv),
+h0 AS (SELECT lo, hi, CAST(ceil(log2(n) + 1) AS BIGINT) AS nc, hi - lo AS dx, greatest(abs(lo), abs(hi)) AS cmax FROM hs),
+h1 AS (SELECT *, (dx = 0 AND hi = 0) OR dx < cmax * (1 + 1 / (1 + 1.5)) * greatest(1, nc) * {eps} * 3 AS small FROM h0),
+h2 AS (SELECT *, CASE WHEN small THEN
+          (CASE WHEN dx = 0 AND hi = 0 THEN 1.0 WHEN cmax > 10 THEN 9 + cmax / 10 ELSE cmax END) * 0.75
+        WHEN nc > 1 THEN dx / nc ELSE dx END AS cell FROM h1),
+h3 AS (SELECT *, pow(10.0, floor(log10(cell))) AS base FROM h2),
+h4 AS (SELECT *, CASE WHEN 2 * base - cell < 1.5 * (cell - base) THEN
+          (CASE WHEN 5 * base - cell < 2.75 * (cell - 2 * base) THEN
+             (CASE WHEN 10 * base - cell < 1.5 * (cell - 5 * base) THEN 10 * base ELSE 5 * base END)
+           ELSE 2 * base END)
+        ELSE base END AS unit FROM h3),
+h5 AS (SELECT *, floor(lo / unit + 1e-10) AS ns0, ceil(hi / unit - 1e-10) AS nu0 FROM h4),
+h6 AS (SELECT *, CASE WHEN ns0 * unit > lo + 1e-10 * unit THEN ns0 - 1 ELSE ns0 END AS ns,
+              CASE WHEN nu0 * unit < hi - 1e-10 * unit THEN nu0 + 1 ELSE nu0 END AS nu FROM h5),
+h7 AS (SELECT *, CAST(floor(0.5 + nu - ns) AS BIGINT) AS k FROM h6),
+h8 AS (SELECT lo, hi, unit,
+              CASE WHEN k < 1 AND ns >= 0 THEN ns - 1 ELSE ns END AS ns2,
+              CASE WHEN k < 1 AND ns < 0 THEN nu + 1 ELSE nu END AS nu2,
+              greatest(k, 1) AS ndiv FROM h7),
+hb AS (SELECT least(ns2 * unit, lo) AS start, (greatest(nu2 * unit, hi) - least(ns2 * unit, lo)) / ndiv AS step,
+              ndiv FROM h8),
+bins AS (SELECT CAST(i + 1 AS BIGINT) AS bin, start + i * step AS lower, start + (i + 1) * step AS upper
+         FROM (SELECT start, step, unnest(range(ndiv)) AS i FROM hb) r),
+cnt AS (SELECT CAST(greatest(1, least(ndiv, ceil((x - start - 1e-7 * step) / step))) AS BIGINT) AS bin,
+               count(*) AS c FROM hv, hb GROUP BY 1)
+SELECT bins.bin, lower, upper, (lower + upper) / 2 AS mid, CAST(coalesce(c, 0) AS BIGINT) AS count
+FROM bins LEFT JOIN cnt ON bins.bin = cnt.bin"""
+
+
+def _preview() -> str:
+    return with_ctes(ADSL) + f"SELECT {ADSL_COLS} FROM adsl ORDER BY usubjid LIMIT 6"
+
+
 def statements() -> dict[str, str]:
     return {
+        "population": _population(),
+        "with_total": _with_total(),
+        "big_n": _big_n(),
+        "choice_filter": _choice_filter(),
+        "facet_values": _facet("param"),
+        "facet_visits": _facet("visit"),
+        "numeric_split": _numeric("split"),
+        "numeric_combined": _numeric("combined"),
+        "categorical_summary": _categorical(),
+        "demo_table": _demo("trt01a", "split"),
+        "demo_table_combined": _demo("trt01p", "combined", "AND sex IN ('M', 'F')"),
+        "incidence": _incidence(),
+        "rank_levels": _rank_levels(),
+        "with_percent": _with_percent(),
         "ae_summary": _ae_summary(),
         "ae_summary_filtered": _ae_summary(AE_FILTER),
+        "self_big_n": _self_big_n(),
+        "row_total": _row_total(),
+        "soc_header_first": _soc_header_first(),
+        "soc_header_distinct": _soc_header_distinct(),
+        "ae_term_table": _ae_term_table(),
+        "flag_code": _flag_code(),
+        "one_flag_per_subject": _one_flag(),
+        "param_incidence": _param_incidence(),
+        "flag_incidence": _flag_incidence(),
+        "lab_table": _lab_table(),
+        "complete_grid": _lab_grid(flags_only=True),
+        "lab_table_grid": _lab_grid(),
+        "to_long": _to_long(),
+        "to_wide_fill": _to_wide_fill(),
+        "histogram": _histogram(),
+        "preview": _preview(),
     }
