@@ -10,8 +10,8 @@ only moves partial counts. Grouping flags (not NULL tests) tell a rolled-up
 level from a level whose value is genuinely missing.
 
 ``rank_levels`` ranks level values by the pooled count (descending, then
-name); the rank tables have one row per distinct level value and are joined
-back null-safely (a missing level value matches a missing one).
+name) with window functions over the aggregated table. ``join_null_safe`` is
+the join used elsewhere when a missing key must match a missing key.
 """
 
 from __future__ import annotations
@@ -73,31 +73,39 @@ def incidence(df: DataFrame, trt: str, levels: Sequence[str], subject: str = "us
 
 
 def rank_levels(inc: DataFrame, trt: str, levels: Sequence[str], total: str = TOTAL_LABEL) -> DataFrame:
-    """Rank tables from the pooled arm: one per depth ``k`` with columns ``levels[:k], ord_k``.
+    """Add ``ord_k`` (k = 1..depth) to every row at depth >= k, ranked from the pooled arm.
 
-    Depth-1 values are ranked over all of them (count descending, then name,
-    missing last); deeper values are ranked within their parent, which gives
-    the same sort order as one running number and keeps each window partition
-    as small as one parent's children.
-    """
-    pooled = inc.filter((F.col(trt) == F.lit(total)))
-    tables = []
-    for k in range(1, len(levels) + 1):
-        keys = list(levels[:k])
-        order = [F.col("n").desc(), F.col(keys[-1]).asc_nulls_last()]
-        w = Window.partitionBy(*keys[:-1]).orderBy(*order) if k > 1 else Window.orderBy(*order)
-        tables.append(pooled.filter(F.col("level") == k)
-                            .select(*keys, F.row_number().over(w).cast("long").alias(ord_col(k))))
-    return tables
+    Depth-1 values are ranked over all of them by pooled count (descending),
+    then name (missing last); deeper values are ranked within their parent,
+    which sorts the same as one running number. Only values the pooled arm
+    has are ranked; other rows get NULL.
 
-
-def attach_ranks(inc: DataFrame, ranks: Sequence[DataFrame], levels: Sequence[str]) -> DataFrame:
-    """Join each depth's rank onto the rows at that depth or deeper (null-safe keys)."""
+    Everything is window functions over the aggregated incidence table (one
+    row per arm x level value), so the heavy aggregation underneath is planned
+    once; there is no join back of separately filtered copies.
+    """
+    levels = list(levels)
     out = inc
-    for k, table in enumerate(ranks, start=1):
-        keys = list(levels[:k])
-        out = join_null_safe(out, table, keys, how="left", extra=out["level"] >= F.lit(k))
-    return out
+    for k in range(1, len(levels) + 1):
+        keys = levels[:k]
+        deep = F.col("level") >= F.lit(k)
+        pooled_row = (F.col(trt) == F.lit(total)) & (F.col("level") == F.lit(k))
+        pooled_n = F.max(F.when(pooled_row, F.col("n"))).over(Window.partitionBy(deep, *keys))
+        out = out.withColumn("_pooled_n", pooled_n)
+        rank = F.dense_rank().over(Window.partitionBy(deep, *keys[:-1]).orderBy(
+            F.col("_pooled_n").isNull().asc(), F.col("_pooled_n").desc(), F.col(keys[-1]).asc_nulls_last()))
+        out = out.withColumn(ord_col(k), F.when(deep & F.col("_pooled_n").isNotNull(), rank.cast("long")))
+    return out.drop("_pooled_n")
+
+
+def rank_tables(ranked: DataFrame, trt: str, levels: Sequence[str], total: str = TOTAL_LABEL) -> DataFrame:
+    """The pooled ranks as one table: ``level, *levels, ord`` (deeper level columns NULL)."""
+    pooled = ranked.filter((F.col(trt) == F.lit(total)) & (F.col("level") >= 1))
+    ord_expr = None
+    for k in range(1, len(levels) + 1):
+        ord_expr = F.when(F.col("level") == k, F.col(ord_col(k))) if ord_expr is None else \
+            ord_expr.when(F.col("level") == k, F.col(ord_col(k)))
+    return pooled.select("level", *levels, ord_expr.alias("ord"))
 
 
 def with_percent(counts: DataFrame, denominators: DataFrame, trt: str, style: str = "strict",

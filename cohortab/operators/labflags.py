@@ -61,20 +61,26 @@ def flag_counts(first: DataFrame, trt: str = "trta", param: str = "param",
                       F.when(F.col("_gi") == 0, F.col(ind)).alias(ind), "n")
 
 
-def param_ranks(counts: DataFrame, trt: str = "trta", param: str = "param",
-                total: str = TOTAL_LABEL) -> DataFrame:
-    """``param, ord_par``: pooled subject count descending, then name (missing last).
+def rank_flags(counts: DataFrame, trt: str = "trta", param: str = "param", ind: str = "lbnrind",
+               total: str = TOTAL_LABEL) -> DataFrame:
+    """Add ``ord_par`` to all rows and ``ord_gra`` to flag rows, ranked from the pooled arm.
 
-    The window runs over the parameter list (one row per parameter).
+    ``ord_par``: parameters by pooled subject count (descending), then name
+    (missing last). ``ord_gra``: within a parameter, the flags the pooled arm
+    has, in text order (missing last), from 1; a flag only an arm has (its
+    subjects' pooled pick was another flag) gets NULL. Window functions over
+    the aggregated counts (one row per arm x parameter x flag), no join-back.
     """
-    w = Window.orderBy(F.col("n").desc(), F.col(param).asc_nulls_last())
-    return (counts.filter((F.col(trt) == F.lit(total)) & (F.col("level") == 1))
-                  .select(param, F.row_number().over(w).cast("long").alias("ord_par")))
-
-
-def flag_ranks(counts: DataFrame, trt: str = "trta", param: str = "param", ind: str = "lbnrind",
-               total: str = TOTAL_LABEL) -> DataFrame:
-    """``param, ind, ord_gra``: flags of a parameter in text order (missing last), from 1."""
-    w = Window.partitionBy(param).orderBy(F.col(ind).asc_nulls_last())
-    return (counts.filter((F.col(trt) == F.lit(total)) & (F.col("level") == 2))
-                  .select(param, ind, F.row_number().over(w).cast("long").alias("ord_gra")))
+    is_pooled = F.col(trt) == F.lit(total)
+    pooled_par = F.max(F.when(is_pooled & (F.col("level") == 1), F.col("n"))).over(Window.partitionBy(param))
+    out = counts.withColumn("_pp", pooled_par)
+    par_rank = F.dense_rank().over(Window.orderBy(
+        F.col("_pp").isNull().asc(), F.col("_pp").desc(), F.col(param).asc_nulls_last()))
+    out = out.withColumn("ord_par", F.when(F.col("_pp").isNotNull(), par_rank.cast("long")))
+    flag_row = F.col("level") == 2
+    present = F.max(F.when(is_pooled, F.lit(1))).over(Window.partitionBy("level", param, ind))
+    out = out.withColumn("_present", F.when(flag_row, present))
+    gra_rank = F.dense_rank().over(Window.partitionBy("level", param).orderBy(
+        F.col("_present").isNull().asc(), F.col(ind).asc_nulls_last()))
+    out = out.withColumn("ord_gra", F.when(flag_row & F.col("_present").isNotNull(), gra_rank.cast("long")))
+    return out.drop("_pp", "_present")

@@ -120,15 +120,13 @@ def categorical_summary(df: DataFrame, trt: str, variables: Sequence[str],
     """Long text rows ``Variable, Stat, stat_pos, trt, Value`` with ``n (p%)``.
 
     ``stat_pos`` numbers the levels of a variable in sorted order (missing
-    last); the numbering window runs over the level list, not over rows.
+    last); the numbering window runs over the aggregated counts of that
+    variable (arms x levels), not over rows.
     """
     cnt = categorical_counts(df, trt, variables, total)
-    levels = cnt.select("Variable", "Stat").distinct()
     pos = F.dense_rank().over(Window.partitionBy("Variable").orderBy(F.col("Stat").asc_nulls_last()))
-    levels = levels.withColumn("stat_pos", pos.cast("long"))
-    cells = cnt.withColumn("Value", count_pct_cell("n", "denom", style="percent"))
-    joined = cells.join(levels, (cells.Variable == levels.Variable) & cells.Stat.eqNullSafe(levels.Stat), "left")
-    return joined.select(cells.Variable, cells.Stat, levels.stat_pos, cells[trt], cells.Value)
+    return cnt.select("Variable", "Stat", pos.cast("long").alias("stat_pos"), trt,
+                      count_pct_cell("n", "denom", style="percent").alias("Value"))
 
 
 def var_positions(variables: Sequence[str]) -> Column:

@@ -13,8 +13,8 @@ header row per body system.
 Plan shape (``ae_summary``): scan -> filter (pushed to Parquet) -> project
 (subject, arm, body system, term) -> expand over 6 grouping sets -> partial
 distinct on (keys, set id, subject) -> shuffle -> count -> shuffle of partial
-counts -> ranks on the pooled rows (one row per body system / term) -> joins
-back -> broadcast join of the arm denominators (size checked) -> pivot.
+counts -> rank windows over the aggregated rows (one row per arm x body system
+/ term) -> broadcast join of the arm denominators (size checked) -> pivot.
 """
 
 from __future__ import annotations
@@ -34,9 +34,7 @@ from cohortab.operators.denominators import (
     self_big_n,
 )
 from cohortab.operators.incidence import (
-    attach_ranks,
     incidence,
-    join_null_safe,
     ord_col,
     rank_levels,
     with_percent,
@@ -74,7 +72,7 @@ def ae_counts(adae: DataFrame, adsl: DataFrame, trt: str = "trta", soc: str = "a
     events = apply_choices(events, where)
     levels = [soc, pt]
     inc = incidence(events, trt, levels, subject, total)
-    ranked = attach_ranks(inc, rank_levels(inc, trt, levels, total), levels)
+    ranked = rank_levels(inc, trt, levels, total)
     cells = with_percent(ranked, bign, trt, style="strict")
     return cells, arms
 

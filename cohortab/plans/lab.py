@@ -11,8 +11,8 @@ pooled count (descending, then name), header first.
 
 Plan shape: scan -> filter -> project -> grouping sets (subject, arm, param) /
 (subject, param) with ``min(flag)`` -> grouping sets (arm, param, flag) /
-(arm, param) with ``count`` -> ranks on pooled rows -> broadcast join of the
-checked arm denominators -> pivot.
+(arm, param) with ``count`` -> rank windows over the aggregated counts ->
+broadcast join of the checked arm denominators -> pivot.
 """
 
 from __future__ import annotations
@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortab.operators.denominators import MAX_ARMS
-from cohortab.operators.incidence import join_null_safe, with_percent
+from cohortab.operators.incidence import with_percent
 from cohortab.operators.labflags import (
     FLAG_CODES,
     flag_code_expr,
     flag_counts,
-    flag_ranks,
     one_flag_per_subject,
-    param_ranks,
+    rank_flags,
 )
 from cohortab.operators.population import TOTAL_LABEL, choice_filter, population
 from cohortab.operators.reshape import complete_grid, to_wide
@@ -49,10 +48,7 @@ def lab_counts(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str =
     if params is not None:
         rows = choice_filter(rows, param, list(params))
     first = one_flag_per_subject(rows, trt, param, ind, subject, total)
-    counts = flag_counts(first, trt, param, ind)
-    ranked = join_null_safe(counts, param_ranks(counts, trt, param, total), [param])
-    ranked = join_null_safe(ranked, flag_ranks(counts, trt, param, ind, total), [param, ind],
-                            extra=ranked["level"] == F.lit(2))
+    ranked = rank_flags(flag_counts(first, trt, param, ind), trt, param, ind, total)
     ranked = ranked.withColumn("ord_gra", F.when(F.col("level") == 1, F.lit(0).cast("long"))
                                .otherwise(F.col("ord_gra")))
     return with_percent(ranked, bign, trt, style="paste"), arms
