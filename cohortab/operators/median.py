@@ -78,8 +78,13 @@ def _banded(data, tf, keys):
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = BAND_LIMIT,
-                 grid: int = GRID, accuracy: int = ACCURACY, max_groups: int = MAX_GROUPS) -> DataFrame:
-    """``(keys..., median)``: exact median of ``x`` per group; groups with no value are absent."""
+                 grid: int = GRID, accuracy: int = ACCURACY, max_groups: int = MAX_GROUPS,
+                 counts: Sequence[tuple[tuple, int]] | None = None) -> DataFrame:
+    """``(keys..., median)``: exact median of ``x`` per group; groups with no value are absent.
+
+    ``counts`` may carry the non-missing count per group (``[(key_tuple, n)]``)
+    when the caller already has it, which saves the counting pass.
+    """
     keys = list(keys)
     spark = df.sparkSession
     xv = F.col(x).cast("double")
@@ -87,13 +92,16 @@ def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = B
               .filter(F.col("_x").isNotNull()))
     key_types = [data.schema[k].dataType for k in keys]
 
-    counts = collect_bounded(data.groupBy(*keys).agg(F.count("_x").alias("_n")), max_groups,
-                             "median groups")
+    if counts is None:
+        rows = collect_bounded(data.groupBy(*keys).agg(F.count("_x").alias("_n")), max_groups,
+                               "median groups")
+        counts = [(tuple(r[c] for c in keys), r["_n"]) for r in rows]
     targets = []
-    for r in counts:
-        n = r["_n"]
+    for key, n in counts:
+        if not n:
+            continue
         for k in sorted({(n + 1) // 2, n // 2 + 1}):
-            targets.append({"key": [r[c] for c in keys], "tid": len(targets), "k": k, "m": n,
+            targets.append({"key": list(key), "tid": len(targets), "k": k, "m": n,
                             "lo": -math.inf, "hi": math.inf, "lo_open": False, "hi_open": False,
                             "below": 0, "value": None})
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortab.functions.text import count_pct_cell, number_text, paste
+from cohortab.operators.denominators import collect_bounded
 from cohortab.operators.median import exact_median
 from cohortab.operators.population import TOTAL_LABEL, arm_text
 from cohortab.sources.tables import require_columns
@@ -30,6 +31,7 @@ SPLIT_STATS = ["N", "Mean", "Median", "SD", "Min", "Max"]
 COMBINED_STATS = ["N", "Mean (SD)", "Median", "Min", "Max"]
 STAT_DIGITS = 2
 SD_DIGITS_COMBINED = 3
+MAX_SUMMARY_GROUPS = 100_000
 
 
 def _arm(trt: str, total: str) -> Column:
@@ -68,8 +70,14 @@ def numeric_stats(df: DataFrame, trt: str, variables: Sequence[str], total: str
     stats = long.groupingSets([[trt, "Variable"], ["Variable"]], trt, "Variable").agg(*aggs)
     stats = stats.withColumn(trt, F.when(F.col("_g") == 1, F.lit(total)).otherwise(F.col(trt))).drop("_g")
     if median == "exact":
+        # The statistics are one row per arm x variable: fetch them (size-checked) and
+        # reuse their counts as the median's counting pass, so the data is scanned twice
+        # in all (statistics, median pick) instead of three times.
+        rows = collect_bounded(stats, MAX_SUMMARY_GROUPS, "summary groups")
+        stats = df.sparkSession.createDataFrame(rows, stats.schema)
         pooled = long.withColumn(trt, F.explode(F.array(F.col(trt), F.lit(total))))
-        med = exact_median(pooled, [trt, "Variable"], "x")
+        med = exact_median(pooled, [trt, "Variable"], "x",
+                           counts=[((r[trt], r["Variable"]), r["n"]) for r in rows])
         stats = stats.join(med, [trt, "Variable"], "left")
     elif median != "approx":
         raise ValueError(f"unknown median mode {median!r}")

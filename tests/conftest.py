@@ -1,0 +1,30 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from cohortab.session import local_session
+
+    s = local_session(cores="*", shuffle_partitions=8, app="cohortab-tests", driver_memory="4g")
+    yield s
+    s.stop()
+
+
+@pytest.fixture(scope="session")
+def fx(spark):
+    import fixture_data
+
+    return fixture_data.frames(spark)
+
+
+def rows(df, *cols):
+    """Collected rows as plain tuples (all columns or the named ones)."""
+    sel = df.select(*cols) if cols else df
+    return [tuple(r) for r in sel.collect()]

@@ -1,0 +1,75 @@
+"""Demography summaries on the hand fixture and trap cases."""
+from cohortab.operators.summary import categorical_summary, numeric_stats, numeric_summary
+from cohortab.plans.demo import demo_table
+from conftest import rows
+from fixture_data import H, L, P
+
+ARMS = [P, H, L, "Total"]
+VARS = ["age", "sex", "race"]
+
+
+def test_demo_combined_fixture(spark, fx):
+    adsl, _, _ = fx
+    got = rows(demo_table(adsl, "trt01p", VARS, "combined"), "Variable", "Stat", *ARMS)
+    assert got == [
+        ("age", "N", "2", "2", "1", "5"),
+        ("age", "Mean (SD)", "65 (7.071)", "70 (7.071)", "80 (NA)", "70 (7.906)"),
+        ("age", "Median", "65", "70", "80", "70"),
+        ("age", "Min", "60", "65", "80", "60"),
+        ("age", "Max", "70", "75", "80", "80"),
+        ("sex", "F", "1 (50%)", "1 (50%)", "1 (50%)", "3 (50%)"),
+        ("sex", "M", "1 (50%)", "1 (50%)", "1 (50%)", "3 (50%)"),
+        ("race", "BLACK", None, "1 (50%)", None, "1 (16.7%)"),
+        ("race", "WHITE", "2 (100%)", "1 (50%)", "2 (100%)", "5 (83.3%)"),
+    ]
+
+
+def test_demo_split_fixture_sorted_by_variable_then_stat(spark, fx):
+    adsl, _, _ = fx
+    got = rows(demo_table(adsl, "trt01p", VARS, "split"), "Variable", "Stat", *ARMS)
+    assert [g[:2] for g in got] == [("age", s) for s in ["Max", "Mean", "Median", "Min", "N", "SD"]] + \
+        [("race", "BLACK"), ("race", "WHITE"), ("sex", "F"), ("sex", "M")]
+    sd = [g for g in got if g[1] == "SD"][0]
+    assert sd[2:] == ("7.07", "7.07", None, "7.91")
+    mean = [g for g in got if g[1] == "Mean"][0]
+    assert mean[2:] == ("65", "70", "80", "70")
+
+
+def test_numeric_stats_typed(spark, fx):
+    adsl, _, _ = fx
+    st = {r.trt01p: r for r in numeric_stats(adsl, "trt01p", ["age"]).collect()}
+    assert st["Total"].n == 5 and st["Total"].median == 70.0 and st[L].sd is None
+    assert abs(st["Total"].sd - 7.905694150420948) < 1e-12
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([("A", 1.0), ("A", float("nan")), ("A", 3.0), ("A", None)], "arm string, x double")
+    st = {r.arm: r for r in numeric_stats(df, "arm", ["x"]).collect()}
+    assert (st["A"].n, st["A"].mean, st["A"].median, st["A"].min, st["A"].max) == (2, 2.0, 2.0, 1.0, 3.0)
+
+
+def test_missing_level_is_a_level_and_counts_in_base(spark):
+    df = spark.createDataFrame([("A", "x"), ("A", None), ("A", "x"), ("A", "y")], "arm string, v string")
+    got = {(r.Stat, r.arm): r.Value for r in categorical_summary(df, "arm", ["v"]).collect()}
+    assert got[("x", "A")] == "2 (50%)" and got[(None, "A")] == "1 (25%)" and got[("y", "A")] == "1 (25%)"
+
+
+def test_missing_arm_becomes_na_column(spark):
+    df = spark.createDataFrame([("A", "x"), (None, "y")], "arm string, v string")
+    out = demo_table(df, "arm", ["v"], "combined")
+    assert out.columns[-3:] == ["A", "NA", "Total"]
+    assert rows(out, "Stat", "NA") == [("x", None), ("y", "1 (100%)")]
+
+
+def test_numeric_summary_split_and_combined_shapes(spark, fx):
+    adsl, _, _ = fx
+    split = numeric_summary(adsl, "trt01p", ["age"], "split")
+    comb = numeric_summary(adsl, "trt01p", ["age"], "combined")
+    assert split.count() == 6 * 4 and comb.count() == 5 * 4
+    assert split.columns == ["Variable", "Stat", "stat_pos", "trt01p", "Value"]
+
+
+def test_approx_median_option(spark, fx):
+    adsl, _, _ = fx
+    st = {r.trt01p: r.median for r in numeric_stats(adsl, "trt01p", ["age"], median="approx").collect()}
+    assert st[L] == 80.0

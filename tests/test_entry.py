@@ -1,0 +1,47 @@
+"""Driver contract: entry runs, every query has SQL, and Spark equals the SQL on the smallest tables."""
+import os
+import sys
+
+import duckdb
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, os.path.join(ROOT, "tools"))
+
+import __spark_entry__ as ent  # noqa: E402
+from check_oracle import TABLES, digest  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_entry_runs_with_stable_schema(spark):
+    df = ent.entry(spark)
+    assert df.columns[:4] == ["label", "ord_soc", "ord", "ord_pt"]
+    assert df.count() > 0
+
+
+def test_every_query_has_sql():
+    assert set(ent.queries()) == set(ent.oracle_sql())
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        p = os.path.join(SF, f"{t}.parquet")
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+@pytest.mark.parametrize("name", sorted(ent.queries()))
+def test_query_matches_sql(spark, duck, name):
+    df = ent.queries()[name](spark, SF)
+    srows = [tuple(r) for r in df.collect()]
+    res = duck.execute(ent.oracle_sql()[name])
+    dcols = [d[0] for d in res.description]
+    drows = res.fetchall()
+    assert sorted(df.columns) == sorted(dcols)
+    assert len(srows) == len(drows)
+    assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
