@@ -111,7 +111,8 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
     edges = spark.createDataFrame(
         [(i + 1, breaks[i], breaks[i + 1], (breaks[i] + breaks[i + 1]) / 2) for i in range(k)],
         "bin long, lower double, upper double, mid double")
-    return (edges.join(counts, "bin", "left")
+    # Both sides have at most k rows (k = number of bins, about log2(n)): broadcast the counts.
+    return (edges.join(F.broadcast(counts), "bin", "left")
                  .select("bin", "lower", "upper", "mid", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
                  .orderBy("bin"))
 

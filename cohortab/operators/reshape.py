@@ -3,7 +3,8 @@
 ``to_wide`` pivots with an explicit value list (no extra distinct job, fixed
 column order). Fill applies to *absent* combinations only: the cell is wrapped
 in a struct, so an absent combination gives a NULL struct (filled) while a
-present cell whose text is NULL stays NULL.
+present cell whose text is NULL stays NULL. ``fill_missing=True`` fills NULL
+cells too (used after ``complete_grid``, whose placeholders carry NULL).
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], names_to:
 
 
 def to_wide(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str,
-            names: Sequence, fill: str | None = None) -> DataFrame:
+            names: Sequence, fill: str | None = None, fill_missing: bool = False) -> DataFrame:
     """Pivot ``values_from`` into one column per entry of ``names`` (in that order)."""
     require_columns(df, *ids, names_from, values_from, where="to_wide")
+    if fill_missing:
+        piv = df.groupBy(*ids).pivot(names_from, list(names)).agg(F.first(values_from, ignorenulls=True))
+        return piv.select(*ids, *[F.coalesce(piv[f"`{n}`"], F.lit(fill)).alias(str(n)) for n in names])
     cell = F.struct(F.col(values_from).alias("v"))
     piv = df.groupBy(*ids).pivot(names_from, list(names)).agg(F.first(cell, ignorenulls=True))
     outs = []
@@ -40,19 +44,23 @@ def to_wide(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str
     return piv.select(*ids, *outs)
 
 
-def complete_grid(df: DataFrame, keys: DataFrame, values: Sequence, value_col: str,
-                  on: Sequence[str], fill_cols: dict) -> DataFrame:
-    """Every key row gets every value of ``value_col``; absent combinations are filled.
+def complete_grid(df: DataFrame, col: str, values: Sequence, anchor, value_cols: Sequence[str]) -> DataFrame:
+    """Give every group that has an ``anchor`` row a row for each of ``values`` in ``col``.
 
-    ``keys`` is the distinct key table (one row per key), ``values`` the fixed
-    list to complete with (e.g. the three flag codes), so the grid is
-    ``|keys| x len(values)`` rows, built by exploding a literal array (no join
-    against a data-sized table), then left-joined to the data.
+    Each anchor row (``col == anchor``) is exploded into itself plus one
+    placeholder row per entry of ``values`` whose ``value_cols`` are NULL; all
+    other rows pass through. A later pivot/aggregate that ignores NULLs then
+    sees every combination, and its fill turns the placeholders into filled
+    cells. No join, and the input is evaluated once: the grid is
+    ``groups x len(values)`` rows made from the anchor rows themselves.
     """
-    from cohortab.operators.incidence import join_null_safe
-
-    grid = keys.select(*on).withColumn(value_col, F.explode(F.array(*[F.lit(v) for v in values])))
-    rest = df.drop(*[c for c in df.columns if c in on or c == value_col])
-    joined = join_null_safe(grid, df.select(*on, value_col, *rest.columns), list(on) + [value_col])
-    return joined.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fill_cols[c])).alias(c) if c in fill_cols else F.col(f"`{c}`")
-                           for c in joined.columns])
+    require_columns(df, col, *value_cols, where="complete_grid")
+    is_anchor = F.col(col) == F.lit(anchor)
+    targets = F.when(is_anchor, F.array(F.lit(anchor), *[F.lit(v) for v in values])) \
+               .otherwise(F.array(F.col(col)))
+    exploded = df.withColumn("_target", F.explode(targets))
+    keep = F.col("_target") == F.col(col)
+    out = exploded.select(*[F.col("_target").alias(col) if c == col
+                            else (F.when(keep, F.col(c)).alias(c) if c in value_cols else F.col(c))
+                            for c in df.columns])
+    return out

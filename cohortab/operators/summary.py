@@ -78,7 +78,8 @@ def numeric_stats(df: DataFrame, trt: str, variables: Sequence[str], total: str
         pooled = long.withColumn(trt, F.explode(F.array(F.col(trt), F.lit(total))))
         med = exact_median(pooled, [trt, "Variable"], "x",
                            counts=[((r[trt], r["Variable"]), r["n"]) for r in rows])
-        stats = stats.join(med, [trt, "Variable"], "left")
+        # One median row per collected group at most: broadcast it onto the collected statistics.
+        stats = stats.join(F.broadcast(med), [trt, "Variable"], "left")
     elif median != "approx":
         raise ValueError(f"unknown median mode {median!r}")
     return stats.select(trt, "Variable", "n", "mean", "median", "sd", "min", "max")

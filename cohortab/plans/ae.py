@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortab.functions.text import count_pct_cell, indent_label, paste
+from cohortab.functions.text import indent_label, paste
 from cohortab.operators.denominators import (
     MAX_ARMS,
     arm_order,
@@ -118,13 +118,21 @@ def display(df: DataFrame, heading: str = AE_LABEL_HEADING,
 
 
 def term_counts(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
-                subject: str = "usubjid") -> DataFrame:
-    """Distinct subjects per (body system, term, arm), no population filter, no pooled arm."""
+                subject: str = "usubjid", with_soc_level: bool = False) -> DataFrame:
+    """Distinct subjects per (body system, term, arm): ``soc, pt, trt, level, n``.
+
+    No population filter, no pooled arm. With ``with_soc_level`` the same
+    aggregation also counts per (body system, arm) (``level`` 1, term NULL),
+    as a second grouping set rather than a second query.
+    """
     require_columns(adae, trt, soc, pt, subject, where="ae_term_table")
     base = adae.select(F.col(subject).alias("_subj"), F.col(trt).cast("string").alias(trt),
                        F.col(soc).cast("string").alias(soc), F.col(pt).cast("string").alias(pt)
                        ).filter(F.col("_subj").isNotNull())
-    return base.groupBy(soc, pt, trt).agg(F.countDistinct("_subj").cast("long").alias("n"))
+    sets = [[soc, pt, trt], [soc, trt]] if with_soc_level else [[soc, pt, trt]]
+    agg = base.groupingSets(sets, soc, pt, trt).agg(
+        F.countDistinct("_subj").cast("long").alias("n"), F.grouping(pt).alias("_gp"))
+    return agg.select(soc, pt, trt, (F.lit(2) - F.col("_gp")).cast("int").alias("level"), "n")
 
 
 def self_denominators(adae: DataFrame, trt: str, subject: str, max_arms: int = MAX_ARMS):
@@ -154,37 +162,49 @@ def row_total(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str
             .groupBy(soc, pt).agg(F.sum("n").cast("long").alias("total_n")))
 
 
+HEADER_MODES = ("first_term", "distinct_subjects")
+
+
+def _term_rows(adae, trt, soc, pt, subject, header, arms, max_arms, fill):
+    """Wide rows ``soc, pt, level, <arm>..., Total`` (level 1 = body system) and the arm list."""
+    if header not in HEADER_MODES:
+        raise ValueError(f"unknown header mode {header!r}")
+    bign, found = self_denominators(adae, trt, subject, max_arms)
+    arms = list(arms) if arms is not None else found
+    counts = term_counts(adae, trt, soc, pt, subject, with_soc_level=header == "distinct_subjects")
+    long = with_percent(counts, bign, trt, style="sprintf")
+    return _term_wide(long, [soc, pt, "level"], trt, arms, fill), arms
+
+
+def _with_headers(wide: DataFrame, soc: str, pt: str, header: str) -> DataFrame:
+    """Term rows plus one header row per body system, from one evaluation of ``wide``.
+
+    ``first_term``: the header repeats the cells of the body system's first
+    term (term order, missing last); a window marks that row and ``explode``
+    emits it twice. ``distinct_subjects``: the level-1 rows are the headers.
+    Adds ``is_header`` and returns term rows with ``level`` dropped.
+    """
+    if header == "distinct_subjects":
+        return wide.withColumn("is_header", F.col("level") == 1).drop("level")
+    first = F.row_number().over(Window.partitionBy(soc).orderBy(F.col(pt).asc_nulls_last())) == 1
+    marked = wide.withColumn("_first", first)
+    copies = F.when(F.col("_first"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    return marked.withColumn("is_header", F.explode(copies)).drop("level", "_first")
+
+
 def soc_header(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
                subject: str = "usubjid", mode: str = "first_term", arms: Sequence[str] | None = None,
                fill: str = "0 (0.0%)", max_arms: int = MAX_ARMS) -> DataFrame:
-    """One header row per body system, wide by arm, with a row total.
+    """One header row per body system, wide by arm, with a row total: ``soc, <arm>..., Total``.
 
     ``first_term``: the header repeats the cells of the body system's first
     term in term order (missing term last), as the source layout does.
     ``distinct_subjects``: the header counts the body system's own distinct
     subjects per arm (a subject with two terms counts once).
     """
-    bign, found = self_denominators(adae, trt, subject, max_arms)
-    arms = list(arms) if arms is not None else found
-    if mode == "first_term":
-        wide = _term_table_rows(adae, trt, soc, pt, subject, arms, bign, fill)
-        first = Window.partitionBy(soc).orderBy(F.col(pt).asc_nulls_last())
-        return (wide.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1)
-                    .drop("_rn", pt))
-    if mode == "distinct_subjects":
-        require_columns(adae, trt, soc, subject, where="soc_header")
-        counts = (adae.select(F.col(subject).alias("_subj"), F.col(trt).cast("string").alias(trt),
-                              F.col(soc).cast("string").alias(soc))
-                      .filter(F.col("_subj").isNotNull())
-                      .groupBy(soc, trt).agg(F.countDistinct("_subj").cast("long").alias("n")))
-        long = with_percent(counts, bign, trt, style="sprintf")
-        return _term_wide(long, [soc], trt, arms, fill)
-    raise ValueError(f"unknown header mode {mode!r}")
-
-
-def _term_table_rows(adae, trt, soc, pt, subject, arms, bign, fill) -> DataFrame:
-    long = with_percent(term_counts(adae, trt, soc, pt, subject), bign, trt, style="sprintf")
-    return _term_wide(long, [soc, pt], trt, arms, fill)
+    wide, arms = _term_rows(adae, trt, soc, pt, subject, mode, arms, max_arms, fill)
+    rows = _with_headers(wide, soc, pt, mode)
+    return rows.filter("is_header").select(soc, *[str(a) for a in arms], TOTAL_LABEL)
 
 
 def ae_term_table(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
@@ -197,20 +217,13 @@ def ae_term_table(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt:
     by body system, header first, then term (missing last). A missing term is
     labelled with the text ``NA``.
     """
-    bign, found = self_denominators(adae, trt, subject, max_arms)
-    arms = list(arms) if arms is not None else found
-    rows = _term_table_rows(adae, trt, soc, pt, subject, arms, bign, fill)
-    if header == "first_term":
-        first = Window.partitionBy(soc).orderBy(F.col(pt).asc_nulls_last())
-        heads = (rows.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1)
-                     .drop("_rn").withColumn(pt, F.lit(None).cast("string")))
-    else:
-        heads = soc_header(adae, trt, soc, pt, subject, header, arms, fill, max_arms) \
-            .withColumn(pt, F.lit(None).cast("string"))
-    value_cols = [str(a) for a in arms] + [TOTAL_LABEL]
-    heads = heads.select(F.col(soc).alias("label"), F.col(soc).alias("soc_key"),
-                         F.lit(True).alias("is_header"), F.col(pt).alias("term_key"), *value_cols)
-    terms = rows.select(paste(indent, F.col(pt)).alias("label"), F.col(soc).alias("soc_key"),
-                        F.lit(False).alias("is_header"), F.col(pt).alias("term_key"), *value_cols)
-    return heads.unionByName(terms).orderBy(
-        F.col("soc_key").asc_nulls_last(), F.col("is_header").desc(), F.col("term_key").asc_nulls_last())
+    wide, arms = _term_rows(adae, trt, soc, pt, subject, header, arms, max_arms, fill)
+    rows = _with_headers(wide, soc, pt, header)
+    hdr = F.col("is_header")
+    out = rows.select(
+        F.when(hdr, F.col(soc)).otherwise(paste(indent, F.col(pt))).alias("label"),
+        F.col(soc).alias("soc_key"), hdr.alias("is_header"),
+        F.when(~hdr, F.col(pt)).alias("term_key"),
+        *[str(a) for a in arms], TOTAL_LABEL)
+    return out.orderBy(F.col("soc_key").asc_nulls_last(), F.col("is_header").desc(),
+                       F.col("term_key").asc_nulls_last())

@@ -85,18 +85,12 @@ def lab_table_grid(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: s
                               params, total, max_arms)
     arms = list(arms) if arms is not None else found
     code = F.when(F.col("level") == 1, F.lit(0)).otherwise(flag_code_expr(ind).cast("int"))
-    coded = cells.withColumn("flag_code", code.cast("long")).filter(F.col("flag_code").isNotNull())
-    wide = to_wide(coded, [param, "ord_par", "flag_code"], trt, "cell", arms, fill="0")
-    headers = wide.filter(F.col("flag_code") == 0)
-    flags = wide.filter(F.col("flag_code") > 0)
-    keys = headers.select(param, "ord_par")
-    grid = complete_grid(flags, keys, sorted(FLAG_CODES.values()), "flag_code", [param, "ord_par"],
-                         {str(a): "0" for a in arms})
-    names = {code: text for text, code in FLAG_CODES.items()}
+    coded = (cells.select(param, "ord_par", code.cast("long").alias("flag_code"), trt, "cell")
+                  .filter(F.col("flag_code").isNotNull()))
+    grid = complete_grid(coded, "flag_code", sorted(FLAG_CODES.values()), 0, ["cell"])
+    wide = to_wide(grid, [param, "ord_par", "flag_code"], trt, "cell", arms, fill="0", fill_missing=True)
     label = F.when(F.col("flag_code") == 0, F.col(param))
-    for c, text in names.items():
+    for text, c in FLAG_CODES.items():
         label = label.when(F.col("flag_code") == c, F.lit(text))
-    out = headers.unionByName(grid.select(headers.columns))
-    return (out.select(label.alias("label"), param, "ord_par", F.col("flag_code").cast("long").alias("flag_code"),
-                       *[str(a) for a in arms])
-               .orderBy("ord_par", "flag_code"))
+    return (wide.select(label.alias("label"), param, "ord_par", "flag_code", *[str(a) for a in arms])
+                .orderBy("ord_par", "flag_code"))
