@@ -1,10 +1,12 @@
 """Baseline summaries per arm and pooled arm, all variables in one pass.
 
-Numeric variables: unpivot to ``(Variable, x)`` and aggregate once with grouping
-sets ``(arm, Variable), (Variable)``: non-missing count, mean, exact median,
-sample SD, min, max. Categorical variables: unpivot to ``(Variable, level)``,
-count rows per level with the same grouping sets, and divide by the arm's row
-count (a window over the aggregated table, i.e. over levels, not rows). A
+Every variable is unpivoted to ``(Variable, x, level)`` (numeric variables
+fill ``x``, categorical ones the level) and ONE aggregation with grouping sets
+``(arm, Variable, level), (Variable, level)`` yields, per arm and pooled arm,
+the non-missing count, mean, sample SD, min and max of numeric variables and
+the row count of every categorical level. The exact median is a second pass
+(``exact_median``, bounded memory). Categorical percents divide by the arm's
+row count (a window over the aggregated table, i.e. over levels, not rows). A
 missing level is a level of its own and counts in the base.
 
 The arm is made text; a missing arm becomes the text ``NA`` so it forms one
@@ -46,6 +48,74 @@ def _var_pos(names: Sequence[str]) -> Column:
     return expr.cast("long")
 
 
+def _num(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+
+
+def summary_long(df: DataFrame, trt: str, numeric: Sequence[str], categorical: Sequence[str],
+                 total: str = TOTAL_LABEL) -> DataFrame:
+    """One row per input row and variable: ``trt, Variable, x (numeric), Stat (level)``.
+
+    Numeric variables carry ``x`` (NaN as missing) and a NULL level;
+    categorical ones carry the level as text and a NULL ``x``.
+    """
+    require_columns(df, trt, *numeric, *categorical, where="summary")
+    items = [F.struct(F.lit(v).alias("Variable"), _num(v).alias("x"), F.lit(None).cast("string").alias("Stat"))
+             for v in numeric]
+    items += [F.struct(F.lit(v).alias("Variable"), F.lit(None).cast("double").alias("x"),
+                       F.col(v).cast("string").alias("Stat")) for v in categorical]
+    return (df.select(_arm(trt, total).alias(trt), F.explode(F.array(*items)).alias("_it"))
+              .select(trt, "_it.Variable", "_it.x", "_it.Stat"))
+
+
+def summary_aggregate(long: DataFrame, trt: str, total: str = TOTAL_LABEL,
+                      approx_median: bool = False) -> DataFrame:
+    """Both summaries in ONE aggregation with grouping sets ``(arm, Variable, level), (Variable, level)``.
+
+    Numeric variables have a single NULL level, so their groups are (arm,
+    variable); categorical variables group by level. Columns: ``trt, Variable,
+    Stat, rows, n, mean, sd, min, max`` (+ ``median`` when approximate).
+    """
+    aggs = [F.count(F.lit(1)).cast("long").alias("rows"), F.count("x").cast("long").alias("n"),
+            F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"),
+            F.max("x").alias("max"), F.grouping(trt).alias("_g")]
+    if approx_median:
+        aggs.append(F.percentile_approx("x", 0.5).alias("median"))
+    agg = long.groupingSets([[trt, "Variable", "Stat"], ["Variable", "Stat"]], trt, "Variable", "Stat").agg(*aggs)
+    return agg.withColumn(trt, F.when(F.col("_g") == 1, F.lit(total)).otherwise(F.col(trt))).drop("_g")
+
+
+def collect_summary(df: DataFrame, trt: str, numeric: Sequence[str], categorical: Sequence[str],
+                    total: str = TOTAL_LABEL, median: str = "exact"):
+    """Run the fused aggregation once and bring it to the driver (size-checked).
+
+    The result is one row per arm x variable (x level): a report's worth of
+    numbers. Returns ``(long, summary_df, rows)`` where ``summary_df`` is the
+    collected table as a small DataFrame (statistics plus, for numeric
+    variables, the exact or approximate median) and ``long`` the per-row input
+    for any further pass.
+    """
+    if median not in ("exact", "approx"):
+        raise ValueError(f"unknown median mode {median!r}")
+    long = summary_long(df, trt, numeric, categorical, total)
+    agg = summary_aggregate(long, trt, total, approx_median=median == "approx")
+    rows = collect_bounded(agg, MAX_SUMMARY_GROUPS, "summary groups")
+    summary = df.sparkSession.createDataFrame(rows, agg.schema)
+    if median == "exact":
+        nums = set(numeric)
+        counts = [((r[trt], r["Variable"]), r["n"]) for r in rows if r["Variable"] in nums]
+        if counts:
+            pooled = (long.filter(F.col("Variable").isin(list(numeric)))
+                          .withColumn(trt, F.explode(F.array(F.col(trt), F.lit(total)))))
+            med = exact_median(pooled, [trt, "Variable"], "x", counts=counts)
+            # At most one median row per collected group: broadcast it onto the collected table.
+            summary = summary.join(F.broadcast(med), [trt, "Variable"], "left")
+        else:
+            summary = summary.withColumn("median", F.lit(None).cast("double"))
+    return long, summary, rows
+
+
 def numeric_stats(df: DataFrame, trt: str, variables: Sequence[str], total: str = TOTAL_LABEL,
                   median: str = "exact") -> DataFrame:
     """Typed statistics: ``trt, Variable, n, mean, median, sd, min, max``.
@@ -54,46 +124,12 @@ def numeric_stats(df: DataFrame, trt: str, variables: Sequence[str], total: str
     for an even count), computed by ``exact_median`` with bounded memory;
     ``median='approx'`` uses Spark's approximate percentile in the same pass.
     """
-    variables = list(variables)
-    require_columns(df, trt, *variables, where="numeric_summary")
-    def num(v):
-        c = F.col(v).cast("double")
-        return F.when(F.isnan(c), F.lit(None)).otherwise(c).alias(v)
-
-    wide = df.select(_arm(trt, total).alias(trt), *[num(v) for v in variables])
-    long = wide.unpivot([trt], variables, "Variable", "x")
-    aggs = [F.count("x").cast("long").alias("n"), F.avg("x").alias("mean"),
-            F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"),
-            F.grouping(trt).alias("_g")]
-    if median == "approx":
-        aggs.append(F.percentile_approx("x", 0.5).alias("median"))
-    stats = long.groupingSets([[trt, "Variable"], ["Variable"]], trt, "Variable").agg(*aggs)
-    stats = stats.withColumn(trt, F.when(F.col("_g") == 1, F.lit(total)).otherwise(F.col(trt))).drop("_g")
-    if median == "exact":
-        # The statistics are one row per arm x variable: fetch them (size-checked) and
-        # reuse their counts as the median's counting pass, so the data is scanned twice
-        # in all (statistics, median pick) instead of three times.
-        rows = collect_bounded(stats, MAX_SUMMARY_GROUPS, "summary groups")
-        stats = df.sparkSession.createDataFrame(rows, stats.schema)
-        pooled = long.withColumn(trt, F.explode(F.array(F.col(trt), F.lit(total))))
-        med = exact_median(pooled, [trt, "Variable"], "x",
-                           counts=[((r[trt], r["Variable"]), r["n"]) for r in rows])
-        # One median row per collected group at most: broadcast it onto the collected statistics.
-        stats = stats.join(F.broadcast(med), [trt, "Variable"], "left")
-    elif median != "approx":
-        raise ValueError(f"unknown median mode {median!r}")
-    return stats.select(trt, "Variable", "n", "mean", "median", "sd", "min", "max")
+    _, summary, _ = collect_summary(df, trt, list(variables), [], total, median)
+    return summary.select(trt, "Variable", "n", "mean", "median", "sd", "min", "max")
 
 
-def numeric_summary(df: DataFrame, trt: str, variables: Sequence[str], style: str = "split",
-                    total: str = TOTAL_LABEL, median: str = "exact") -> DataFrame:
-    """Long text rows ``Variable, Stat, stat_pos, trt, Value``.
-
-    ``split``: N, Mean, Median, SD, Min, Max (2 decimals); a missing SD stays NULL.
-    ``combined``: N, ``Mean (SD)`` as ``mean(2) (sd(3))`` with ``NA`` for a
-    missing SD, Median, Min, Max.
-    """
-    st = numeric_stats(df, trt, variables, total, median)
+def numeric_rows(stats: DataFrame, trt: str, style: str = "split") -> DataFrame:
+    """Text rows ``Variable, Stat, stat_pos, trt, Value`` from typed statistics."""
     n_txt = F.col("n").cast("string")
     if style == "split":
         items = [n_txt] + [number_text(c, STAT_DIGITS) for c in ("mean", "median", "sd", "min", "max")]
@@ -106,36 +142,50 @@ def numeric_summary(df: DataFrame, trt: str, variables: Sequence[str], style: st
         raise ValueError(f"unknown style {style!r}")
     packed = F.array(*[F.struct(F.lit(nm).alias("Stat"), F.lit(i).cast("long").alias("stat_pos"),
                                 val.alias("Value")) for i, (nm, val) in enumerate(zip(names, items), start=1)])
-    return (st.select("Variable", trt, F.inline(packed))
-              .select("Variable", "Stat", "stat_pos", trt, "Value"))
+    return (stats.select("Variable", trt, F.inline(packed))
+                 .select("Variable", "Stat", "stat_pos", trt, "Value"))
+
+
+def numeric_summary(df: DataFrame, trt: str, variables: Sequence[str], style: str = "split",
+                    total: str = TOTAL_LABEL, median: str = "exact") -> DataFrame:
+    """Long text rows ``Variable, Stat, stat_pos, trt, Value``.
+
+    ``split``: N, Mean, Median, SD, Min, Max (2 decimals); a missing SD stays NULL.
+    ``combined``: N, ``Mean (SD)`` as ``mean(2) (sd(3))`` with ``NA`` for a
+    missing SD, Median, Min, Max.
+    """
+    return numeric_rows(numeric_stats(df, trt, variables, total, median), trt, style)
 
 
 def categorical_counts(df: DataFrame, trt: str, variables: Sequence[str],
                        total: str = TOTAL_LABEL) -> DataFrame:
-    """Typed level counts: ``trt, Variable, Stat (level), n, denom, pct_tenths``."""
-    variables = list(variables)
-    require_columns(df, trt, *variables, where="categorical_summary")
-    wide = df.select(_arm(trt, total).alias(trt), *[F.col(v).cast("string").alias(v) for v in variables])
-    long = wide.unpivot([trt], variables, "Variable", "Stat")
-    agg = long.groupingSets([[trt, "Variable", "Stat"], ["Variable", "Stat"]], trt, "Variable", "Stat").agg(
-        F.count(F.lit(1)).cast("long").alias("n"), F.grouping(trt).alias("_g"))
-    agg = agg.withColumn(trt, F.when(F.col("_g") == 1, F.lit(total)).otherwise(F.col(trt))).drop("_g")
-    denom = F.sum("n").over(Window.partitionBy(trt, "Variable"))
-    return agg.withColumn("denom", denom.cast("long"))
+    """Typed level counts: ``trt, Variable, Stat (level), n, denom`` (lazy, one aggregation)."""
+    long = summary_long(df, trt, [], list(variables), total)
+    agg = summary_aggregate(long, trt, total).select(trt, "Variable", "Stat", F.col("rows").alias("n"))
+    return with_level_denominators(agg, trt)
 
 
-def categorical_summary(df: DataFrame, trt: str, variables: Sequence[str],
-                        total: str = TOTAL_LABEL) -> DataFrame:
-    """Long text rows ``Variable, Stat, stat_pos, trt, Value`` with ``n (p%)``.
+def with_level_denominators(counts: DataFrame, trt: str) -> DataFrame:
+    """Add ``denom``: the arm's rows for that variable (window over the level counts)."""
+    return counts.withColumn("denom", F.sum("n").over(Window.partitionBy(trt, "Variable")).cast("long"))
+
+
+def categorical_rows(counts: DataFrame, trt: str) -> DataFrame:
+    """Text rows ``Variable, Stat, stat_pos, trt, Value`` with ``n (p%)`` from level counts.
 
     ``stat_pos`` numbers the levels of a variable in sorted order (missing
     last); the numbering window runs over the aggregated counts of that
     variable (arms x levels), not over rows.
     """
-    cnt = categorical_counts(df, trt, variables, total)
     pos = F.dense_rank().over(Window.partitionBy("Variable").orderBy(F.col("Stat").asc_nulls_last()))
-    return cnt.select("Variable", "Stat", pos.cast("long").alias("stat_pos"), trt,
-                      count_pct_cell("n", "denom", style="percent").alias("Value"))
+    return counts.select("Variable", "Stat", pos.cast("long").alias("stat_pos"), trt,
+                         count_pct_cell("n", "denom", style="percent").alias("Value"))
+
+
+def categorical_summary(df: DataFrame, trt: str, variables: Sequence[str],
+                        total: str = TOTAL_LABEL) -> DataFrame:
+    """Long text rows ``Variable, Stat, stat_pos, trt, Value`` with ``n (p%)``."""
+    return categorical_rows(categorical_counts(df, trt, variables, total), trt)
 
 
 def var_positions(variables: Sequence[str]) -> Column:

@@ -24,9 +24,11 @@ from cohortab.operators.population import TOTAL_LABEL, apply_choices
 from cohortab.operators.reshape import to_wide
 from cohortab.operators.summary import (
     NA_ARM,
-    categorical_summary,
-    numeric_summary,
+    categorical_rows,
+    collect_summary,
+    numeric_rows,
     var_positions,
+    with_level_denominators,
 )
 from cohortab.sources.tables import is_numeric, require_columns
 
@@ -35,20 +37,28 @@ SEX_ALL = ["M", "F"]
 
 
 def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "split",
-              total: str = TOTAL_LABEL, median: str = "exact") -> DataFrame:
-    """Long text rows ``Variable, Stat, var_pos, stat_pos, trt, Value`` for all variables."""
+              total: str = TOTAL_LABEL, median: str = "exact"):
+    """Long text rows ``Variable, Stat, var_pos, stat_pos, trt, Value`` for all variables.
+
+    Returns ``(long_df, arms)``; the arm list (byte order, pooled arm last)
+    comes from the same collected summary, so no extra job is needed for it.
+    """
     variables = list(variables)
     require_columns(df, trt, *variables, where="demo_table")
     numeric = [v for v in variables if is_numeric(df, v)]
     categorical = [v for v in variables if v not in numeric]
+    _, summary, rows = collect_summary(df, trt, numeric, categorical, total, median)
     parts = []
     if numeric:
-        parts.append(numeric_summary(df, trt, numeric, style, total, median))
+        parts.append(numeric_rows(summary.filter(F.col("Variable").isin(numeric)), trt, style))
     if categorical:
-        parts.append(categorical_summary(df, trt, categorical, total))
+        counts = (summary.filter(F.col("Variable").isin(categorical))
+                         .select(trt, "Variable", "Stat", F.col("rows").alias("n")))
+        parts.append(categorical_rows(with_level_denominators(counts, trt), trt))
     long = reduce(lambda a, b: a.unionByName(b), parts)
-    return long.withColumn("var_pos", var_positions(variables)) \
-               .select("Variable", "Stat", "var_pos", "stat_pos", trt, "Value")
+    arms = sorted({r[trt] for r in rows if r[trt] != total}, key=lambda a: a.encode("utf-8")) + [total]
+    return (long.withColumn("var_pos", var_positions(variables))
+                .select("Variable", "Stat", "var_pos", "stat_pos", trt, "Value"), arms)
 
 
 def arms_of(df: DataFrame, trt: str, total: str = TOTAL_LABEL, max_arms: int = MAX_ARMS) -> list:
@@ -64,8 +74,8 @@ def demo_table(df: DataFrame, trt: str, variables: Sequence[str], style: str = "
                total: str = TOTAL_LABEL, median: str = "exact") -> DataFrame:
     """Wide demography table: ``Variable, Stat, var_pos, stat_pos, <arm>..., <total>``."""
     df = apply_choices(df, where)
-    long = demo_long(df, trt, variables, style, total, median)
-    arms = list(arms) if arms is not None else arms_of(df, trt, total)
+    long, found = demo_long(df, trt, variables, style, total, median)
+    arms = list(arms) if arms is not None else found
     wide = to_wide(long, ["Variable", "Stat", "var_pos", "stat_pos"], trt, "Value", arms)
     if style == "split":
         return wide.orderBy(F.col("Variable").asc_nulls_last(), F.col("Stat").asc_nulls_last())
