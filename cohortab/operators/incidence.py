@@ -85,16 +85,23 @@ def rank_levels(inc: DataFrame, trt: str, levels: Sequence[str], total: str = TO
     once; there is no join back of separately filtered copies.
     """
     levels = list(levels)
-    out = inc
-    for k in range(1, len(levels) + 1):
+    out = inc.repartition(levels[0]) if levels else inc
+    # Deepest level first: every window here is partitioned by keys that start with
+    # the first level column, so one hash exchange on it serves them all; only the
+    # depth-1 rank needs the (single-partition) global order, over one row per
+    # arm x level value. Rows of other depths that share a partition carry the
+    # same (count, name) sort key as the value they sit with, so dense ranks of
+    # real values are unaffected; their own rank is nulled.
+    for k in range(len(levels), 0, -1):
         keys = levels[:k]
         deep = F.col("level") >= F.lit(k)
         pooled_row = (F.col(trt) == F.lit(total)) & (F.col("level") == F.lit(k))
-        pooled_n = F.max(F.when(pooled_row, F.col("n"))).over(Window.partitionBy(deep, *keys))
+        pooled_n = F.max(F.when(pooled_row, F.col("n"))).over(Window.partitionBy(*keys))
         out = out.withColumn("_pooled_n", pooled_n)
-        rank = F.dense_rank().over(Window.partitionBy(deep, *keys[:-1]).orderBy(
-            F.col("_pooled_n").isNull().asc(), F.col("_pooled_n").desc(), F.col(keys[-1]).asc_nulls_last()))
-        out = out.withColumn(ord_col(k), F.when(deep & F.col("_pooled_n").isNotNull(), rank.cast("long")))
+        order = [F.col("_pooled_n").isNull().asc(), F.col("_pooled_n").desc(), F.col(keys[-1]).asc_nulls_last()]
+        w = Window.partitionBy(*keys[:-1]).orderBy(*order) if k > 1 else Window.orderBy(*order)
+        out = out.withColumn(ord_col(k), F.when(deep & F.col("_pooled_n").isNotNull(),
+                                                F.dense_rank().over(w).cast("long")))
     return out.drop("_pooled_n")
 
 

@@ -71,16 +71,18 @@ def rank_flags(counts: DataFrame, trt: str = "trta", param: str = "param", ind:
     subjects' pooled pick was another flag) gets NULL. Window functions over
     the aggregated counts (one row per arm x parameter x flag), no join-back.
     """
+    # Windows partitioned by keys starting with the parameter share one exchange;
+    # parameter rows (missing flag) never take a flag rank, and sort after flags.
     is_pooled = F.col(trt) == F.lit(total)
+    flag_row = F.col("level") == 2
+    present = F.max(F.when(is_pooled & flag_row, F.lit(1))).over(Window.partitionBy(param, ind))
+    out = counts.repartition(param).withColumn("_present", F.when(flag_row, present))
+    gra_rank = F.dense_rank().over(Window.partitionBy(param).orderBy(
+        F.col("_present").isNull().asc(), F.col(ind).asc_nulls_last()))
+    out = out.withColumn("ord_gra", F.when(flag_row & F.col("_present").isNotNull(), gra_rank.cast("long")))
     pooled_par = F.max(F.when(is_pooled & (F.col("level") == 1), F.col("n"))).over(Window.partitionBy(param))
-    out = counts.withColumn("_pp", pooled_par)
+    out = out.withColumn("_pp", pooled_par)
     par_rank = F.dense_rank().over(Window.orderBy(
         F.col("_pp").isNull().asc(), F.col("_pp").desc(), F.col(param).asc_nulls_last()))
     out = out.withColumn("ord_par", F.when(F.col("_pp").isNotNull(), par_rank.cast("long")))
-    flag_row = F.col("level") == 2
-    present = F.max(F.when(is_pooled, F.lit(1))).over(Window.partitionBy("level", param, ind))
-    out = out.withColumn("_present", F.when(flag_row, present))
-    gra_rank = F.dense_rank().over(Window.partitionBy("level", param).orderBy(
-        F.col("_present").isNull().asc(), F.col(ind).asc_nulls_last()))
-    out = out.withColumn("ord_gra", F.when(flag_row & F.col("_present").isNotNull(), gra_rank.cast("long")))
     return out.drop("_pp", "_present")

@@ -22,7 +22,9 @@ labs      <- events + customer
 
 Joins are equi-joins on keys; no broadcast hints here: customer, part and
 orders grow with the scale factor, so Spark picks the strategy from sizes
-(and AQE re-plans with runtime sizes, splitting skewed join partitions).
+(and AQE re-plans with runtime sizes, splitting skewed join partitions). The
+two fact tables (lineitem, events) go through ``spread_underpartitioned``, which
+only acts on inputs too coarse to use all cores (never at cluster scale).
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def subjects(spark: SparkSession, base_dir: str) -> DataFrame:
 
 
 def adverse_events(spark: SparkSession, base_dir: str) -> DataFrame:
-    line = read_table(spark, base_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    line = read_table(spark, base_dir, "lineitem", spread=True).select("l_orderkey", "l_partkey", "l_returnflag")
     orders = read_table(spark, base_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     cust = read_table(spark, base_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -86,7 +88,7 @@ def adverse_events(spark: SparkSession, base_dir: str) -> DataFrame:
 
 
 def lab_results(spark: SparkSession, base_dir: str) -> DataFrame:
-    ev = read_table(spark, base_dir, "events").select("user_id", "event_type", "value", "ts")
+    ev = read_table(spark, base_dir, "events", spread=True).select("user_id", "event_type", "value", "ts")
     cust = read_table(spark, base_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     joined = ev.join(cust, ev.user_id == cust.c_custkey)
     value = F.col("value")
