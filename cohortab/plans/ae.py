@@ -31,7 +31,6 @@ from cohortab.operators.denominators import (
     big_n,
     collect_bounded,
     local_frame,
-    self_big_n,
 )
 from cohortab.operators.incidence import (
     incidence,
@@ -41,6 +40,7 @@ from cohortab.operators.incidence import (
 )
 from cohortab.operators.population import TOTAL_LABEL, apply_choices, population
 from cohortab.operators.reshape import to_wide
+from cohortab.session import materialize
 from cohortab.sources.tables import require_columns
 
 ANY_EVENT_LABEL = "Any TEAE"
@@ -118,27 +118,25 @@ def display(df: DataFrame, heading: str = AE_LABEL_HEADING,
 
 
 def term_counts(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
-                subject: str = "usubjid", with_soc_level: bool = False) -> DataFrame:
+                subject: str = "usubjid", with_soc_level: bool = False,
+                with_arm_level: bool = False) -> DataFrame:
     """Distinct subjects per (body system, term, arm): ``soc, pt, trt, level, n``.
 
-    No population filter, no pooled arm. With ``with_soc_level`` the same
-    aggregation also counts per (body system, arm) (``level`` 1, term NULL),
-    as a second grouping set rather than a second query.
+    No population filter, no pooled arm. More grouping sets of the SAME
+    aggregation (not more queries): ``with_soc_level`` adds (body system, arm)
+    rows (``level`` 1, term NULL); ``with_arm_level`` adds per-arm rows
+    (``level`` 0), which are the table's own denominators.
     """
     require_columns(adae, trt, soc, pt, subject, where="ae_term_table")
     base = adae.select(F.col(subject).alias("_subj"), F.col(trt).cast("string").alias(trt),
                        F.col(soc).cast("string").alias(soc), F.col(pt).cast("string").alias(pt)
                        ).filter(F.col("_subj").isNotNull())
-    sets = [[soc, pt, trt], [soc, trt]] if with_soc_level else [[soc, pt, trt]]
+    sets = [[soc, pt, trt]] + ([[soc, trt]] if with_soc_level else []) + ([[trt]] if with_arm_level else [])
     agg = base.groupingSets(sets, soc, pt, trt).agg(
-        F.countDistinct("_subj").cast("long").alias("n"), F.grouping(pt).alias("_gp"))
-    return agg.select(soc, pt, trt, (F.lit(2) - F.col("_gp")).cast("int").alias("level"), "n")
-
-
-def self_denominators(adae: DataFrame, trt: str, subject: str, max_arms: int = MAX_ARMS):
-    rows = collect_bounded(self_big_n(adae, trt, subject), max_arms, "arm denominators")
-    arms = arm_order(rows, trt, total="\0")
-    return local_frame(adae.sparkSession, rows, trt), arms
+        F.countDistinct("_subj").cast("long").alias("n"), F.grouping(soc).alias("_gs"),
+        F.grouping(pt).alias("_gp"))
+    level = F.lit(2) - F.col("_gs") - F.col("_gp")
+    return agg.select(soc, pt, trt, level.cast("int").alias("level"), "n")
 
 
 def _term_wide(long: DataFrame, keys: Sequence[str], trt: str, arms: Sequence[str],
@@ -169,10 +167,17 @@ def _term_rows(adae, trt, soc, pt, subject, header, arms, max_arms, fill):
     """Wide rows ``soc, pt, level, <arm>..., Total`` (level 1 = body system) and the arm list."""
     if header not in HEADER_MODES:
         raise ValueError(f"unknown header mode {header!r}")
-    bign, found = self_denominators(adae, trt, subject, max_arms)
+    # One pass over the events: term (and body-system) counts plus the per-arm
+    # denominators as grouping sets of one aggregation, checkpointed (it is one
+    # row per arm x term); the arm list is read back from it, not recomputed.
+    counts = materialize(term_counts(adae, trt, soc, pt, subject,
+                                     with_soc_level=header == "distinct_subjects", with_arm_level=True))
+    den = collect_bounded(counts.filter(F.col("level") == 0).select(trt, F.col("n").alias("N")),
+                          max_arms, "arm denominators")
+    bign = local_frame(adae.sparkSession, den, trt)
+    found = arm_order(den, trt, total="\0")
     arms = list(arms) if arms is not None else found
-    counts = term_counts(adae, trt, soc, pt, subject, with_soc_level=header == "distinct_subjects")
-    long = with_percent(counts, bign, trt, style="sprintf")
+    long = with_percent(counts.filter(F.col("level") > 0), bign, trt, style="sprintf")
     return _term_wide(long, [soc, pt, "level"], trt, arms, fill), arms
 
 

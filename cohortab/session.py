@@ -51,3 +51,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="cohortab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Reliably checkpoint a (small, aggregated) DataFrame and return the checkpointed copy.
+
+    Used where one aggregate feeds both a driver-side decision (e.g. the arm
+    list) and the final plan: the heavy pass runs once, the lineage is cut at a
+    table in the shared checkpoint folder, and a lost executor re-reads it
+    instead of recomputing the pass.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -1,7 +1,5 @@
 """population, with_total, big_n, self_big_n, choice_filter, facet_values."""
 import pytest
-from pyspark.errors import PySparkException
-from pyspark.sql.utils import AnalysisException  # noqa: F401  (import kept for older APIs)
 
 from cohortab.operators.denominators import big_n, collect_bounded, self_big_n
 from cohortab.operators.population import apply_choices, choice_filter, facet_values, population, with_total
