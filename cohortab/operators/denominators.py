@@ -46,7 +46,7 @@ def self_big_n(df: DataFrame, trt: str, subject: str = "usubjid") -> DataFrame:
     No population filter and no pooled arm.
     """
     require_columns(df, trt, subject, where="self_big_n")
-    return (df.select(F.col(subject).alias("_subj"), F.col(trt).cast("string").alias(trt))
+    return (df.select(F.col(subject).alias("_subj"), arm_text(trt, None).alias(trt))
               .filter(F.col("_subj").isNotNull())
               .groupBy(trt).agg(F.countDistinct("_subj").cast("long").alias("N")))
 

@@ -97,7 +97,8 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
     """``bin, lower, upper, mid, count``: one row per bin (empty bins included)."""
     require_columns(df, col, where="histogram")
     x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs(F.col("x")) != F.lit(float("inf")))
+    vals = df.select(x.alias("x")).filter(finite)
     st = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).collect()[0]
     spark = df.sparkSession
     if not st["n"]:

@@ -15,6 +15,7 @@ from cohortab.sources.tables import require_columns
 
 TOTAL_LABEL = "Total"
 ALL_CHOICE = "All"
+NA_ARM = "NA"
 
 
 def population(df: DataFrame, flag: str = "saffl", value: str = "Y") -> DataFrame:
@@ -23,13 +24,17 @@ def population(df: DataFrame, flag: str = "saffl", value: str = "Y") -> DataFram
     return df.filter(F.col(flag) == F.lit(value))
 
 
-def arm_text(trt: str, total: str = TOTAL_LABEL) -> Column:
-    """The arm as text, failing the job if a real arm carries the pooled label.
+def arm_text(trt: str, total: str | None = TOTAL_LABEL) -> Column:
+    """The arm as text (missing -> ``NA``), failing the job if a real arm carries the pooled label.
 
+    A missing arm is a group of its own, shown as ``NA`` like any other level.
     A real arm named like the pooled one would silently merge with it, so the
-    check runs inside the plan (``raise_error``), with no extra job.
+    check runs inside the plan (``raise_error``), with no extra job. ``total=None``
+    is for tables without a pooled arm (no check).
     """
-    arm = F.col(trt).cast("string")
+    arm = F.coalesce(F.col(trt).cast("string"), F.lit(NA_ARM))
+    if total is None:
+        return arm
     return F.when(arm == F.lit(total),
                   F.raise_error(F.lit(f"arm value '{total}' collides with the pooled-arm label"))
                   ).otherwise(arm)

@@ -23,11 +23,9 @@ from pyspark.sql import functions as F
 from cohortab.functions.text import count_pct_cell, number_text, paste
 from cohortab.operators.denominators import collect_bounded
 from cohortab.operators.median import exact_median
-from cohortab.operators.population import TOTAL_LABEL, arm_text
+from cohortab.operators.population import NA_ARM, TOTAL_LABEL, arm_text
 from cohortab.sources.tables import require_columns
 
-NA_ARM = "NA"
-
 # Statistic names and print precision (fixed values of the report layouts).
 SPLIT_STATS = ["N", "Mean", "Median", "SD", "Min", "Max"]
 COMBINED_STATS = ["N", "Mean (SD)", "Median", "Min", "Max"]
@@ -37,7 +35,7 @@ MAX_SUMMARY_GROUPS = 100_000
 
 
 def _arm(trt: str, total: str) -> Column:
-    return F.coalesce(arm_text(trt, total), F.lit(NA_ARM))
+    return arm_text(trt, total)
 
 
 def _var_pos(names: Sequence[str]) -> Column:

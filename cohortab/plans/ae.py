@@ -38,7 +38,7 @@ from cohortab.operators.incidence import (
     rank_levels,
     with_percent,
 )
-from cohortab.operators.population import TOTAL_LABEL, apply_choices, population
+from cohortab.operators.population import TOTAL_LABEL, apply_choices, arm_text, population
 from cohortab.operators.reshape import to_wide
 from cohortab.session import materialize
 from cohortab.sources.tables import require_columns
@@ -113,6 +113,11 @@ def display(df: DataFrame, heading: str = AE_LABEL_HEADING,
     return df.drop(*order_cols).withColumnRenamed("label", heading)
 
 
+def term_table_display(df: DataFrame) -> DataFrame:
+    """Report view of ``ae_term_table``: label, arm columns and Total only."""
+    return df.drop("soc_key", "is_header", "term_key")
+
+
 # ---------------------------------------------------------------------------
 # Term table with the event table's own denominators
 
@@ -128,7 +133,7 @@ def term_counts(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: s
     (``level`` 0), which are the table's own denominators.
     """
     require_columns(adae, trt, soc, pt, subject, where="ae_term_table")
-    base = adae.select(F.col(subject).alias("_subj"), F.col(trt).cast("string").alias(trt),
+    base = adae.select(F.col(subject).alias("_subj"), arm_text(trt, None).alias(trt),
                        F.col(soc).cast("string").alias(soc), F.col(pt).cast("string").alias(pt)
                        ).filter(F.col("_subj").isNotNull())
     sets = [[soc, pt, trt]] + ([[soc, trt]] if with_soc_level else []) + ([[trt]] if with_arm_level else [])

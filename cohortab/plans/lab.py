@@ -71,6 +71,15 @@ def lab_table(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str =
     return wide.orderBy(F.col(param).asc_nulls_last(), F.col("ord_gra").asc())
 
 
+LAB_LABEL_HEADING = " "
+
+
+def display(df: DataFrame, param: str = "param", heading: str = LAB_LABEL_HEADING) -> DataFrame:
+    """Report view of a lab table: drop the order and key columns, blank heading for the labels."""
+    drop = [c for c in (param, "ord", "ord_gra", "ord_par", "flag_code") if c in df.columns]
+    return df.drop(*drop).withColumnRenamed("label", heading)
+
+
 def lab_table_grid(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str = "param",
                    ind: str = "lbnrind", subject: str = "usubjid", adsl_trt: str = "trt01a",
                    flag: str | None = "saffl", flag_value: str = "Y",

@@ -418,7 +418,7 @@ FROM fc WHERE level = 2 GROUP BY param, lbnrind"""
 def _histogram() -> str:
     eps = "2.220446049250313e-16"
     return with_ctes(ADLB).rstrip("\n") + f""",
-hv AS (SELECT CAST(aval AS DOUBLE) AS x FROM adlb WHERE aval IS NOT NULL AND NOT isnan(aval)),
+hv AS (SELECT CAST(aval AS DOUBLE) AS x FROM adlb WHERE aval IS NOT NULL AND isfinite(aval)),
 hs AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM hv),
 h0 AS (SELECT lo, hi, CAST(ceil(log2(n) + 1) AS BIGINT) AS nc, hi - lo AS dx, greatest(abs(lo), abs(hi)) AS cmax FROM hs),
 h1 AS (SELECT *, (dx = 0 AND hi = 0) OR dx < cmax * (1 + 1 / (1 + 1.5)) * greatest(1, nc) * {eps} * 3 AS small FROM h0),

@@ -129,3 +129,14 @@ def test_missing_term_prints_na_in_term_table(spark):
     adae = spark.createDataFrame([("s1", "A", "GI", None)], "usubjid string, trta string, aebodsys string, aedecod string")
     labels = [r[0] for r in ae_term_table(adae).select("label").collect()]
     assert labels == ["GI", "  NA"]
+
+
+def test_missing_arm_is_its_own_na_column(spark):
+    adsl = spark.createDataFrame([("s1", "A", "Y"), ("s2", None, "Y")], "usubjid string, trt01a string, saffl string")
+    adae = spark.createDataFrame([("s1", "A", "GI", "N", "Y"), ("s2", None, "GI", "N", "Y")],
+                                 "usubjid string, trta string, aebodsys string, aedecod string, saffl string")
+    out = ae_summary(adae, adsl)
+    assert out.columns[-3:] == ["A", "NA", "Total"]
+    assert tuple(out.first())[-3:] == ("1 (100)", "1 (100)", "2 (100)")
+    term = ae_term_table(adae)
+    assert term.columns[-3:] == ["A", "NA", "Total"]

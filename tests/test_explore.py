@@ -28,3 +28,9 @@ def test_histogram_right_closed_lowest_included_and_empty_bins(spark):
 def test_preview_is_ordered_top_rows(spark):
     df = spark.createDataFrame([(i,) for i in [5, 3, 9, 1, 7, 2, 8, 4]], "k long")
     assert rows(preview(df, "k", 6)) == [(1,), (2,), (3,), (4,), (5,), (7,)]
+
+
+def test_histogram_uses_finite_values_only(spark):
+    vals = [1.0, 2.0, 2.0, 3.0, 3.0, 3.0, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert rows(histogram(df, "x"), "count") == [(1,), (2,), (0,), (3,)]
