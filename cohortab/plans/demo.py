@@ -19,11 +19,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortab.operators.denominators import MAX_ARMS, collect_bounded
 from cohortab.operators.population import TOTAL_LABEL, apply_choices
 from cohortab.operators.reshape import to_wide
 from cohortab.operators.summary import (
-    NA_ARM,
     categorical_rows,
     collect_summary,
     numeric_rows,
@@ -61,14 +59,6 @@ def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "s
                 .select("Variable", "Stat", "var_pos", "stat_pos", trt, "Value"), arms)
 
 
-def arms_of(df: DataFrame, trt: str, total: str = TOTAL_LABEL, max_arms: int = MAX_ARMS) -> list:
-    """Distinct arms (missing shown as ``NA``) in byte order, pooled arm last (size-checked collect)."""
-    rows = collect_bounded(df.select(F.coalesce(F.col(trt).cast("string"), F.lit(NA_ARM)).alias("a"))
-                             .distinct(), max_arms, "arms")
-    arms = sorted((r["a"] for r in rows), key=lambda a: a.encode("utf-8"))
-    return arms + [total]
-
-
 def demo_table(df: DataFrame, trt: str, variables: Sequence[str], style: str = "split",
                arms: Sequence[str] | None = None, where: dict | None = None,
                total: str = TOTAL_LABEL, median: str = "exact") -> DataFrame:

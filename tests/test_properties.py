@@ -73,3 +73,57 @@ def test_distinct_header_never_below_first_term_header(spark, events):
     assert first.keys() == own.keys()
     for k in first:
         assert own[k] >= first[k]
+
+
+levels_st = st.lists(st.tuples(st.sampled_from(ARMS + [None]), st.sampled_from(["x", "y", "z", None])),
+                     min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(data=levels_st)
+def test_categorical_percents_sum_to_100(spark, data):
+    from cohortab.operators.summary import categorical_counts
+    from cohortab.functions.text import percent_tenths
+    df = spark.createDataFrame(data, "arm string, v string")
+    got = categorical_counts(df, "arm", ["v"]).withColumn("t", percent_tenths("n", "denom")).collect()
+    per_arm = {}
+    for r in got:
+        per_arm.setdefault(r.arm, []).append(r.t)
+    for arm, ts in per_arm.items():
+        assert abs(sum(ts) - 1000) <= 5 * len(ts), (arm, ts)  # each cell rounds by at most 0.05
+    assert {r.arm: r.denom for r in got}["Total"] == len(data)
+
+
+@SETTINGS
+@given(subjects=subjects_st, events=events_st)
+def test_counts_never_exceed_denominators_for_population_subjects(spark, subjects, events):
+    arm_of = {i: a for i, a, f in subjects if f == "Y"}
+    # keep events of population subjects, in their own arm
+    evs = [(i, arm_of[i], s, p, "Y", r) for i, _, s, p, _, r in events if i in arm_of]
+    if not evs:
+        return
+    adsl, adae = _frames(spark, subjects, evs)
+    cells, _ = ae_counts(adae, adsl, trt="trta")
+    for r in cells.collect():
+        assert r.denom is not None and r.n <= r.denom
+
+
+def test_hot_subject_and_hot_term_match_brute_force(spark):
+    # One subject holds a third of all events and one term another third.
+    rows_ = []
+    for k in range(3000):
+        if k % 3 == 0:
+            rows_.append(("hot", "A", "S1", "P1"))
+        elif k % 3 == 1:
+            rows_.append((f"s{k}", "AB"[k % 2], "S2", "HOT"))
+        else:
+            rows_.append((f"s{k % 97}", "AB"[k % 2], f"S{k % 5}", f"P{k % 7}"))
+    adae = spark.createDataFrame(rows_, "usubjid string, trta string, aebodsys string, aedecod string")
+    got = {(r.trta, r.level, r.aebodsys, r.aedecod): r.n
+           for r in incidence(adae, "trta", ["aebodsys", "aedecod"]).collect()}
+    want = {}
+    for i, a, s, p in rows_:
+        for arm in (a, "Total"):
+            for key in ((arm, 0, None, None), (arm, 1, s, None), (arm, 2, s, p)):
+                want.setdefault(key, set()).add(i)
+    assert got == {k: len(v) for k, v in want.items()}
