@@ -10,8 +10,8 @@ Spark and of a plain-SQL check:
 * Statistics are rounded half-to-even to ``d`` decimals, printed as a decimal
   and stripped of trailing zeros (``12.50`` -> ``12.5``, ``65.00`` -> ``65``),
   which is how a plain number prints in the reports.
-* ``paste`` joins text and prints a missing value as ``NA``; ``strict_concat``
-  gives NULL when any part is missing.
+* ``paste`` joins text and prints a missing value as ``NA``; plain
+  ``F.concat`` gives NULL when any part is missing (the "strict" cell style).
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ColumnOrName = Column | str
+from cohortab.fixed import NA_TEXT, TERM_INDENT
 
-NA_TEXT = "NA"
+ColumnOrName = Column | str
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -60,7 +60,7 @@ def percent_text(n: ColumnOrName, denom: ColumnOrName, keep_zero_decimal: bool =
 
 
 def count_pct_cell(n: ColumnOrName, denom: ColumnOrName, style: str = "strict") -> Column:
-    """A count cell with its percent, in the three styles the reports use.
+    """A count cell with its percent, in the four styles the reports use.
 
     ``strict``  -> ``'4 (80)'``, NULL when the denominator is missing.
     ``paste``   -> ``'4 (80)'``, ``'4 (NA)'`` when the denominator is missing.
@@ -96,6 +96,6 @@ def paste(*parts: ColumnOrName | str) -> Column:
     return F.concat(*cols)
 
 
-def indent_label(term: ColumnOrName, indent: str = "  ") -> Column:
+def indent_label(term: ColumnOrName, indent: str = TERM_INDENT) -> Column:
     """An indented term label; NULL term stays NULL."""
     return F.concat(F.lit(indent), _col(term).cast("string"))

@@ -17,6 +17,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortab.fixed import PREVIEW_ROWS
 from cohortab.sources.tables import require_columns
 
 # Fixed values of the "pretty" rule.
@@ -118,7 +119,7 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
                  .orderBy("bin"))
 
 
-def preview(df: DataFrame, order_by, n: int = 6) -> DataFrame:
+def preview(df: DataFrame, order_by, n: int = PREVIEW_ROWS) -> DataFrame:
     """The first ``n`` rows in a stated order (top-k per partition, then merged)."""
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in cols]).limit(n)

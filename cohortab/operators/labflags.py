@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortab.fixed import FLAG_CODES
 from cohortab.operators.population import TOTAL_LABEL, arm_text
 from cohortab.sources.tables import require_columns
 
-# Flag text -> numeric code (fixed values of the lab layout); anything else has no code.
-FLAG_CODES = {"LOW": 1, "NORMAL": 2, "HIGH": 3}
 
 
 def flag_code_expr(ind: str) -> F.Column:

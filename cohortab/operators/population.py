@@ -11,11 +11,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortab.fixed import ALL_CHOICE, DEFAULT_CHOICES, NA_TEXT, TOTAL_LABEL
 from cohortab.sources.tables import require_columns
 
-TOTAL_LABEL = "Total"
-ALL_CHOICE = "All"
-NA_ARM = "NA"
+NA_ARM = NA_TEXT
+
 
 
 def population(df: DataFrame, flag: str = "saffl", value: str = "Y") -> DataFrame:
@@ -67,7 +67,7 @@ def apply_choices(df: DataFrame, choices: dict | None, all_label: str = ALL_CHOI
     return df
 
 
-def facet_values(df: DataFrame, col: str, n_default: int = 5) -> DataFrame:
+def facet_values(df: DataFrame, col: str, n_default: int = DEFAULT_CHOICES) -> DataFrame:
     """Sorted distinct non-missing values of a column for a choice list.
 
     Returns ``value, pos, is_default``; the first ``n_default`` values in sorted

@@ -21,16 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortab.functions.text import count_pct_cell, number_text, paste
+from cohortab.fixed import COMBINED_STATS, SD_DIGITS_COMBINED, SPLIT_STATS, STAT_DIGITS
 from cohortab.operators.denominators import collect_bounded
 from cohortab.operators.median import exact_median
 from cohortab.operators.population import NA_ARM, TOTAL_LABEL, arm_text
 from cohortab.sources.tables import require_columns
 
-# Statistic names and print precision (fixed values of the report layouts).
-SPLIT_STATS = ["N", "Mean", "Median", "SD", "Min", "Max"]
-COMBINED_STATS = ["N", "Mean (SD)", "Median", "Min", "Max"]
-STAT_DIGITS = 2
-SD_DIGITS_COMBINED = 3
 MAX_SUMMARY_GROUPS = 100_000
 
 

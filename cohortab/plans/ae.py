@@ -40,13 +40,10 @@ from cohortab.operators.incidence import (
 )
 from cohortab.operators.population import TOTAL_LABEL, apply_choices, arm_text, population
 from cohortab.operators.reshape import to_wide
+from cohortab.fixed import AE_LABEL_HEADING, ANY_EVENT_LABEL, HTML_INDENT, TERM_INDENT, ZERO_CELL, ZERO_CELL_PCT  # noqa: F401
 from cohortab.session import materialize
 from cohortab.sources.tables import require_columns
 
-ANY_EVENT_LABEL = "Any TEAE"
-TERM_INDENT = "  "
-HTML_INDENT = "&nbsp;&nbsp;&nbsp;"
-AE_LABEL_HEADING = "System Organ Class/\nPreferred Term"
 
 
 def denominators(adsl: DataFrame, adsl_trt: str, key: str, subject: str, flag: str | None,
@@ -102,7 +99,7 @@ def ae_summary(adae: DataFrame, adsl: DataFrame, trt: str = "trta", soc: str = "
         F.col(ord_col(2)).alias("ord_pt"),
         F.col(trt), F.col("cell"))
     wide = to_wide(shaped, ["label", "ord_soc", "ord", "ord_pt"], trt, "cell",
-                   list(arms) if arms is not None else found_arms, fill="0")
+                   list(arms) if arms is not None else found_arms, fill=ZERO_CELL)
     return wide.orderBy(F.col("ord_soc").asc_nulls_last(), F.col("ord").asc(),
                         F.col("ord_pt").asc_nulls_last())
 
@@ -145,7 +142,7 @@ def term_counts(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: s
 
 
 def _term_wide(long: DataFrame, keys: Sequence[str], trt: str, arms: Sequence[str],
-               fill: str = "0 (0.0%)", total_col: str = TOTAL_LABEL) -> DataFrame:
+               fill: str = ZERO_CELL_PCT, total_col: str = TOTAL_LABEL) -> DataFrame:
     """Pivot ``(n, cell)`` per arm; the row total sums the counts across arm columns."""
     packed = long.withColumn("_nc", F.struct(F.col("n").alias("n"), F.col("cell").alias("cell")))
     piv = to_wide(packed, list(keys), trt, "_nc", list(arms))
@@ -204,7 +201,7 @@ def _with_headers(wide: DataFrame, soc: str, pt: str, header: str) -> DataFrame:
 
 def soc_header(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
                subject: str = "usubjid", mode: str = "first_term", arms: Sequence[str] | None = None,
-               fill: str = "0 (0.0%)", max_arms: int = MAX_ARMS) -> DataFrame:
+               fill: str = ZERO_CELL_PCT, max_arms: int = MAX_ARMS) -> DataFrame:
     """One header row per body system, wide by arm, with a row total: ``soc, <arm>..., Total``.
 
     ``first_term``: the header repeats the cells of the body system's first
@@ -219,7 +216,7 @@ def soc_header(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: st
 
 def ae_term_table(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
                   subject: str = "usubjid", header: str = "first_term", indent: str = TERM_INDENT,
-                  arms: Sequence[str] | None = None, fill: str = "0 (0.0%)",
+                  arms: Sequence[str] | None = None, fill: str = ZERO_CELL_PCT,
                   max_arms: int = MAX_ARMS) -> DataFrame:
     """Body-system header rows, each followed by its indented terms; own denominators.
 

@@ -28,10 +28,9 @@ from cohortab.operators.summary import (
     var_positions,
     with_level_denominators,
 )
+from cohortab.fixed import SEX_ALL  # noqa: F401  (re-exported for callers)
 from cohortab.sources.tables import is_numeric, require_columns
 
-# The "All" choice of the sex control means these two values (fixed value of the report).
-SEX_ALL = ["M", "F"]
 
 
 def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "split",

@@ -33,6 +33,7 @@ from cohortab.operators.labflags import (
 )
 from cohortab.operators.population import TOTAL_LABEL, choice_filter, population
 from cohortab.operators.reshape import complete_grid, to_wide
+from cohortab.fixed import LAB_LABEL_HEADING, ZERO_CELL
 from cohortab.plans.ae import denominators
 from cohortab.sources.tables import require_columns
 
@@ -67,13 +68,10 @@ def lab_table(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str =
                            "ord_gra", trt, "cell")
                    .filter(F.col("label").isNotNull() & (F.col("label") != F.lit(""))))
     wide = to_wide(shaped, ["label", param, "ord", "ord_gra"], trt, "cell",
-                   list(arms) if arms is not None else found, fill="0")
+                   list(arms) if arms is not None else found, fill=ZERO_CELL)
     return wide.orderBy(F.col(param).asc_nulls_last(), F.col("ord_gra").asc())
 
 
-LAB_LABEL_HEADING = " "
-
-
 def display(df: DataFrame, param: str = "param", heading: str = LAB_LABEL_HEADING) -> DataFrame:
     """Report view of a lab table: drop the order and key columns, blank heading for the labels."""
     drop = [c for c in (param, "ord", "ord_gra", "ord_par", "flag_code") if c in df.columns]
@@ -97,7 +95,7 @@ def lab_table_grid(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: s
     coded = (cells.select(param, "ord_par", code.cast("long").alias("flag_code"), trt, "cell")
                   .filter(F.col("flag_code").isNotNull()))
     grid = complete_grid(coded, "flag_code", sorted(FLAG_CODES.values()), 0, ["cell"])
-    wide = to_wide(grid, [param, "ord_par", "flag_code"], trt, "cell", arms, fill="0", fill_missing=True)
+    wide = to_wide(grid, [param, "ord_par", "flag_code"], trt, "cell", arms, fill=ZERO_CELL, fill_missing=True)
     label = F.when(F.col("flag_code") == 0, F.col(param))
     for text, c in FLAG_CODES.items():
         label = label.when(F.col("flag_code") == c, F.lit(text))
