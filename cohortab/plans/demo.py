@@ -41,6 +41,8 @@ def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "s
     comes from the same collected summary, so no extra job is needed for it.
     """
     variables = list(variables)
+    if not variables:
+        raise ValueError("demo_table needs at least one variable")
     require_columns(df, trt, *variables, where="demo_table")
     numeric = [v for v in variables if is_numeric(df, v)]
     categorical = [v for v in variables if v not in numeric]

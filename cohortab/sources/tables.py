@@ -36,9 +36,15 @@ def read_table(spark: SparkSession, base_dir: str, name: str, spread: bool = Fal
     return spread_underpartitioned(df) if spread else df
 
 
-def _size_bytes(df: DataFrame) -> int:
-    # The optimizer's size estimate (file sizes for a scan): planning metadata, no job.
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _size_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate (file sizes for a scan): planning metadata, no job.
+
+    None where the JVM plan is not reachable from Python (e.g. a remote session).
+    """
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - any failure only means "no estimate"
+        return None
 
 
 def _bytes_conf(spark: SparkSession, key: str, default: str) -> int:
@@ -62,7 +68,7 @@ def spread_underpartitioned(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) ->
     cores = spark.sparkContext.defaultParallelism
     size = _size_bytes(df)
     split = _bytes_conf(spark, "spark.sql.files.maxPartitionBytes", "128m")
-    if min_bytes <= size < split * cores:
+    if size is not None and min_bytes <= size < split * cores:
         return df.repartition(cores)
     return df
 
