@@ -25,18 +25,30 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], names_to:
     return typed.unpivot(list(ids), list(values), names_to, values_to)
 
 
+def pivot_positional(df: DataFrame, ids: Sequence[str], names_from: str, value, names: Sequence,
+                     ignorenulls: bool = True):
+    """``groupBy(ids).pivot(names_from, names).agg(first(value))`` with value columns renamed by position.
+
+    Returns ``(pivoted, [column name per entry of names])``. Renaming by
+    position keeps arm values that differ only in letter case (Spark resolves
+    names case-insensitively) apart until the final projection.
+    """
+    piv = df.groupBy(*ids).pivot(names_from, list(names)).agg(F.first(value, ignorenulls=ignorenulls))
+    slots = [f"_pv{i}" for i in range(len(names))]
+    return piv.toDF(*ids, *slots), slots
+
+
 def to_wide(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str,
             names: Sequence, fill: str | None = None, fill_missing: bool = False) -> DataFrame:
     """Pivot ``values_from`` into one column per entry of ``names`` (in that order)."""
     require_columns(df, *ids, names_from, values_from, where="to_wide")
     if fill_missing:
-        piv = df.groupBy(*ids).pivot(names_from, list(names)).agg(F.first(values_from, ignorenulls=True))
-        return piv.select(*ids, *[F.coalesce(piv[f"`{n}`"], F.lit(fill)).alias(str(n)) for n in names])
-    cell = F.struct(F.col(values_from).alias("v"))
-    piv = df.groupBy(*ids).pivot(names_from, list(names)).agg(F.first(cell, ignorenulls=True))
+        piv, slots = pivot_positional(df, ids, names_from, F.col(values_from), names)
+        return piv.select(*ids, *[F.coalesce(F.col(c), F.lit(fill)).alias(str(n)) for c, n in zip(slots, names)])
+    piv, slots = pivot_positional(df, ids, names_from, F.struct(F.col(values_from).alias("v")), names)
     outs = []
-    for name in names:
-        c = piv[f"`{name}`"] if name is not None else piv["`null`"]
+    for slot, name in zip(slots, names):
+        c = F.col(slot)
         value = c.getField("v")
         if fill is not None:
             value = F.when(c.isNull(), F.lit(fill)).otherwise(value)

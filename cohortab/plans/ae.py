@@ -39,7 +39,7 @@ from cohortab.operators.incidence import (
     with_percent,
 )
 from cohortab.operators.population import TOTAL_LABEL, apply_choices, arm_text, population
-from cohortab.operators.reshape import to_wide
+from cohortab.operators.reshape import pivot_positional, to_wide
 from cohortab.fixed import AE_LABEL_HEADING, ANY_EVENT_LABEL, HTML_INDENT, TERM_INDENT, ZERO_CELL, ZERO_CELL_PCT  # noqa: F401
 from cohortab.session import materialize
 from cohortab.sources.tables import require_columns
@@ -141,13 +141,22 @@ def term_counts(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: s
     return agg.select(soc, pt, trt, level.cast("int").alias("level"), "n")
 
 
+def _slot(i: int) -> str:
+    return f"_arm{i}"
+
+
+def _arm_outputs(arms: Sequence[str]) -> list:
+    """Arm slot columns renamed to the arm names (last projection only, see ``pivot_positional``)."""
+    return [F.col(_slot(i)).alias(str(a)) for i, a in enumerate(arms)]
+
+
 def _term_wide(long: DataFrame, keys: Sequence[str], trt: str, arms: Sequence[str],
                fill: str = ZERO_CELL_PCT, total_col: str = TOTAL_LABEL) -> DataFrame:
-    """Pivot ``(n, cell)`` per arm; the row total sums the counts across arm columns."""
-    packed = long.withColumn("_nc", F.struct(F.col("n").alias("n"), F.col("cell").alias("cell")))
-    piv = to_wide(packed, list(keys), trt, "_nc", list(arms))
-    cells = [F.coalesce(piv[f"`{a}`"].getField("cell"), F.lit(fill)).alias(str(a)) for a in arms]
-    row_n = sum((F.coalesce(piv[f"`{a}`"].getField("n"), F.lit(0)) for a in arms), F.lit(0))
+    """Pivot ``(n, cell)`` per arm into slot columns ``_arm<i>``; the row total sums the counts."""
+    packed = F.struct(F.col("n").alias("n"), F.col("cell").alias("cell"))
+    piv, slots = pivot_positional(long, list(keys), trt, packed, list(arms))
+    cells = [F.coalesce(F.col(s).getField("cell"), F.lit(fill)).alias(_slot(i)) for i, s in enumerate(slots)]
+    row_n = sum((F.coalesce(F.col(s).getField("n"), F.lit(0)) for s in slots), F.lit(0))
     return piv.select(*keys, *cells, row_n.cast("long").cast("string").alias(total_col))
 
 
@@ -211,7 +220,7 @@ def soc_header(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: st
     """
     wide, arms = _term_rows(adae, trt, soc, pt, subject, mode, arms, max_arms, fill)
     rows = _with_headers(wide, soc, pt, mode)
-    return rows.filter("is_header").select(soc, *[str(a) for a in arms], TOTAL_LABEL)
+    return rows.filter("is_header").select(soc, *_arm_outputs(arms), TOTAL_LABEL)
 
 
 def ae_term_table(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
@@ -231,6 +240,6 @@ def ae_term_table(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt:
         F.when(hdr, F.col(soc)).otherwise(paste(indent, F.col(pt))).alias("label"),
         F.col(soc).alias("soc_key"), hdr.alias("is_header"),
         F.when(~hdr, F.col(pt)).alias("term_key"),
-        *[str(a) for a in arms], TOTAL_LABEL)
+        *_arm_outputs(arms), TOTAL_LABEL)
     return out.orderBy(F.col("soc_key").asc_nulls_last(), F.col("is_header").desc(),
                        F.col("term_key").asc_nulls_last())

@@ -32,7 +32,7 @@ from cohortab.operators.labflags import (
     rank_flags,
 )
 from cohortab.operators.population import TOTAL_LABEL, choice_filter, population
-from cohortab.operators.reshape import complete_grid, to_wide
+from cohortab.operators.reshape import complete_grid, pivot_positional, to_wide
 from cohortab.fixed import LAB_LABEL_HEADING, ZERO_CELL
 from cohortab.plans.ae import denominators
 from cohortab.sources.tables import require_columns
@@ -95,9 +95,10 @@ def lab_table_grid(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: s
     coded = (cells.select(param, "ord_par", code.cast("long").alias("flag_code"), trt, "cell")
                   .filter(F.col("flag_code").isNotNull()))
     grid = complete_grid(coded, "flag_code", sorted(FLAG_CODES.values()), 0, ["cell"])
-    wide = to_wide(grid, [param, "ord_par", "flag_code"], trt, "cell", arms, fill=ZERO_CELL, fill_missing=True)
+    piv, slots = pivot_positional(grid, [param, "ord_par", "flag_code"], trt, F.col("cell"), arms)
     label = F.when(F.col("flag_code") == 0, F.col(param))
     for text, c in FLAG_CODES.items():
         label = label.when(F.col("flag_code") == c, F.lit(text))
-    return (wide.select(label.alias("label"), param, "ord_par", "flag_code", *[str(a) for a in arms])
-                .orderBy("ord_par", "flag_code"))
+    cells = [F.coalesce(F.col(s), F.lit(ZERO_CELL)).alias(str(a)) for s, a in zip(slots, arms)]
+    return (piv.select(label.alias("label"), param, "ord_par", "flag_code", *cells)
+               .orderBy("ord_par", "flag_code"))

@@ -140,3 +140,31 @@ def test_missing_arm_is_its_own_na_column(spark):
     assert tuple(out.first())[-3:] == ("1 (100)", "1 (100)", "2 (100)")
     term = ae_term_table(adae)
     assert term.columns[-3:] == ["A", "NA", "Total"]
+
+
+def test_arms_in_byte_order_and_absent_requested_arm_is_filled(spark):
+    adsl = spark.createDataFrame([("s1", "b", "Y"), ("s2", "B", "Y"), ("s3", "a", "Y")],
+                                 "usubjid string, trt01a string, saffl string")
+    adae = spark.createDataFrame([("s1", "b", "GI", "N", "Y")],
+                                 "usubjid string, trta string, aebodsys string, aedecod string, saffl string")
+    assert ae_summary(adae, adsl).columns[4:] == ["B", "a", "b", "Total"]
+    out = ae_summary(adae, adsl, arms=["b", "X", "Total"])
+    assert rows(out, "label", "b", "X", "Total")[0] == ("Any TEAE", "1 (100)", "0", "1 (33.3)")
+
+
+def test_arms_differing_only_in_case_stay_apart_in_every_layout(spark):
+    from cohortab.plans.lab import lab_table_grid
+    adsl = spark.createDataFrame([("s1", "b", "Y"), ("s2", "B", "Y")], "usubjid string, trt01a string, saffl string")
+    adae = spark.createDataFrame([("s1", "b", "GI", "N", "Y"), ("s2", "B", "GI", "M", "Y")],
+                                 "usubjid string, trta string, aebodsys string, aedecod string, saffl string")
+    term = ae_term_table(adae)
+    assert term.columns[-3:] == ["B", "b", "Total"]
+    # header = first term (M, arm B), then M, then N (arm b)
+    assert [tuple(r)[-3:] for r in term.collect()] == [("1 (100.0%)", "0 (0.0%)", "1"),
+                                                       ("1 (100.0%)", "0 (0.0%)", "1"),
+                                                       ("0 (0.0%)", "1 (100.0%)", "1")]
+    assert soc_header(adae, mode="distinct_subjects").columns == ["aebodsys", "B", "b", "Total"]
+    adlb = spark.createDataFrame([("s1", "b", "P", "LOW", "Y")],
+                                 "usubjid string, trta string, param string, lbnrind string, saffl string")
+    grid = lab_table_grid(adlb, adsl)
+    assert grid.columns[-3:] == ["B", "b", "Total"] and tuple(grid.first())[-3:] == ("0", "1 (100)", "1 (50)")
