@@ -47,24 +47,36 @@ from cohortab.sources.tables import require_columns
 
 
 def denominators(adsl: DataFrame, adsl_trt: str, key: str, subject: str, flag: str | None,
-                 flag_value: str, total: str, max_arms: int = MAX_ARMS):
-    """Population big-N collected with a size check; returns (rows, local table, arm order)."""
-    rows = collect_bounded(big_n(adsl, adsl_trt, subject, flag, flag_value, total, name=key),
-                           max_arms + 1, "arm denominators")
-    spark = adsl.sparkSession
-    return rows, local_frame(spark, rows, key), arm_order(rows, key, total)
+                 flag_value: str, total: str, max_arms: int = MAX_ARMS,
+                 arms: Sequence[str] | None = None):
+    """Population big-N per arm: returns ``(denominator table, arm order)``.
+
+    Without ``arms`` the big-N is collected with a size check (its arm list
+    fixes the report columns) and re-enters the plan as a small table. With
+    the caller's ``arms`` nothing runs while building: the lazy big-N is
+    filtered to those arms, which bounds it by ``len(arms)`` rows, so
+    broadcasting it is safe.
+    """
+    bn = big_n(adsl, adsl_trt, subject, flag, flag_value, total, name=key)
+    if arms is not None:
+        arms = list(arms)
+        if len(arms) > max_arms + 1:
+            raise ValueError(f"more than {max_arms} arms requested")
+        return bn.filter(F.col(key).isin(arms)), arms
+    rows = collect_bounded(bn, max_arms + 1, "arm denominators")
+    return local_frame(adsl.sparkSession, rows, key), arm_order(rows, key, total)
 
 
 def ae_counts(adae: DataFrame, adsl: DataFrame, trt: str = "trta", soc: str = "aebodsys",
               pt: str = "aedecod", subject: str = "usubjid", adsl_trt: str = "trt01a",
               flag: str | None = "saffl", flag_value: str = "Y", where: dict | None = None,
-              total: str = TOTAL_LABEL, max_arms: int = MAX_ARMS):
+              total: str = TOTAL_LABEL, max_arms: int = MAX_ARMS, arms: Sequence[str] | None = None):
     """The long form behind ``ae_summary``: one row per arm x level with ranks, N and cell.
 
     Returns ``(long_df, arms)``.
     """
     require_columns(adae, trt, soc, pt, subject, where="ae_summary events")
-    _, bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, max_arms)
+    bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, max_arms, arms)
     events = population(adae, flag, flag_value) if flag else adae
     events = apply_choices(events, where)
     levels = [soc, pt]
@@ -87,7 +99,7 @@ def ae_summary(adae: DataFrame, adsl: DataFrame, trt: str = "trta", soc: str = "
     Output columns: ``label, ord_soc, ord, ord_pt, <arm>..., <total>``.
     """
     cells, found_arms = ae_counts(adae, adsl, trt, soc, pt, subject, adsl_trt, flag, flag_value,
-                                  where, total, max_arms)
+                                  where, total, max_arms, arms)
     level = F.col("level")
     label = (F.when(level == 0, F.lit(any_label))
               .when(F.col(pt).isNull(), F.col(soc))
@@ -98,8 +110,7 @@ def ae_summary(adae: DataFrame, adsl: DataFrame, trt: str = "trta", soc: str = "
         level.cast("long").alias("ord"),
         F.col(ord_col(2)).alias("ord_pt"),
         F.col(trt), F.col("cell"))
-    wide = to_wide(shaped, ["label", "ord_soc", "ord", "ord_pt"], trt, "cell",
-                   list(arms) if arms is not None else found_arms, fill=ZERO_CELL)
+    wide = to_wide(shaped, ["label", "ord_soc", "ord", "ord_pt"], trt, "cell", found_arms, fill=ZERO_CELL)
     return wide.orderBy(F.col("ord_soc").asc_nulls_last(), F.col("ord").asc(),
                         F.col("ord_pt").asc_nulls_last())
 

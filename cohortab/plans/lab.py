@@ -41,10 +41,10 @@ from cohortab.sources.tables import require_columns
 def lab_counts(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str = "param",
                ind: str = "lbnrind", subject: str = "usubjid", adsl_trt: str = "trt01a",
                flag: str | None = "saffl", flag_value: str = "Y", params: Sequence[str] | None = None,
-               total: str = TOTAL_LABEL, max_arms: int = MAX_ARMS):
+               total: str = TOTAL_LABEL, max_arms: int = MAX_ARMS, arms: Sequence[str] | None = None):
     """Long form: ``trt, level, param, ind, n, ord_par, ord_gra, denom, cell``; plus the arm list."""
     require_columns(adlb, trt, param, ind, subject, where="lab_table")
-    _, bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, max_arms)
+    bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, max_arms, arms)
     rows = population(adlb, flag, flag_value) if flag else adlb
     if params is not None:
         rows = choice_filter(rows, param, list(params))
@@ -62,13 +62,12 @@ def lab_table(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str =
               max_arms: int = MAX_ARMS) -> DataFrame:
     """Output columns: ``label, <param>, ord, ord_gra, <arm>..., <total>``."""
     cells, found = lab_counts(adlb, adsl, trt, param, ind, subject, adsl_trt, flag, flag_value,
-                              params, total, max_arms)
+                              params, total, max_arms, arms)
     label = F.when((F.col("level") == 2) & F.col(ind).isNotNull(), F.col(ind)).otherwise(F.col(param))
     shaped = (cells.select(label.alias("label"), param, F.col("level").cast("long").alias("ord"),
                            "ord_gra", trt, "cell")
                    .filter(F.col("label").isNotNull() & (F.col("label") != F.lit(""))))
-    wide = to_wide(shaped, ["label", param, "ord", "ord_gra"], trt, "cell",
-                   list(arms) if arms is not None else found, fill=ZERO_CELL)
+    wide = to_wide(shaped, ["label", param, "ord", "ord_gra"], trt, "cell", found, fill=ZERO_CELL)
     return wide.orderBy(F.col(param).asc_nulls_last(), F.col("ord_gra").asc())
 
 
@@ -88,9 +87,8 @@ def lab_table_grid(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: s
     ``flag_code`` is 0 for the parameter row, then 1 LOW, 2 NORMAL, 3 HIGH.
     Rows for a missing or unknown flag are left out of the grid.
     """
-    cells, found = lab_counts(adlb, adsl, trt, param, ind, subject, adsl_trt, flag, flag_value,
-                              params, total, max_arms)
-    arms = list(arms) if arms is not None else found
+    cells, arms = lab_counts(adlb, adsl, trt, param, ind, subject, adsl_trt, flag, flag_value,
+                             params, total, max_arms, arms)
     code = F.when(F.col("level") == 1, F.lit(0)).otherwise(flag_code_expr(ind).cast("int"))
     coded = (cells.select(param, "ord_par", code.cast("long").alias("flag_code"), trt, "cell")
                   .filter(F.col("flag_code").isNotNull()))
