@@ -234,13 +234,13 @@ cells AS (
   LEFT JOIN bign b ON i.trta IS NOT DISTINCT FROM b.trta)"""
 
 
-def _ae_summary(where: str = "") -> str:
+def _ae_summary(where: str = "", indent: str = "  ") -> str:
     return with_ctes(ADSL, ADAE, BIGN, _ae_long(where)) + f"""
 SELECT label, ord_soc, ord, ord_pt,
   {pivot('cell', 'trta', ARMS_T, fill='0')}
 FROM (
   SELECT trta, cell,
-         CASE WHEN level = 0 THEN 'Any TEAE' WHEN pt IS NULL THEN soc ELSE '  ' || pt END AS label,
+         CASE WHEN level = 0 THEN 'Any TEAE' WHEN pt IS NULL THEN soc ELSE '{indent}' || pt END AS label,
          CAST(CASE WHEN level = 0 THEN 0 ELSE ord_1 END AS BIGINT) AS ord_soc,
          CAST(level AS BIGINT) AS ord, CAST(ord_2 AS BIGINT) AS ord_pt
   FROM cells) x
@@ -470,7 +470,7 @@ def statements() -> dict[str, str]:
         "rank_levels": _rank_levels(),
         "with_percent": _with_percent(),
         "ae_summary": _ae_summary(),
-        "ae_summary_filtered": _ae_summary(AE_FILTER),
+        "ae_summary_filtered": _ae_summary(AE_FILTER, indent="&nbsp;&nbsp;&nbsp;"),
         "self_big_n": _self_big_n(),
         "row_total": _row_total(),
         "soc_header_first": _soc_header_first(),
