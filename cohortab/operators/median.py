@@ -42,7 +42,7 @@ from cohortab.operators.denominators import collect_bounded
 
 BAND_LIMIT = 1_000_000
 GRID = 2_000
-ACCURACY = 100_000
+ACCURACY = 10_000  # Spark's default: rank error 1e-4 of the band, sketch of modest size
 MAX_GROUPS = 100_000
 MAX_ROUNDS = 16
 

@@ -47,3 +47,11 @@ def test_direct_path_default_limits(spark):
     df = spark.createDataFrame(data, "g string, x double")
     got = {r.g: r.median for r in exact_median(df, ["g"], "x").collect()}
     assert got == {"a": 2.5, "b": 9.0}
+
+
+def test_narrowing_with_default_grid_on_a_large_group(spark):
+    rnd = random.Random(7)
+    vals = [round(rnd.lognormvariate(3, 1), 3) for _ in range(100_000)] + [42.0] * 20_000
+    df = spark.createDataFrame([("g", v) for v in vals], "g string, x double").repartition(8)
+    got = exact_median(df, ["g"], "x", band_limit=1_000).collect()[0].median
+    assert got == statistics.median(vals)
