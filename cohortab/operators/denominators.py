@@ -65,8 +65,8 @@ def local_frame(spark: SparkSession, rows: list[Row], key: str) -> DataFrame:
     return spark.createDataFrame([(r[key], r["N"]) for r in rows], schema)
 
 
-def arm_order(rows: list[Row], key: str, total: str = TOTAL_LABEL) -> list:
-    """Arms sorted by byte order (missing last), pooled arm at the end."""
-    arms = [r[key] for r in rows if r[key] != total]
+def arm_order(rows: list[Row], key: str, total: str | None = TOTAL_LABEL) -> list:
+    """Arms sorted by byte order (missing last), pooled arm (if any) at the end."""
+    arms = [r[key] for r in rows if total is None or r[key] != total]
     arms.sort(key=lambda a: (a is None, (a or "").encode("utf-8")))
-    return arms + ([total] if any(r[key] == total for r in rows) else [])
+    return arms + ([total] if total is not None and any(r[key] == total for r in rows) else [])

@@ -24,6 +24,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortab.fixed import (  # HTML_INDENT is re-exported for callers
+    AE_LABEL_HEADING,
+    ANY_EVENT_LABEL,
+    HTML_INDENT,  # noqa: F401
+    TERM_INDENT,
+    ZERO_CELL,
+    ZERO_CELL_PCT,
+)
 from cohortab.functions.text import indent_label, paste
 from cohortab.operators.denominators import (
     MAX_ARMS,
@@ -40,12 +48,10 @@ from cohortab.operators.incidence import (
 )
 from cohortab.operators.population import TOTAL_LABEL, apply_choices, arm_text, population
 from cohortab.operators.reshape import pivot_positional, to_wide
-from cohortab.fixed import AE_LABEL_HEADING, ANY_EVENT_LABEL, HTML_INDENT, TERM_INDENT, ZERO_CELL, ZERO_CELL_PCT  # noqa: F401
 from cohortab.session import materialize
 from cohortab.sources.tables import require_columns
 
 
-
 def denominators(adsl: DataFrame, adsl_trt: str, key: str, subject: str, flag: str | None,
                  flag_value: str, total: str, max_arms: int = MAX_ARMS,
                  arms: Sequence[str] | None = None):
@@ -197,7 +203,7 @@ def _term_rows(adae, trt, soc, pt, subject, header, arms, max_arms, fill):
     den = collect_bounded(counts.filter(F.col("level") == 0).select(trt, F.col("n").alias("N")),
                           max_arms, "arm denominators")
     bign = local_frame(adae.sparkSession, den, trt)
-    found = arm_order(den, trt, total="\0")
+    found = arm_order(den, trt, total=None)
     arms = list(arms) if arms is not None else found
     long = with_percent(counts.filter(F.col("level") > 0), bign, trt, style="sprintf")
     return _term_wide(long, [soc, pt, "level"], trt, arms, fill), arms
@@ -242,7 +248,8 @@ def ae_term_table(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt:
 
     Output columns: ``label, soc_key, is_header, term_key, <arm>..., Total``, ordered
     by body system, header first, then term (missing last). A missing term is
-    labelled with the text ``NA``.
+    labelled with the text ``NA``. ``Total`` sums the counts of the arm columns
+    shown (all arms unless ``arms`` picks some).
     """
     wide, arms = _term_rows(adae, trt, soc, pt, subject, header, arms, max_arms, fill)
     rows = _with_headers(wide, soc, pt, header)
