@@ -68,14 +68,19 @@ def apply_choices(df: DataFrame, choices: dict | None, all_label: str = ALL_CHOI
 
 
 def facet_values(df: DataFrame, col: str, n_default: int = DEFAULT_CHOICES) -> DataFrame:
-    """Sorted distinct non-missing values of a column for a choice list.
-
-    Returns ``value, pos, is_default``; the first ``n_default`` values in sorted
-    order are the default selection. The input to the numbering window is the
-    distinct value list (a dictionary), not the table.
+    """Distinct non-missing values of a column for a choice list, with the default selection.
+
+    Returns ``value, pos, is_default``: the first ``n_default`` values in sorted
+    order are the default selection and carry their position ``pos`` (1..n);
+    the other values have ``pos`` NULL (sort by ``value`` for the list order).
+    The default selection is a distributed top-k (per-partition top-k, then a
+    merge of at most ``n_default`` rows per partition), so no step gathers the
+    whole value list into one task; it is joined back as a broadcast of at
+    most ``n_default`` rows.
     """
     require_columns(df, col, where="facet_values")
     vals = df.select(F.col(col).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    pos = F.row_number().over(Window.orderBy(F.col("value").asc()))
-    return (vals.withColumn("pos", pos.cast("long"))
-                .withColumn("is_default", F.col("pos") <= F.lit(n_default)))
+    top = vals.orderBy(F.col("value").asc()).limit(n_default)
+    top = top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("value").asc())).cast("long"))
+    out = vals.join(F.broadcast(top), "value", "left")
+    return out.select("value", "pos", F.col("pos").isNotNull().alias("is_default"))

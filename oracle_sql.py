@@ -128,7 +128,8 @@ WHERE aerel = 'F' AND aesev IN ('1-URGENT', '2-HIGH')"""
 
 
 def _facet(col: str) -> str:
-    return with_ctes(ADLB) + f"""SELECT value, CAST(pos AS BIGINT) AS pos, pos <= 5 AS is_default FROM (
+    return with_ctes(ADLB) + f"""SELECT value, CAST(CASE WHEN pos <= 5 THEN pos END AS BIGINT) AS pos,
+  pos <= 5 AS is_default FROM (
   SELECT value, row_number() OVER (ORDER BY value) AS pos
   FROM (SELECT DISTINCT {col} AS value FROM adlb WHERE {col} IS NOT NULL) v) x"""
 
