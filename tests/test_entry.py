@@ -9,7 +9,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as ent  # noqa: E402
-from check_oracle import TABLES, digest  # noqa: E402
+from check_oracle import TABLES, digest, type_diff  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +39,7 @@ def duck():
 def test_query_matches_sql(spark, duck, name):
     df = ent.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
+    assert type_diff(df, duck.sql(ent.oracle_sql()[name])) == {}
     res = duck.execute(ent.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
