@@ -85,9 +85,12 @@ def number_text(x: ColumnOrName, digits: int) -> Column:
     """A statistic rounded half-to-even to ``digits`` decimals, printed without trailing zeros."""
     if digits < 1:
         raise ValueError("digits must be >= 1")
-    rounded = F.bround(_col(x).cast("double"), digits).cast(f"decimal(38,{digits})").cast("string")
+    value = _col(x).cast("double")
+    rounded = F.bround(value, digits).try_cast(f"decimal(38,{digits})").cast("string")
     stripped = F.regexp_replace(rounded, r"\.?0+$", "")
-    return F.when(stripped == "-0", F.lit("0")).otherwise(stripped)
+    text = F.when(stripped == "-0", F.lit("0")).otherwise(stripped)
+    # Values a decimal cannot hold (infinities, |x| >= 1e36) print as plain doubles.
+    return F.when(rounded.isNull() & value.isNotNull(), value.cast("string")).otherwise(text)
 
 
 def paste(*parts: ColumnOrName | str) -> Column:

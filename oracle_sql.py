@@ -76,7 +76,7 @@ def cell(n: str, d: str, style: str = "strict") -> str:
 
 def num_text(x: str, d: int) -> str:
     """Half-even rounding of the shortest decimal form to d decimals, without trailing zeros."""
-    dec = f"CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18))"
+    dec = f"TRY_CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18))"
     s = f"regexp_replace(CAST(CAST(round_even({dec}, {d}) AS DECIMAL(38,{d})) AS VARCHAR), '\\.?0+$', '')"
     return f"CASE WHEN {s} = '-0' THEN '0' ELSE {s} END"
 

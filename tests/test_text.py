@@ -56,3 +56,8 @@ def test_number_text(spark):
 def test_paste_prints_missing_as_na(spark):
     df = spark.createDataFrame([("a", None)], "a string, b string")
     assert df.select(paste(F.col("a"), " (", F.col("b"), ")")).first()[0] == "a (NA)"
+
+
+def test_number_text_values_beyond_decimal_range(spark):
+    df = spark.createDataFrame([(float("inf"),), (1e40,), (-1e40,)], "x double")
+    assert [r[0] for r in df.select(number_text("x", 2)).collect()] == ["Infinity", "1.0E40", "-1.0E40"]
