@@ -66,7 +66,11 @@ def local_frame(spark: SparkSession, rows: list[Row], key: str) -> DataFrame:
 
 
 def arm_order(rows: list[Row], key: str, total: str | None = TOTAL_LABEL) -> list:
-    """Arms sorted by byte order (missing last), pooled arm (if any) at the end."""
+    """Arms sorted by byte order (missing last), then the pooled arm.
+
+    The pooled arm is always a column when ``total`` is given, even for an
+    empty population (its cells then have no denominator).
+    """
     arms = [r[key] for r in rows if total is None or r[key] != total]
     arms.sort(key=lambda a: (a is None, (a or "").encode("utf-8")))
-    return arms + ([total] if total is not None and any(r[key] == total for r in rows) else [])
+    return arms + ([total] if total is not None else [])
