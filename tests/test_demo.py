@@ -73,3 +73,19 @@ def test_approx_median_option(spark, fx):
     adsl, _, _ = fx
     st = {r.trt01p: r.median for r in numeric_stats(adsl, "trt01p", ["age"], median="approx").collect()}
     assert st[L] == 80.0
+
+
+def test_several_numeric_and_categorical_variables_in_one_pass(spark):
+    df = spark.createDataFrame(
+        [("A", 10.0, 1, "x"), ("A", 20.0, 3, "y"), ("B", 30.0, 5, "x"), ("B", None, 7, None)],
+        "arm string, w double, h int, c string")
+    st = {(r.arm, r.Variable): r for r in numeric_stats(df, "arm", ["w", "h"]).collect()}
+    assert (st[("A", "w")].median, st[("B", "w")].median, st[("Total", "w")].median) == (15.0, 30.0, 20.0)
+    assert (st[("A", "h")].median, st[("Total", "h")].median, st[("Total", "h")].n) == (2.0, 4.0, 4)
+    out = demo_table(df, "arm", ["w", "c", "h"], "combined")
+    got = rows(out, "Variable", "Stat", "A", "B", "Total")
+    assert [g[:2] for g in got] == [("w", "N"), ("w", "Mean (SD)"), ("w", "Median"), ("w", "Min"), ("w", "Max"),
+                                    ("c", "x"), ("c", "y"), ("c", None),
+                                    ("h", "N"), ("h", "Mean (SD)"), ("h", "Median"), ("h", "Min"), ("h", "Max")]
+    assert got[1] == ("w", "Mean (SD)", "15 (7.071)", "30 (NA)", "20 (10)")
+    assert got[7] == ("c", None, None, "1 (50%)", "1 (25%)")
