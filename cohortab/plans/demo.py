@@ -71,3 +71,8 @@ def demo_table(df: DataFrame, trt: str, variables: Sequence[str], style: str = "
     if style == "split":
         return wide.orderBy(F.col("Variable").asc_nulls_last(), F.col("Stat").asc_nulls_last())
     return wide.orderBy("var_pos", "stat_pos")
+
+
+def display(df: DataFrame) -> DataFrame:
+    """Report view: ``Variable, Stat`` and the arm columns (order columns dropped)."""
+    return df.drop("var_pos", "stat_pos")

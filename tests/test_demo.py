@@ -89,3 +89,9 @@ def test_several_numeric_and_categorical_variables_in_one_pass(spark):
                                     ("h", "N"), ("h", "Mean (SD)"), ("h", "Median"), ("h", "Min"), ("h", "Max")]
     assert got[1] == ("w", "Mean (SD)", "15 (7.071)", "30 (NA)", "20 (10)")
     assert got[7] == ("c", None, None, "1 (50%)", "1 (25%)")
+
+
+def test_display_view(spark, fx):
+    from cohortab.plans.demo import display
+    adsl, _, _ = fx
+    assert display(demo_table(adsl, "trt01p", VARS, "combined")).columns == ["Variable", "Stat"] + ARMS
