@@ -68,7 +68,7 @@ def lab_table(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str =
                            "ord_gra", trt, "cell")
                    .filter(F.col("label").isNotNull() & (F.col("label") != F.lit(""))))
     wide = to_wide(shaped, ["label", param, "ord", "ord_gra"], trt, "cell", found, fill=ZERO_CELL)
-    return wide.orderBy(F.col(param).asc_nulls_last(), F.col("ord_gra").asc())
+    return wide.orderBy(F.col(param).asc_nulls_last(), F.col("ord_gra").asc_nulls_last())
 
 
 def display(df: DataFrame, param: str = "param", heading: str = LAB_LABEL_HEADING) -> DataFrame:
@@ -99,4 +99,4 @@ def lab_table_grid(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: s
         label = label.when(F.col("flag_code") == c, F.lit(text))
     cells = [F.coalesce(F.col(s), F.lit(ZERO_CELL)).alias(str(a)) for s, a in zip(slots, arms)]
     return (piv.select(label.alias("label"), param, "ord_par", "flag_code", *cells)
-               .orderBy("ord_par", "flag_code"))
+               .orderBy(F.col("ord_par").asc_nulls_last(), F.col("flag_code").asc_nulls_last()))

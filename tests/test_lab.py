@@ -87,3 +87,12 @@ def test_arm_without_denominator_prints_na_percent(spark):
                                  "usubjid string, trta string, param string, lbnrind string, saffl string")
     got = rows(lab_table(adlb, adsl, arms=["A", "B", "Total"]), "label", "A", "B", "Total")
     assert got == [("P", "1 (100)", "1 (NA)", "2 (200)"), ("LOW", "1 (100)", "1 (NA)", "2 (200)")]
+
+
+def test_flag_without_pooled_rank_sorts_last_within_its_parameter(spark):
+    # s1 is in arms A and B: A picks HIGH, B picks LOW; the pooled pick is HIGH, so LOW has no rank
+    adsl = spark.createDataFrame([("s1", "A", "Y")], "usubjid string, trt01a string, saffl string")
+    adlb = spark.createDataFrame([("s1", "A", "P", "HIGH", "Y"), ("s1", "B", "P", "LOW", "Y")],
+                                 "usubjid string, trta string, param string, lbnrind string, saffl string")
+    got = rows(lab_table(adlb, adsl, arms=["A", "B", "Total"]), "label", "ord", "ord_gra")
+    assert got == [("P", 1, 0), ("HIGH", 2, 1), ("LOW", 2, None)]
