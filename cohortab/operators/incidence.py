@@ -123,6 +123,9 @@ def with_percent(counts: DataFrame, denominators: DataFrame, trt: str, style: st
     sent whole to every task, which is only right when its size is known (see
     ``denominators.local_frame``).
     """
-    joined = join_null_safe(counts, denominators.select(trt, F.col("N").alias("denom")), [trt],
-                            how="left", broadcast_right=broadcast)
-    return joined.withColumn("cell", count_pct_cell(F.col(n), F.col("denom"), style))
+    den = denominators.select(F.col(trt).alias("_r_arm"), F.col("N").alias("denom"))
+    if broadcast:
+        den = F.broadcast(den)
+    joined = counts.join(den, counts[trt].eqNullSafe(den["_r_arm"]), "left")
+    return joined.select(*[counts[c] for c in counts.columns], "denom",
+                         count_pct_cell(F.col(n), F.col("denom"), style).alias("cell"))
