@@ -95,7 +95,10 @@ def pretty_breaks(lo: float, hi: float, n: int, min_n: int = 1) -> list[float]:
 
 
 def histogram(df: DataFrame, col: str) -> DataFrame:
-    """``bin, lower, upper, mid, count``: one row per bin (empty bins included)."""
+    """``bin, lower, upper, mid, count, density``: one row per bin (empty bins included).
+
+    ``density`` is ``count / (n * bin width)`` (the bars integrate to 1).
+    """
     require_columns(df, col, where="histogram")
     x = F.col(col).cast("double")
     finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs(F.col("x")) != F.lit(float("inf")))
@@ -103,7 +106,8 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
     st = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).collect()[0]
     spark = df.sparkSession
     if not st["n"]:
-        return spark.createDataFrame([], "bin long, lower double, upper double, mid double, count long")
+        return spark.createDataFrame(
+            [], "bin long, lower double, upper double, mid double, count long, density double")
     start, width, k = pretty_grid(st["lo"], st["hi"], sturges_classes(st["n"]), 1)
     breaks = [start + i * width for i in range(k + 1)]
     fuzz = BREAK_FUZZ * width
@@ -114,8 +118,10 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
         [(i + 1, breaks[i], breaks[i + 1], (breaks[i] + breaks[i + 1]) / 2) for i in range(k)],
         "bin long, lower double, upper double, mid double")
     # Both sides have at most k rows (k = number of bins, about log2(n)): broadcast the counts.
+    count = F.coalesce("count", F.lit(0)).cast("long")
     return (edges.join(F.broadcast(counts), "bin", "left")
-                 .select("bin", "lower", "upper", "mid", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+                 .select("bin", "lower", "upper", "mid", count.alias("count"),
+                         (count / F.lit(float(st["n"]) * width)).alias("density"))
                  .orderBy("bin"))
 
 

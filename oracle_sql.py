@@ -389,8 +389,7 @@ def _lab_grid(flags_only: bool = False) -> str:
 wide AS (SELECT param, ord_par, flag_code, {pivot('cell', 'trta', ARMS_T, fill='0')}
          FROM coded WHERE flag_code IS NOT NULL GROUP BY param, ord_par, flag_code),
 heads AS (SELECT * FROM wide WHERE flag_code = 0),
-grid AS (SELECT h.param, h.ord_par, CAST(c.code AS BIGINT) AS flag_code
-         FROM heads h CROSS JOIN (VALUES (1), (2), (3)) c(code)),
+grid AS (SELECT param, ord_par, CAST(unnest([1, 2, 3]) AS BIGINT) AS flag_code FROM heads),
 flags AS (SELECT g.param, g.ord_par, g.flag_code, {arm_fill}
           FROM grid g LEFT JOIN wide w ON g.param IS NOT DISTINCT FROM w.param
            AND g.ord_par IS NOT DISTINCT FROM w.ord_par AND g.flag_code = w.flag_code),
@@ -441,12 +440,15 @@ h8 AS (SELECT lo, hi, unit,
               CASE WHEN k < 1 AND ns < 0 THEN nu + 1 ELSE nu END AS nu2,
               greatest(k, 1) AS ndiv FROM h7),
 hb AS (SELECT least(ns2 * unit, lo) AS start, (greatest(nu2 * unit, hi) - least(ns2 * unit, lo)) / ndiv AS step,
-              ndiv FROM h8),
+              ndiv, (SELECT n FROM hs) AS n FROM h8),
 bins AS (SELECT CAST(i + 1 AS BIGINT) AS bin, start + i * step AS lower, start + (i + 1) * step AS upper
          FROM (SELECT start, step, unnest(range(ndiv)) AS i FROM hb) r),
-cnt AS (SELECT CAST(greatest(1, least(ndiv, ceil((x - start - 1e-7 * step) / step))) AS BIGINT) AS bin,
-               count(*) AS c FROM hv, hb GROUP BY 1)
-SELECT bins.bin, lower, upper, (lower + upper) / 2 AS mid, CAST(coalesce(c, 0) AS BIGINT) AS count
+cnt AS (SELECT CAST(greatest(1, least((SELECT ndiv FROM hb),
+                   ceil((x - (SELECT start FROM hb) - 1e-7 * (SELECT step FROM hb)) / (SELECT step FROM hb))))
+                   AS BIGINT) AS bin,
+               count(*) AS c FROM hv GROUP BY 1)
+SELECT bins.bin, lower, upper, (lower + upper) / 2 AS mid, CAST(coalesce(c, 0) AS BIGINT) AS count,
+       CAST(coalesce(c, 0) AS DOUBLE) / (CAST((SELECT n FROM hb) AS DOUBLE) * (SELECT step FROM hb)) AS density
 FROM bins LEFT JOIN cnt ON bins.bin = cnt.bin"""
 
 
