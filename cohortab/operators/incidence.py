@@ -11,7 +11,7 @@ level from a level whose value is genuinely missing.
 
 ``rank_levels`` ranks level values by the pooled count (descending, then
 name) with window functions over the aggregated table. ``join_null_safe`` is
-the join used elsewhere when a missing key must match a missing key.
+the join for keys where a missing value must match a missing value.
 """
 
 from __future__ import annotations
@@ -32,7 +32,10 @@ def ord_col(k: int) -> str:
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
                    extra: Column | None = None, broadcast_right: bool = False) -> DataFrame:
-    """Equi-join where a missing key matches a missing key (``<=>``)."""
+    """Equi-join where a missing key matches a missing key (``<=>``).
+
+    Output: the left columns, then the right's non-key columns.
+    """
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     if broadcast_right:
         renamed = F.broadcast(renamed)
@@ -43,7 +46,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     if extra is not None:
         cond = cond & extra
     joined = left.join(renamed, cond, how)
-    return joined.drop(*[f"_r_{c}" for c in keys])
+    return joined.select(*[left[c] for c in left.columns],
+                         *[renamed[c] for c in right.columns if c not in keys])
 
 
 def incidence(df: DataFrame, trt: str, levels: Sequence[str], subject: str = "usubjid",
@@ -123,9 +127,6 @@ def with_percent(counts: DataFrame, denominators: DataFrame, trt: str, style: st
     sent whole to every task, which is only right when its size is known (see
     ``denominators.local_frame``).
     """
-    den = denominators.select(F.col(trt).alias("_r_arm"), F.col("N").alias("denom"))
-    if broadcast:
-        den = F.broadcast(den)
-    joined = counts.join(den, counts[trt].eqNullSafe(den["_r_arm"]), "left")
-    return joined.select(*[counts[c] for c in counts.columns], "denom",
-                         count_pct_cell(F.col(n), F.col("denom"), style).alias("cell"))
+    joined = join_null_safe(counts, denominators.select(trt, F.col("N").alias("denom")), [trt],
+                            how="left", broadcast_right=broadcast)
+    return joined.withColumn("cell", count_pct_cell(F.col(n), F.col("denom"), style))
