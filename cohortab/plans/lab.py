@@ -85,13 +85,14 @@ def lab_table_grid(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: s
     """Output columns: ``label, <param>, ord_par, flag_code, <arm>..., <total>``.
 
     ``flag_code`` is 0 for the parameter row, then 1 LOW, 2 NORMAL, 3 HIGH.
-    Rows for a missing or unknown flag are left out of the grid.
+    Rows for a missing or unknown flag are left out of the grid, and so is a
+    missing or empty parameter (it has no label and cannot be chosen).
     """
     cells, arms = lab_counts(adlb, adsl, trt, param, ind, subject, adsl_trt, flag, flag_value,
                              params, total, max_arms, arms)
     code = F.when(F.col("level") == 1, F.lit(0)).otherwise(flag_code_expr(ind).cast("int"))
     coded = (cells.select(param, "ord_par", code.cast("long").alias("flag_code"), trt, "cell")
-                  .filter(F.col("flag_code").isNotNull()))
+                  .filter(F.col("flag_code").isNotNull() & F.col(param).isNotNull() & (F.col(param) != F.lit(""))))
     grid = complete_grid(coded, "flag_code", sorted(FLAG_CODES.values()), 0, ["cell"])
     piv, slots = pivot_positional(grid, [param, "ord_par", "flag_code"], trt, F.col("cell"), arms)
     label = F.when(F.col("flag_code") == 0, F.col(param))

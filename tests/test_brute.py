@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
 from cohortab.plans.ae import ae_summary
-from cohortab.plans.lab import lab_table
+from cohortab.plans.lab import lab_table, lab_table_grid
 
 SETTINGS = settings(max_examples=10, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate],
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -255,3 +255,49 @@ def test_demo_combined_equals_model(spark, subjects):
     got_df = demo_table(df, "arm", ["age", "sex"], "combined")
     assert got_df.columns[4:] == arms
     assert [tuple(r) for r in got_df.collect()] == want
+
+
+def model_lab_grid(adsl, adlb):
+    bign = _big_n(adsl)
+    rows_ = [(s, _arm(a), p, f) for s, a, p, f, fl in adlb if fl == "Y" and s is not None]
+    first = {}
+    for s, a, p, f in rows_:
+        for arm in (a, "Total"):
+            first.setdefault((s, arm, p), []).append(f)
+    pick = {k: min((f for f in v if f is not None), default=None) for k, v in first.items()}
+    cnt = {}
+    for (s, a, p), f in pick.items():
+        cnt[(a, 1, p, None)] = cnt.get((a, 1, p, None), 0) + 1
+        cnt[(a, 2, p, f)] = cnt.get((a, 2, p, f), 0) + 1
+    params = sorted({k[2] for k in cnt if k[0] == "Total" and k[1] == 1},
+                    key=lambda p: (-cnt[("Total", 1, p, None)], _key(p)))
+    ord_par = {p: i + 1 for i, p in enumerate(params)}
+    cols = _columns(bign)
+
+    def cell(a, key):
+        if key not in cnt:
+            return "0"
+        pct = _pct(cnt[key], bign.get(a))
+        return f"{cnt[key]} ({'NA' if pct is None else pct})"
+
+    out = []
+    for p in params:
+        if p is None or p == "":
+            continue
+        out.append((p, p, ord_par[p], 0) + tuple(cell(a, (a, 1, p, None)) for a in cols))
+        for code, text in ((1, "LOW"), (2, "NORMAL"), (3, "HIGH")):
+            out.append((text, p, ord_par[p], code) + tuple(cell(a, (a, 2, p, text)) for a in cols))
+    return out
+
+
+@SETTINGS
+@given(subjects=subjects_st, labs=lab_st)
+def test_lab_grid_equals_model(spark, subjects, labs):
+    adsl_rows = [(_sid(i), a, f) for i, a, f in subjects]
+    adlb_rows = [(_sid(i), a, p, f, fl) for i, a, p, f, fl in labs]
+    adsl = spark.createDataFrame(adsl_rows, "usubjid string, trt01a string, saffl string")
+    adlb = spark.createDataFrame(adlb_rows, "usubjid string, trta string, param string, lbnrind string, "
+                                            "saffl string")
+    want = model_lab_grid(adsl_rows, adlb_rows)
+    got = [tuple(r) for r in lab_table_grid(adlb, adsl).collect()]
+    assert got == want
