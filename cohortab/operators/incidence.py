@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from cohortab.functions.text import count_pct_cell
 from cohortab.operators.population import TOTAL_LABEL, arm_text
-from cohortab.sources.tables import require_columns
+from cohortab.sources.tables import reject_reserved, require_columns
+
+# Columns the incidence operators add.
+INCIDENCE_OUTPUTS = ("level", "n", "denom", "cell", "ord_1", "ord_2", "ord_3", "ord_4", "_subj")
 
 
 def ord_col(k: int) -> str:
@@ -59,6 +62,7 @@ def incidence(df: DataFrame, trt: str, levels: Sequence[str], subject: str = "us
     """
     levels = list(levels)
     require_columns(df, trt, subject, *levels, where="incidence")
+    reject_reserved([trt, subject, *levels], INCIDENCE_OUTPUTS, where="incidence")
     base = df.select(F.col(subject).alias("_subj"), arm_text(trt, total).alias(trt),
                      *[F.col(c).cast("string").alias(c) for c in levels]
                      ).filter(F.col("_subj").isNotNull())

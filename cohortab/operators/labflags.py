@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from cohortab.fixed import FLAG_CODES
 from cohortab.operators.population import TOTAL_LABEL, arm_text
-from cohortab.sources.tables import require_columns
+from cohortab.sources.tables import reject_reserved, require_columns
+
+# Columns the lab operators add.
+LAB_OUTPUTS = ("level", "n", "denom", "cell", "ord_par", "ord_gra", "flag_code", "label", "_g", "_gi")
 
 
 
@@ -42,6 +45,7 @@ def one_flag_per_subject(df: DataFrame, trt: str = "trta", param: str = "param",
                          subject: str = "usubjid", total: str = TOTAL_LABEL) -> DataFrame:
     """``subject, trt, param, ind``: one row per subject x arm (incl. pooled) x parameter."""
     require_columns(df, trt, param, ind, subject, where="one_flag_per_subject")
+    reject_reserved([trt, param, ind, subject], LAB_OUTPUTS, where="one_flag_per_subject")
     base = df.select(F.col(subject).alias(subject), arm_text(trt, total).alias(trt),
                      F.col(param).cast("string").alias(param), F.col(ind).cast("string").alias(ind)
                      ).filter(F.col(subject).isNotNull())

@@ -25,7 +25,11 @@ from cohortab.fixed import COMBINED_STATS, SD_DIGITS_COMBINED, SPLIT_STATS, STAT
 from cohortab.operators.denominators import collect_bounded
 from cohortab.operators.median import exact_median
 from cohortab.operators.population import TOTAL_LABEL, arm_text
-from cohortab.sources.tables import require_columns
+from cohortab.sources.tables import reject_reserved, require_columns
+
+# Columns the summaries add.
+SUMMARY_OUTPUTS = ("Variable", "Stat", "x", "Value", "var_pos", "stat_pos", "rows", "n", "mean", "median",
+                   "sd", "min", "max", "denom", "_it")
 
 MAX_SUMMARY_GROUPS = 100_000
 
@@ -55,6 +59,7 @@ def summary_long(df: DataFrame, trt: str, numeric: Sequence[str], categorical: S
     categorical ones carry the level as text and a NULL ``x``.
     """
     require_columns(df, trt, *numeric, *categorical, where="summary")
+    reject_reserved([trt], SUMMARY_OUTPUTS, where="summary")
     items = [F.struct(F.lit(v).alias("Variable"), _num(v).alias("x"), F.lit(None).cast("string").alias("Stat"))
              for v in numeric]
     items += [F.struct(F.lit(v).alias("Variable"), F.lit(None).cast("double").alias("x"),

@@ -49,7 +49,7 @@ from cohortab.operators.incidence import (
 from cohortab.operators.population import TOTAL_LABEL, apply_choices, arm_text, population
 from cohortab.operators.reshape import pivot_positional, to_wide
 from cohortab.session import materialize
-from cohortab.sources.tables import require_columns
+from cohortab.sources.tables import reject_reserved, require_columns
 
 
 def denominators(adsl: DataFrame, adsl_trt: str, key: str, subject: str, flag: str | None,
@@ -147,6 +147,8 @@ def term_counts(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: s
     (``level`` 0), which are the table's own denominators.
     """
     require_columns(adae, trt, soc, pt, subject, where="ae_term_table")
+    reject_reserved([trt, soc, pt, subject], ("level", "n", "denom", "cell", "label", "soc_key", "is_header",
+                                              "term_key", "_subj"), where="ae_term_table")
     base = adae.select(F.col(subject).alias("_subj"), arm_text(trt, None).alias(trt),
                        F.col(soc).cast("string").alias(soc), F.col(pt).cast("string").alias(pt)
                        ).filter(F.col("_subj").isNotNull())

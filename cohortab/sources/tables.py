@@ -73,6 +73,13 @@ def spread_underpartitioned(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) ->
     return df
 
 
+def reject_reserved(cols, reserved, where: str = "input") -> None:
+    """Fail early when an argument column is named like a column the operator adds."""
+    clash = sorted({c for c in cols if c is not None and c.lower() in {r.lower() for r in reserved}})
+    if clash:
+        raise ValueError(f"{where}: column name(s) {clash} are used for output columns; rename them first")
+
+
 def require_columns(df: DataFrame, *cols: str, where: str = "input") -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:

@@ -32,3 +32,13 @@ def test_coarse_fact_scan_is_spread_and_small_or_large_ones_are_not(spark):
         assert "RoundRobinPartitioning" not in _plan(spread_underpartitioned(raw))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_argument_columns_named_like_outputs_are_rejected(spark):
+    from cohortab.operators.incidence import incidence
+    from cohortab.operators.summary import numeric_stats
+    df = spark.createDataFrame([("s1", "A", "x", 1.0)], "usubjid string, level string, n string, Stat double")
+    with pytest.raises(ValueError, match="output columns"):
+        incidence(df, "level", ["n"])
+    with pytest.raises(ValueError, match="output columns"):
+        numeric_stats(df.withColumnRenamed("level", "Variable"), "Variable", ["Stat"])
