@@ -127,9 +127,9 @@ def _choice_filter() -> str:
 WHERE aerel = 'F' AND aesev IN ('1-URGENT', '2-HIGH')"""
 
 
-def _facet(col: str) -> str:
-    return with_ctes(ADLB) + f"""SELECT value, CAST(CASE WHEN pos <= 5 THEN pos END AS BIGINT) AS pos,
-  pos <= 5 AS is_default FROM (
+def _facet(col: str, n_default: int = 5) -> str:
+    return with_ctes(ADLB) + f"""SELECT value, CAST(CASE WHEN pos <= {n_default} THEN pos END AS BIGINT) AS pos,
+  pos <= {n_default} AS is_default FROM (
   SELECT value, row_number() OVER (ORDER BY value) AS pos
   FROM (SELECT DISTINCT {col} AS value FROM adlb WHERE {col} IS NOT NULL) v) x"""
 
@@ -463,7 +463,7 @@ def statements() -> dict[str, str]:
         "big_n": _big_n(),
         "choice_filter": _choice_filter(),
         "facet_values": _facet("param"),
-        "facet_visits": _facet("visit"),
+        "facet_visits": _facet("visit", n_default=1),
         "numeric_split": _numeric("split"),
         "numeric_combined": _numeric("combined"),
         "categorical_summary": _categorical(),
