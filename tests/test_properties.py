@@ -16,7 +16,8 @@ events_st = st.lists(st.tuples(st.integers(0, 18), st.sampled_from(ARMS), st.sam
                                st.sampled_from(PTS), st.sampled_from(["Y", "N"]), st.sampled_from(["R1", "R2"])),
                      min_size=1, max_size=40)
 # Each example runs Spark jobs, so no shrinking phase (it would take minutes).
-SETTINGS = settings(max_examples=12, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate],
+SETTINGS = settings(max_examples=12, deadline=None, derandomize=True,
+                    phases=[Phase.explicit, Phase.reuse, Phase.generate],
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
