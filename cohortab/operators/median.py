@@ -79,7 +79,8 @@ def _banded(data, tf, keys):
 
 def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = BAND_LIMIT,
                  grid: int = GRID, accuracy: int = ACCURACY, max_groups: int = MAX_GROUPS,
-                 counts: Sequence[tuple[tuple, int]] | None = None) -> DataFrame:
+                 counts: Sequence[tuple[tuple, int]] | None = None,
+                 max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``(keys..., median)``: exact median of ``x`` per group; groups with no value are absent.
 
     ``counts`` may carry the non-missing count per group (``[(key_tuple, n)]``)
@@ -105,7 +106,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = B
                             "lo": -math.inf, "hi": math.inf, "lo_open": False, "hi_open": False,
                             "below": 0, "value": None})
 
-    for _ in range(MAX_ROUNDS):
+    for _ in range(max_rounds):
         active = [t for t in targets if t["value"] is None and t["m"] > band_limit]
         if not active:
             break
@@ -139,8 +140,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = B
                 t["value"] = t["b"]
             else:
                 t.update(lo=t["b"], lo_open=True, below=below + c["le_b"], m=t["m"] - c["le_b"])
-    else:
-        raise RuntimeError("exact_median did not converge")
+    if any(t["value"] is None and t["m"] > band_limit for t in targets):
+        raise RuntimeError(f"exact_median did not narrow every band within {max_rounds} rounds")
 
     pending = [t for t in targets if t["value"] is None]
     resolved = [t for t in targets if t["value"] is not None]
