@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cohortab.operators.population import TOTAL_LABEL, arm_text, population
-from cohortab.sources.tables import require_columns
+from cohortab.sources.tables import reject_reserved, require_columns
 
 # Reports are laid out with one column per arm; more than this is not a report.
 MAX_ARMS = 256
@@ -30,6 +30,7 @@ def big_n(adsl: DataFrame, trt: str, subject: str = "usubjid", flag: str | None
     """Distinct population subjects per arm, plus the pooled arm: ``(name, N)``."""
     require_columns(adsl, trt, subject, where="big_n")
     name = name or trt
+    reject_reserved([name, subject], ("N", "_subj", "_g"), where="big_n")
     pop = population(adsl, flag, value) if flag else adsl
     base = (pop.select(F.col(subject).alias("_subj"), arm_text(trt, total).alias(name))
                .filter(F.col("_subj").isNotNull()))
@@ -46,6 +47,7 @@ def self_big_n(df: DataFrame, trt: str, subject: str = "usubjid") -> DataFrame:
     No population filter and no pooled arm.
     """
     require_columns(df, trt, subject, where="self_big_n")
+    reject_reserved([trt, subject], ("N", "_subj"), where="self_big_n")
     return (df.select(F.col(subject).alias("_subj"), arm_text(trt, None).alias(trt))
               .filter(F.col("_subj").isNotNull())
               .groupBy(trt).agg(F.countDistinct("_subj").cast("long").alias("N")))
