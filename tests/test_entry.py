@@ -46,3 +46,12 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
+
+
+def test_catalogue_of_survey_is_registered():
+    catalogue = """population with_total big_n choice_filter facet_values numeric_split numeric_combined
+        categorical_summary demo_table demo_table_combined incidence rank_levels with_percent ae_summary
+        ae_summary_filtered self_big_n row_total soc_header_first soc_header_distinct ae_term_table flag_code
+        one_flag_per_subject param_incidence flag_incidence lab_table complete_grid lab_table_grid to_long
+        to_wide_fill histogram preview""".split()
+    assert set(catalogue) <= set(ent.queries())

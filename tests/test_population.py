@@ -67,3 +67,9 @@ def test_facet_values_sorted_with_default_selection(spark):
     got = rows(facet_values(df, "p", n_default=5).orderBy("value"))
     assert got == [("a", 1, True), ("b", 2, True), ("c", 3, True), ("d", 4, True), ("e", 5, True),
                    ("f", None, False)]
+
+
+def test_facet_single_default(spark):
+    df = spark.createDataFrame([(v,) for v in ["d2", "d1", "d3"]], "v string")
+    assert rows(facet_values(df, "v", n_default=1).orderBy("value")) == [("d1", 1, True), ("d2", None, False),
+                                                                          ("d3", None, False)]
