@@ -168,3 +168,12 @@ def test_arms_differing_only_in_case_stay_apart_in_every_layout(spark):
                                  "usubjid string, trta string, param string, lbnrind string, saffl string")
     grid = lab_table_grid(adlb, adsl)
     assert grid.columns[-3:] == ["B", "b", "Total"] and tuple(grid.first())[-3:] == ("0", "1 (100)", "1 (50)")
+
+
+def test_term_table_total_equals_row_total_operator(spark):
+    import __spark_entry__ as ent
+    d = "/root/testdata/sf0.01"
+    term = ent.q_ae_term_table(spark, d).filter("NOT is_header")
+    got = {(r.soc_key, r.term_key): int(r.Total) for r in term.select("soc_key", "term_key", "Total").collect()}
+    want = {(r.aebodsys, r.aedecod): r.total_n for r in ent.q_row_total(spark, d).collect()}
+    assert got == want and len(got) > 0
