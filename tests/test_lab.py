@@ -96,3 +96,12 @@ def test_flag_without_pooled_rank_sorts_last_within_its_parameter(spark):
                                  "usubjid string, trta string, param string, lbnrind string, saffl string")
     got = rows(lab_table(adlb, adsl, arms=["A", "B", "Total"]), "label", "ord", "ord_gra")
     assert got == [("P", 1, 0), ("HIGH", 2, 1), ("LOW", 2, None)]
+
+
+def test_lab_table_headers_agree_with_param_incidence(spark):
+    import __spark_entry__ as ent
+    d = "/root/testdata/sf0.01"
+    heads = ent.q_lab_table(spark, d).filter("ord = 1").select("param", "Total").collect()
+    got = {r.param: int(r.Total.split(" ")[0]) for r in heads}
+    want = {r.param: r.n for r in ent.q_param_incidence(spark, d).filter("trta = 'Total'").collect()}
+    assert got == want and len(got) > 0
