@@ -5,17 +5,45 @@ from __future__ import annotations
 import os
 
 
-from cohortab.llm import packing, quality_model, quality_rules, simhash, suffix_dedup, url_model
+from cohortab.llm import (
+    chat_tools,
+    embedding_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    sentencepiece_dropout,
+    sharding,
+    simhash,
+    suffix_dedup,
+    url_model,
+)
 
 
 def _read(spark, d, table):
     return spark.read.parquet(os.path.join(d, f"{table}.parquet"))
 
 
+def op1_chat_tool_calls(spark, d):
+    calls, results = chat_tools.calls_of_turns(_read(spark, d, "conversations"))
+    return chat_tools.link_tool_calls(calls, results, chat_tools.TOOLS)
+
+
+def op2_sentencepiece_dropout(spark, d):
+    return sentencepiece_dropout.round_trip(_read(spark, d, "documents"))
+
+
+def op3_rendezvous_sharding(spark, d):
+    return sharding.shard_documents(_read(spark, d, "documents"))
+
+
 def op4_best_fit_packing(spark, d):
     return packing.best_fit_packing(_read(spark, d, "documents"))
 
 
+def op5_embedding_dedup(spark, d):
+    return embedding_dedup.embedding_groups(_read(spark, d, "embeddings"))
+
+
 def op6_suffix_dedup(spark, d):
     return suffix_dedup.remove_repeats(_read(spark, d, "documents"))
 
@@ -39,8 +67,10 @@ def op10_url_filter(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_best_fit_packing, op6_suffix_dedup, op7_quality_classifier, op8_simhash,
-                                    op9_quality_rules, op10_url_filter)}
+    every = (op1_chat_tool_calls, op2_sentencepiece_dropout, op3_rendezvous_sharding, op4_best_fit_packing,
+             op5_embedding_dedup, op6_suffix_dedup, op7_quality_classifier, op8_simhash, op9_quality_rules,
+             op10_url_filter)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql():
