@@ -1,15 +1,15 @@
 """Cell text: percents, statistics and labels as JVM-side Column expressions.
 
-Every rule here is exact and engine-independent, so the same text comes out of
-Spark and of a plain-SQL check:
-
-* Percent ``100*n/N`` to one decimal is computed in integers: tenths
-  ``t = 1000*n div N`` rounded half-to-even on the remainder. No floating
-  point, so ``n/N`` pairs that are ties (e.g. 1/16 -> 6.25) round the same
-  everywhere.
-* Statistics are rounded half-to-even to ``d`` decimals, printed as a decimal
-  and stripped of trailing zeros (``12.50`` -> ``12.5``, ``65.00`` -> ``65``),
-  which is how a plain number prints in the reports.
+Numbers are rounded on the binary value of the double, as the reports' own
+rounding does:
+
+* ``round`` style: of the two decimals around a value, the nearer one by the
+  difference of doubles, the one with the even last digit when both are equally
+  near (2.675 -> 2.67, 0.15 -> 0.1, 6.25 -> 6.2).
+* ``sprintf`` style (one decimal always shown): the exact binary value decides,
+  an exact tie goes to the even digit. The product with 20 is split into two
+  exact doubles, so no decimal tie is invented or lost.
+* Statistics print without trailing zeros (``12.50`` -> ``12.5``).
 * ``paste`` joins text and prints a missing value as ``NA``; plain
   ``F.concat`` gives NULL when any part is missing (the "strict" cell style).
 """
@@ -33,15 +33,35 @@ def _idiv(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("long")
 
 
-def percent_tenths(n: ColumnOrName, denom: ColumnOrName) -> Column:
-    """``round(100*n/denom, 1)`` as integer tenths, half-to-even; NULL if denom is NULL or <= 0."""
+def nearest_steps(x: ColumnOrName, scale: int) -> Column:
+    """``round(x, d)`` with ``scale`` = 10**d, as a whole number of steps of 1/scale."""
+    x = _col(x).cast("double")
+    low = F.floor(x * F.lit(float(scale)))
+    below = x - low / F.lit(float(scale))
+    above = (low + 1) / F.lit(float(scale)) - x
+    up = (above < below) | ((above == below) & (F.abs(low % 2) == 1))
+    return low + up.cast("long")
+
+
+def exact_tenths(x: ColumnOrName) -> Column:
+    """Tenths of a non-negative ``x`` as ``%.1f`` prints them: exact binary value, ties to even."""
+    x = _col(x).cast("double")
+    low = F.floor(x * F.lit(10.0))
+    wide = x * F.lit(134217729.0)  # 2**27 + 1: splits a double into two halves that multiply exactly
+    head = wide - (wide - x)
+    over = (head * F.lit(20.0) - (2 * low + 1).cast("double")) + (x - head) * F.lit(20.0)
+    return low + ((over > 0) | ((over == 0) & (low % 2 == 1))).cast("long")
+
+
+def percent_value(n: ColumnOrName, denom: ColumnOrName) -> Column:
+    """``100 * n / denom`` as a double; NULL if denom is NULL or <= 0."""
     n, denom = _col(n).cast("long"), _col(denom).cast("long")
-    safe = F.when(denom > 0, denom)
-    scaled = n * F.lit(1000)
-    q = _idiv(scaled, safe)
-    r = scaled % safe
-    bump = (F.lit(2) * r > safe) | ((F.lit(2) * r == safe) & (q % 2 == 1))
-    return q + bump.cast("long")
+    return F.lit(100.0) * n / F.when(denom > 0, denom)
+
+
+def percent_tenths(n: ColumnOrName, denom: ColumnOrName) -> Column:
+    """``round(100*n/denom, 1)`` as integer tenths; NULL if denom is NULL or <= 0."""
+    return nearest_steps(percent_value(n, denom), 10)
 
 
 def tenths_text(tenths: ColumnOrName, keep_zero_decimal: bool = False) -> Column:
@@ -55,8 +75,12 @@ def tenths_text(tenths: ColumnOrName, keep_zero_decimal: bool = False) -> Column
 
 
 def percent_text(n: ColumnOrName, denom: ColumnOrName, keep_zero_decimal: bool = False) -> Column:
-    """Rounded percent of n in denom as text; NULL when denom is missing."""
-    return tenths_text(percent_tenths(n, denom), keep_zero_decimal)
+    """Rounded percent of n in denom as text; NULL when denom is missing.
+
+    With ``keep_zero_decimal`` it is rounded as ``sprintf`` does, else as ``round`` does.
+    """
+    tenths = exact_tenths(percent_value(n, denom)) if keep_zero_decimal else percent_tenths(n, denom)
+    return tenths_text(tenths, keep_zero_decimal)
 
 
 def count_pct_cell(n: ColumnOrName, denom: ColumnOrName, style: str = "strict") -> Column:
@@ -82,11 +106,15 @@ def count_pct_cell(n: ColumnOrName, denom: ColumnOrName, style: str = "strict")
 
 
 def number_text(x: ColumnOrName, digits: int) -> Column:
-    """A statistic rounded half-to-even to ``digits`` decimals, printed without trailing zeros."""
+    """A statistic as ``round(x, digits)``, printed without trailing zeros."""
     if digits < 1:
         raise ValueError("digits must be >= 1")
-    value = _col(x).cast("double")
-    rounded = F.bround(value, digits).try_cast(f"decimal(38,{digits})").cast("string")
+    value, scale = _col(x).cast("double"), 10 ** digits
+    steps = nearest_steps(value, scale).try_cast("decimal(18,0)")
+    # From 2**52 steps on a double has no digits to round away.
+    fine = F.abs(value) * F.lit(float(scale)) < F.lit(float(1 << 52))
+    rounded = F.when(fine, (steps / F.lit(scale)).cast(f"decimal(38,{digits})")).otherwise(
+        value.try_cast(f"decimal(38,{digits})")).cast("string")
     stripped = F.regexp_replace(rounded, r"\.?0+$", "")
     text = F.when(stripped == "-0", F.lit("0")).otherwise(stripped)
     # Values a decimal cannot hold (infinities, |x| >= 1e36) print as plain doubles.

@@ -4,39 +4,43 @@ Each statement reads the raw test tables (pre-registered views) and rebuilds
 the study roles with the same mapping as ``cohortab.sources.study``. Totals use
 UNION ALL, nested levels use separate GROUP BYs, pivots use conditional
 aggregates: an independent formulation of what the Spark operators do with
-explode, grouping sets and pivot. Percent and number text use the same exact
-integer / half-even rules as ``cohortab.functions.text``.
+explode, grouping sets and pivot. ``sprintf`` cells use DuckDB's printf.
 """
 
 from __future__ import annotations
 
 # Arms of the test data (c_mktsegment), in report order; the pooled arm last.
-ARMS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+# A missing arm is the arm 'NA'. Planned arms are never missing.
+PLANNED = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+ARMS = PLANNED + ["NA"]
 ARMS_T = ARMS + ["Total"]
 
-ADSL = """adsl AS (
-  SELECT c.c_custkey AS usubjid, c.c_mktsegment AS trt01p, c.c_mktsegment AS trt01a,
+SAFETY = "CASE WHEN c.c_custkey % 17 <> 0 THEN CASE WHEN c.c_acctbal >= 0 THEN 'Y' ELSE 'N' END END"
+ACTUAL = "CASE WHEN c.c_custkey % 13 <> 0 THEN c.c_mktsegment END"
+
+ADSL = f"""adsl AS (
+  SELECT c.c_custkey AS usubjid, CASE WHEN c.c_custkey % 7 = 0 THEN 'BUILDING' ELSE c.c_mktsegment END AS trt01p, {ACTUAL} AS trt01a,
          c.c_mktsegment AS arm, c.c_acctbal AS age,
          CASE WHEN c.c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, r.r_name AS race,
-         CASE WHEN c.c_acctbal >= 0 THEN 'Y' ELSE 'N' END AS saffl
+         {SAFETY} AS saffl
   FROM customer c
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
-ADAE = """adae AS (
-  SELECT o.o_custkey AS usubjid, c.c_mktsegment AS trta, p.p_type AS aebodsys, p.p_brand AS aedecod,
+ADAE = f"""adae AS (
+  SELECT o.o_custkey AS usubjid, {ACTUAL} AS trta, p.p_type AS aebodsys, p.p_brand AS aedecod,
          o.o_orderpriority AS aesev, o.o_orderstatus AS aerel, l.l_returnflag AS aeser,
-         CASE WHEN c.c_acctbal >= 0 THEN 'Y' ELSE 'N' END AS saffl
+         {SAFETY} AS saffl
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN part p ON l.l_partkey = p.p_partkey)"""
 
-ADLB = """adlb AS (
-  SELECT e.user_id AS usubjid, c.c_mktsegment AS trta, e.event_type AS param, e.value AS aval,
+ADLB = f"""adlb AS (
+  SELECT e.user_id AS usubjid, {ACTUAL} AS trta, e.event_type AS param, e.value AS aval,
          CASE WHEN e.value < 5 THEN 'LOW' WHEN e.value > 100 THEN 'HIGH' ELSE 'NORMAL' END AS lbnrind,
          CAST(CAST(e.ts AS DATE) AS VARCHAR) AS visit,
-         CASE WHEN c.c_acctbal >= 0 THEN 'Y' ELSE 'N' END AS saffl
+         {SAFETY} AS saffl
   FROM events e JOIN customer c ON e.user_id = c.c_custkey)"""
 
 
@@ -44,19 +48,26 @@ def _q(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def nearest(x: str, scale: int) -> str:
+    """round(x, d) as a whole number of steps of 1/scale: the nearer of the two decimals around x, even on equality."""
+    low = f"floor(({x}) * {scale}.0::DOUBLE)"
+    below = f"(({x}) - {low} / {scale}.0::DOUBLE)"
+    above = f"(({low} + 1) / {scale}.0::DOUBLE - ({x}))"
+    return (f"({low} + CASE WHEN {above} < {below} OR ({above} = {below} AND abs({low} % 2) = 1) THEN 1 ELSE 0 END)")
+
+
+def percent(n: str, d: str) -> str:
+    return f"(100.0::DOUBLE * ({n}) / CASE WHEN ({d}) > 0 THEN ({d}) END)"
+
+
 def tenths(n: str, d: str) -> str:
-    """round(100*n/d, 1) in integer tenths, half-to-even; NULL unless d > 0."""
-    q = f"((1000*({n})) // ({d}))"
-    r = f"((1000*({n})) % ({d}))"
-    return (f"CASE WHEN ({d}) > 0 THEN {q} + CASE WHEN 2*{r} > ({d}) OR (2*{r} = ({d}) AND {q} % 2 = 1) "
-            f"THEN 1 ELSE 0 END END")
+    """round(100*n/d, 1) in integer tenths; NULL unless d > 0."""
+    return f"CAST({nearest(percent(n, d), 10)} AS BIGINT)"
 
 
-def tenths_text(t: str, keep_zero: bool = False) -> str:
+def tenths_text(t: str) -> str:
     whole = f"CAST(({t}) // 10 AS VARCHAR)"
     frac = f"CAST(({t}) % 10 AS VARCHAR)"
-    if keep_zero:
-        return f"({whole} || '.' || {frac})"
     return f"CASE WHEN ({t}) % 10 = 0 THEN {whole} ELSE {whole} || '.' || {frac} END"
 
 
@@ -70,14 +81,14 @@ def cell(n: str, d: str, style: str = "strict") -> str:
     if style == "percent":
         return f"({n_txt} || ' (' || coalesce({tenths_text(t)}, 'NA') || '%)')"
     if style == "sprintf":
-        return f"({n_txt} || ' (' || {tenths_text(t, True)} || '%)')"
+        return f"({n_txt} || ' (' || printf('%.1f', {percent(n, d)}) || '%)')"
     raise ValueError(style)
 
 
 def num_text(x: str, d: int) -> str:
-    """Half-even rounding of the shortest decimal form to d decimals, without trailing zeros."""
-    dec = f"TRY_CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18))"
-    s = f"regexp_replace(CAST(CAST(round_even({dec}, {d}) AS DECIMAL(38,{d})) AS VARCHAR), '\\.?0+$', '')"
+    """round(x, d) as text without trailing zeros."""
+    steps = f"{nearest(f'CAST({x} AS DOUBLE)', 10 ** d)} / {10 ** d}.0::DOUBLE"
+    s = f"regexp_replace(CAST(CAST({steps} AS DECIMAL(38,{d})) AS VARCHAR), '\\.?0+$', '')"
     return f"CASE WHEN {s} = '-0' THEN '0' ELSE {s} END"
 
 
@@ -100,8 +111,8 @@ def with_ctes(*ctes: str) -> str:
 # --------------------------------------------------------------------------- basics
 
 BIGN = """bign AS (
-  SELECT trt01a AS trta, count(DISTINCT usubjid) AS N FROM adsl
-   WHERE saffl = 'Y' AND usubjid IS NOT NULL GROUP BY trt01a
+  SELECT coalesce(trt01a, 'NA') AS trta, count(DISTINCT usubjid) AS N FROM adsl
+   WHERE saffl = 'Y' AND usubjid IS NOT NULL GROUP BY ALL
   UNION ALL
   SELECT 'Total', count(DISTINCT usubjid) FROM adsl WHERE saffl = 'Y' AND usubjid IS NOT NULL)"""
 
@@ -114,7 +125,7 @@ def _population() -> str:
 
 
 def _with_total() -> str:
-    return with_ctes(ADSL) + """SELECT usubjid, trt01a FROM adsl WHERE saffl = 'Y'
+    return with_ctes(ADSL) + """SELECT usubjid, coalesce(trt01a, 'NA') AS trt01a FROM adsl WHERE saffl = 'Y'
 UNION ALL SELECT usubjid, 'Total' FROM adsl WHERE saffl = 'Y'"""
 
 
@@ -127,11 +138,9 @@ def _choice_filter() -> str:
 WHERE aerel = 'F' AND aesev IN ('1-URGENT', '2-HIGH')"""
 
 
-def _facet(col: str, n_default: int = 5) -> str:
-    return with_ctes(ADLB) + f"""SELECT value, CAST(CASE WHEN pos <= {n_default} THEN pos END AS BIGINT) AS pos,
-  pos <= {n_default} AS is_default FROM (
-  SELECT value, row_number() OVER (ORDER BY value) AS pos
-  FROM (SELECT DISTINCT {col} AS value FROM adlb WHERE {col} IS NOT NULL) v) x"""
+def _facet(col: str, n: int | None = None) -> str:
+    return with_ctes(ADLB) + f"""SELECT DISTINCT {col} AS value FROM adlb WHERE {col} IS NOT NULL
+ORDER BY value{f' LIMIT {n}' if n else ''}"""
 
 
 # --------------------------------------------------------------------------- demography
@@ -194,7 +203,7 @@ def _categorical() -> str:
         "SELECT Variable, Stat, stat_pos, arm AS trt01a, Value FROM cs"
 
 
-def _demo(trt: str, style: str, where: str = "") -> str:
+def _demo(trt: str, style: str, where: str = "", arms=None) -> str:
     stats = SPLIT if style == "split" else COMBINED
     body = with_ctes(ADSL, _num_ctes(trt, "age", where), _cat_ctes(trt, ["sex", "race"], where))
     long = f"""SELECT Variable, Stat, stat_pos, arm, Value FROM ({_num_rows('age', stats)}) a
@@ -202,7 +211,7 @@ def _demo(trt: str, style: str, where: str = "") -> str:
     return body + f"""SELECT Variable, Stat,
   CAST(CASE Variable WHEN 'age' THEN 1 WHEN 'sex' THEN 2 WHEN 'race' THEN 3 END AS BIGINT) AS var_pos,
   stat_pos,
-  {pivot('Value', 'arm', ARMS_T)}
+  {pivot('Value', 'arm', arms or ARMS_T)}
 FROM ({long}) l
 GROUP BY Variable, Stat, stat_pos"""
 
@@ -212,7 +221,7 @@ GROUP BY Variable, Stat, stat_pos"""
 def _ae_long(where: str = "") -> str:
     """CTEs ev .. cells for the adverse-event summary (optionally with extra event filters)."""
     return f"""ev AS (
-  SELECT usubjid, trta, aebodsys AS soc, aedecod AS pt FROM adae
+  SELECT usubjid, coalesce(trta, 'NA') AS trta, aebodsys AS soc, aedecod AS pt FROM adae
    WHERE saffl = 'Y' AND usubjid IS NOT NULL {where}),
 ev2 AS (SELECT usubjid, trta, soc, pt FROM ev UNION ALL SELECT usubjid, 'Total', soc, pt FROM ev),
 inc AS (
@@ -235,8 +244,8 @@ cells AS (
   LEFT JOIN bign b ON i.trta IS NOT DISTINCT FROM b.trta)"""
 
 
-def _ae_summary(where: str = "", indent: str = "  ") -> str:
-    return with_ctes(ADSL, ADAE, BIGN, _ae_long(where)) + f"""
+def _ae_summary(where: str = "", indent: str = "  ", bign: str = BIGN) -> str:
+    return with_ctes(ADSL, ADAE, bign, _ae_long(where)) + f"""
 SELECT label, ord_soc, ord, ord_pt,
   {pivot('cell', 'trta', ARMS_T, fill='0')}
 FROM (
@@ -268,9 +277,9 @@ def _with_percent() -> str:
   denom, cell FROM cells"""
 
 
-TERM = f"""tc AS (SELECT aebodsys, aedecod, trta, count(DISTINCT usubjid) AS n FROM adae
-        WHERE usubjid IS NOT NULL GROUP BY aebodsys, aedecod, trta),
-sn AS (SELECT trta, count(DISTINCT usubjid) AS N FROM adae WHERE usubjid IS NOT NULL GROUP BY trta),
+TERM = f"""te AS (SELECT usubjid, aebodsys, aedecod, coalesce(trta, 'NA') AS trta FROM adae WHERE usubjid IS NOT NULL),
+tc AS (SELECT aebodsys, aedecod, trta, count(DISTINCT usubjid) AS n FROM te GROUP BY aebodsys, aedecod, trta),
+sn AS (SELECT trta, count(DISTINCT usubjid) AS N FROM te GROUP BY trta),
 tl AS (SELECT tc.*, {cell('tc.n', 'sn.N', 'sprintf')} AS cell
        FROM tc LEFT JOIN sn ON tc.trta IS NOT DISTINCT FROM sn.trta),
 tw AS (SELECT aebodsys, aedecod,
@@ -284,8 +293,8 @@ ARM_COLS = ", ".join(_q(a) for a in ARMS) + ', "Total"'
 
 
 def _self_big_n() -> str:
-    return with_ctes(ADAE) + """SELECT trta, count(DISTINCT usubjid) AS N FROM adae
-WHERE usubjid IS NOT NULL GROUP BY trta"""
+    return with_ctes(ADAE) + """SELECT coalesce(trta, 'NA') AS trta, count(DISTINCT usubjid) AS N FROM adae
+WHERE usubjid IS NOT NULL GROUP BY ALL"""
 
 
 def _row_total() -> str:
@@ -305,9 +314,10 @@ def _soc_header_distinct() -> str:
   CAST(sum(CASE WHEN trta IN ({", ".join(f"'{a}'" for a in ARMS)}) THEN n ELSE 0 END) AS VARCHAR) AS "Total"
 FROM (
   SELECT c.aebodsys, c.trta, c.n, {cell('c.n', 'sn.N', 'sprintf')} AS cell
-  FROM (SELECT aebodsys, trta, count(DISTINCT usubjid) AS n FROM adae WHERE usubjid IS NOT NULL
-        GROUP BY aebodsys, trta) c
-  LEFT JOIN (SELECT trta, count(DISTINCT usubjid) AS N FROM adae WHERE usubjid IS NOT NULL GROUP BY trta) sn
+  FROM (SELECT aebodsys, coalesce(trta, 'NA') AS trta, count(DISTINCT usubjid) AS n FROM adae WHERE usubjid IS NOT NULL
+        GROUP BY ALL) c
+  LEFT JOIN (SELECT coalesce(trta, 'NA') AS trta, count(DISTINCT usubjid) AS N FROM adae WHERE usubjid IS NOT NULL
+             GROUP BY ALL) sn
     ON c.trta IS NOT DISTINCT FROM sn.trta) x
 GROUP BY aebodsys"""
 
@@ -322,7 +332,7 @@ SELECT '  ' || coalesce(aedecod, 'NA'), aebodsys, FALSE, aedecod, {ARM_COLS} FRO
 # --------------------------------------------------------------------------- labs
 
 def _lab_ctes(param_filter: str = "") -> str:
-    return f"""lp AS (SELECT usubjid, trta, param, lbnrind FROM adlb
+    return f"""lp AS (SELECT usubjid, coalesce(trta, 'NA') AS trta, param, lbnrind FROM adlb
        WHERE saffl = 'Y' AND usubjid IS NOT NULL {param_filter}),
 lfirst AS (SELECT usubjid, trta, param, min(lbnrind) AS lbnrind FROM lp GROUP BY usubjid, trta, param
            UNION ALL SELECT usubjid, 'Total', param, min(lbnrind) FROM lp GROUP BY usubjid, param),
@@ -367,8 +377,8 @@ FROM fc LEFT JOIN fr ON fc.param IS NOT DISTINCT FROM fr.param AND fc.lbnrind IS
 WHERE fc.level = 2"""
 
 
-def _lab_table() -> str:
-    return with_ctes(ADSL, BIGN, ADLB, _lab_ctes()) + f"""SELECT label, param, ord, ord_gra,
+def _lab_table(bign: str = BIGN) -> str:
+    return with_ctes(ADSL, bign, ADLB, _lab_ctes()) + f"""SELECT label, param, ord, ord_gra,
   {pivot('cell', 'trta', ARMS_T, fill='0')}
 FROM (SELECT CASE WHEN level = 2 AND lbnrind IS NOT NULL THEN lbnrind ELSE param END AS label, param,
              CAST(level AS BIGINT) AS ord, CAST(ord_gra AS BIGINT) AS ord_gra, trta, cell FROM lc) s
@@ -377,10 +387,35 @@ GROUP BY label, param, ord, ord_gra"""
 
 
 DEFAULT_PARAMS = """AND param IN (SELECT value FROM (SELECT DISTINCT param AS value FROM adlb
-                                  WHERE param IS NOT NULL) v ORDER BY value LIMIT 5)"""
+                                  WHERE param IS NOT NULL) v ORDER BY value LIMIT 3)"""
+
+
+# Subjects without one segment; all events: that segment is an arm without a denominator.
+BIGN_LESS = BIGN.replace("FROM adsl", "FROM (SELECT * FROM adsl WHERE arm <> 'MACHINERY')")
+
+
+def _complete_grid() -> str:
+    return with_ctes(ADSL, BIGN, ADLB, _lab_ctes()) + f"""SELECT h.trta, h.param, g.flag_code, f.n FROM
+(SELECT trta, param FROM fc WHERE level = 1) h, (SELECT CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS flag_code) g
+LEFT JOIN (SELECT trta, param, CAST(CASE WHEN level = 1 THEN 0 ELSE {FLAG_CODE_SQL} END AS BIGINT) AS flag_code, n
+           FROM fc) f ON f.trta = h.trta AND f.param = h.param AND f.flag_code = g.flag_code"""
+
+
+def _percent_cells() -> str:
+    return f"""SELECT n, d, {cell('n', 'd', 'strict')} AS strict, {cell('n', 'd', 'percent')} AS percent,
+  {cell('n', 'd', 'sprintf')} AS sprintf, {num_text('n / 1000.0::DOUBLE', 2)} AS two,
+  {num_text('n / 1000.0::DOUBLE - d', 2)} AS below
+FROM (SELECT p_partkey AS n, (SELECT count(*) FROM part) AS d FROM part) x"""
+
+
+def _median_narrowed() -> str:
+    return with_ctes(ADLB) + """SELECT param, sum(0.5 * aval) * 2.0 / count(*) AS median FROM (
+  SELECT param, aval, row_number() OVER (PARTITION BY param ORDER BY aval) AS r,
+         count(*) OVER (PARTITION BY param) AS c FROM adlb WHERE aval IS NOT NULL) x
+WHERE r = (c + 1) // 2 OR r = c // 2 + 1 GROUP BY param"""
 
 
-def _lab_grid(flags_only: bool = False) -> str:
+def _lab_grid() -> str:
     arm_fill = ", ".join(f"coalesce(w.{_q(a)}, '0') AS {_q(a)}" for a in ARMS_T)
     arm_cols = ", ".join(_q(a) for a in ARMS_T)
     body = with_ctes(ADSL, BIGN, ADLB, _lab_ctes(DEFAULT_PARAMS)) + f""", coded AS (
@@ -398,7 +433,7 @@ allrows AS (SELECT param, ord_par, flag_code, {arm_cols} FROM heads
 """
     return body.replace("\n, coded", ",\ncoded") + f"""SELECT CASE flag_code WHEN 0 THEN param WHEN 1 THEN 'LOW' WHEN 2 THEN 'NORMAL'
   WHEN 3 THEN 'HIGH' END AS label, param, ord_par, flag_code, {arm_cols}
-FROM allrows {'WHERE flag_code > 0' if flags_only else ''}"""
+FROM allrows"""
 
 
 # --------------------------------------------------------------------------- reshaping, exploration
@@ -416,39 +451,29 @@ FROM fc WHERE level = 2 GROUP BY param, lbnrind"""
 
 
 def _histogram() -> str:
-    eps = "2.220446049250313e-16"
-    return with_ctes(ADLB).rstrip("\n") + f""",
+    """Sturges' class count; the smallest of 1, 2, 5, 10 times a power of ten whose weighted limit holds the aimed step."""
+    return with_ctes(ADLB).rstrip("\n") + """,
 hv AS (SELECT CAST(aval AS DOUBLE) AS x FROM adlb WHERE aval IS NOT NULL AND isfinite(aval)),
-hs AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM hv),
-h0 AS (SELECT lo, hi, CAST(ceil(log2(n) + 1) AS BIGINT) AS nc, hi - lo AS dx, greatest(abs(lo), abs(hi)) AS cmax FROM hs),
-h1 AS (SELECT *, (dx = 0 AND hi = 0) OR dx < cmax * (1 + 1 / (1 + 1.5)) * greatest(1, nc) * {eps} * 3 AS small FROM h0),
-h2 AS (SELECT *, CASE WHEN small THEN
-          (CASE WHEN dx = 0 AND hi = 0 THEN 1.0 WHEN cmax > 10 THEN 9 + cmax / 10 ELSE cmax END) * 0.75
-        WHEN nc > 1 THEN dx / nc ELSE dx END AS cell FROM h1),
-h3 AS (SELECT *, pow(10.0, floor(log10(cell))) AS base FROM h2),
-h4 AS (SELECT *, CASE WHEN 2 * base - cell < 1.5 * (cell - base) THEN
-          (CASE WHEN 5 * base - cell < 2.75 * (cell - 2 * base) THEN
-             (CASE WHEN 10 * base - cell < 1.5 * (cell - 5 * base) THEN 10 * base ELSE 5 * base END)
-           ELSE 2 * base END)
-        ELSE base END AS unit FROM h3),
-h5 AS (SELECT *, floor(lo / unit + 1e-10) AS ns0, ceil(hi / unit - 1e-10) AS nu0 FROM h4),
-h6 AS (SELECT *, CASE WHEN ns0 * unit > lo + 1e-10 * unit THEN ns0 - 1 ELSE ns0 END AS ns,
-              CASE WHEN nu0 * unit < hi - 1e-10 * unit THEN nu0 + 1 ELSE nu0 END AS nu FROM h5),
-h7 AS (SELECT *, CAST(floor(0.5 + nu - ns) AS BIGINT) AS k FROM h6),
-h8 AS (SELECT lo, hi, unit,
-              CASE WHEN k < 1 AND ns >= 0 THEN ns - 1 ELSE ns END AS ns2,
-              CASE WHEN k < 1 AND ns < 0 THEN nu + 1 ELSE nu END AS nu2,
-              greatest(k, 1) AS ndiv FROM h7),
-hb AS (SELECT least(ns2 * unit, lo) AS start, (greatest(nu2 * unit, hi) - least(ns2 * unit, lo)) / ndiv AS step,
-              ndiv, (SELECT n FROM hs) AS n FROM h8),
+hs AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n, greatest(abs(min(x)), abs(max(x))) AS size FROM hv),
+aim AS (SELECT *, CASE WHEN hi - lo <= size * ceil(log2(n) + 1) * 1e-15::DOUBLE
+                       THEN 0.75::DOUBLE * CASE WHEN size = 0 THEN 1 ELSE size END
+                       ELSE (hi - lo) / ceil(log2(n) + 1) END AS width FROM hs),
+choice AS (SELECT aim.*, pow(10.0::DOUBLE, floor(log10(width))) * u AS step, u
+           FROM aim, (VALUES (1, 3.5::DOUBLE / 2.5), (2, 10.5::DOUBLE / 3.75), (5, 17.5::DOUBLE / 2.5), (10, 1e9::DOUBLE)) c(u, cap)
+           WHERE width / pow(10.0::DOUBLE, floor(log10(width))) <= cap),
+best AS (SELECT * FROM choice ORDER BY u LIMIT 1),
+ends AS (SELECT *, floor(lo / step + 1e-10::DOUBLE) AS f0, ceil(hi / step - 1e-10::DOUBLE) AS l FROM best),
+hb AS (SELECT n, lo, hi, l, CASE WHEN f0 >= l THEN l - 1 ELSE f0 END AS f, step FROM ends),
+grid AS (SELECT n, CAST(l - f AS BIGINT) AS k, least(f * step, lo) AS start,
+                (greatest(l * step, hi) - least(f * step, lo)) / (l - f) AS step FROM hb),
 bins AS (SELECT CAST(i + 1 AS BIGINT) AS bin, start + i * step AS lower, start + (i + 1) * step AS upper
-         FROM (SELECT start, step, unnest(range(ndiv)) AS i FROM hb) r),
-cnt AS (SELECT CAST(greatest(1, least((SELECT ndiv FROM hb),
-                   ceil((x - (SELECT start FROM hb) - 1e-7 * (SELECT step FROM hb)) / (SELECT step FROM hb))))
+         FROM (SELECT start, step, unnest(range(k)) AS i FROM grid) r),
+cnt AS (SELECT CAST(greatest(1, least((SELECT k FROM grid),
+                   ceil((x - (SELECT start FROM grid) - 1e-7::DOUBLE * (SELECT step FROM grid)) / (SELECT step FROM grid))))
                    AS BIGINT) AS bin,
                count(*) AS c FROM hv GROUP BY 1)
 SELECT bins.bin, lower, upper, (lower + upper) / 2 AS mid, CAST(coalesce(c, 0) AS BIGINT) AS count,
-       CAST(coalesce(c, 0) AS DOUBLE) / (CAST((SELECT n FROM hb) AS DOUBLE) * (SELECT step FROM hb)) AS density
+       CAST(coalesce(c, 0) AS DOUBLE) / (CAST((SELECT n FROM grid) AS DOUBLE) * (SELECT step FROM grid)) AS density
 FROM bins LEFT JOIN cnt ON bins.bin = cnt.bin"""
 
 
@@ -463,17 +488,22 @@ def statements() -> dict[str, str]:
         "big_n": _big_n(),
         "choice_filter": _choice_filter(),
         "facet_values": _facet("param"),
-        "facet_visits": _facet("visit", n_default=1),
+        "facet_visits": _facet("visit"),
+        "facet_default": _facet("param", 3),
         "numeric_split": _numeric("split"),
         "numeric_combined": _numeric("combined"),
         "categorical_summary": _categorical(),
         "demo_table": _demo("trt01a", "split"),
-        "demo_table_combined": _demo("trt01p", "combined", "AND sex IN ('M', 'F')"),
+        "demo_table_combined": _demo("trt01p", "combined", "AND sex IN ('M', 'F')", PLANNED + ["Total"]),
         "incidence": _incidence(),
         "rank_levels": _rank_levels(),
         "with_percent": _with_percent(),
         "ae_summary": _ae_summary(),
         "ae_summary_filtered": _ae_summary(AE_FILTER, indent="&nbsp;&nbsp;&nbsp;"),
+        "ae_summary_extra_arm": _ae_summary(bign=BIGN_LESS),
+        "lab_table_extra_arm": _lab_table(BIGN_LESS),
+        "percent_cells": _percent_cells(),
+        "median_narrowed": _median_narrowed(),
         "self_big_n": _self_big_n(),
         "row_total": _row_total(),
         "soc_header_first": _soc_header_first(),
@@ -484,7 +514,7 @@ def statements() -> dict[str, str]:
         "param_incidence": _param_incidence(),
         "flag_incidence": _flag_incidence(),
         "lab_table": _lab_table(),
-        "complete_grid": _lab_grid(flags_only=True),
+        "complete_grid": _complete_grid(),
         "lab_table_grid": _lab_grid(),
         "to_long": _to_long(),
         "to_wide_fill": _to_wide_fill(),
