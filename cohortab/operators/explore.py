@@ -12,7 +12,6 @@ is an arithmetic column and the counting is one aggregation.
 from __future__ import annotations
 
 import math
-import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,77 +19,48 @@ from pyspark.sql import functions as F
 from cohortab.fixed import PREVIEW_ROWS
 from cohortab.sources.tables import require_columns
 
-# Fixed values of the "pretty" rule.
-HIGH_U_BIAS = 1.5
-U5_BIAS = 0.5 + 1.5 * HIGH_U_BIAS
-SHRINK_SMALL = 0.75
-ROUNDING_EPS = 1e-10
-F_MIN = 2.0 ** -20
-BREAK_FUZZ = 1e-7
+# Fixed values of the documented rule: a step is 1, 2, 5 or 10 times a power of ten, and the larger of
+# two neighbouring ones is preferred by the weight between them.
+STEP_CHOICES = ((1, 2, 1.5), (2, 5, 2.75), (5, 10, 1.5))
+DEGENERATE_SHARE = 0.75  # of the largest magnitude: the aimed step where all values are (nearly) equal
+GRID_FUZZ = 1e-10        # of a step, when the range ends are rounded outward
+BREAK_FUZZ = 1e-7        # of a step, when values are dealt to bins
 
 
 def sturges_classes(n: int) -> int:
     return int(math.ceil(math.log2(n) + 1)) if n > 0 else 1
 
 
-def pretty_grid(lo: float, hi: float, n: int, min_n: int = 1) -> tuple[float, float, int]:
-    """'Nice' equally spaced breaks covering [lo, hi] with about n intervals: (start, step, count).
+def round_step(width: float) -> float:
+    """The round step for an aimed width."""
+    power = 10.0 ** math.floor(math.log10(width))
+    ratio = width / power
+    for small, large, weight in STEP_CHOICES:
+        if ratio <= (large + weight * small) / (1 + weight):
+            return small * power
+    return 10 * power
+
+
+def pretty_grid(lo: float, hi: float, n: int) -> tuple[float, float, int]:
+    """Round, equally spaced breaks covering [lo, hi] with about n intervals: (start, step, count).
 
     Break i is ``start + i*step`` for i in 0..count.
     """
-    eps = sys.float_info.epsilon
-    dx = hi - lo
-    if dx == 0 and hi == 0:
-        cell, small = 1.0, True
-    else:
-        cell = max(abs(lo), abs(hi))
-        u = 1 + (1 / (1 + HIGH_U_BIAS) if U5_BIAS >= 1.5 * HIGH_U_BIAS + 0.5 else 1.5 / (1 + U5_BIAS))
-        u *= max(1, n) * eps
-        small = dx < cell * u * 3
-    if small:
-        if cell > 10:
-            cell = 9 + cell / 10
-        cell *= SHRINK_SMALL
-        if min_n > 1:
-            cell /= min_n
-    else:
-        cell = dx
-        if n > 1:
-            cell /= n
-    cell = max(cell, F_MIN * sys.float_info.min)
-    base = 10.0 ** math.floor(math.log10(cell))
-    unit = base
-    if 2 * base - cell < HIGH_U_BIAS * (cell - unit):
-        unit = 2 * base
-        if 5 * base - cell < U5_BIAS * (cell - unit):
-            unit = 5 * base
-            if 10 * base - cell < HIGH_U_BIAS * (cell - unit):
-                unit = 10 * base
-    ns = math.floor(lo / unit + ROUNDING_EPS)
-    nu = math.ceil(hi / unit - ROUNDING_EPS)
-    while ns * unit > lo + ROUNDING_EPS * unit:
-        ns -= 1
-    while nu * unit < hi - ROUNDING_EPS * unit:
-        nu += 1
-    k = int(0.5 + nu - ns)
-    if k < min_n:
-        k = min_n - k
-        if ns >= 0:
-            nu += k // 2
-            ns -= k // 2 + k % 2
-        else:
-            ns -= k // 2
-            nu += k // 2 + k % 2
-        ndiv = min_n
+    size = max(abs(lo), abs(hi))
+    if hi - lo <= size * max(1, n) * 1e-15:
+        width = DEGENERATE_SHARE * (size or 1.0)
     else:
-        ndiv = k
-    start = min(ns * unit, lo)
-    stop = max(nu * unit, hi)
-    return start, (stop - start) / ndiv, ndiv
+        width = (hi - lo) / max(1, n)
+    step = round_step(width)
+    first, last = math.floor(lo / step + GRID_FUZZ), math.ceil(hi / step - GRID_FUZZ)
+    if first >= last:  # one value on a break: it closes the bin below it
+        first = last - 1
+    start, stop = min(first * step, lo), max(last * step, hi)
+    return start, (stop - start) / (last - first), last - first
 
 
-def pretty_breaks(lo: float, hi: float, n: int, min_n: int = 1) -> list[float]:
-    start, step, k = pretty_grid(lo, hi, n, min_n)
+def pretty_breaks(lo: float, hi: float, n: int) -> list[float]:
+    start, step, k = pretty_grid(lo, hi, n)
     return [start + i * step for i in range(k + 1)]
 
 
@@ -108,7 +78,7 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
     if not st["n"]:
         return spark.createDataFrame(
             [], "bin long, lower double, upper double, mid double, count long, density double")
-    start, width, k = pretty_grid(st["lo"], st["hi"], sturges_classes(st["n"]), 1)
+    start, width, k = pretty_grid(st["lo"], st["hi"], sturges_classes(st["n"]))
     breaks = [start + i * width for i in range(k + 1)]
     fuzz = BREAK_FUZZ * width
     idx = F.ceil((F.col("x") - F.lit(start) - F.lit(fuzz)) / F.lit(width))
