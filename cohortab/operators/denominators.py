@@ -6,25 +6,19 @@ planned by Spark as a partial distinct on ``(arm, grouping id, subject)``, so
 the pooled group spreads over subjects in the first shuffle instead of landing
 in one task.
 
-The result has one row per arm. Reports need it on the driver anyway (the arm
-list fixes the wide column order), so ``collect_bounded`` fetches it with a hard
-size check and ``local_frame`` turns it back into a tiny in-plan table that is
-safe to broadcast because its size is known.
+The result has one row per arm. Reports need the arm names on the driver anyway
+(they fix the wide column order); ``report_arms`` fetches them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cohortab.operators.population import TOTAL_LABEL, arm_text, population
 from cohortab.sources.tables import reject_reserved, require_columns
 
-# Reports are laid out with one column per arm; more than this is not a report.
-MAX_ARMS = 256
-
-
 def big_n(adsl: DataFrame, trt: str, subject: str = "usubjid", flag: str | None = "saffl",
           value: str = "Y", total: str = TOTAL_LABEL, name: str | None = None) -> DataFrame:
     """Distinct population subjects per arm, plus the pooled arm: ``(name, N)``."""
@@ -53,26 +47,41 @@ def self_big_n(df: DataFrame, trt: str, subject: str = "usubjid") -> DataFrame:
               .groupBy(trt).agg(F.countDistinct("_subj").cast("long").alias("N")))
 
 
-def collect_bounded(df: DataFrame, limit: int, what: str = "result") -> list[Row]:
-    """Collect a result that must stay small; fail rather than pull an unbounded table."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows; refusing to bring it to the driver")
-    return rows
-
-
-def local_frame(spark: SparkSession, rows: list[Row], key: str) -> DataFrame:
-    """The collected ``(key, N)`` rows as a small local table (exact size, broadcast-safe)."""
-    schema = StructType([StructField(key, StringType(), True), StructField("N", LongType(), True)])
-    return spark.createDataFrame([(r[key], r["N"]) for r in rows], schema)
-
-
-def arm_order(rows: list[Row], key: str, total: str | None = TOTAL_LABEL) -> list:
+def arm_order(names, total: str | None = TOTAL_LABEL) -> list:
     """Arms sorted by byte order (missing last), then the pooled arm.
 
     The pooled arm is always a column when ``total`` is given, even for an
     empty population (its cells then have no denominator).
     """
-    arms = [r[key] for r in rows if total is None or r[key] != total]
-    arms.sort(key=lambda a: (a is None, (a or "").encode("utf-8")))
+    arms = sorted({a for a in names if total is None or a != total},
+                  key=lambda a: (a is None, (a or "").encode("utf-8")))
     return arms + ([total] if total is not None else [])
+
+
+def distinct_arms(df: DataFrame, trt: str, subject: str | None = None, total: str | None = TOTAL_LABEL) -> DataFrame:
+    """The arms of the rows that have a subject, as text."""
+    rows = df.filter(F.col(subject).isNotNull()) if subject else df
+    return rows.select(arm_text(trt, total).alias(trt)).distinct()
+
+
+def report_arms(denominators: DataFrame | None, events: DataFrame | None, key: str,
+                total: str | None = TOTAL_LABEL, max_arms: int | None = None):
+    """One job for a report's arms: ``(denominator table, arm order)``.
+
+    ``denominators`` is the ``(key, N)`` table and ``events`` the arms of the
+    counted rows: an arm of either is a column. The fetched denominators
+    re-enter the plan as a local table. ``max_arms`` is the caller's own limit;
+    by default there is none (the report has as many columns in any case).
+    """
+    spark = (denominators if denominators is not None else events).sparkSession
+    parts = []
+    if denominators is not None:
+        parts.append(denominators.select(key, "N", F.lit(True).alias("_den")))
+    if events is not None:
+        parts.append(events.select(key, F.lit(None).cast("long").alias("N"), F.lit(False).alias("_den")))
+    rows = parts[0].unionByName(parts[1]).collect() if len(parts) == 2 else parts[0].collect()
+    order = arm_order([r[key] for r in rows], total)
+    if max_arms is not None and len(order) > max_arms + (total is not None):
+        raise ValueError(f"more than {max_arms} arms")
+    schema = StructType([StructField(key, StringType(), True), StructField("N", LongType(), True)])
+    return spark.createDataFrame([(r[key], r["N"]) for r in rows if r["_den"]], schema), order

@@ -10,7 +10,7 @@ only moves partial counts. Grouping flags (not NULL tests) tell a rolled-up
 level from a level whose value is genuinely missing.
 
 ``rank_levels`` ranks level values by the pooled count (descending, then
-name) with window functions over the aggregated table. ``join_null_safe`` is
+name) with windows over the pooled rows of the aggregated table. ``join_null_safe`` is
 the join for keys where a missing value must match a missing value.
 """
 
@@ -80,6 +80,16 @@ def incidence(df: DataFrame, trt: str, levels: Sequence[str], subject: str = "us
         "n")
 
 
+def pooled_rows(counts: DataFrame, trt: str, level: int, total: str = TOTAL_LABEL) -> DataFrame:
+    """The pooled arm's rows of one depth, of an aggregated table with ``level`` and ``n``.
+
+    The condition is tied to the count, so the optimizer keeps it above the
+    aggregation: rows taken this way and the table itself share one exchange
+    instead of aggregating the input twice.
+    """
+    return counts.filter(F.when(F.col("n") >= 0, (F.col(trt) == F.lit(total)) & (F.col("level") == F.lit(level))))
+
+
 def rank_levels(inc: DataFrame, trt: str, levels: Sequence[str], total: str = TOTAL_LABEL) -> DataFrame:
     """Add ``ord_k`` (k = 1..depth) to every row at depth >= k, ranked from the pooled arm.
 
@@ -88,29 +98,19 @@ def rank_levels(inc: DataFrame, trt: str, levels: Sequence[str], total: str = TO
     which sorts the same as one running number. Only values the pooled arm
     has are ranked; other rows get NULL.
 
-    Everything is window functions over the aggregated incidence table (one
-    row per arm x level value), so the heavy aggregation underneath is planned
-    once; there is no join back of separately filtered copies.
+    Only the pooled arm's rows of a depth are ranked (one row per value; the
+    first depth's go through one task, deeper ones are partitioned by parent),
+    and the ranks are joined back onto the aggregated table.
     """
     levels = list(levels)
-    out = inc.repartition(levels[0]) if levels else inc
-    # Deepest level first: every window here is partitioned by keys that start with
-    # the first level column, so one hash exchange on it serves them all; only the
-    # depth-1 rank needs the (single-partition) global order, over one row per
-    # arm x level value. Rows of other depths that share a partition carry the
-    # same (count, name) sort key as the value they sit with, so dense ranks of
-    # real values are unaffected; their own rank is nulled.
-    for k in range(len(levels), 0, -1):
+    out = inc
+    for k in range(1, len(levels) + 1):
         keys = levels[:k]
-        deep = F.col("level") >= F.lit(k)
-        pooled_row = (F.col(trt) == F.lit(total)) & (F.col("level") == F.lit(k))
-        pooled_n = F.max(F.when(pooled_row, F.col("n"))).over(Window.partitionBy(*keys))
-        out = out.withColumn("_pooled_n", pooled_n)
-        order = [F.col("_pooled_n").isNull().asc(), F.col("_pooled_n").desc(), F.col(keys[-1]).asc_nulls_last()]
+        order = [F.col("n").desc(), F.col(keys[-1]).asc_nulls_last()]
         w = Window.partitionBy(*keys[:-1]).orderBy(*order) if k > 1 else Window.orderBy(*order)
-        out = out.withColumn(ord_col(k), F.when(deep & F.col("_pooled_n").isNotNull(),
-                                                F.dense_rank().over(w).cast("long")))
-    return out.drop("_pooled_n")
+        ranks = pooled_rows(inc, trt, k, total).select(*keys, F.row_number().over(w).cast("long").alias(ord_col(k)))
+        out = join_null_safe(out, ranks, keys, how="left", extra=F.col("level") >= F.lit(k))
+    return out
 
 
 def rank_tables(ranked: DataFrame, trt: str, levels: Sequence[str], total: str = TOTAL_LABEL) -> DataFrame:
@@ -124,12 +124,11 @@ def rank_tables(ranked: DataFrame, trt: str, levels: Sequence[str], total: str =
 
 
 def with_percent(counts: DataFrame, denominators: DataFrame, trt: str, style: str = "strict",
-                 n: str = "n", broadcast: bool = True) -> DataFrame:
+                 n: str = "n", broadcast: bool = False) -> DataFrame:
     """Attach the arm denominator as ``denom`` (null-safe on arm) and the text cell ``n (pct)``.
 
-    ``denominators`` is the small ``(trt, N)`` table; with ``broadcast`` it is
-    sent whole to every task, which is only right when its size is known (see
-    ``denominators.local_frame``).
+    ``denominators`` is the ``(trt, N)`` table; Spark picks the join from its
+    size unless the caller, knowing it, asks for a ``broadcast``.
     """
     joined = join_null_safe(counts, denominators.select(trt, F.col("N").alias("denom")), [trt],
                             how="left", broadcast_right=broadcast)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortab.fixed import FLAG_CODES
+from cohortab.operators.incidence import join_null_safe, pooled_rows
 from cohortab.operators.population import TOTAL_LABEL, arm_text
 from cohortab.sources.tables import reject_reserved, require_columns
 
@@ -71,21 +72,13 @@ def rank_flags(counts: DataFrame, trt: str = "trta", param: str = "param", ind:
     ``ord_par``: parameters by pooled subject count (descending), then name
     (missing last). ``ord_gra``: within a parameter, the flags the pooled arm
     has, in text order (missing last), from 1; a flag only an arm has (its
-    subjects' pooled pick was another flag) gets NULL. Window functions over
-    the aggregated counts (one row per arm x parameter x flag), no join-back.
+    subjects' pooled pick was another flag) gets NULL. Only the pooled rows are
+    ranked; their ranks are joined back onto the aggregated counts.
     """
-    # Windows partitioned by keys starting with the parameter share one exchange;
-    # parameter rows (missing flag) never take a flag rank, and sort after flags.
-    is_pooled = F.col(trt) == F.lit(total)
-    flag_row = F.col("level") == 2
-    present = F.max(F.when(is_pooled & flag_row, F.lit(1))).over(Window.partitionBy(param, ind))
-    out = counts.repartition(param).withColumn("_present", F.when(flag_row, present))
-    gra_rank = F.dense_rank().over(Window.partitionBy(param).orderBy(
-        F.col("_present").isNull().asc(), F.col(ind).asc_nulls_last()))
-    out = out.withColumn("ord_gra", F.when(flag_row & F.col("_present").isNotNull(), gra_rank.cast("long")))
-    pooled_par = F.max(F.when(is_pooled & (F.col("level") == 1), F.col("n"))).over(Window.partitionBy(param))
-    out = out.withColumn("_pp", pooled_par)
-    par_rank = F.dense_rank().over(Window.orderBy(
-        F.col("_pp").isNull().asc(), F.col("_pp").desc(), F.col(param).asc_nulls_last()))
-    out = out.withColumn("ord_par", F.when(F.col("_pp").isNotNull(), par_rank.cast("long")))
-    return out.drop("_pp", "_present")
+    by_count = Window.orderBy(F.col("n").desc(), F.col(param).asc_nulls_last())
+    params = pooled_rows(counts, trt, 1, total).select(param, F.row_number().over(by_count).cast("long").alias("ord_par"))
+    by_text = Window.partitionBy(param).orderBy(F.col(ind).asc_nulls_last())
+    flags = pooled_rows(counts, trt, 2, total).select(
+        param, ind, F.row_number().over(by_text).cast("long").alias("ord_gra"))
+    out = join_null_safe(counts, flags, [param, ind], extra=F.col("level") == 2)
+    return join_null_safe(out, params, [param])

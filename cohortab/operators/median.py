@@ -8,8 +8,8 @@ one task. This operator never holds more than ``band_limit`` values of a group:
    middle value(s): ``(n+1) div 2`` and ``n div 2 + 1`` (one target if equal).
 2. A target whose current value band holds more than ``band_limit`` values is
    narrowed: one pass computes approximate quantiles of the band on a fixed
-   grid (rank error <= m/accuracy), the driver picks two grid values ``a <= b``
-   around the target rank, and a second pass counts exactly how many band
+   grid (rank error <= m/accuracy), of which only the two grid values ``a <= b``
+   around the target rank leave the executors, and a second pass counts exactly how many band
    values are ``< a``, ``<= a``, ``< b``, ``<= b``. The target is then either
    exactly ``a`` or ``b`` (ties included), or lies strictly inside ``(a, b)``,
    a band about ``4/grid`` of the old one. Progress is guaranteed because the
@@ -38,13 +38,9 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from cohortab.operators.denominators import collect_bounded
-
 BAND_LIMIT = 1_000_000
 GRID = 2_000
 ACCURACY = 10_000  # Spark's default: rank error 1e-4 of the band, sketch of modest size
-MAX_GROUPS = 100_000
-MAX_ROUNDS = 16
 
 
 def _band_filter(x, lo, hi, lo_open, hi_open):
@@ -78,11 +74,13 @@ def _banded(data, tf, keys):
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = BAND_LIMIT,
-                 grid: int = GRID, accuracy: int = ACCURACY, max_groups: int = MAX_GROUPS,
-                 counts: Sequence[tuple[tuple, int]] | None = None,
-                 max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                 grid: int = GRID, accuracy: int = ACCURACY,
+                 counts: Sequence[tuple[tuple, int]] | None = None) -> DataFrame:
     """``(keys..., median)``: exact median of ``x`` per group; groups with no value are absent.
 
+    ``band_limit`` bounds the values that one task sorts; the result does not
+    depend on it. The driver holds one row per group.
+
     ``counts`` may carry the non-missing count per group (``[(key_tuple, n)]``)
     when the caller already has it, which saves the counting pass.
     """
@@ -94,8 +92,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = B
     key_types = [data.schema[k].dataType for k in keys]
 
     if counts is None:
-        rows = collect_bounded(data.groupBy(*keys).agg(F.count("_x").alias("_n")), max_groups,
-                               "median groups")
+        rows = data.groupBy(*keys).agg(F.count("_x").alias("_n")).collect()  # one row per group
         counts = [(tuple(r[c] for c in keys), r["_n"]) for r in rows]
     targets = []
     for key, n in counts:
@@ -106,21 +103,20 @@ def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = B
                             "lo": -math.inf, "hi": math.inf, "lo_open": False, "hi_open": False,
                             "below": 0, "value": None})
 
-    for _ in range(max_rounds):
-        active = [t for t in targets if t["value"] is None and t["m"] > band_limit]
-        if not active:
-            break
-        tf = _targets_frame(spark, keys, key_types, active)
-        pcts = [i / grid for i in range(grid + 1)]
-        qs = {r["_tid"]: r["_q"] for r in _banded(data, tf, keys).groupBy("_tid").agg(
-            F.percentile_approx("_x", pcts, accuracy).alias("_q")).collect()}
-        slack = 2.0 / accuracy
+    # Every round leaves a strictly smaller band (its ends are excluded), so this ends.
+    slack = 2.0 / accuracy
+    while active := [t for t in targets if t["value"] is None and t["m"] > band_limit]:
         for t in active:
-            q = qs[t["tid"]]
             rel = (t["k"] - t["below"]) / t["m"]
-            ja = max(0, math.floor((rel - slack) * grid))
-            jb = min(grid, math.ceil((rel + slack) * grid))
-            t["a"], t["b"] = q[ja], q[jb]
+            t["ja"] = float(max(0, math.floor((rel - slack) * grid)))
+            t["jb"] = float(min(grid, math.ceil((rel + slack) * grid)))
+        tf = _targets_frame(spark, keys, key_types, active, extra=("ja", "jb"))
+        pcts = [i / grid for i in range(grid + 1)]
+        at = [F.element_at("_q", F.col(j).cast("int") + 1).alias(name) for j, name in (("ja", "a"), ("jb", "b"))]
+        ends = {r["_tid"]: r for r in _banded(data, tf, keys).groupBy("_tid", "ja", "jb").agg(
+            F.percentile_approx("_x", pcts, accuracy).alias("_q")).select("_tid", *at).collect()}
+        for t in active:
+            t["a"], t["b"] = ends[t["tid"]]["a"], ends[t["tid"]]["b"]
         tf = _targets_frame(spark, keys, key_types, active, extra=("a", "b"))
         xb = F.col("_x")
         cnt = {r["_tid"]: r for r in _banded(data, tf, keys).groupBy("_tid").agg(
@@ -140,9 +136,6 @@ def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = B
                 t["value"] = t["b"]
             else:
                 t.update(lo=t["b"], lo_open=True, below=below + c["le_b"], m=t["m"] - c["le_b"])
-    if any(t["value"] is None and t["m"] > band_limit for t in targets):
-        raise RuntimeError(f"exact_median did not narrow every band within {max_rounds} rounds")
-
     pending = [t for t in targets if t["value"] is None]
     resolved = [t for t in targets if t["value"] is not None]
     picks = None

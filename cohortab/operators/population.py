@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortab.fixed import ALL_CHOICE, DEFAULT_CHOICES, NA_TEXT, TOTAL_LABEL
@@ -67,20 +67,13 @@ def apply_choices(df: DataFrame, choices: dict | None, all_label: str = ALL_CHOI
     return df
 
 
-def facet_values(df: DataFrame, col: str, n_default: int = DEFAULT_CHOICES) -> DataFrame:
-    """Distinct non-missing values of a column for a choice list, with the default selection.
-
-    Returns ``value, pos, is_default``: the first ``n_default`` values in sorted
-    order are the default selection and carry their position ``pos`` (1..n);
-    the other values have ``pos`` NULL (sort by ``value`` for the list order).
-    The default selection is a distributed top-k (per-partition top-k, then a
-    merge of at most ``n_default`` rows per partition), so no step gathers the
-    whole value list into one task; it is joined back as a broadcast of at
-    most ``n_default`` rows.
-    """
+def facet_values(df: DataFrame, col: str) -> DataFrame:
+    """The choice list of a control: the distinct non-missing values of a column, sorted (``value``)."""
     require_columns(df, col, where="facet_values")
     vals = df.select(F.col(col).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    top = vals.orderBy(F.col("value").asc()).limit(n_default)
-    top = top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("value").asc())).cast("long"))
-    out = vals.join(F.broadcast(top), "value", "left")
-    return out.select("value", "pos", F.col("pos").isNotNull().alias("is_default"))
+    return vals.orderBy(F.col("value").asc())
+
+
+def default_choice(df: DataFrame, col: str, n: int = DEFAULT_CHOICES) -> DataFrame:
+    """The default selection of a control: the first ``n`` values of its list (a distributed top-k)."""
+    return facet_values(df, col).limit(n)

@@ -4,9 +4,9 @@ Every variable is unpivoted to ``(Variable, x, level)`` (numeric variables
 fill ``x``, categorical ones the level) and ONE aggregation with grouping sets
 ``(arm, Variable, level), (Variable, level)`` yields, per arm and pooled arm,
 the non-missing count, mean, sample SD, min and max of numeric variables and
-the row count of every categorical level. The exact median is a second pass
-(``exact_median``, bounded memory). Categorical percents divide by the arm's
-row count (a window over the aggregated table, i.e. over levels, not rows). A
+the row count of every categorical level; two more sets give each variable's
+totals, the base of the percents. The exact median is a second pass
+(``exact_median``, bounded memory). A
 missing level is a level of its own and counts in the base.
 
 The arm is made text; a missing arm becomes the text ``NA`` so it forms one
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from cohortab.functions.text import count_pct_cell, number_text, paste
 from cohortab.fixed import COMBINED_STATS, SD_DIGITS_COMBINED, SPLIT_STATS, STAT_DIGITS
-from cohortab.operators.denominators import collect_bounded
+from cohortab.operators.denominators import arm_order, distinct_arms
+from cohortab.operators.incidence import join_null_safe
 from cohortab.operators.median import exact_median
 from cohortab.operators.population import TOTAL_LABEL, arm_text
 from cohortab.sources.tables import reject_reserved, require_columns
@@ -31,8 +32,6 @@ from cohortab.sources.tables import reject_reserved, require_columns
 SUMMARY_OUTPUTS = ("Variable", "Stat", "x", "Value", "var_pos", "stat_pos", "rows", "n", "mean", "median",
                    "sd", "min", "max", "denom", "_it")
 
-MAX_SUMMARY_GROUPS = 100_000
-
 
 def _arm(trt: str, total: str) -> Column:
     return arm_text(trt, total)
@@ -70,49 +69,66 @@ def summary_long(df: DataFrame, trt: str, numeric: Sequence[str], categorical: S
 
 def summary_aggregate(long: DataFrame, trt: str, total: str = TOTAL_LABEL,
                       approx_median: bool = False) -> DataFrame:
-    """Both summaries in ONE aggregation with grouping sets ``(arm, Variable, level), (Variable, level)``.
+    """Both summaries in ONE aggregation: grouping sets per level and per variable, with and without the arm.
 
     Numeric variables have a single NULL level, so their groups are (arm,
-    variable); categorical variables group by level. Columns: ``trt, Variable,
-    Stat, rows, n, mean, sd, min, max`` (+ ``median`` when approximate).
+    variable); categorical variables group by level. Rows with ``_all`` 1 are
+    the variable's totals (over its levels). Columns: ``trt, Variable, Stat,
+    _all, rows, n, mean, sd, min, max`` (+ ``median`` when approximate).
     """
     aggs = [F.count(F.lit(1)).cast("long").alias("rows"), F.count("x").cast("long").alias("n"),
             F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"),
-            F.max("x").alias("max"), F.grouping(trt).alias("_g")]
+            F.max("x").alias("max"), F.grouping(trt).alias("_g"), F.grouping("Stat").alias("_all")]
     if approx_median:
         aggs.append(F.percentile_approx("x", 0.5).alias("median"))
-    agg = long.groupingSets([[trt, "Variable", "Stat"], ["Variable", "Stat"]], trt, "Variable", "Stat").agg(*aggs)
+    sets = [[trt, "Variable", "Stat"], ["Variable", "Stat"], [trt, "Variable"], ["Variable"]]
+    agg = long.groupingSets(sets, trt, "Variable", "Stat").agg(*aggs)
     return agg.withColumn(trt, F.when(F.col("_g") == 1, F.lit(total)).otherwise(F.col(trt))).drop("_g")
 
 
-def collect_summary(df: DataFrame, trt: str, numeric: Sequence[str], categorical: Sequence[str],
-                    total: str = TOTAL_LABEL, median: str = "exact"):
-    """Run the fused aggregation once and bring it to the driver (size-checked).
+def _rows_where(agg: DataFrame, condition: Column) -> DataFrame:
+    """Rows of the aggregated table; tied to the count so that all uses share one aggregation."""
+    return agg.filter(F.when(F.col("rows") > 0, condition))
+
+
+def summaries(df: DataFrame, trt: str, numeric: Sequence[str], categorical: Sequence[str],
+              total: str = TOTAL_LABEL, median: str = "exact", want_arms: bool = False):
+    """``(typed numeric statistics, level counts, arm order)``, both tables lazy over one aggregation.
 
-    The result is one row per arm x variable (x level): a report's worth of
-    numbers. Returns ``(long, summary_df, rows)`` where ``summary_df`` is the
-    collected table as a small DataFrame (statistics plus, for numeric
-    variables, the exact or approximate median) and ``long`` the per-row input
-    for any further pass.
+    Only for an exact median one small job runs while building: the
+    non-missing count per arm and numeric variable, which gives the median's
+    rank (and the arms). Level counts never leave the executors. The arm order
+    is None unless wanted.
     """
     if median not in ("exact", "approx"):
         raise ValueError(f"unknown median mode {median!r}")
     long = summary_long(df, trt, numeric, categorical, total)
     agg = summary_aggregate(long, trt, total, approx_median=median == "approx")
-    rows = collect_bounded(agg, MAX_SUMMARY_GROUPS, "summary groups")
-    summary = df.sparkSession.createDataFrame(rows, agg.schema)
-    if median == "exact":
-        nums = set(numeric)
-        counts = [((r[trt], r["Variable"]), r["n"]) for r in rows if r["Variable"] in nums]
-        if counts:
-            pooled = (long.filter(F.col("Variable").isin(list(numeric)))
-                          .withColumn(trt, F.explode(F.array(F.col(trt), F.lit(total)))))
-            med = exact_median(pooled, [trt, "Variable"], "x", counts=counts)
-            # At most one median row per collected group: broadcast it onto the collected table.
-            summary = summary.join(F.broadcast(med), [trt, "Variable"], "left")
-        else:
-            summary = summary.withColumn("median", F.lit(None).cast("double"))
-    return long, summary, rows
+    arms, stats, levels = None, None, None
+    if numeric:
+        stats = _rows_where(agg, F.col("Variable").isin(list(numeric)) & (F.col("_all") == 0)).drop("rows", "_all", "Stat")
+        if median == "exact":
+            values = long.filter(F.col("Variable").isin(list(numeric)))
+            counts = (values.groupingSets([[trt, "Variable"], ["Variable"]], trt, "Variable")
+                      .agg(F.count("x").alias("n"), F.grouping(trt).alias("_g")).collect())  # arms x numeric variables
+            named = [(total if r["_g"] else r[trt], r["Variable"], r["n"]) for r in counts]
+            arms = arm_order([a for a, _, _ in named], total)
+            pooled = values.withColumn(trt, F.explode(F.array(F.col(trt), F.lit(total))))
+            med = exact_median(pooled, [trt, "Variable"], "x", counts=[((a, v), n) for a, v, n in named])
+            stats = stats.join(med, [trt, "Variable"], "left")
+    if categorical:
+        levels = _level_counts(agg, trt, categorical)
+    if want_arms and arms is None:
+        arms = arm_order([r[0] for r in distinct_arms(df, trt, None, total).collect()], total)
+    return stats, levels, arms
+
+
+def _level_counts(agg: DataFrame, trt: str, categorical: Sequence[str]) -> DataFrame:
+    """``trt, Variable, Stat, n, denom`` of the categorical variables; denom is the arm's rows for the variable."""
+    mine = F.col("Variable").isin(list(categorical))
+    counts = _rows_where(agg, mine & (F.col("_all") == 0)).select(trt, "Variable", "Stat", F.col("rows").alias("n"))
+    totals = _rows_where(agg, mine & (F.col("_all") == 1)).select(trt, "Variable", F.col("rows").alias("denom"))
+    return counts.join(totals, [trt, "Variable"])
 
 
 def numeric_stats(df: DataFrame, trt: str, variables: Sequence[str], total: str = TOTAL_LABEL,
@@ -123,8 +139,8 @@ def numeric_stats(df: DataFrame, trt: str, variables: Sequence[str], total: str
     for an even count), computed by ``exact_median`` with bounded memory;
     ``median='approx'`` uses Spark's approximate percentile in the same pass.
     """
-    _, summary, _ = collect_summary(df, trt, list(variables), [], total, median)
-    return summary.select(trt, "Variable", "n", "mean", "median", "sd", "min", "max")
+    stats, _, _ = summaries(df, trt, list(variables), [], total, median)
+    return stats.select(trt, "Variable", "n", "mean", "median", "sd", "min", "max")
 
 
 def numeric_rows(stats: DataFrame, trt: str, style: str = "split") -> DataFrame:
@@ -159,32 +175,27 @@ def numeric_summary(df: DataFrame, trt: str, variables: Sequence[str], style: st
 def categorical_counts(df: DataFrame, trt: str, variables: Sequence[str],
                        total: str = TOTAL_LABEL) -> DataFrame:
     """Typed level counts: ``trt, Variable, Stat (level), n, denom`` (lazy, one aggregation)."""
-    long = summary_long(df, trt, [], list(variables), total)
-    agg = summary_aggregate(long, trt, total).select(trt, "Variable", "Stat", F.col("rows").alias("n"))
-    return with_level_denominators(agg, trt)
-
-
-def with_level_denominators(counts: DataFrame, trt: str) -> DataFrame:
-    """Add ``denom``: the arm's rows for that variable (window over the level counts)."""
-    return counts.withColumn("denom", F.sum("n").over(Window.partitionBy(trt, "Variable")).cast("long"))
+    return _level_counts(summary_aggregate(summary_long(df, trt, [], list(variables), total), trt, total), trt, variables)
 
 
-def categorical_rows(counts: DataFrame, trt: str) -> DataFrame:
+def categorical_rows(counts: DataFrame, trt: str, total: str = TOTAL_LABEL) -> DataFrame:
     """Text rows ``Variable, Stat, stat_pos, trt, Value`` with ``n (p%)`` from level counts.
 
     ``stat_pos`` numbers the levels of a variable in sorted order (missing
-    last); the numbering window runs over the aggregated counts of that
-    variable (arms x levels), not over rows.
+    last). Every level has one pooled row; only those are numbered and the
+    numbers joined back.
     """
-    pos = F.dense_rank().over(Window.partitionBy("Variable").orderBy(F.col("Stat").asc_nulls_last()))
-    return counts.select("Variable", "Stat", pos.cast("long").alias("stat_pos"), trt,
-                         count_pct_cell("n", "denom", style="percent").alias("Value"))
+    order = Window.partitionBy("Variable").orderBy(F.col("Stat").asc_nulls_last())
+    pooled = counts.filter(F.when(F.col("n") > 0, F.col(trt) == F.lit(total)))
+    pos = pooled.select("Variable", "Stat", F.row_number().over(order).cast("long").alias("stat_pos"))
+    return join_null_safe(counts, pos, ["Variable", "Stat"]).select(
+        "Variable", "Stat", "stat_pos", trt, count_pct_cell("n", "denom", style="percent").alias("Value"))
 
 
 def categorical_summary(df: DataFrame, trt: str, variables: Sequence[str],
                         total: str = TOTAL_LABEL) -> DataFrame:
     """Long text rows ``Variable, Stat, stat_pos, trt, Value`` with ``n (p%)``."""
-    return categorical_rows(categorical_counts(df, trt, variables, total), trt)
+    return categorical_rows(categorical_counts(df, trt, variables, total), trt, total)
 
 
 def var_positions(variables: Sequence[str]) -> Column:

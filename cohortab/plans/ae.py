@@ -13,8 +13,8 @@ header row per body system.
 Plan shape (``ae_summary``): scan -> filter (pushed to Parquet) -> project
 (subject, arm, body system, term) -> expand over 6 grouping sets -> partial
 distinct on (keys, set id, subject) -> shuffle -> count -> shuffle of partial
-counts -> rank windows over the aggregated rows (one row per arm x body system
-/ term) -> broadcast join of the arm denominators (size checked) -> pivot.
+counts -> ranks of the pooled rows (one row per body system / term) joined back
+-> join of the arm denominators -> pivot.
 """
 
 from __future__ import annotations
@@ -32,14 +32,8 @@ from cohortab.fixed import (  # HTML_INDENT is re-exported for callers
     ZERO_CELL,
     ZERO_CELL_PCT,
 )
-from cohortab.functions.text import indent_label, paste
-from cohortab.operators.denominators import (
-    MAX_ARMS,
-    arm_order,
-    big_n,
-    collect_bounded,
-    local_frame,
-)
+from cohortab.functions.text import count_pct_cell, indent_label, paste
+from cohortab.operators.denominators import big_n, distinct_arms, report_arms
 from cohortab.operators.incidence import (
     incidence,
     ord_col,
@@ -48,43 +42,36 @@ from cohortab.operators.incidence import (
 )
 from cohortab.operators.population import TOTAL_LABEL, apply_choices, arm_text, population
 from cohortab.operators.reshape import pivot_positional, to_wide
-from cohortab.session import materialize
 from cohortab.sources.tables import reject_reserved, require_columns
 
 
 def denominators(adsl: DataFrame, adsl_trt: str, key: str, subject: str, flag: str | None,
-                 flag_value: str, total: str, max_arms: int = MAX_ARMS,
+                 flag_value: str, total: str, events: DataFrame, max_arms: int | None = None,
                  arms: Sequence[str] | None = None):
     """Population big-N per arm: returns ``(denominator table, arm order)``.
 
-    Without ``arms`` the big-N is collected with a size check (its arm list
-    fixes the report columns) and re-enters the plan as a small table. With
-    the caller's ``arms`` nothing runs while building: the lazy big-N is
-    filtered to those arms, which bounds it by ``len(arms)`` rows, so
-    broadcasting it is safe.
+    Without ``arms`` the columns are the arms of the subject table and those
+    of the counted ``events`` (an arm found only there has no denominator),
+    fetched in one job. With the caller's ``arms`` nothing runs while building.
     """
     bn = big_n(adsl, adsl_trt, subject, flag, flag_value, total, name=key)
     if arms is not None:
-        arms = list(arms)
-        if len(arms) > max_arms + 1:
-            raise ValueError(f"more than {max_arms} arms requested")
-        return bn.filter(F.col(key).isin(arms)), arms
-    rows = collect_bounded(bn, max_arms + 1, "arm denominators")
-    return local_frame(adsl.sparkSession, rows, key), arm_order(rows, key, total)
+        return bn.filter(F.col(key).isin(list(arms))), list(arms)
+    return report_arms(bn, distinct_arms(events, key, subject, total), key, total, max_arms)
 
 
 def ae_counts(adae: DataFrame, adsl: DataFrame, trt: str = "trta", soc: str = "aebodsys",
               pt: str = "aedecod", subject: str = "usubjid", adsl_trt: str = "trt01a",
               flag: str | None = "saffl", flag_value: str = "Y", where: dict | None = None,
-              total: str = TOTAL_LABEL, max_arms: int = MAX_ARMS, arms: Sequence[str] | None = None):
+              total: str = TOTAL_LABEL, max_arms: int | None = None, arms: Sequence[str] | None = None):
     """The long form behind ``ae_summary``: one row per arm x level with ranks, N and cell.
 
     Returns ``(long_df, arms)``.
     """
     require_columns(adae, trt, soc, pt, subject, where="ae_summary events")
-    bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, max_arms, arms)
     events = population(adae, flag, flag_value) if flag else adae
     events = apply_choices(events, where)
+    bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, events, max_arms, arms)
     levels = [soc, pt]
     inc = incidence(events, trt, levels, subject, total)
     ranked = rank_levels(inc, trt, levels, total)
@@ -97,7 +84,7 @@ def ae_summary(adae: DataFrame, adsl: DataFrame, trt: str = "trta", soc: str = "
                flag: str | None = "saffl", flag_value: str = "Y", where: dict | None = None,
                any_label: str = ANY_EVENT_LABEL, indent: str = TERM_INDENT,
                total: str = TOTAL_LABEL, arms: Sequence[str] | None = None,
-               max_arms: int = MAX_ARMS) -> DataFrame:
+               max_arms: int | None = None) -> DataFrame:
     """Adverse events by body system and term, wide by arm, with the row order as data.
 
     ``where`` holds report controls such as ``{"aerel": "NONE", "aesev": "All"}``;
@@ -197,17 +184,16 @@ def _term_rows(adae, trt, soc, pt, subject, header, arms, max_arms, fill):
     """Wide rows ``soc, pt, level, <arm>..., Total`` (level 1 = body system) and the arm list."""
     if header not in HEADER_MODES:
         raise ValueError(f"unknown header mode {header!r}")
+    if arms is None:
+        _, arms = report_arms(None, distinct_arms(adae, trt, subject, None), trt, None, max_arms)
+    arms = list(arms)
     # One pass over the events: term (and body-system) counts plus the per-arm
-    # denominators as grouping sets of one aggregation, checkpointed (it is one
-    # row per arm x term); the arm list is read back from it, not recomputed.
-    counts = materialize(term_counts(adae, trt, soc, pt, subject,
-                                     with_soc_level=header == "distinct_subjects", with_arm_level=True))
-    den = collect_bounded(counts.filter(F.col("level") == 0).select(trt, F.col("n").alias("N")),
-                          max_arms, "arm denominators")
-    bign = local_frame(adae.sparkSession, den, trt)
-    found = arm_order(den, trt, total=None)
-    arms = list(arms) if arms is not None else found
-    long = with_percent(counts.filter(F.col("level") > 0), bign, trt, style="sprintf")
+    # denominators are grouping sets of one aggregation; a window over the
+    # aggregated rows of an arm hands its level-0 count to the others.
+    counts = term_counts(adae, trt, soc, pt, subject, with_soc_level=header == "distinct_subjects", with_arm_level=True)
+    den = F.max(F.when(F.col("level") == 0, F.col("n"))).over(Window.partitionBy(trt))
+    long = counts.withColumn("denom", den).filter(F.col("level") > 0)
+    long = long.withColumn("cell", count_pct_cell("n", "denom", "sprintf"))
     return _term_wide(long, [soc, pt, "level"], trt, arms, fill), arms
 
 
@@ -229,7 +215,7 @@ def _with_headers(wide: DataFrame, soc: str, pt: str, header: str) -> DataFrame:
 
 def soc_header(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
                subject: str = "usubjid", mode: str = "first_term", arms: Sequence[str] | None = None,
-               fill: str = ZERO_CELL_PCT, max_arms: int = MAX_ARMS) -> DataFrame:
+               fill: str = ZERO_CELL_PCT, max_arms: int | None = None) -> DataFrame:
     """One header row per body system, wide by arm, with a row total: ``soc, <arm>..., Total``.
 
     ``first_term``: the header repeats the cells of the body system's first
@@ -245,7 +231,7 @@ def soc_header(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: st
 def ae_term_table(adae: DataFrame, trt: str = "trta", soc: str = "aebodsys", pt: str = "aedecod",
                   subject: str = "usubjid", header: str = "first_term", indent: str = TERM_INDENT,
                   arms: Sequence[str] | None = None, fill: str = ZERO_CELL_PCT,
-                  max_arms: int = MAX_ARMS) -> DataFrame:
+                  max_arms: int | None = None) -> DataFrame:
     """Body-system header rows, each followed by its indented terms; own denominators.
 
     Output columns: ``label, soc_key, is_header, term_key, <arm>..., Total``, ordered

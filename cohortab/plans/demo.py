@@ -23,10 +23,9 @@ from cohortab.operators.population import TOTAL_LABEL, apply_choices
 from cohortab.operators.reshape import to_wide
 from cohortab.operators.summary import (
     categorical_rows,
-    collect_summary,
     numeric_rows,
+    summaries,
     var_positions,
-    with_level_denominators,
 )
 from cohortab.fixed import SEX_ALL  # noqa: F401  (re-exported for callers)
 from cohortab.sources.tables import is_numeric, require_columns
@@ -34,11 +33,11 @@ from cohortab.sources.tables import is_numeric, require_columns
 
 
 def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "split",
-              total: str = TOTAL_LABEL, median: str = "exact"):
+              total: str = TOTAL_LABEL, median: str = "exact", want_arms: bool = True):
     """Long text rows ``Variable, Stat, var_pos, stat_pos, trt, Value`` for all variables.
 
-    Returns ``(long_df, arms)``; the arm list (byte order, pooled arm last)
-    comes from the same collected summary, so no extra job is needed for it.
+    Returns ``(long_df, arms)``: the arm list (byte order, pooled arm last)
+    comes with the counts for the median, or from a distinct over the arms.
     """
     variables = list(variables)
     if not variables:
@@ -46,16 +45,13 @@ def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "s
     require_columns(df, trt, *variables, where="demo_table")
     numeric = [v for v in variables if is_numeric(df, v)]
     categorical = [v for v in variables if v not in numeric]
-    _, summary, rows = collect_summary(df, trt, numeric, categorical, total, median)
+    stats, counts, arms = summaries(df, trt, numeric, categorical, total, median, want_arms)
     parts = []
     if numeric:
-        parts.append(numeric_rows(summary.filter(F.col("Variable").isin(numeric)), trt, style))
+        parts.append(numeric_rows(stats, trt, style))
     if categorical:
-        counts = (summary.filter(F.col("Variable").isin(categorical))
-                         .select(trt, "Variable", "Stat", F.col("rows").alias("n")))
-        parts.append(categorical_rows(with_level_denominators(counts, trt), trt))
+        parts.append(categorical_rows(counts, trt, total))
     long = reduce(lambda a, b: a.unionByName(b), parts)
-    arms = sorted({r[trt] for r in rows if r[trt] != total}, key=lambda a: a.encode("utf-8")) + [total]
     return (long.withColumn("var_pos", var_positions(variables))
                 .select("Variable", "Stat", "var_pos", "stat_pos", trt, "Value"), arms)
 
@@ -65,7 +61,7 @@ def demo_table(df: DataFrame, trt: str, variables: Sequence[str], style: str = "
                total: str = TOTAL_LABEL, median: str = "exact") -> DataFrame:
     """Wide demography table: ``Variable, Stat, var_pos, stat_pos, <arm>..., <total>``."""
     df = apply_choices(df, where)
-    long, found = demo_long(df, trt, variables, style, total, median)
+    long, found = demo_long(df, trt, variables, style, total, median, want_arms=arms is None)
     arms = list(arms) if arms is not None else found
     wide = to_wide(long, ["Variable", "Stat", "var_pos", "stat_pos"], trt, "Value", arms)
     if style == "split":

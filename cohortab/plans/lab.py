@@ -11,8 +11,8 @@ pooled count (descending, then name), header first.
 
 Plan shape: scan -> filter -> project -> grouping sets (subject, arm, param) /
 (subject, param) with ``min(flag)`` -> grouping sets (arm, param, flag) /
-(arm, param) with ``count`` -> rank windows over the aggregated counts ->
-broadcast join of the checked arm denominators -> pivot.
+(arm, param) with ``count`` -> ranks of the pooled rows joined back -> join of
+the arm denominators -> pivot.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortab.operators.denominators import MAX_ARMS
 from cohortab.operators.incidence import with_percent
 from cohortab.operators.labflags import (
     FLAG_CODES,
@@ -41,13 +40,13 @@ from cohortab.sources.tables import require_columns
 def lab_counts(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str = "param",
                ind: str = "lbnrind", subject: str = "usubjid", adsl_trt: str = "trt01a",
                flag: str | None = "saffl", flag_value: str = "Y", params: Sequence[str] | None = None,
-               total: str = TOTAL_LABEL, max_arms: int = MAX_ARMS, arms: Sequence[str] | None = None):
+               total: str = TOTAL_LABEL, max_arms: int | None = None, arms: Sequence[str] | None = None):
     """Long form: ``trt, level, param, ind, n, ord_par, ord_gra, denom, cell``; plus the arm list."""
     require_columns(adlb, trt, param, ind, subject, where="lab_table")
-    bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, max_arms, arms)
     rows = population(adlb, flag, flag_value) if flag else adlb
     if params is not None:
         rows = choice_filter(rows, param, list(params))
+    bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, rows, max_arms, arms)
     first = one_flag_per_subject(rows, trt, param, ind, subject, total)
     ranked = rank_flags(flag_counts(first, trt, param, ind), trt, param, ind, total)
     ranked = ranked.withColumn("ord_gra", F.when(F.col("level") == 1, F.lit(0).cast("long"))
@@ -59,7 +58,7 @@ def lab_table(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str =
               ind: str = "lbnrind", subject: str = "usubjid", adsl_trt: str = "trt01a",
               flag: str | None = "saffl", flag_value: str = "Y", params: Sequence[str] | None = None,
               total: str = TOTAL_LABEL, arms: Sequence[str] | None = None,
-              max_arms: int = MAX_ARMS) -> DataFrame:
+              max_arms: int | None = None) -> DataFrame:
     """Output columns: ``label, <param>, ord, ord_gra, <arm>..., <total>``."""
     cells, found = lab_counts(adlb, adsl, trt, param, ind, subject, adsl_trt, flag, flag_value,
                               params, total, max_arms, arms)
@@ -81,7 +80,7 @@ def lab_table_grid(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: s
                    ind: str = "lbnrind", subject: str = "usubjid", adsl_trt: str = "trt01a",
                    flag: str | None = "saffl", flag_value: str = "Y",
                    params: Sequence[str] | None = None, total: str = TOTAL_LABEL,
-                   arms: Sequence[str] | None = None, max_arms: int = MAX_ARMS) -> DataFrame:
+                   arms: Sequence[str] | None = None, max_arms: int | None = None) -> DataFrame:
     """Output columns: ``label, <param>, ord_par, flag_code, <arm>..., <total>``.
 
     ``flag_code`` is 0 for the parameter row, then 1 LOW, 2 NORMAL, 3 HIGH.

@@ -1,16 +1,11 @@
-"""Spark session helpers for tests, the bench and local runs.
+"""Spark session for tests, the bench and local runs.
 
 The library itself never creates a session: every operator takes DataFrames and
-returns a DataFrame. These helpers only build a local session with settings that
-suit small machines, and make sure a checkpoint folder exists when the cluster
-did not name one.
+returns a DataFrame.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -32,35 +27,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, creating a scratch one only when unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when nothing is configured (tests, laptops) a fresh scratch folder
-    is made, so nothing machine-local is ever chosen over the cluster's setting.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="cohortab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
-
-
-def materialize(df):
-    """Reliably checkpoint a (small, aggregated) DataFrame and return the checkpointed copy.
-
-    Used where one aggregate feeds both a driver-side decision (e.g. the arm
-    list) and the final plan: the heavy pass runs once, the lineage is cut at a
-    table in the shared checkpoint folder, and a lost executor re-reads it
-    instead of recomputing the pass.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -9,22 +9,21 @@ produced; Catalyst prunes the rest at the Parquet scan.
 Role mapping (fixed, documented in the README):
 
 subjects  <- customer + nation + region
-    usubjid = c_custkey, trt01p = trt01a = arm = c_mktsegment, age = c_acctbal,
+    usubjid = c_custkey, arm = c_mktsegment, trt01a = arm (missing for every 13th
+    customer), trt01p = arm ('BUILDING' for every 7th), age = c_acctbal,
     sex = 'F' for even c_custkey else 'M', race = r_name,
-    saffl = 'Y' when c_acctbal >= 0 else 'N'
+    saffl = 'Y' when c_acctbal >= 0 else 'N' (missing for every 17th customer)
 events    <- lineitem + orders + customer + part
-    usubjid = o_custkey, trta = c_mktsegment, aebodsys = p_type, aedecod = p_brand,
+    usubjid = o_custkey, trta = trt01a, aebodsys = p_type, aedecod = p_brand,
     aesev = o_orderpriority, aerel = o_orderstatus, aeser = l_returnflag, saffl as above
 labs      <- events + customer
-    usubjid = user_id, trta = c_mktsegment, param = event_type, aval = value,
+    usubjid = user_id, trta = trt01a, param = event_type, aval = value,
     lbnrind = 'LOW' when value < 5, 'HIGH' when value > 100, else 'NORMAL',
     visit = calendar day of ts, saffl as above
 
 Joins are equi-joins on keys; no broadcast hints here: customer, part and
 orders grow with the scale factor, so Spark picks the strategy from sizes
-(and AQE re-plans with runtime sizes, splitting skewed join partitions). The
-two fact tables (lineitem, events) go through ``spread_underpartitioned``, which
-only acts on inputs too coarse to use all cores (never at cluster scale).
+(and AQE re-plans with runtime sizes, splitting skewed join partitions).
 """
 
 from __future__ import annotations
@@ -41,7 +40,18 @@ FLAG_LOW, FLAG_NORMAL, FLAG_HIGH = "LOW", "NORMAL", "HIGH"
 
 
 def _safety_flag(balance: F.Column) -> F.Column:
-    return F.when(balance >= 0, F.lit("Y")).otherwise(F.lit("N"))
+    """Missing for every 17th customer."""
+    return F.when(F.col("c_custkey") % 17 != 0, F.when(balance >= 0, F.lit("Y")).otherwise(F.lit("N")))
+
+
+def _actual_arm() -> F.Column:
+    """The treated arm: the market segment, missing for every 13th customer."""
+    return F.when(F.col("c_custkey") % 13 != 0, F.col("c_mktsegment"))
+
+
+def _planned_arm() -> F.Column:
+    """The planned arm: every 7th customer was planned for BUILDING."""
+    return F.when(F.col("c_custkey") % 7 == 0, F.lit("BUILDING")).otherwise(F.col("c_mktsegment"))
 
 
 def subjects(spark: SparkSession, base_dir: str) -> DataFrame:
@@ -56,8 +66,8 @@ def subjects(spark: SparkSession, base_dir: str) -> DataFrame:
                   .join(region, F.col("n_regionkey") == region.r_regionkey, "left"))
     return joined.select(
         F.col("c_custkey").alias("usubjid"),
-        F.col("c_mktsegment").alias("trt01p"),
-        F.col("c_mktsegment").alias("trt01a"),
+        _planned_arm().alias("trt01p"),
+        _actual_arm().alias("trt01a"),
         F.col("c_mktsegment").alias("arm"),
         F.col("c_acctbal").alias("age"),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("sex"),
@@ -67,7 +77,7 @@ def subjects(spark: SparkSession, base_dir: str) -> DataFrame:
 
 
 def adverse_events(spark: SparkSession, base_dir: str) -> DataFrame:
-    line = read_table(spark, base_dir, "lineitem", spread=True).select("l_orderkey", "l_partkey", "l_returnflag")
+    line = read_table(spark, base_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     orders = read_table(spark, base_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     cust = read_table(spark, base_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -77,7 +87,7 @@ def adverse_events(spark: SparkSession, base_dir: str) -> DataFrame:
                   .join(part, F.col("l_partkey") == part.p_partkey))
     return joined.select(
         F.col("o_custkey").alias("usubjid"),
-        F.col("c_mktsegment").alias("trta"),
+        _actual_arm().alias("trta"),
         F.col("p_type").alias("aebodsys"),
         F.col("p_brand").alias("aedecod"),
         F.col("o_orderpriority").alias("aesev"),
@@ -88,13 +98,13 @@ def adverse_events(spark: SparkSession, base_dir: str) -> DataFrame:
 
 
 def lab_results(spark: SparkSession, base_dir: str) -> DataFrame:
-    ev = read_table(spark, base_dir, "events", spread=True).select("user_id", "event_type", "value", "ts")
+    ev = read_table(spark, base_dir, "events").select("user_id", "event_type", "value", "ts")
     cust = read_table(spark, base_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     joined = ev.join(cust, ev.user_id == cust.c_custkey)
     value = F.col("value")
     return joined.select(
         F.col("user_id").alias("usubjid"),
-        F.col("c_mktsegment").alias("trta"),
+        _actual_arm().alias("trta"),
         F.col("event_type").alias("param"),
         value.alias("aval"),
         F.when(value < LAB_LOW_BELOW, F.lit(FLAG_LOW))

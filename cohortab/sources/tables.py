@@ -10,67 +10,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import NumericType, StructType
+from pyspark.sql.types import NumericType
 
 
-SPREAD_MIN_BYTES = 4 << 20
-
-# Inferred schema per path, so repeated reads pass an explicit schema instead of
-# running a footer-reading job each time (call ``forget_schemas`` after a rewrite).
-_SCHEMAS: dict[str, StructType] = {}
-
-
-def forget_schemas() -> None:
-    _SCHEMAS.clear()
-
-
-def read_table(spark: SparkSession, base_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read ``<base_dir>/<name>.parquet`` (file or folder), see ``spread_underpartitioned``."""
-    path = os.path.join(base_dir, f"{name}.parquet")
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-    else:
-        df = spark.read.schema(schema).parquet(path)
-    return spread_underpartitioned(df) if spread else df
-
-
-def _size_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate (file sizes for a scan): planning metadata, no job.
-
-    None where the JVM plan is not reachable from Python (e.g. a remote session).
-    """
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - any failure only means "no estimate"
-        return None
-
-
-def _bytes_conf(spark: SparkSession, key: str, default: str) -> int:
-    v = spark.conf.get(key, default).strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    v = v[:-1] if v.endswith("b") else v
-    return int(float(v[:-1]) * units[v[-1]]) if v and v[-1] in units else int(v)
-
-
-def spread_underpartitioned(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Spread a scan round-robin over the session's cores when its input is too coarse.
-
-    A file of a few MB stored as one row group is read by a single task, and
-    every narrow step after it (joins, expand, partial aggregation) runs in that
-    one task. When a scan is at least ``min_bytes`` yet smaller than one
-    max-size split per core, a round-robin repartition right after the (pruned)
-    scan lets those steps run on all cores. Large inputs already plan at least
-    one split per core, so at cluster scale this never adds a shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = _size_bytes(df)
-    split = _bytes_conf(spark, "spark.sql.files.maxPartitionBytes", "128m")
-    if size is not None and min_bytes <= size < split * cores:
-        return df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+    """Read ``<base_dir>/<name>.parquet`` (file or folder) with the schema that it has now."""
+    return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
 
 
 def reject_reserved(cols, reserved, where: str = "input") -> None:
