@@ -83,11 +83,16 @@ def incidence(df: DataFrame, trt: str, levels: Sequence[str], subject: str = "us
 def pooled_rows(counts: DataFrame, trt: str, level: int, total: str = TOTAL_LABEL) -> DataFrame:
     """The pooled arm's rows of one depth, of an aggregated table with ``level`` and ``n``.
 
-    The condition is tied to the count, so the optimizer keeps it above the
-    aggregation: rows taken this way and the table itself share one exchange
-    instead of aggregating the input twice.
+    The condition is multiplied into the count, so the optimizer keeps it
+    above the aggregation: these rows and the table itself then share one
+    exchange instead of aggregating the input twice.
     """
-    return counts.filter(F.when(F.col("n") >= 0, (F.col(trt) == F.lit(total)) & (F.col("level") == F.lit(level))))
+    return above_aggregation(counts, "n", (F.col(trt) == F.lit(total)) & (F.col("level") == F.lit(level)))
+
+
+def above_aggregation(counts: DataFrame, count_col: str, condition: Column) -> DataFrame:
+    """Rows of an aggregated table (counts are positive) that meet a condition, without pushing it below the aggregate."""
+    return counts.filter(F.col(count_col) * condition.cast("long") > 0)
 
 
 def rank_levels(inc: DataFrame, trt: str, levels: Sequence[str], total: str = TOTAL_LABEL) -> DataFrame:

@@ -35,9 +35,10 @@ def arm_text(trt: str, total: str | None = TOTAL_LABEL) -> Column:
     arm = F.coalesce(F.col(trt).cast("string"), F.lit(NA_ARM))
     if total is None:
         return arm
-    return F.when(arm == F.lit(total),
-                  F.raise_error(F.lit(f"arm value '{total}' collides with the pooled-arm label"))
-                  ).otherwise(arm)
+    # The message names the arm by its column: a constant one would be folded to a
+    # map literal, which no two copies of a plan share, and exchanges could not be reused.
+    clash = F.concat(F.lit("arm value '"), arm, F.lit("' collides with the pooled-arm label"))
+    return F.when(arm == F.lit(total), F.raise_error(clash)).otherwise(arm)
 
 
 def with_total(df: DataFrame, trt: str, label: str = TOTAL_LABEL) -> DataFrame:

@@ -4,9 +4,9 @@ Every variable is unpivoted to ``(Variable, x, level)`` (numeric variables
 fill ``x``, categorical ones the level) and ONE aggregation with grouping sets
 ``(arm, Variable, level), (Variable, level)`` yields, per arm and pooled arm,
 the non-missing count, mean, sample SD, min and max of numeric variables and
-the row count of every categorical level; two more sets give each variable's
-totals, the base of the percents. The exact median is a second pass
-(``exact_median``, bounded memory). A
+the row count of every categorical level. The exact median is a second pass
+(``exact_median``, bounded memory). Categorical percents divide by the arm's
+row count (a window over the aggregated table, i.e. over levels, not rows). A
 missing level is a level of its own and counts in the base.
 
 The arm is made text; a missing arm becomes the text ``NA`` so it forms one
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from cohortab.functions.text import count_pct_cell, number_text, paste
 from cohortab.fixed import COMBINED_STATS, SD_DIGITS_COMBINED, SPLIT_STATS, STAT_DIGITS
 from cohortab.operators.denominators import arm_order, distinct_arms
-from cohortab.operators.incidence import join_null_safe
 from cohortab.operators.median import exact_median
 from cohortab.operators.population import TOTAL_LABEL, arm_text
 from cohortab.sources.tables import reject_reserved, require_columns
@@ -69,31 +68,24 @@ def summary_long(df: DataFrame, trt: str, numeric: Sequence[str], categorical: S
 
 def summary_aggregate(long: DataFrame, trt: str, total: str = TOTAL_LABEL,
                       approx_median: bool = False) -> DataFrame:
-    """Both summaries in ONE aggregation: grouping sets per level and per variable, with and without the arm.
+    """Both summaries in ONE aggregation with grouping sets ``(arm, Variable, level), (Variable, level)``.
 
     Numeric variables have a single NULL level, so their groups are (arm,
-    variable); categorical variables group by level. Rows with ``_all`` 1 are
-    the variable's totals (over its levels). Columns: ``trt, Variable, Stat,
-    _all, rows, n, mean, sd, min, max`` (+ ``median`` when approximate).
+    variable); categorical variables group by level. Columns: ``trt, Variable,
+    Stat, rows, n, mean, sd, min, max`` (+ ``median`` when approximate).
     """
     aggs = [F.count(F.lit(1)).cast("long").alias("rows"), F.count("x").cast("long").alias("n"),
             F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"),
-            F.max("x").alias("max"), F.grouping(trt).alias("_g"), F.grouping("Stat").alias("_all")]
+            F.max("x").alias("max"), F.grouping(trt).alias("_g")]
     if approx_median:
         aggs.append(F.percentile_approx("x", 0.5).alias("median"))
-    sets = [[trt, "Variable", "Stat"], ["Variable", "Stat"], [trt, "Variable"], ["Variable"]]
-    agg = long.groupingSets(sets, trt, "Variable", "Stat").agg(*aggs)
+    agg = long.groupingSets([[trt, "Variable", "Stat"], ["Variable", "Stat"]], trt, "Variable", "Stat").agg(*aggs)
     return agg.withColumn(trt, F.when(F.col("_g") == 1, F.lit(total)).otherwise(F.col(trt))).drop("_g")
 
 
-def _rows_where(agg: DataFrame, condition: Column) -> DataFrame:
-    """Rows of the aggregated table; tied to the count so that all uses share one aggregation."""
-    return agg.filter(F.when(F.col("rows") > 0, condition))
-
-
 def summaries(df: DataFrame, trt: str, numeric: Sequence[str], categorical: Sequence[str],
               total: str = TOTAL_LABEL, median: str = "exact", want_arms: bool = False):
-    """``(typed numeric statistics, level counts, arm order)``, both tables lazy over one aggregation.
+    """``(typed numeric statistics, level counts, arm order)``, both tables lazy.
 
     Only for an exact median one small job runs while building: the
     non-missing count per arm and numeric variable, which gives the median's
@@ -106,7 +98,7 @@ def summaries(df: DataFrame, trt: str, numeric: Sequence[str], categorical: Sequ
     agg = summary_aggregate(long, trt, total, approx_median=median == "approx")
     arms, stats, levels = None, None, None
     if numeric:
-        stats = _rows_where(agg, F.col("Variable").isin(list(numeric)) & (F.col("_all") == 0)).drop("rows", "_all", "Stat")
+        stats = agg.filter(F.col("Variable").isin(list(numeric))).drop("rows", "Stat")
         if median == "exact":
             values = long.filter(F.col("Variable").isin(list(numeric)))
             counts = (values.groupingSets([[trt, "Variable"], ["Variable"]], trt, "Variable")
@@ -124,11 +116,13 @@ def summaries(df: DataFrame, trt: str, numeric: Sequence[str], categorical: Sequ
 
 
 def _level_counts(agg: DataFrame, trt: str, categorical: Sequence[str]) -> DataFrame:
-    """``trt, Variable, Stat, n, denom`` of the categorical variables; denom is the arm's rows for the variable."""
-    mine = F.col("Variable").isin(list(categorical))
-    counts = _rows_where(agg, mine & (F.col("_all") == 0)).select(trt, "Variable", "Stat", F.col("rows").alias("n"))
-    totals = _rows_where(agg, mine & (F.col("_all") == 1)).select(trt, "Variable", F.col("rows").alias("denom"))
-    return counts.join(totals, [trt, "Variable"])
+    """``trt, Variable, Stat, n, denom`` of the categorical variables; denom is the arm's rows for the variable.
+
+    The sum runs over level counts (one row per level), so the data is
+    aggregated once; joining totals back would read it again.
+    """
+    counts = agg.filter(F.col("Variable").isin(list(categorical))).select(trt, "Variable", "Stat", F.col("rows").alias("n"))
+    return counts.withColumn("denom", F.sum("n").over(Window.partitionBy(trt, "Variable")).cast("long"))
 
 
 def numeric_stats(df: DataFrame, trt: str, variables: Sequence[str], total: str = TOTAL_LABEL,
@@ -178,24 +172,21 @@ def categorical_counts(df: DataFrame, trt: str, variables: Sequence[str],
     return _level_counts(summary_aggregate(summary_long(df, trt, [], list(variables), total), trt, total), trt, variables)
 
 
-def categorical_rows(counts: DataFrame, trt: str, total: str = TOTAL_LABEL) -> DataFrame:
+def categorical_rows(counts: DataFrame, trt: str) -> DataFrame:
     """Text rows ``Variable, Stat, stat_pos, trt, Value`` with ``n (p%)`` from level counts.
 
     ``stat_pos`` numbers the levels of a variable in sorted order (missing
-    last). Every level has one pooled row; only those are numbered and the
-    numbers joined back.
+    last); the window runs over level counts (arms x levels), not over rows.
     """
-    order = Window.partitionBy("Variable").orderBy(F.col("Stat").asc_nulls_last())
-    pooled = counts.filter(F.when(F.col("n") > 0, F.col(trt) == F.lit(total)))
-    pos = pooled.select("Variable", "Stat", F.row_number().over(order).cast("long").alias("stat_pos"))
-    return join_null_safe(counts, pos, ["Variable", "Stat"]).select(
-        "Variable", "Stat", "stat_pos", trt, count_pct_cell("n", "denom", style="percent").alias("Value"))
+    pos = F.dense_rank().over(Window.partitionBy("Variable").orderBy(F.col("Stat").asc_nulls_last()))
+    return counts.select("Variable", "Stat", pos.cast("long").alias("stat_pos"), trt,
+                         count_pct_cell("n", "denom", style="percent").alias("Value"))
 
 
 def categorical_summary(df: DataFrame, trt: str, variables: Sequence[str],
                         total: str = TOTAL_LABEL) -> DataFrame:
     """Long text rows ``Variable, Stat, stat_pos, trt, Value`` with ``n (p%)``."""
-    return categorical_rows(categorical_counts(df, trt, variables, total), trt, total)
+    return categorical_rows(categorical_counts(df, trt, variables, total), trt)
 
 
 def var_positions(variables: Sequence[str]) -> Column:

@@ -50,7 +50,7 @@ def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "s
     if numeric:
         parts.append(numeric_rows(stats, trt, style))
     if categorical:
-        parts.append(categorical_rows(counts, trt, total))
+        parts.append(categorical_rows(counts, trt))
     long = reduce(lambda a, b: a.unionByName(b), parts)
     return (long.withColumn("var_pos", var_positions(variables))
                 .select("Variable", "Stat", "var_pos", "stat_pos", trt, "Value"), arms)

@@ -69,7 +69,8 @@ def test_arm_without_denominator_gives_missing_cell(spark):
     adsl = spark.createDataFrame([("s1", "A", "Y")], "usubjid string, trt01a string, saffl string")
     adae = spark.createDataFrame([("s1", "A", "GI", "N", "Y"), ("s2", "B", "GI", "N", "Y")],
                                  "usubjid string, trta string, aebodsys string, aedecod string, saffl string")
-    out = ae_summary(adae, adsl, arms=["A", "B", "Total"])
+    out = ae_summary(adae, adsl)
+    assert out.columns[4:] == ["A", "B", "Total"]
     first = out.first()
     assert first["A"] == "1 (100)" and first["B"] is None and first["Total"] == "2 (200)"
 

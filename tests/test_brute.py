@@ -1,5 +1,5 @@
 """Whole reports against plain-Python models on random small studies (NULLs included)."""
-from fractions import Fraction
+import math
 
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
@@ -16,10 +16,10 @@ ARMS = ["A", "B", "b", None]
 def _pct(n, d):
     if d is None or d <= 0:
         return None
-    q = Fraction(1000 * n, d)
-    whole, rem = divmod(q.numerator, q.denominator)
-    if 2 * rem > q.denominator or (2 * rem == q.denominator and whole % 2 == 1):
-        whole += 1
+    x = 100.0 * n / d
+    whole = math.floor(x * 10)
+    below, above = x - whole / 10, (whole + 1) / 10 - x
+    whole += above < below or (above == below and whole % 2 == 1)
     return str(whole // 10) if whole % 10 == 0 else f"{whole // 10}.{whole % 10}"
 
 
@@ -41,8 +41,14 @@ def _big_n(adsl):
     return n
 
 
-def _columns(n):
-    return sorted((a for a in n if a != "Total"), key=_key) + ["Total"]
+def _columns(n, counted=()):
+    """Arms of the subject table and of the counted rows; the pooled arm last."""
+    return sorted({a for a in [*n, *counted] if a != "Total"}, key=_key) + ["Total"]
+
+
+def _counted(rows):
+    """Arms of the rows of the population that have a subject (arm second, flag last)."""
+    return {_arm(r[1]) for r in rows if r[-1] == "Y" and r[0] is not None}
 
 
 def model_ae(adsl, adae, indent="  "):
@@ -72,7 +78,7 @@ def model_ae(adsl, adae, indent="  "):
             rid = (soc if pt is None else indent + pt, soc_rank[soc], 2, pt_rank[(soc, pt)])
         pct = _pct(n, bign.get(a))
         rows.setdefault(rid, {})[a] = None if pct is None else f"{n} ({pct})"
-    cols = _columns(bign)
+    cols = _columns(bign, [k[0] for k in cnt])
     out = [rid + tuple(cells.get(c, "0") if c in cells else "0" for c in cols) for rid, cells in rows.items()]
     out.sort(key=lambda r: (r[1], r[2], (r[3] is None, r[3] or 0)))
     return out
@@ -102,7 +108,7 @@ def model_lab(adsl, adlb):
         rid = (label, p, level, 0 if level == 1 else rank.get((p, f)))
         pct = _pct(n, bign.get(a))
         rows.setdefault(rid, {})[a] = f"{n} ({'NA' if pct is None else pct})"
-    cols = _columns(bign)
+    cols = _columns(bign, [k[0] for k in cnt])
     out = [rid + tuple(cells.get(c, "0") for c in cols) for rid, cells in rows.items()]
     out.sort(key=lambda r: (_key(r[1]), (r[3] is None, r[3] or 0)))
     return out
@@ -134,7 +140,7 @@ def test_ae_summary_equals_model(spark, subjects, events):
     want = model_ae(adsl_rows, adae_rows)
     got_df = ae_summary(adae, adsl)
     got = [tuple(r) for r in got_df.collect()]
-    assert got_df.columns[4:] == _columns(_big_n(adsl_rows))
+    assert got_df.columns[4:] == _columns(_big_n(adsl_rows), _counted(adae_rows))
     assert got == want
 
 
@@ -163,11 +169,7 @@ def model_term_table(adae, indent="  "):
         cnt.setdefault((soc, pt), {}).setdefault(a, set()).add(s)
 
     def cell(n, a):
-        q = Fraction(1000 * n, den[a])
-        whole, rem = divmod(q.numerator, q.denominator)
-        if 2 * rem > q.denominator or (2 * rem == q.denominator and whole % 2 == 1):
-            whole += 1
-        return f"{n} ({whole // 10}.{whole % 10}%)"
+        return f"{n} ({'%.1f' % (100.0 * n / den[a])}%)"
 
     rows = []
     for soc in sorted({k[0] for k in cnt}, key=_key):
@@ -184,15 +186,16 @@ def model_term_table(adae, indent="  "):
 
 
 def model_demo_combined(adsl):
-    import math
     import statistics as stats
-    from decimal import ROUND_HALF_EVEN, Decimal
 
     def num(x, d):
         if x is None:
             return None
-        q = Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-d), rounding=ROUND_HALF_EVEN)
-        t = format(q, "f").rstrip("0").rstrip(".")
+        scale = 10.0 ** d
+        low = math.floor(x * scale)
+        below, above = x - low / scale, (low + 1) / scale - x
+        low += above < below or (above == below and low % 2 == 1)
+        t = f"{low / scale:.{d}f}".rstrip("0").rstrip(".")
         return "0" if t in ("-0", "") else t
 
     data = [(_arm(a), age, sex) for a, age, sex in adsl]
@@ -273,7 +276,7 @@ def model_lab_grid(adsl, adlb):
     params = sorted({k[2] for k in cnt if k[0] == "Total" and k[1] == 1},
                     key=lambda p: (-cnt[("Total", 1, p, None)], _key(p)))
     ord_par = {p: i + 1 for i, p in enumerate(params)}
-    cols = _columns(bign)
+    cols = _columns(bign, [k[0] for k in cnt])
 
     def cell(a, key):
         if key not in cnt:

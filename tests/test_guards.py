@@ -1,8 +1,9 @@
-"""Size guards: bounded driver fetches refuse unbounded inputs; scan spreading only for coarse inputs."""
+"""The caller's own limits, large level lists, changed schemas, reserved names."""
 import pytest
 
 from cohortab.plans.ae import ae_summary, ae_term_table
-from cohortab.sources.tables import read_table, spread_underpartitioned
+from cohortab.plans.demo import demo_table
+from cohortab.sources.tables import read_table
 
 
 def test_report_refuses_more_arms_than_allowed(spark, fx):
@@ -11,27 +12,23 @@ def test_report_refuses_more_arms_than_allowed(spark, fx):
         ae_summary(adae, adsl, max_arms=2)
     with pytest.raises(ValueError, match="more than"):
         ae_term_table(adae, max_arms=2)
-    with pytest.raises(ValueError, match="more than"):
-        ae_summary(adae, adsl, arms=["a", "b", "c", "d"], max_arms=2)
-
-
-def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def test_coarse_fact_scan_is_spread_and_small_or_large_ones_are_not(spark):
-    d = "/root/testdata/sf0.1"
-    line = read_table(spark, d, "lineitem", spread=True)  # ~10 MB, one row group
-    assert "RoundRobinPartitioning" in _plan(line)
-    cust = read_table(spark, d, "customer", spread=True)  # below the size floor
-    assert "RoundRobinPartitioning" not in _plan(cust)
-    # a scan that already has at least one max-size split per core is left alone
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
-    try:
-        raw = spark.read.parquet(f"{d}/lineitem.parquet")
-        assert "RoundRobinPartitioning" not in _plan(spread_underpartitioned(raw))
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(ae_summary(adae, adsl, max_arms=3).columns) == 8
+
+
+def test_demo_table_of_a_variable_with_many_levels(spark):
+    df = spark.range(120_000).selectExpr("if(id % 2 = 0, 'A', 'B') arm", "cast(id as string) v")
+    out = demo_table(df, "arm", ["v"])
+    assert out.columns[-3:] == ["A", "B", "Total"]
+    got = out.agg({"stat_pos": "max", "*": "count"}).first()
+    assert sorted(got) == [120_000, 120_000]
+
+
+def test_a_rewritten_table_is_read_with_its_new_columns(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    assert read_table(spark, str(tmp_path), "t").columns == ["id"]
+    spark.range(3).selectExpr("id", "id + 1 more").write.mode("overwrite").parquet(path)
+    assert read_table(spark, str(tmp_path), "t").columns == ["id", "more"]
 
 
 def test_argument_columns_named_like_outputs_are_rejected(spark):

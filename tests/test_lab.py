@@ -85,7 +85,7 @@ def test_arm_without_denominator_prints_na_percent(spark):
     adsl = spark.createDataFrame([("s1", "A", "Y")], "usubjid string, trt01a string, saffl string")
     adlb = spark.createDataFrame([("s1", "A", "P", "LOW", "Y"), ("s2", "B", "P", "LOW", "Y")],
                                  "usubjid string, trta string, param string, lbnrind string, saffl string")
-    got = rows(lab_table(adlb, adsl, arms=["A", "B", "Total"]), "label", "A", "B", "Total")
+    got = rows(lab_table(adlb, adsl), "label", "A", "B", "Total")
     assert got == [("P", "1 (100)", "1 (NA)", "2 (200)"), ("LOW", "1 (100)", "1 (NA)", "2 (200)")]
 
 

@@ -1,8 +1,8 @@
 """population, with_total, big_n, self_big_n, choice_filter, facet_values."""
 import pytest
 
-from cohortab.operators.denominators import big_n, collect_bounded, self_big_n
-from cohortab.operators.population import apply_choices, choice_filter, facet_values, population, with_total
+from cohortab.operators.denominators import big_n, self_big_n
+from cohortab.operators.population import apply_choices, choice_filter, default_choice, facet_values, population, with_total
 from conftest import rows
 from fixture_data import H, L, P
 
@@ -42,13 +42,6 @@ def test_self_big_n_has_no_population_filter_and_no_total(spark, fx):
     assert dict(rows(self_big_n(adae, "trta"))) == {P: 1, H: 2, L: 2}
 
 
-def test_collect_bounded_refuses_large_results(spark):
-    df = spark.range(10)
-    assert len(collect_bounded(df, 10)) == 10
-    with pytest.raises(ValueError):
-        collect_bounded(df, 9)
-
-
 def test_choice_filter(spark, fx):
     _, adae, _ = fx
     assert choice_filter(adae, "aerel", "All").count() == 9
@@ -62,14 +55,8 @@ def test_sex_all_choice_drops_other_and_missing(spark):
     assert choice_filter(df, "sex", ["M", "F"]).count() == 2
 
 
-def test_facet_values_sorted_with_default_selection(spark):
+def test_facet_values_are_the_whole_sorted_list(spark):
     df = spark.createDataFrame([(v,) for v in ["b", "a", None, "f", "c", "e", "d", "a"]], "p string")
-    got = rows(facet_values(df, "p", n_default=5).orderBy("value"))
-    assert got == [("a", 1, True), ("b", 2, True), ("c", 3, True), ("d", 4, True), ("e", 5, True),
-                   ("f", None, False)]
-
-
-def test_facet_single_default(spark):
-    df = spark.createDataFrame([(v,) for v in ["d2", "d1", "d3"]], "v string")
-    assert rows(facet_values(df, "v", n_default=1).orderBy("value")) == [("d1", 1, True), ("d2", None, False),
-                                                                          ("d3", None, False)]
+    assert [r[0] for r in facet_values(df, "p").collect()] == list("abcdef")
+    assert [r[0] for r in default_choice(df, "p").collect()] == list("abcde")
+    assert [r[0] for r in default_choice(df, "p", 1).collect()] == ["a"]

@@ -1,26 +1,39 @@
-"""Cell text rules: exact half-even percents, statistic printing, NA handling."""
-from fractions import Fraction
+"""Cell text rules: rounding on the binary value, statistic printing, NA handling."""
+import math
 
 from pyspark.sql import functions as F
 
 from cohortab.functions.text import count_pct_cell, number_text, paste, percent_tenths, percent_text
 
 
-def _half_even_tenths(n, d):
-    q = Fraction(1000 * n, d)
-    whole, rem = divmod(q.numerator, q.denominator)
-    twice = 2 * rem
-    if twice > q.denominator or (twice == q.denominator and whole % 2 == 1):
-        whole += 1
-    return whole
+def _nearest(x, digits):
+    """The documented rule in plain Python: nearer of the two decimals around x, even last digit on equality."""
+    scale = 10.0 ** digits
+    low = math.floor(x * scale)
+    below, above = x - low / scale, (low + 1) / scale - x
+    return low + (above < below or (above == below and low % 2 == 1))
 
 
-def test_percent_tenths_matches_exact_half_even(spark):
-    pairs = [(n, d) for d in range(1, 81) for n in range(0, d + 1)]
+def test_percent_tenths_matches_the_rule(spark):
+    pairs = [(n, d) for d in [*range(1, 61), 2000, 4000, 80] for n in range(0, min(d, 200) + 1)]
     df = spark.createDataFrame(pairs, "n long, d long")
     got = {(r.n, r.d): r.t for r in df.select("n", "d", percent_tenths("n", "d").alias("t")).collect()}
     for n, d in pairs:
-        assert got[(n, d)] == _half_even_tenths(n, d), (n, d)
+        assert got[(n, d)] == _nearest(100.0 * n / d, 1), (n, d)
+
+
+def test_sprintf_cells_print_the_exact_binary_value(spark):
+    pairs = [(n, d) for d in [*range(1, 41), 80, 160, 2000, 4000, 8000] for n in range(0, min(d, 400) + 1)]
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = {(r.n, r.d): r.t for r in df.select("n", "d", percent_text("n", "d", True).alias("t")).collect()}
+    for n, d in pairs:
+        assert got[(n, d)] == "%.1f" % (100.0 * n / d), (n, d)
+
+
+def test_ties_that_exist_only_in_decimal(spark):
+    df = spark.createDataFrame([(n, 2000) for n in (1, 3, 7, 21)], "n long, d long")
+    assert [r[0] for r in df.select(percent_text("n", "d", True)).collect()] == ["0.1", "0.1", "0.3", "1.1"]
+    assert [r[0] for r in df.select(percent_text("n", "d")).collect()] == ["0", "0.1", "0.3", "1"]
 
 
 def test_percent_ties_round_to_even(spark):
@@ -48,7 +61,7 @@ def test_number_text(spark):
     vals = [12.0, 12.3, 100.0, 0.0, 1.0e7, -0.5, 7.0710678, 2.675, -0.001, None]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     two = [r[0] for r in df.select(number_text("x", 2)).collect()]
-    assert two == ["12", "12.3", "100", "0", "10000000", "-0.5", "7.07", "2.68", "0", None]
+    assert two == ["12", "12.3", "100", "0", "10000000", "-0.5", "7.07", "2.67", "0", None]
     three = [r[0] for r in df.select(number_text("x", 3)).collect()]
     assert three[6] == "7.071"
 
