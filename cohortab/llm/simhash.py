@@ -177,16 +177,21 @@ def similar_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         for b in batches:
             q = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             own = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for qi, node in top.search(q.view(np.uint64), max_bits):
-                to = part_ids[node]
-                later = to >= own[qi]  # each pair of partitions meets once
-                yield pa.RecordBatch.from_arrays([pa.array(q[qi[later]]), pa.array(to[later])], names=["fp", "part"])
-
-    routed = index.select("fp", F.col("part").cast("long")).mapInArrow(route, "fp long, part long")
+            found = [(qi, part_ids[node]) for qi, node in top.search(q.view(np.uint64), max_bits)]
+            qi, to = (np.concatenate(x) for x in zip(*found))
+            later = to >= own[qi]  # each pair of partitions meets once
+            qi, to = qi[later], to[later]
+            # neighbours in Gray order go to the same few partitions: one packed row for each
+            order = np.argsort(to, kind="stable")
+            names, first = np.unique(to[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(q[qi[order]], first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed, pa.binary())], names=["part", "fps"])
+
+    routed = index.select("fp", F.col("part").cast("long")).mapInArrow(route, "part long, fps binary")
 
     def probe(leaves: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         leaf = leaves.sort_values("rank")["fp"].to_numpy(np.int64) if len(leaves) else np.zeros(0, np.int64)
-        q = queries["fp"].to_numpy(np.int64)
+        q = np.frombuffer(b"".join(queries["fps"]), dtype=np.int64)
         out = []
         if len(leaf) and len(q):
             names = np.unique(np.concatenate([leaf, q]))
