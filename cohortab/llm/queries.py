@@ -8,6 +8,7 @@ import os
 from cohortab.llm import (
     chat_tools,
     embedding_dedup,
+    oracle,
     packing,
     quality_model,
     quality_rules,
@@ -74,6 +75,7 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op5_embedding_dedup": oracle.embedding_groups_sql(), "op9_quality_rules": oracle.quality_rules_sql(),
+            "op10_url_filter": oracle.url_filter_sql()}
 
 
