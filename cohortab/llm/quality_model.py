@@ -1,8 +1,8 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages. Every passage is encoded by a small network
-over the frequencies of its characters and character pairs; a gated attention
-layer learns, from document labels alone, how much each passage counts; the
+over the frequencies of its characters and character pairs and over how often
+it repeats words; a gated attention layer learns, from document labels alone, how much each passage counts; the
 weighted passage representation gives the score.
 """
 
@@ -40,11 +40,12 @@ def _char_classes() -> np.ndarray:
 
 CLASSES = _char_classes()
 N_CLASSES = 24
-N_FEATURES = N_CLASSES * N_CLASSES + N_CLASSES + 1
+N_FEATURES = N_CLASSES * N_CLASSES + N_CLASSES + 3
 
 
 def passage_features(data: bytes) -> np.ndarray:
-    """One row per passage of ``data``: square roots of class and class-pair frequencies, and the length."""
+    """One row per passage of ``data``: square roots of class and class-pair frequencies, the length, the share
+    of words that equal the word before, and the share of repeated words."""
     n = max(1, -(-len(data) // PASSAGE))
     c = CLASSES[np.frombuffer(data, dtype=np.uint8)]
     which = np.arange(len(c)) // PASSAGE
@@ -54,8 +55,19 @@ def passage_features(data: bytes) -> np.ndarray:
     out[:, :N_CLASSES] = np.sqrt(one / size)
     if len(c) > 1:
         pair = np.bincount((which[1:] * N_CLASSES + c[:-1]) * N_CLASSES + c[1:], minlength=n * N_CLASSES ** 2)
-        out[:, N_CLASSES:-1] = np.sqrt(pair.reshape(n, -1) / size)
+        out[:, N_CLASSES:-3] = np.sqrt(pair.reshape(n, -1) / size)
     out[:, -1] = np.minimum(size[:, 0], PASSAGE) / PASSAGE if len(c) else 0
+    words = data.split()
+    if words:
+        space = (c == CLASSES[32]) | (c == CLASSES[10])
+        start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        at = start // PASSAGE
+        name = np.unique(np.fromiter(map(hash, words), np.int64, len(words)), return_inverse=True)[1]
+        per = np.maximum(np.bincount(at, minlength=n), 1)
+        again = np.concatenate([[False], name[1:] == name[:-1]])
+        out[:, -3] = np.bincount(at, again, n) / per
+        different = np.bincount(np.unique(at * len(words) + name) // len(words), minlength=n)
+        out[:, -2] = 1 - different / per
     return out
 
 
