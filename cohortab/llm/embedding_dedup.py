@@ -25,7 +25,7 @@ from cohortab.llm.common import connected_components, stage
 THRESHOLD = 0.95
 BLOCK = 16         # coordinates of a block
 GRID = 3           # of them, those that the cells are laid over
-CHUNK = 4_096      # vectors of a cell that one task compares with a chunk of a neighbour
+CHUNK = 16_384     # vectors of a cell that one task compares with as many of its neighbours
 SEED = 11
 _SLACK = 1e-6      # rotated distances are only a filter
 
