@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 17
-DRAWS = 8           # segmentations that one word can have across a corpus
+DRAWS = 4           # segmentations that one word can have across a corpus
 LONG_WORD = 48      # symbols from which a word is encoded on its own, by a heap
+SLICE = 2_000       # rows whose different words are encoded together
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _ESCAPED = "\U0010fffe"   # stands for a U+2581 of the text itself
@@ -258,8 +259,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(it):
         for whole in it:
-            for at in range(0, whole.num_rows, 2_000):
-                b = whole.slice(at, 2_000)
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
                 got = encode_batch(voc, [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist(), rate, seed, draws)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([x.astype(_kind(voc)).tobytes() for x in got], pa.binary()),
