@@ -4,14 +4,15 @@ The vocabulary is that of a public model file (its path is a parameter).
 Encoding follows the merge agenda: of all neighbouring symbols whose
 concatenation is a piece, the best-scored pair merges next, the leftmost on
 ties. Under dropout each candidate merge is skipped where a hash keyed by the
-seed, the word, a draw number and the pair's place falls below the rate. The
-draw number is hashed from the seed, the record's key and the word's position,
-so one word is segmented in several ways across a corpus, and always alike for
-the same seed and record.
+seed, the record's key, the word's position and the pair's place falls below the
+rate: every occurrence of a word decides for itself, and always alike for the
+same seed and record.
 
 No piece continues after a space, so merges never cross from one word to the
-next: the different (word, draw) pairs of a batch are encoded once each, all of
-them side by side in arrays.
+next, and occurrences of words of equal length are encoded side by side in
+arrays. What may merge into what depends on the word alone and is looked up once
+per different word; an occurrence that skips no candidate of the agenda without
+dropout has that agenda's result.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 17
-DRAWS = 4           # segmentations that one word can have across a corpus
 LONG_WORD = 48      # symbols from which a word is encoded on its own, by a heap
-SLICE = 2_000       # rows whose different words are encoded together
+SLICE = 2_000       # rows whose words are encoded together,
+SLICE_CHARS = 8 << 20   # ... and characters (a longer text is on its own)
+SIDE = 1 << 16      # occurrences encoded side by side
+TABLE = 1 << 22     # spans of different words that are looked up at a time
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _ESCAPED = "\U0010fffe"   # stands for a U+2581 of the text itself
@@ -53,6 +56,24 @@ class Vocabulary:
                 self.char_ids[ord(p)] = i
         # merges in the order of the agenda: by score, pairs of equal score share a rank
         levels = {s: r for r, s in enumerate(sorted({scores[i] for i in ids.values()}, reverse=True))}
+        # two symbols merge where their span is a piece: a trie of the pieces, spelled in ids of characters
+        # (characters that are no pieces never merge)
+        edge: dict[tuple[int, int], int] = {}
+        pieces_at: dict[int, tuple[int, int]] = {}
+        for p, i in ids.items():
+            if len(p) > 1 and all(c in ids for c in p):
+                node = 0
+                for c in p:
+                    node = edge.setdefault((node, ids[c]), len(edge) + 1)
+                pieces_at[node] = levels[scores[i]], i
+        key = self.pair(*np.array(list(edge) or np.zeros((0, 2)), dtype=np.int64).T)
+        order = np.argsort(key)
+        self.edges = np.concatenate([key[order], [np.iinfo(np.int64).max]])
+        self.edge_to = np.concatenate([np.fromiter(edge.values(), np.int64, len(edge))[order], [0]])
+        self.node_rank = np.full(len(edge) + 1, _NEVER, dtype=np.int32)
+        self.node_id = np.zeros(len(edge) + 1, dtype=np.int32)
+        for node, (r, i) in pieces_at.items():
+            self.node_rank[node], self.node_id[node] = r, i
         merges = [(ids[p[:k]], ids[p[k:]], levels[scores[i]], i) for p, i in ids.items()
                   for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
         table = np.array(merges, dtype=np.int64).reshape(-1, 4)
@@ -129,84 +150,166 @@ def encode_long(voc: Vocabulary, symbols: np.ndarray, key: int, rate: float) ->
     return [i for i in ids if i >= 0]
 
 
-def _encode_equal(voc: Vocabulary, ids: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """The agendas of words of equal length side by side: (ids left-aligned, number of symbols left)."""
-    n, width = ids.shape
+def _tables(voc: Vocabulary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, id) of every span of words of equal length, flat by (word, start, end); the rank is _NEVER where none."""
+    n, width = symbols.shape
+    side = width + 1
+    ranks = np.full(n * side * side, _NEVER, dtype=np.int32)
+    ids = np.zeros(n * side * side, dtype=np.int32)
+    ids.reshape(n, side, side)[:, np.arange(width), np.arange(1, side)] = symbols
+    flat = symbols.ravel()
+    at = np.arange(len(flat))                                             # of the last character of the span
+    end = np.tile(np.arange(1, side), n)
+    place = np.repeat(np.arange(n) * (side * side), width) + (end - 1) * side + end
+    node = np.zeros(len(flat), dtype=np.int64)
+    while len(at):
+        key = voc.pair(node, flat[at])
+        to = np.searchsorted(voc.edges, key)
+        ok = voc.edges[to] == key
+        at, end, place, node = at[ok], end[ok], place[ok], voc.edge_to[to[ok]]
+        piece = voc.node_rank[node] != _NEVER
+        ranks[place[piece]], ids[place[piece]] = voc.node_rank[node[piece]], voc.node_id[node[piece]]
+        more = end < width
+        at, end, place, node = at[more] + 1, end[more] + 1, place[more] + 1, node[more]
+    return ranks, ids
+
+
+def _agendas(ranks: np.ndarray, word: np.ndarray, width: int, key: np.ndarray | None, rate: float, seen: list | None = None):
+    """The agendas of occurrences side by side: (ends of symbols left-aligned, number of symbols left).
+
+    ``seen`` collects the candidates met: (occurrence, start, mid, end).
+    """
+    n, side = len(word), width + 1
     left = np.full(n, width)
-    out = ids.copy()
+    at = np.tile(np.arange(side, dtype=np.int64), (n, 1))                 # symbol starts; at[:, left] is the end
+    out = at.copy()
     if width < 2 or not n:
         return out, left
-    at = np.tile(np.arange(width + 1, dtype=np.int32), (n, 1))            # symbol starts; at[:, left] is the end
-    rank, merged = voc.rank(ids[:, :-1], ids[:, 1:])
+    base = word * (side * side)
+    rank = ranks[base[:, None] + np.arange(width - 1) * (side + 1) + 2]
+    if seen is not None:
+        i, j = np.nonzero(rank != _NEVER)
+        seen.append((i, j, j + 1, j + 2))
     if rate > 0:
         rank = np.where(_skipped(key[:, None], at[:, :-2], at[:, 1:-1], at[:, 2:], rate), _NEVER, rank)
-    rows = np.arange(n)
-    ids, col = ids.copy(), np.arange(width)
+    rows, col = np.arange(n), np.arange(side)
     while True:
         j = rank.argmin(axis=1)
-        best = rank[np.arange(len(rows)), j]
-        go = best != _NEVER
+        go = rank[np.arange(len(rows)), j] != _NEVER
         if not go.all():
             done = ~go
-            out[rows[done], :ids.shape[1]] = ids[done]
-            rows, ids, at, rank, merged, j, key = rows[go], ids[go], at[go], rank[go], merged[go], j[go], key[go]
+            out[rows[done], :at.shape[1]] = at[done]
+            rows, base, at, rank, j = rows[go], base[go], at[go], rank[go], j[go]
+            key = key if key is None else key[go]
         if not len(rows):
             return out, left
         left[rows] -= 1
-        k, r = ids.shape[1], np.arange(len(rows))
-        ids[r, j] = merged[r, j]
+        k = at.shape[1] - 1
         if k == 2:
-            out[rows, 0] = ids[:, 0]
+            out[rows, 1] = width
             return out, left
         # close the gap at j + 1
-        step = col[: k - 1] > j[:, None]
-        ids = np.where(step, ids[:, 1:], ids[:, :-1])
         at = np.where(col[:k] > j[:, None], at[:, 1:], at[:, :-1])
-        rank = np.where(step[:, : k - 2], rank[:, 1:], rank[:, :-1])
-        merged = np.where(step[:, : k - 2], merged[:, 1:], merged[:, :-1])
-        for side in (j - 1, j):
-            ok = np.flatnonzero((side >= 0) & (side < k - 2))
-            s = side[ok]
-            new, to = voc.rank(ids[ok, s], ids[ok, s + 1])
+        rank = np.where(col[: k - 2] > j[:, None], rank[:, 1:], rank[:, :-1])
+        for place in (j - 1, j):
+            ok = np.flatnonzero((place >= 0) & (place < k - 2))
+            p = place[ok]
+            a, m, e = at[ok, p], at[ok, p + 1], at[ok, p + 2]
+            new = ranks[base[ok] + a * side + e]
+            if seen is not None:
+                can = new != _NEVER
+                seen.append((rows[ok[can]], a[can], m[can], e[can]))
             if rate > 0:
-                new = np.where(_skipped(key[ok], at[ok, s], at[ok, s + 1], at[ok, s + 2], rate), _NEVER, new)
-            rank[ok, s], merged[ok, s] = new, to
-
-
-def encode_words(voc: Vocabulary, words: list[str], keys: np.ndarray, rate: float):
-    """Token ids of each word: (all ids end to end, number per word)."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+                new = np.where(_skipped(key[ok], a, m, e, rate), _NEVER, new)
+            rank[ok, p] = new
+
+
+def _any_skipped(seen: list, n_words: int, word: np.ndarray, key: np.ndarray, rate: float) -> np.ndarray:
+    """Whether an occurrence skips a candidate that its word's agenda without dropout meets."""
+    owner, *place = (np.concatenate(x) for x in zip(*seen))
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    count = np.bincount(owner, minlength=n_words)
+    col = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    wide = np.zeros((3, n_words, int(count.max(initial=0))), dtype=np.int64)
+    for w, x in zip(wide, place):
+        w[owner, col] = x[order]
+    hit = np.zeros(len(word), dtype=bool)
+    for c in range(wide.shape[2]):
+        at = np.flatnonzero(~hit & (count[word] > c))
+        hit[at] = _skipped(key[at], *(w[word[at], c] for w in wide), rate)
+    return hit
+
+
+def _encode_equal(voc: Vocabulary, symbols: np.ndarray, word: np.ndarray, key: np.ndarray, rate: float):
+    """Occurrences (``word`` is a row of ``symbols``) of words of equal length: (ids end to end, number of each)."""
+    n, width = symbols.shape
+    side = width + 1
+    ranks, ids = _tables(voc, symbols)
+    seen: list | None = [] if rate > 0 and width > 1 else None
+    at, left = (x[word] for x in _agendas(ranks, np.arange(n), width, None, 0.0, seen))
+    if seen is not None:
+        own = np.flatnonzero(_any_skipped(seen, n, word, key, rate))
+        at[own], left[own] = _agendas(ranks, word[own], width, key[own], rate)
+    live = np.arange(width) < left[:, None]
+    return ids[((word * (side * side))[:, None] + at[:, :-1] * side + at[:, 1:])[live]].astype(np.int64), left
+
+
+def encode_occurrences(voc: Vocabulary, names: list[str], which: np.ndarray, keys: np.ndarray, rate: float,
+                       side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of each occurrence, of the word ``names[which]``: (all ids end to end, number per occurrence)."""
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    points = np.frombuffer("".join(names).encode("utf-32-le"), dtype="<u4").astype(np.int64)
     symbols = voc.char_ids[points]
     first = np.cumsum(size) - size
-    found: list = [None] * len(words)
-    for width in np.unique(size).tolist():
-        which = np.flatnonzero(size == width)
+    width_of = size[which]
+    order = np.lexsort((which, width_of))
+    widths = np.unique(width_of)
+    edges = np.searchsorted(width_of[order], np.concatenate([widths, [np.iinfo(np.int64).max]]))
+    count = np.zeros(len(which), dtype=np.int64)
+    parts = []
+    for width, lo, hi in zip(widths.tolist(), edges.tolist(), edges[1:].tolist()):
+        occ = order[lo:hi]
         if width > LONG_WORD:
-            for i in which.tolist():
-                found[i] = np.array(encode_long(voc, symbols[first[i]:first[i] + width], int(keys[i]), rate), dtype=np.int64)
+            got = [encode_long(voc, symbols[first[w]:first[w] + width], int(k), rate)
+                   for w, k in zip(which[occ].tolist(), keys[occ].tolist())]
+            count[occ] = [len(x) for x in got]
+            parts.append((occ, np.array([i for x in got for i in x], dtype=np.int64)))
             continue
-        for p in range(0, len(which), 1 << 17):
-            w = which[p:p + (1 << 17)]
-            ids, left = _encode_equal(voc, symbols[first[w][:, None] + np.arange(width)], keys[w], rate)
-            for i, x, k in zip(w.tolist(), ids, left.tolist()):
-                found[i] = x[:k]
-    count = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.concatenate([np.zeros(0, np.int64), *found])
+        word = which[occ]
+        number = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]]))   # of the different words, from 0
+        most, p = max(1, TABLE // (width + 1) ** 2), 0
+        while p < len(occ):
+            q = min(p + side, int(np.searchsorted(number, number[p] + most)))
+            w, local = np.unique(word[p:q], return_inverse=True)
+            flat, left = _encode_equal(voc, symbols[first[w][:, None] + np.arange(width)], local, keys[occ[p:q]], rate)
+            count[occ[p:q]] = left
+            parts.append((occ[p:q], flat))
+            p = q
+    begin = np.cumsum(count) - count
+    flat = np.zeros(int(count.sum()), dtype=np.int64)
+    for occ, x in parts:
+        n = count[occ]
+        flat[np.repeat(begin[occ] - (np.cumsum(n) - n), n) + np.arange(len(x))] = x
     unknown = np.flatnonzero(flat >= voc.n)
     if len(unknown):                      # unknown characters fall back to their bytes
         grown = np.ones(len(flat), dtype=np.int64)
         raw = [(SPACE if c == ord(_ESCAPED) else chr(c)).encode() for c in (flat[unknown] - voc.n).tolist()]
         grown[unknown] = [len(b) for b in raw]
         begin = np.cumsum(grown) - grown
-        owner = np.repeat(np.arange(len(found)), count)
+        owner = np.repeat(np.arange(len(which)), count)
         flat = np.repeat(flat, grown)
         for at, b in zip(begin[unknown].tolist(), raw):
             flat[at:at + len(b)] = voc.byte_ids[list(b)]
-        count = np.bincount(owner, grown, len(found)).astype(np.int64)
+        count = np.bincount(owner, grown, len(which)).astype(np.int64)
     return flat, count
 
 
+def encode_words(voc: Vocabulary, words: list[str], keys: np.ndarray, rate: float):
+    """Token ids of each word under its key: (all ids end to end, number per word)."""
+    return encode_occurrences(voc, words, np.arange(len(words)), keys, rate)
+
+
 def words_of(text: str) -> list[str]:
     """Runs of spaces with the characters after them, behind one added space; an escaped mark stays a character."""
     if not text:
@@ -214,33 +317,34 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(SPACE + text.replace(SPACE, _ESCAPED).replace(" ", SPACE))
 
 
-def encode_batch(voc: Vocabulary, texts: list[str], records: list, rate: float, seed: int, draws: int) -> list[np.ndarray]:
-    """Token ids of each text."""
+def encode_batch(voc: Vocabulary, texts: list[str], records: list, rate: float, seed: int,
+                 side: int = SIDE) -> list[np.ndarray]:
+    """Token ids of each text; ``side`` occurrences are encoded at a time, which changes no result."""
     known: dict[str, int] = {}
-    per_doc, draw = [], []
+    per_doc, keys = [], []
     for text, record in zip(texts, records):
         words = words_of(text)
         per_doc.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
         base = np.uint64(xxhash.xxh64_intdigest(f"{seed}/{record}"))
         h = (base + np.arange(len(words), dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        draw.append((((h ^ (h >> np.uint64(29))) >> np.uint64(7)) % np.uint64(draws)).astype(np.int64))
+        keys.append((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
     if not known:
         return [np.zeros(0, dtype=np.int64) for _ in texts]
-    code = np.concatenate(per_doc) * draws + np.concatenate(draw)
-    pairs, at = np.unique(code, return_inverse=True)
-    names = list(known)
-    words = [names[i] for i in (pairs // draws).tolist()]
-    keys = np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) for w in names), np.uint64, len(names))[pairs // draws]
-    keys = keys + (pairs % draws).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    flat, count = encode_words(voc, words, keys, rate)
-    first = np.cumsum(count) - count
-    out, p = [], 0
-    for d in per_doc:
-        w = at[p:p + len(d)]
-        p += len(d)
-        n = count[w]
-        out.append(flat[np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-    return out
+    flat, count = encode_occurrences(voc, list(known), np.concatenate(per_doc), np.concatenate(keys), rate, side)
+    ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([len(d) for d in per_doc])]
+    return np.split(flat, ends[:-1])
+
+
+def _slices(sizes: list[int]):
+    """(first row, number of rows) of slices of at most SLICE rows and SLICE_CHARS characters."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first == SLICE or held + n > SLICE_CHARS):
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield first, len(sizes) - first
 
 
 def _kind(voc: Vocabulary) -> str:
@@ -248,7 +352,7 @@ def _kind(voc: Vocabulary) -> str:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE,
-           seed: int = SEED, draws: int = DRAWS, carry: tuple[str, ...] = ()) -> DataFrame:
+           seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, tokens (ids as little-endian unsigned integers of 2 bytes, 4 for large vocabularies), n_tokens, ``carry``.
 
     Defined results: a null or empty text has no tokens; a null id is a record
@@ -259,9 +363,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(it):
         for whole in it:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                got = encode_batch(voc, [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist(), rate, seed, draws)
+            for at, n in _slices([len(t.as_py() or "") for t in whole.column(1)]):
+                b = whole.slice(at, n)
+                got = encode_batch(voc, [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist(), rate, seed)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([x.astype(_kind(voc)).tobytes() for x in got], pa.binary()),
                      pa.array([len(x) for x in got], pa.int64()), *(b.column(2 + i) for i in range(len(carry)))],

@@ -144,6 +144,25 @@ def test_agenda_against_its_definition():
         assert got == [plain_agenda(voc, w, int(k), rate) for w, k in zip(words, keys)]
 
 
+@needs_model
+def test_every_occurrence_draws_for_itself():
+    """A frequent word with one candidate merge is split at the rate; words vary without a cap; a record stays alike."""
+    voc = sp.load_vocabulary()
+    one = [a for a in "abcdefghijklmnopqrstuvwxyz" if sp.SPACE + a in voc.pieces]
+    texts = [" ".join(one * 10)] * 40
+    whole = np.array([len(x) for x in sp.encode_batch(voc, texts, list(range(40)), 0.0, 5)])
+    got = sp.encode_batch(voc, texts, list(range(40)), 0.1, 5)
+    split = (np.array([len(x) for x in got]) - whole).sum() / (40 * len(one) * 10)
+    assert 0.08 < split < 0.12
+    for a in one:                                                 # each such word, not only their mean
+        n = len(sp.encode_batch(voc, [" ".join([a] * 8000)], [1], 0.1, 5)[0]) / 8000 - 1
+        assert 0.08 < n < 0.12
+    many = sp.encode_batch(voc, ["international"] * 400, list(range(400)), 0.3, 5)
+    assert len({tuple(x.tolist()) for x in many}) > 8
+    long_ = sp.encode_batch(voc, ["x" * 200 + " the"] * 2, [3, 3], 0.3, 5, 1)
+    assert long_[0].tolist() == long_[1].tolist()
+
+
 @needs_model
 def test_round_trip_query(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS) if "\x00" not in t] + [(None, "null id"), (77, None), (0, TEXTS[0])]
