@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortab.llm.common import connected_components, stage
@@ -67,17 +67,21 @@ def majority(pieces) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp long) per row; a null text has no words and fingerprint zero."""
+                 shingle_words: int = SHINGLE_WORDS, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(id, fp long, ``carry`` as strings) per row; a null text has no words and fingerprint zero."""
+    carry = carry or {}
+    names = list(carry)
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((majority(shingle_hashes(t.as_py(), shingle_words)) for t in b.column(1)),
                               dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]],
+                                             names=["id", "fp", *names])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return src.mapInArrow(run, "id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"),
+                      *[c.cast("string").alias(n) for n, c in carry.items()])
+    return src.mapInArrow(run, ", ".join(["id long", "fp long", *(f"{n} string" for n in names)]))
 
 
 # ------------------------------------------------------------- the index
@@ -209,6 +213,12 @@ def similar_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             .cogroup(routed.repartition(parts, "part").groupBy("part")).applyInPandas(probe, "a long, b long"))
 
 
+def _with_component(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``nodes`` (one row per fingerprint ``fp``) with the component of each."""
+    comp = connected_components(similar_fingerprints(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    return nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """Per row: id, fingerprint (16 lowercase hex digits), component_id.
@@ -223,9 +233,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     fp = stage(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     nodes = stage(fp.groupBy("fp").agg(F.min("id").alias("low")), "fp-nodes")
-    edges = similar_fingerprints(nodes.select("fp"), max_bits)
-    comp = connected_components(edges).withColumnRenamed("node", "fp")
-    named = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = _with_component(nodes, max_bits)
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     lookup = named.select("fp", "component").join(lowest, "component").select("fp", "component_id")
     return (fp.join(lookup, "fp")
@@ -233,18 +241,28 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     "component_id"))
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its SimHash component.
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` per SimHash component: the one with the smallest id, then the smallest text digest.
 
-    Rows that repeat an id are one document: the one with the smallest text
-    digest stays. Components of rows without any id keep one such row.
+    A row is known by its id and text, so only rows of one component replace
+    each other: different texts with a null or a repeated id stay apart. A null
+    id comes after all others; of rows equal in id and text one stays, the
+    first by its columns as JSON.
     """
-    groups = simhash_groups(docs, id_col, text_col, **kw)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    ids = kept.withColumnRenamed(id_col, "__kept")
-    rows = docs.join(ids, docs[id_col].eqNullSafe(ids["__kept"]), "leftsemi")
-    repeated = docs.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__kept"))
-    once = rows.join(repeated, rows[id_col].eqNullSafe(repeated["__kept"]), "leftanti")
-    many = rows.join(repeated, rows[id_col].eqNullSafe(repeated["__kept"]), "leftsemi")
-    first = many.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.sha2(text_col, 256)).alias("r")).select("r.*")
-    return once.unionByName(first.select(*docs.columns))
+    digest = F.coalesce(F.sha2(docs[text_col], 256), F.lit(""))
+    rows = (fingerprints(docs, id_col, text_col, shingle_words, {"digest": digest})
+            .groupBy("fp", "id", "digest").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n"))
+    nodes = stage(rows.groupBy("fp").agg(first.alias("first")), "fp-nodes")
+    kept = stage(_with_component(nodes, max_bits).groupBy("component").agg(F.min("first").alias("first"))
+                 .select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__digest"),
+                         (F.col("first.n") > 1).alias("__many")), "kept-rows")
+
+    def matching(many: bool) -> DataFrame:
+        k = kept.where(F.col("__many") == many)
+        return docs.join(k, docs[id_col].cast("long").eqNullSafe(k["__id"]) & (digest == k["__digest"]))
+
+    row = F.struct(*[docs[c] for c in docs.columns])
+    first = matching(True).groupBy("__id", "__digest").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
+    return matching(False).select(*[docs[c] for c in docs.columns]).unionByName(first.select(*docs.columns))

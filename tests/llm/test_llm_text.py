@@ -150,6 +150,16 @@ def test_keep_one_per_group(docs, rows):
     assert all(k in rows for k in kept)
 
 
+def test_keep_one_per_group_matches_rows_not_ids(spark):
+    """Different texts under a null or a repeated id are different documents."""
+    r = random.Random(12)
+    a, b, c, d, e = (" ".join(f"{r.getrandbits(40):x}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (None, a), (None, d), (7, d), (7, e), (7, d), (1, e), (9, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = [tuple(x)[:2] for x in simhash.keep_one_per_group(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (None, c), (7, d), (1, e), (8, "")], key=str)
+
+
 # ------------------------------------------------------------- repeated strings
 
 def brute_repeats(rows, w=50):
