@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortab.llm import embedding_dedup, quality_rules, url_model
+from cohortab.llm import centroids, embedding_dedup, language_id, quality_rules, spelling, url_model
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,3 +98,104 @@ n AS (SELECT a AS rid, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, low.low) AS component_id,
        coalesce(vec_id = least(vec_id, low.low), ok.rid IS NULL) AS kept
 FROM e LEFT JOIN ok USING (rid, vec_id) LEFT JOIN low USING (rid) LEFT JOIN n USING (rid)"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a text of ASCII and Latin-1 letters (UTF-8 bytes), by the usual table, which its rule builds."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        table.append(c)
+    utf8 = ("flatten(list_transform(string_split(%s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] "
+            "ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))") % text
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {utf8}), "
+            f"lambda h, b: xor(h >> 8, CAST({table} AS BIGINT[])[(xor(h, b) & 255) + 1])), 4294967295)")
+
+
+def language_id_sql() -> str:
+    unit, scored = language_id.UNIT, "CAST(round((log10(t) - log10(n)) * {u}) AS BIGINT)".format(u=language_id.UNIT)
+    worst = f"CAST(round((log10(max(t)) + 1) * {unit}) AS BIGINT)"
+    return f"""WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, text, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS ws,
+         coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % {language_id.FOLDS} = 0, false) AS held_out FROM documents),
+train AS (SELECT rid, lang FROM d WHERE NOT held_out AND doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL),
+langs AS MATERIALIZED (SELECT DISTINCT lang FROM train),
+dw AS MATERIALIZED (SELECT rid, w, count(*) AS k FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY ALL),
+kw AS MATERIALIZED (SELECT w, lang, sum(k) AS n FROM dw JOIN train USING (rid) GROUP BY ALL),
+kt AS MATERIALIZED (SELECT lang, sum(n) AS t FROM kw GROUP BY lang),
+kd AS (SELECT DISTINCT w FROM kw),
+known AS (SELECT kd.w, l.lang, CASE WHEN n IS NULL THEN (SELECT {worst} FROM kt) ELSE {scored} END AS s
+          FROM kd CROSS JOIN langs l LEFT JOIN kw ON kw.w = kd.w AND kw.lang = l.lang LEFT JOIN kt ON kt.lang = l.lang),
+sizes AS (SELECT unnest(range(1, {language_id.LONGEST} + 1)) AS size),
+kg AS (SELECT w, size, substr(' ' || w || ' ', unnest(range(1, length(w) + 4 - size)), size) AS g FROM kd, sizes),
+gc AS MATERIALIZED (SELECT size, g, lang, sum(n) AS n FROM kg JOIN kw USING (w) GROUP BY ALL),
+gt AS MATERIALIZED (SELECT size, lang, sum(n) AS t FROM gc GROUP BY ALL),
+gw AS (SELECT size, {worst} AS worst FROM gt GROUP BY size),
+gd AS (SELECT DISTINCT size, g FROM gc),
+gs AS (SELECT gd.size, gd.g, l.lang, CASE WHEN n IS NULL THEN worst ELSE {scored} END AS s
+       FROM gd CROSS JOIN langs l JOIN gw USING (size) LEFT JOIN gc ON gc.size = gd.size AND gc.g = gd.g AND gc.lang = l.lang
+       LEFT JOIN gt ON gt.size = gd.size AND gt.lang = l.lang),
+new AS (SELECT DISTINCT w FROM dw ANTI JOIN kd USING (w)),
+ng AS (SELECT w, size, substr(' ' || w || ' ', unnest(range(1, length(w) + 4 - size)), size) AS g FROM new, sizes),
+hit AS MATERIALIZED (SELECT w, size, g FROM ng SEMI JOIN gd USING (size, g)),
+long AS (SELECT w, max(size) AS size FROM hit GROUP BY w),
+backed AS (SELECT w, lang, CAST(round(avg(s)) AS BIGINT) AS s FROM hit JOIN long USING (w, size) JOIN gs USING (size, g) GROUP BY w, lang),
+ws AS (SELECT * FROM known UNION ALL SELECT * FROM backed),
+sums AS (SELECT rid, lang, sum(k * s) AS total, sum(k) AS n FROM dw JOIN ws USING (w) GROUP BY rid, lang),
+best AS (SELECT rid, arg_min(lang, ROW(total, lang)) AS lang, min(total) AS low FROM sums GROUP BY rid),
+score AS (SELECT rid, 1.0 / sum(pow(10.0::DOUBLE, (low - total) / (n * {unit}.0::DOUBLE))) AS score FROM sums JOIN best USING (rid) GROUP BY rid),
+usual AS (SELECT arg_min(l.lang, ROW(-coalesce(t, 0), l.lang)) AS lang, 1.0::DOUBLE / count(*) AS share FROM langs l LEFT JOIN kt USING (lang))
+SELECT doc_id, held_out,
+       CASE WHEN len(d.ws) = 0 OR usual.lang IS NULL THEN '{language_id.UNKNOWN}' ELSE coalesce(best.lang, usual.lang) END AS lang_pred,
+       CASE WHEN len(d.ws) = 0 OR usual.lang IS NULL THEN 0.0::DOUBLE ELSE round(coalesce(score, share), {language_id.DIGITS}) END AS score
+FROM d LEFT JOIN best USING (rid) LEFT JOIN score USING (rid), usual"""
+
+
+def spelling_variants_sql() -> str:
+    q = spelling
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE r AS (
+  SELECT doc, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(
+      unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), '{upper}', '{upper.lower()}') AS run FROM documents)
+  WHERE length(run) >= {q.MIN_LENGTH} GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, n, {_crc32("doc || ':' || run")} AS h FROM r),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % {q.TYPO_MODULUS} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+    FROM h) WHERE length(word) >= {q.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {q.MIN_COUNT}),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+                     FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+gone AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cut c JOIN w ON c.rest = w.word),
+near AS MATERIALIZED (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+                      UNION SELECT a, b FROM gone UNION SELECT b, a FROM gone),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, ROW(-w.n, b)) AS b, max(w.n) AS m FROM near JOIN w ON w.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {q.LEAD} * w.n THEN b END AS form,
+                          CASE WHEN m >= {q.LEAD} * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+up(word, root) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM f JOIN up ON up.word = f.word JOIN f AS e ON e.word = up.root AND e.form IS NULL"""
+
+
+def centroid_clusters_sql() -> str:
+    c = centroids
+    dist = "(list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c))"  # whole numbers below 2^53
+    parts = [f"""WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({c.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = {c.DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c
+  FROM (SELECT sha256('{c.START}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM x ORDER BY h, v LIMIT {c.CLUSTERS}))"""]
+    for r in range(c.ROUNDS + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT rid, min(ROW({dist}, k)) AS m FROM x, c{r} GROUP BY rid)""")
+        if r < c.ROUNDS:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN (
+  SELECT k, list(s ORDER BY j) AS c FROM (
+    SELECT m[2] AS k, j, floor(sum(v[j]) / count(*)) AS s FROM a{r} JOIN x USING (rid), range(1, {c.DIM} + 1) t(j) GROUP BY ALL)
+  GROUP BY k) n USING (k))""")
+    last = c.ROUNDS
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.m[2] AS INTEGER) AS cluster, CAST(a.m[1] AS BIGINT) AS distance,
+       CAST(sum(a.m[1]) OVER (PARTITION BY a.m[2]) AS BIGINT) AS cluster_inertia, CAST(sum(a.m[1]) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{last} a JOIN x USING (rid) JOIN c{last} ON k = a.m[2]"""

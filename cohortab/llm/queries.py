@@ -6,8 +6,10 @@ import os
 
 
 from cohortab.llm import (
+    centroids,
     chat_tools,
     embedding_dedup,
+    language_id,
     oracle,
     packing,
     quality_model,
@@ -15,6 +17,7 @@ from cohortab.llm import (
     sentencepiece_dropout,
     sharding,
     simhash,
+    spelling,
     suffix_dedup,
     url_model,
 )
@@ -67,15 +70,26 @@ def op10_url_filter(spark, d):
     return url_model.url_filter(_read(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_language_id(spark, d):
+    return language_id.identify(_read(spark, d, "documents"))
+
+
+def op12_spelling_variants(spark, d):
+    return spelling.spelling_variants(_read(spark, d, "documents"))
+
+
+def op13_centroid_clusters(spark, d):
+    return centroids.centroid_clusters(_read(spark, d, "embeddings"))
+
+
 def queries():
     every = (op1_chat_tool_calls, op2_sentencepiece_dropout, op3_rendezvous_sharding, op4_best_fit_packing,
              op5_embedding_dedup, op6_suffix_dedup, op7_quality_classifier, op8_simhash, op9_quality_rules,
-             op10_url_filter)
+             op10_url_filter, op11_language_id, op12_spelling_variants, op13_centroid_clusters)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql():
     return {"op5_embedding_dedup": oracle.embedding_groups_sql(), "op9_quality_rules": oracle.quality_rules_sql(),
-            "op10_url_filter": oracle.url_filter_sql()}
-
-
+            "op10_url_filter": oracle.url_filter_sql(), "op11_language_id": oracle.language_id_sql(),
+            "op12_spelling_variants": oracle.spelling_variants_sql(), "op13_centroid_clusters": oracle.centroid_clusters_sql()}
