@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortab.llm.common import stage
+from cohortab.operators.ranking import running_total
 
 MAX_ROUNDS = 64  # pointers double every round: depths to 2 ** 63
 
@@ -39,7 +40,7 @@ def _is(value, kind: str) -> bool:
     if kind == "number":
         return number
     if kind == "integer":
-        return number and float(value).is_integer()
+        return number and (isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES.get(kind, object))
 
 
@@ -85,11 +86,15 @@ def _checked(tools: dict[str, dict]):
             for name, ident, arguments in zip(b["name"].to_pylist(), b["call_id"].to_pylist(), b["arguments"].to_pylist()):
                 try:
                     value = json.loads(arguments if arguments is not None else "{}", parse_constant=_no_constant)
-                    call.append(canonical({"arguments": value, "id": ident, "name": name}))
-                    wrong.append("; ".join(violations(value, tools[name])) if name in tools else "unknown tool")
+                    text = canonical({"arguments": value, "id": ident, "name": name})
+                    text.encode()
+                    why = "; ".join(violations(value, tools[name])) if name in tools else "unknown tool"
+                except UnicodeEncodeError:  # an escape such as \ud800 alone is no character
+                    text, why = None, "not Unicode"
                 except (ValueError, RecursionError):
-                    call.append(None)
-                    wrong.append("not JSON")
+                    text, why = None, "not JSON"
+                call.append(text)
+                wrong.append(why)
             cols = [b[c] for c in b.schema.names if c != "arguments"]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(call, pa.string()), pa.array(wrong, pa.string())],
@@ -129,17 +134,19 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
     call_turn, result_turn, result (text), depth, position, call_json (canonical;
     null where the arguments are not JSON), violations (empty: valid), status.
 
-    depth is the topological level; position numbers the calls of a level by
-    turn and id across the conversation's levels in order, so sorting by
-    (depth, call_turn, call_id) gives an order in which every call follows the
-    one it builds on. status: ok, unanswered, early (a result before its call),
-    orphan (a result without call), dangling (builds on a call that does not
-    exist), cycle.
+    depth is the topological level; position numbers the rows of a conversation
+    from 1 by (depth, call_turn, call_id), those without a depth and then
+    results without a call last, so every call follows the one it builds on.
+    status: ok, unanswered, early (a result before its call), orphan (a result
+    without call), dangling (builds on a call that does not exist), cycle.
 
     Defined results: a null call id or conversation links with nothing: such a
-    call is unanswered, such a result an orphan; null arguments are ``{}``; of
-    repeated calls or results with one id the first by turn stands; empty
-    tables give empty ones; further columns are not read.
+    call is unanswered, such a result an orphan, and rows without a conversation
+    are numbered as one; null arguments are ``{}``; arguments that are no JSON,
+    or hold an escape that is no character, have no call_json and say so in
+    violations; integers are exact at any size up to Python's 4,300 digits
+    (beyond: not JSON); of repeated calls or results with one id the first by
+    turn stands; empty tables give empty ones; further columns are not read.
     """
     def first(df, *cols):
         named = df.where(F.col(conv_col).isNotNull() & F.col("call_id").isNotNull())
@@ -173,7 +180,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
     orphans = lone.select(conv_col, "call_id", *none, F.col("turn").alias("result_turn"), F.col("content").alias("result"),
                           F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("call_json"),
                           F.lit("").alias("violations"), F.lit("orphan").alias("status"))
-    return calls_out.unionByName(orphans)
+    last = [F.col(c).asc_nulls_last() for c in ("depth", "call_turn", "call_id", "result_turn", "result")]
+    rows = running_total(calls_out.unionByName(orphans), [conv_col], [F.col("call_turn").isNull().asc(), *last], name="position")
+    return rows.select(conv_col, "call_id", "name", "call_turn", "result_turn", "result", "depth", "position", "call_json",
+                       "violations", "status")
 
 
 # ------------------------------------------------------------- calls in plain conversations
@@ -191,9 +201,11 @@ def calls_of_turns(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that plain conversations contain.
 
     Every user turn is a call of ``answer`` and every system turn one of
-    ``configure``, named by its turn; an assistant turn is the result of the
-    turn before it. A user turn after the first builds on the call two turns
-    before it, or on the one before where that is a system turn.
+    ``configure``, named by its turn; an assistant or tool turn is the result of
+    the turn before it. A user turn after the first builds on the call two turns
+    before it, or on the one before where that is a system turn. A turn with
+    another role or none is a result that names no call; of a repeated turn
+    ``link_tool_calls`` keeps the first.
     """
     t = conv.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     name = F.when(F.col("role") == "user", "answer").when(F.col("role") == "system", "configure")
@@ -211,7 +223,7 @@ def calls_of_turns(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("two").isNotNull(), F.concat(F.lit("call-"), (F.col("turn") - 2).cast("string")))
     calls = (calls.join(before, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
              .withColumn("after", after).drop("one", "two"))
-    results = t.where("role = 'assistant'").select(
-        "conv_id", "turn", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"),
-        F.col("text").alias("content"))
+    of = F.when(F.col("role").isin("assistant", "tool"), F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")))
+    results = t.where("coalesce(role, '') NOT IN ('user', 'system')").select(
+        "conv_id", "turn", of.alias("call_id"), F.col("text").alias("content"))
     return calls, results
