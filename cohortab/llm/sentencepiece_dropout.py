@@ -37,7 +37,7 @@ SIDE = 1 << 16      # occurrences encoded side by side
 TABLE = 1 << 22     # spans of different words that are looked up at a time
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_ESCAPED = "\U0010fffe"   # stands for a U+2581 of the text itself
+_ESCAPED = "\udc81"       # stands for a U+2581 of the text itself; no text holds a lone surrogate
 _NEVER = np.int32(2 ** 31 - 1)
 
 
@@ -259,7 +259,7 @@ def encode_occurrences(voc: Vocabulary, names: list[str], which: np.ndarray, key
                        side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of each occurrence, of the word ``names[which]``: (all ids end to end, number per occurrence)."""
     size = np.fromiter(map(len, names), np.int64, len(names))
-    points = np.frombuffer("".join(names).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    points = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     symbols = voc.char_ids[points]
     first = np.cumsum(size) - size
     width_of = size[which]
