@@ -92,8 +92,13 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                    .withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("begin")))
                    .drop("total"), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
-    key = F.pmod(F.xxhash64("id", "cluster", "source", "piece"), F.lit(groups))
-    placed = (pieces.withColumn("grp", key).repartition(min(groups, 1 << 16), "grp").groupBy("grp")
+    # equal rows are numbered, so that they too are spread over all groups
+    equal = ["id", "source", "cluster", "piece", "begin", "size"]
+    pieces = (pieces.groupBy(*equal).agg(F.count("*").alias("times"))
+              .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))))
+    key = F.pmod(F.xxhash64("id", "cluster", "source", "piece", "copy"), F.lit(groups))
+    pieces = pieces.withColumn("grp", key).drop("times", "copy")
+    placed = (pieces.repartition(min(groups, 1 << 16), "grp").groupBy("grp")
               .applyInPandas(_pack_group(capacity), "id long, piece long, begin long, size long, source string, "
                                                     "cluster string, grp long, bin long"))
     placed = stage(placed, "packed")
