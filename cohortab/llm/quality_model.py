@@ -22,6 +22,7 @@ SAMPLE_PASSAGES = 64      # of a training document, evenly spread; scoring takes
 EPOCHS, RATE, SEED = 30, 0.01, 7
 THRESHOLD = 0.3           # fixed value of the contract
 _SLICE = 1 << 22
+_SECTION = 1 << 20        # bytes of a text encoded at a time; pairs and words do not reach across sections
 
 
 def _char_classes() -> np.ndarray:
@@ -93,6 +94,18 @@ class AttentionModel:
         np.add.at(z, bag, a[:, None].astype(np.float32) * h)
         return h, v, u, a, z, z @ p["c"] + p["d"]
 
+    def score_sections(self, sections) -> float:
+        """The score of one bag that comes in parts: attention weights and weighted sums are added up."""
+        weight, total = 0.0, np.zeros(HIDDEN)
+        for x in sections:
+            one = np.zeros(len(x), dtype=np.int64)
+            h, v, u, _, _, _ = self._forward(x, one, 1)
+            a = np.exp(np.clip((v * u) @ self.p["w"], -30, 30)).astype(np.float64)
+            weight += a.sum()
+            total += a @ h
+        logit = total / weight @ self.p["c"] + self.p["d"] + self.shift
+        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+
     def score(self, x: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
         logit = self._forward(x, bag, n)[-1].astype(np.float64) + self.shift
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
@@ -136,6 +149,11 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _sections(data: bytes):
+    for at in range(0, max(len(data), 1), _SECTION):
+        yield passage_features(data[at:at + _SECTION])
+
+
 def _bags(texts: list[bytes]):
     x = [passage_features(t) for t in texts]
     return np.concatenate(x), np.repeat(np.arange(len(x)), [len(f) for f in x])
@@ -147,8 +165,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     one = fold.groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2")
     picked = [one.where(F.col("y") == c).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for c in (0, 1)]
     ids = picked[0].unionByName(picked[1]).select(F.col(id_col).alias("__id"), "y")  # at most 2 x per_class rows
-    first = docs.join(F.broadcast(ids), docs[id_col] == F.col("__id")).groupBy("__id", "y").agg(
-        F.min(text_or_empty(docs[text_col])).alias("t"))
+    texts = docs.select(F.col(id_col).alias("__doc"), text_or_empty(F.col(text_col)).alias("__text"))
+    first = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).groupBy("__id", "y").agg(F.min("__text").alias("t"))
     share = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}  # two rows
     return first.orderBy("__id"), share
 
@@ -169,9 +187,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def encode(it):
         for b in it:
             for i, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x = passage_features(t.encode("utf-8", "surrogatepass"))
-                if len(x) > passages:
-                    x = x[np.linspace(0, len(x) - 1, passages).astype(int)]
+                data = t.encode("utf-8", "surrogatepass")
+                n = max(1, -(-len(data) // PASSAGE))
+                take = np.linspace(0, n - 1, passages).astype(int) if n > passages else np.arange(n)
+                x, at = [], 0
+                for part in _sections(data):  # no more than one section's features are held
+                    x.append(part[take[(take >= at) & (take < at + len(part))] - at])
+                    at += len(part)
+                x = np.concatenate(x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i]), pa.array([y], pa.int32()), pa.array([x.astype(np.float16).tobytes()], pa.binary())],
                     names=["id", "y", "x"])
@@ -191,16 +214,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scores(model: AttentionModel | None, texts) -> np.ndarray:
-    """Scores of the texts of an Arrow column, some MB at a time."""
+    """Scores of the texts of an Arrow column, some MB at a time; longer texts by sections."""
     out, at = np.full(len(texts), 0.5), 0
     while model is not None and at < len(texts):
         held, size, first = [], 0, at
         while at < len(texts) and size < _SLICE:
-            held.append((texts[at].as_py() or "").encode("utf-8", "surrogatepass"))
-            size += len(held[-1])
+            data = (texts[at].as_py() or "").encode("utf-8", "surrogatepass")
+            if len(data) > _SECTION and held:
+                break
             at += 1
+            if len(data) > _SECTION:
+                out[first] = model.score_sections(_sections(data))
+                break
+            held.append(data)
+            size += len(data)
+        if not held:
+            continue
         x, bag = _bags(held)
-        out[first:at] = model.score(x, bag, len(held))
+        out[first:first + len(held)] = model.score(x, bag, len(held))
     return out
 
 
@@ -217,7 +248,10 @@ def score(docs: DataFrame, model: AttentionModel | None, id_col: str = "doc_id",
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               label_col: str = "quality", threshold: float = THRESHOLD, **kw) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold."""
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns.
+
+    Null and empty texts, null ids, repeated rows and empty tables as in ``quality_scores``.
+    """
     model = train(docs, labels, id_col, text_col, label_col, **kw)
     at = docs.columns.index(text_col)
 
