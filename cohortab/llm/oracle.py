@@ -22,10 +22,8 @@ ln AS (SELECT rid, doc_id, host, t, l, lower(array_to_string(regexp_extract_all(
        FROM (SELECT rid, doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM d)
        WHERE regexp_matches(l, '{_WORD}')),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT t) AS n_docs FROM d GROUP BY host),
-freq AS (SELECT host, h, count(DISTINCT t) AS n, min(doc_id) AS first FROM ln GROUP BY host, h),
-over_ AS (SELECT f.host, f.h, f.first FROM freq f JOIN hosts s ON f.host IS NOT DISTINCT FROM s.host
-          WHERE f.n > {q.LINE_FLOOR} AND f.n > s.n_docs * {q.LINE_SHARE}),
+over_ AS (SELECT host, h, min(doc_id) AS first FROM ln GROUP BY host, h
+          HAVING count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS INTEGER) > {q.LINE_LIMIT}),
 gone AS (SELECT rid, sum(w) AS n FROM ln JOIN over_ o ON ln.host IS NOT DISTINCT FROM o.host AND ln.h = o.h
          WHERE ln.doc_id IS DISTINCT FROM o.first GROUP BY rid),
 c AS (SELECT d.rid, d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,

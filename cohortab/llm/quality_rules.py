@@ -14,13 +14,12 @@ from cohortab.llm.common import stage, text_or_empty
 SYMBOLS = "#*$%&|<>"  # fixed value of the contract
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-LINE_SHARE = 0.10       # a line in more than this share of a host's documents is boilerplate
-LINE_FLOOR = 20         # ... and in more than this many
-MIN_LEFT_PERCENT = 20   # fewer words left than this: the document is depleted
+LINE_LIMIT = 10         # a line in more documents of a host than this is boilerplate, however large the host
+MIN_LEFT_PERCENT = 70   # fewer words left than this: the document is depleted
 
 _WS_RE = "[\\\\x20\\\\x09-\\\\x0D]+"
 _WS_SQL = "' \\t\\n\\u000b\\u000c\\r'"
-_POS_BITS = 24          # word positions up to 16 M share a long with 40 hash bits
+_POS_BITS = 24          # a window's place and 40 bits of its hash share a long, where that decides
 _POS = (1 << _POS_BITS) - 1
 
 
@@ -38,17 +37,24 @@ def words_sql(text: str) -> str:
 def repeat_words_sql(words: str) -> str:
     """Words covered by 3-word windows whose three words occur twice or more.
 
-    Windows are hashed; hash and position are packed into one long and sorted,
-    so equal windows stand side by side (neighbours are compared by full hash).
+    Windows are hashed and sorted by (hash, place), so equal ones stand side by
+    side. Sorting longs of 40 hash bits and 24 place bits is faster, and does
+    unless two different hashes share those bits or a place needs more.
     """
     covered = ("aggregate(transform(pp, (x, i) -> IF(get(pp, i + 1) IS NULL, 3L, least(3L, get(pp, i + 1) - x))), "
                "0L, (a, x) -> a + x)")
     same = "get(hh, CAST(x & {m} AS INT)) = get(hh, CAST(get(ss, j {d} 1) & {m} AS INT))"
-    flagged = (f"filter(transform(ss, (x, j) -> IF(({same.format(m=_POS, d='-')}) IS TRUE OR "
-               f"({same.format(m=_POS, d='+')}) IS TRUE, x & {_POS}L, -1L)), v -> v >= 0)")
+    short = (f"filter(transform(ss, (x, j) -> IF(({same.format(m=_POS, d='-')}) IS TRUE OR "
+             f"({same.format(m=_POS, d='+')}) IS TRUE, x & {_POS}L, -1L)), v -> v >= 0)")
+    mixed = (f"exists(transform(ss, (x, j) -> shiftright(x, {_POS_BITS}) = shiftright(get(ss, j + 1), {_POS_BITS}) "
+             f"AND get(hh, CAST(x & {_POS} AS INT)) <> get(hh, CAST(get(ss, j + 1) & {_POS} AS INT))), v -> v)")
+    full = _let("sort_array(transform(hh, (h, i) -> named_struct('h', h, 'i', CAST(i AS BIGINT))))", "tt",
+                "filter(transform(tt, (x, j) -> IF((x.h = get(tt, j - 1).h) IS TRUE OR (x.h = get(tt, j + 1).h) IS TRUE, "
+                "x.i, -1L)), v -> v >= 0)")
     packed = f"sort_array(transform(hh, (h, i) -> (h & {~_POS}L) | CAST(i AS BIGINT)))"
     hashes = "transform(sequence(0, size(ww) - 3), i -> xxhash64(get(ww, i), get(ww, i + 1), get(ww, i + 2)))"
-    inner = _let(hashes, "hh", _let(packed, "ss", _let(f"sort_array({flagged})", "pp", covered)))
+    places = f"IF(size(hh) > {_POS}, {full}, {_let(packed, 'ss', f'IF({mixed}, {full}, {short})')})"
+    inner = _let(hashes, "hh", _let(f"sort_array({places})", "pp", covered))
     return _let(words, "ww", f"IF(size(ww) < 3, 0L, {inner})")
 
 
@@ -73,16 +79,15 @@ def document_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str)
                 "n_dup_lines", F.col("c.r").cast("long").alias("n_repeat_words"), "lines"))
 
 
-def frequent_lines(counts: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
-    """(host, h, first): lines in more than ``share`` of a host's documents and in more than ``floor`` of them.
+def frequent_lines(counts: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """(host, h, first): lines in more than ``limit`` different documents (ids) of a host.
 
-    Equal texts count as one document. ``first`` is the smallest id having the line.
+    ``first`` is the smallest id having the line; rows without an id count as one document.
     """
-    own = (counts.select("id", "host", "digest", F.explode("lines").alias("l"))
-           .groupBy("host", F.col("l.h").alias("h"), "digest").agg(F.min("id").alias("id")))
-    lines = own.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > floor)
-    size = (counts.groupBy("host", "digest").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("n_docs")))
-    return (lines.join(size, "host").where(F.col("n") > F.col("n_docs") * share).select("host", "h", "first"))
+    own = counts.select("id", "host", F.explode(F.array_distinct(F.transform("lines", lambda l: l["h"]))).alias("h"))
+    return (own.groupBy("host", "h", "id").agg(F.lit(1))
+            .groupBy("host", "h").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+            .where(F.col("n") > limit).select("host", "h", "first"))
 
 
 def base_failed() -> Column:
@@ -91,28 +96,29 @@ def base_failed() -> Column:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                  share: float = LINE_SHARE, floor: int = LINE_FLOOR,
-                  min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+                  limit: int = LINE_LIMIT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """Counts and verdict per row of ``docs``.
 
     Returns the id column, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, words_left, kept, and the keys ``digest``
     (xxhash64 of the text) and ``gone`` (hashes of its removed lines).
 
-    A normalised line (lower case, white space collapsed) found in too many
-    documents of its host is removed from every document but the one with the
-    smallest id, so its content is not lost. A document is rejected when it
-    fails a base rule or keeps less than ``min_left_percent`` of its words.
+    A normalised line (lower case, white space collapsed) found in more than
+    ``limit`` different documents (ids) of its host is removed from every one
+    but that with the smallest id, so its content is not lost: of a large group
+    of copies the first stays. A document is rejected when it fails a base rule
+    or keeps less than ``min_left_percent`` of its words. The limit is a number,
+    so a line's fate does not turn on how many other documents the host has.
 
     Defined results: a null text is an empty one (n_words 0, base rule fails);
-    a null host is a host of its own; rows with a null id are counted and
-    judged like others, and never own a line while another row has it; repeated
-    rows get equal results; an empty table gives an empty one; other columns
-    are not read.
+    a null host is a host of its own; rows with a null id count as one document
+    of their host, are judged like others, and never own a line while another
+    row has it; repeated rows are one document and get equal results; an empty
+    table gives an empty one; other columns are not read.
     """
     counts = stage(document_counts(docs, id_col, text_col, host_col), "quality")
     key = ["id", "host", "digest"]
-    over = frequent_lines(counts, share, floor)
+    over = frequent_lines(counts, limit)
     gone = (counts.select(*key, F.explode("lines").alias("l")).select(*key, F.col("l.h").alias("h"))
             .join(over, ["host", "h"]).where(~F.col("id").eqNullSafe(F.col("first")))
             .groupBy(*key).agg(F.collect_set("h").alias("gone")))
@@ -131,7 +137,9 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         host_col: str = "source", **kw) -> DataFrame:
     """The documents that pass, without their removed lines (``n_chars`` follows the text where present).
 
-    Same rows and columns as ``docs`` otherwise; rows are matched on id, host and text.
+    Same rows and columns as ``docs`` otherwise; rows are matched on id, host
+    and text, so repeated rows stay or go together. Null texts and the other
+    cases are judged as in ``quality_rules``; columns of any other name pass.
     """
     v = quality_rules(docs, id_col, text_col, host_col, **kw).where("kept")
     v = v.select(F.col(id_col).alias("__id"), F.col("host").alias("__host"), F.col("digest").alias("__digest"),

@@ -224,9 +224,9 @@ def test_column_construction_is_a_suffix_array():
 
 # ------------------------------------------------------------- quality rules
 
-def brute_quality(rows, share, floor, min_left):
+def brute_quality(rows, limit, min_left):
     norm = lambda line: " ".join(WORD.findall(line)).lower()
-    info, seen, hosts = [], collections.defaultdict(dict), collections.defaultdict(set)
+    info, seen = [], collections.defaultdict(set)
     for i, t, _, host, _ in rows:
         text = t or ""
         words = WORD.findall(text)
@@ -235,15 +235,9 @@ def brute_quality(rows, share, floor, min_left):
         cover = {k + d for k, x in enumerate(tri) if count[x] > 1 for d in range(3)}
         lines = [x for x in text.split("\n") if WORD.search(x)]
         info.append((words, len(cover), lines, host, text))
-        hosts[host].add(text)
         for x in lines:
-            ids = seen[host, norm(x)].setdefault(text, [])
-            ids.append(i)
-    over = {}
-    for (host, line), texts in seen.items():
-        if len(texts) > floor and len(texts) > share * len(hosts[host]):
-            ids = [i for v in texts.values() for i in v if i is not None]
-            over[host, line] = min(ids) if ids else None
+            seen[host, norm(x)].add(i)
+    over = {key: min((i for i in ids if i is not None), default=None) for key, ids in seen.items() if len(ids) > limit}
     out = []
     for (i, *_), (words, cover, lines, host, text) in zip(rows, info):
         gone = [x for x in lines if (host, norm(x)) in over and over[host, norm(x)] != i]
@@ -254,14 +248,13 @@ def brute_quality(rows, share, floor, min_left):
     return out
 
 
-@pytest.mark.parametrize("share,floor,left", [(0.1, 20, 20), (0.05, 1, 95)])
-def test_quality_rules_against_brute_force(docs, rows, share, floor, left):
-    got = quality_rules.quality_rules(clash(docs, "id", "host", "digest", "c", "t"), share=share, floor=floor,
-                                      min_left_percent=left)
+@pytest.mark.parametrize("limit,left", [(quality_rules.LINE_LIMIT, quality_rules.MIN_LEFT_PERCENT), (1, 95)])
+def test_quality_rules_against_brute_force(docs, rows, limit, left):
+    got = quality_rules.quality_rules(clash(docs, "id", "host", "digest", "c", "t"), limit=limit, min_left_percent=left)
     got = [tuple(r)[:9] for r in got.collect()]
-    want = brute_quality(rows, share, floor, left)
+    want = brute_quality(rows, limit, left)
     assert sorted(got, key=str) == sorted(want, key=str)
-    if floor == 1:
+    if limit == 1:
         assert any(w[7] < w[1] for w in want) and any(not w[6] and not w[8] for w in want)
 
 
@@ -273,10 +266,43 @@ def test_repeated_words_of_random_texts(spark):
     texts += ["a b c " * 20, "a " * 500, "\x0ba\x0cb\rc\td\n"]
     got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select(
         "i", F.expr(quality_rules.repeat_words_sql(quality_rules.words_sql("t"))).alias("n")).collect()
-    want = [x[5] for x in brute_quality([(i, t, "", "", 0) for i, t in enumerate(texts)], 1, 1, 0)]
+    want = [x[5] for x in brute_quality([(i, t, "", "", 0) for i, t in enumerate(texts)], 1, 0)]
     assert [r["n"] for r in sorted(got)] == want
 
 
+@pytest.mark.parametrize("bits", [60, 3])
+def test_repeated_words_where_packed_hashes_do_not_decide(spark, monkeypatch, bits):
+    """Few hash bits, so that different windows share them; few place bits, so that most texts are too long."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality_rules, "_POS_BITS", bits)
+    monkeypatch.setattr(quality_rules, "_POS", (1 << bits) - 1)
+    r = random.Random(10)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 200))) for _ in range(60)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select(
+        "i", F.expr(quality_rules.repeat_words_sql(quality_rules.words_sql("t"))).alias("n")).collect()
+    want = [x[5] for x in brute_quality([(i, t, "", "", 0) for i, t in enumerate(texts)], 1, 0)]
+    assert [x["n"] for x in sorted(got)] == want
+
+
+def test_limit_counts_documents_whatever_the_host(spark):
+    """A planted line goes from hosts of every size; copies count one by one, and their first stays."""
+    r = random.Random(11)
+    prose = lambda: " ".join("".join(r.choice("abcdefg") for _ in range(6)) for _ in range(60))
+    rows, i = [], 0
+    for host, n in (("tiny", 10), ("small", 11), ("usual", 60), ("hot", 900)):
+        for k in range(n):
+            shared = "Read the  rules of our house here" if k < max(11, n // 20) else "own line"
+            rows.append((i := i + 1, f"{shared}\n{prose()}" if shared != "own line" else prose(), "en", host, 0))
+    copy = "\n".join(prose() for _ in range(3))
+    rows += [(10_000 + k, copy, "en", "hot", 0) for k in range(5_000)] + [rows[0]] * 30
+    got = {x["doc_id"]: x for x in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    lost = collections.Counter(rows[k - 1][3] for k, x in got.items() if k < 10_000 and x["words_left"] < x["n_words"])
+    assert lost == {"small": 10, "usual": 10, "hot": 44}  # tiny: 10 documents, however often a row is repeated
+    assert [k for k, x in got.items() if k >= 10_000 and x["kept"]] == [10_000]
+    assert all(x["kept"] for k, x in got.items() if k < 10_000)
+
+
 def test_apply_quality_rules_removes_lines(spark):
     words = " ".join(f"w{i}" for i in range(70))
     rows = [(i, f"Log  in\n{words} x{i}", "en", "h", 9) for i in range(30)] + [(99, "short", "en", "h", 5)]
