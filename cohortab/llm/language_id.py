@@ -31,9 +31,10 @@ UNIT = 1_000_000         # scores are whole millionths of a decimal logarithm
 FOLDS = 5                # fixed value of the contract: every fifth crc32 is held out
 UNKNOWN = "und"
 DIGITS = 9               # decimals of a score
-_FLUSH = 200_000         # different words that a task holds before it hands them on
+_FLUSH = 1_000_000       # different words that a task holds before it hands them on
 _SLICE_DOCS = 16_384     # documents of a slice, at most ...
-_SLICE_WORDS = 200_000   # ... or until it has so many different rare words
+_SLICE_WORDS = 500_000   # ... or until it has so many different rare words
+_TOKENS = 1 << 20        # words looked up at a time
 _PIECE = 1 << 22         # characters of a text taken at a time
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,7 +44,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def words_of(text: str | None):
-    """Counts of the words (runs of letters, in lower case), a piece of the text at a time."""
+    """The words (runs of letters, in lower case), a list for each piece of the text."""
     text, rest = text or "", ""
     for at in range(0, len(text), _PIECE):
         piece = rest + text[at:at + _PIECE]
@@ -51,10 +52,10 @@ def words_of(text: str | None):
         if at + _PIECE < len(text):
             while end and piece[end - 1].isalpha():
                 end -= 1
-        yield Counter(_letters(_WORD.findall(piece[:end].lower())))
+        yield _letters(_WORD.findall(piece[:end].lower()))
         rest = piece[end:]
     if rest:
-        yield Counter(_letters(_WORD.findall(rest.lower())))
+        yield _letters(_WORD.findall(rest.lower()))
 
 
 def _letters(runs: list[str]) -> list[str]:
@@ -83,7 +84,7 @@ def word_table(texts: DataFrame, n_langs: int) -> DataFrame:
             for t, li in zip(b["t"], b["li"]):
                 own = seen.setdefault(li, Counter())
                 for words in words_of(t):
-                    own.update(words)
+                    own.update(words)  # a list: counted without a Python loop
                 if sum(map(len, seen.values())) > _FLUSH:
                     yield from handed(seen)
                     seen = {}
@@ -96,16 +97,29 @@ def word_table(texts: DataFrame, n_langs: int) -> DataFrame:
     return _summed(texts.select("t", "li").mapInPandas(count, "word string, li int, n long"), "word", n_langs)
 
 
+class _Numbered(dict):
+    """Numbers for keys, in the order of their first use."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+    def of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
 def gram_table(known: DataFrame, n: int, n_langs: int) -> DataFrame:
     """gram, total, c of the n-grams of the known words, each word counted as often as it occurs."""
     def count(it):
         for b in it:
-            seen: dict[str, np.ndarray] = {}
-            for word, c in zip(b["word"], b["c"]):
-                for g in grams(word, n):
-                    seen[g] = seen[g] + c if g in seen else c
-            rows = [(g, i, int(k)) for g, c in seen.items() for i, k in enumerate(c) if k]
-            yield pd.DataFrame(rows, columns=["gram", "li", "n"]).astype({"li": "int32", "n": "int64"})
+            cut = [grams(w, n) for w in b["word"]]
+            names = _Numbered()
+            at = names.of([g for c in cut for g in c])
+            word = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+            c = np.stack(b["c"].to_numpy()) if len(b) else np.zeros((0, n_langs), np.int64)
+            per = np.stack([np.bincount(at, c[word, i], len(names)) for i in range(n_langs)], axis=1).astype(np.int64)
+            row, li = np.nonzero(per)
+            yield pd.DataFrame({"gram": np.array(list(names), dtype=object)[row], "li": li.astype(np.int32), "n": per[row, li]})
 
     return _summed(known.select("word", "c").mapInPandas(count, "gram string, li int, n long"), "gram", n_langs)
 
@@ -167,44 +181,74 @@ def word_scores(table: DataFrame, n_langs: int, totals: list[int]) -> DataFrame:
 def _sliced(texts: DataFrame, frequent: dict, n_langs: int) -> DataFrame:
     """Slices of documents: a row per document, and one with the slice's rare words, which documents name by place.
 
-    ``base`` sums the scores of the frequent words and ``n`` counts them.
+    ``base`` sums the scores of the frequent words and ``n`` counts them;
+    ``place`` has an entry for every occurrence of a rare word.
     """
     kind = texts.schema["id"].dataType.simpleString()
     send = texts.sparkSession.sparkContext.broadcast(frequent)
-    columns = ["slice", "id", "letters", "n", "base", "place", "times", "words"]
+    columns = ["slice", "id", "letters", "n", "base", "place", "words"]
+
+    def looked_up(number, size, matrix, lists):
+        """Per text: number of words, of frequent ones, their summed scores, places of the rare ones."""
+        found = number.of([w for words in lists for w in words])
+        doc = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
+        often = found < size
+        base = np.stack([np.bincount(doc[often], matrix[found[often], i], len(lists)) for i in range(n_langs)], axis=1)
+        order = np.lexsort((found[~often], doc[~often]))
+        ends = np.cumsum(np.bincount(doc[~often], minlength=len(lists)))
+        places = np.split((found[~often] - size)[order].astype(np.int32), ends[:-1])
+        return (np.bincount(doc, minlength=len(lists)), np.bincount(doc[often], minlength=len(lists)),
+                base.astype(np.int64), places)
 
     def deal(it):
-        place_of, matrix = send.value["place"], send.value["scores"]
-        slice_id = TaskContext.get().partitionId() << 32
-        rare: dict[str, int] = {}
-        held = 0
+        words, matrix = send.value["words"], send.value["scores"]
+        size = len(words)
+        number = _Numbered(zip(words, range(size)))
+        slice_id, held = TaskContext.get().partitionId() << 32, 0
+
+        def rows_of(ids, lists, of):
+            n_all, n, base, places = looked_up(number, size, matrix, lists)
+            if len(set(of)) < len(of):  # texts that came in several pieces
+                parts = pd.DataFrame({"of": of, "a": n_all, "n": n}).groupby("of").sum()
+                whole = [[np.concatenate([p for p, o in zip(places, of) if o == k]), base[np.array(of) == k].sum(0)]
+                         for k in parts.index]
+                n_all, n = parts["a"].to_numpy(), parts["n"].to_numpy()
+                places, base = [w[0] for w in whole], [w[1] for w in whole]
+            return pd.DataFrame({"slice": slice_id, "id": ids, "letters": n_all > 0, "n": n, "base": list(base),
+                                 "place": places, "words": pd.Series([None] * len(ids), dtype=object)}, columns=columns)
+
+        def dictionary():
+            rare = list(number)[size:]
+            for w in rare:
+                del number[w]
+            return pd.DataFrame([(slice_id, None, None, None, None, None, rare)], columns=columns)
+
         for b in it:
-            for at in range(0, len(b), 1024):
-                rows = []
-                for i, t in zip(b["id"][at:at + 1024], b["t"][at:at + 1024]):
-                    base, n, letters, own = np.zeros(n_langs, np.int64), 0, False, Counter()
-                    for words in words_of(t):
-                        letters = letters or bool(words)
-                        hits = [(place_of[w], k) for w, k in words.items() if w in place_of]
-                        if hits:
-                            where, k = np.array(hits, dtype=np.int64).T
-                            base += k @ matrix[where]
-                            n += int(k.sum())
-                        for w, k in words.items():
-                            if w not in place_of:
-                                own[rare.setdefault(w, len(rare))] += k
-                    rows.append((slice_id, i, letters, n, base, list(own), list(own.values()), None))
-                    held += 1
-                    if held >= _SLICE_DOCS or len(rare) >= _SLICE_WORDS:
-                        rows.append((slice_id, None, None, None, None, None, None, list(rare)))
-                        slice_id, rare, held = slice_id + 1, {}, 0
-                yield pd.DataFrame(rows, columns=columns)
+            ids, lists, of, tokens = [], [], [], 0
+            for i, t in zip(b["id"], b["t"]):
+                for words in words_of(t):
+                    lists.append(words)
+                    of.append(len(ids))
+                    tokens += len(words)
+                if not of or of[-1] < len(ids):
+                    lists.append([])
+                    of.append(len(ids))
+                ids.append(i)
+                held += 1
+                full = held >= _SLICE_DOCS or len(number) - size >= _SLICE_WORDS
+                if tokens >= _TOKENS or full:
+                    yield rows_of(ids, lists, of)
+                    ids, lists, of, tokens = [], [], [], 0
+                    if full:
+                        yield dictionary()
+                        slice_id, held = slice_id + 1, 0
+            if ids:
+                yield rows_of(ids, lists, of)
         if held:
-            yield pd.DataFrame([(slice_id, None, None, None, None, None, None, list(rare))], columns=columns)
+            yield dictionary()
 
     return texts.select("id", "t").mapInPandas(
-        deal, f"slice long, id {kind}, letters boolean, n long, base array<long>, place array<int>, times array<long>, "
-              "words array<string>")
+        deal, f"slice long, id {kind}, letters boolean, n long, base array<long>, place array<int>, words array<string>")
 
 
 def _judge(langs: list[str], totals: list[int]):
@@ -217,10 +261,9 @@ def _judge(langs: list[str], totals: list[int]):
             matrix[found["pos"]] = np.stack(found["s"].to_numpy())
             known[found["pos"]] = 1
         preds, out = [], []
-        for letters, n, base, place, times in zip(docs["letters"], docs["n"], docs["base"], docs["place"], docs["times"]):
+        for letters, n, base, place in zip(docs["letters"], docs["n"], docs["base"], docs["place"]):
             at = np.minimum(place, size)  # words without a score end at the last, empty row
-            k = times * known[at]
-            n, total = n + int(k.sum()), base + k @ matrix[at]
+            n, total = n + int(known[at].sum()), base + matrix[at].sum(0)
             if not letters:
                 preds.append(UNKNOWN)
                 out.append(0.0)
@@ -270,12 +313,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     every = table.agg(F.sum("total")).first()[0]
     discard(table)
     top = scored.where(F.col("total") * MAX_FREQUENT >= every).select("word", "s").collect()  # at most MAX_FREQUENT
-    frequent = {"place": {r["word"]: i for i, r in enumerate(top)},
+    frequent = {"words": [r["word"] for r in top],
                 "scores": np.array([r["s"] for r in top], dtype=np.int64).reshape(-1, len(langs))}
     slices = stage(_sliced(texts, frequent, len(langs)), "slices")
     rare = slices.where("words IS NOT NULL").select(F.col("slice").alias("of"), F.posexplode("words").alias("pos", "word"))
     found = rare.join(scored.select("word", "s"), "word").select("of", "pos", "s")
-    docs_of = slices.where("words IS NULL").select("slice", "id", "letters", "n", "base", "place", "times")
+    docs_of = slices.where("words IS NULL").select("slice", "id", "letters", "n", "base", "place")
     judged = docs_of.groupBy("slice").cogroup(found.groupBy("of")).applyInPandas(
         _judge(langs, totals), f"id {id_type}, lang_pred string, score double")
     return judged.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred",
