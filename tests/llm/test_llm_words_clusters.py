@@ -1,0 +1,293 @@
+"""Language identification, spelling variants and centroid clustering against plain-Python models."""
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from cohortab.llm import centroids, language_id, spelling
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _words(r, letters, n):
+    return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(n))
+
+
+# ------------------------------------------------------------- language identification
+
+def model_languages(rows, longest=language_id.LONGEST):
+    """The method on plain dictionaries: {row number: (prediction, score)}."""
+    def words(t):
+        return Counter("".join(c if c.isalpha() else " " for c in (t or "").lower()).split())
+
+    train = [(words(t), g) for i, t, g in rows
+             if i is not None and t is not None and g is not None and zlib.crc32(str(i).encode()) % 5]
+    langs = sorted({g for _, g in train})
+    seen = {g: Counter() for g in langs}
+    for w, g in train:
+        seen[g].update(w)
+
+    def scored(tables):
+        totals = {g: sum(tables[g].values()) for g in langs}
+        worst = round((math.log10(max(totals.values())) + 1) * 1e6)
+        return lambda x: [round((math.log10(totals[g]) - math.log10(tables[g][x])) * 1e6) if tables[g][x] else worst
+                          for g in langs] if any(tables[g][x] for g in langs) else None
+
+    known = scored(seen)
+    backoff = []
+    for n in range(longest, 0, -1):
+        tables = {g: Counter() for g in langs}
+        for g in langs:
+            for w, k in seen[g].items():
+                for x in language_id.grams(w, n):
+                    tables[g][x] += k
+        backoff.append((n, scored(tables)))
+
+    def of(w):
+        if (s := known(w)) is not None:
+            return s
+        for n, score in backoff:
+            hits = [s for x in language_id.grams(w, n) if (s := score(x)) is not None]
+            if hits:
+                return [math.floor(sum(c) / len(c) + 0.5) for c in zip(*hits)]
+        return None
+
+    out = []
+    for _, t, _ in rows:
+        parts = [(k, s) for w, k in words(t).items() if (s := of(w)) is not None]
+        if not words(t):
+            out.append(("und", 0.0))
+        elif not parts:
+            usual = max(langs, key=lambda g: (sum(seen[g].values()), -langs.index(g)))
+            out.append((usual, 1 / len(langs)))
+        else:
+            total = [sum(k * s[i] for k, s in parts) for i in range(len(langs))]
+            n, low = sum(k for k, _ in parts), min(total)
+            out.append((langs[total.index(low)], 1 / sum(10 ** ((low - x) / (n * 1e6)) for x in total)))
+    return out
+
+
+def test_language_id_matches_model(spark):
+    r = random.Random(4)
+    kinds = {"en": "thaeionsr", "de": "eisrnchuß", "es": "aeosdñlt"}
+    rows = [(i, _words(r, kinds[g := r.choice(list(kinds))], r.randint(1, 40)).title(), g) for i in range(160)]
+    # not one known character; digits only; white space; nothing
+    rows += [(1001, "zzz qqq", None), (1002, "12 34 ²", "en"), (1003, "  \n", "en"), (1004, None, "en"), (1005, "", "de"),
+             (None, "the station", "es"), rows[0], rows[0]]
+    rows += [(2000 + i, "häufig " * 50 + "zeit", "de") for i in range(5)]
+    df = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in rows], SCHEMA).repartition(5)
+    # columns named like those of the operator change nothing
+    df = df.withColumn("t", df["source"]).withColumn("words", df["source"]).withColumn("score", df["n_chars"]).withColumn("id", df["lang"])
+    got = Counter((x["doc_id"], x["held_out"], x["lang_pred"], x["score"]) for x in language_id.identify(df).collect())
+    want = Counter((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, p, round(s, 9))
+                   for (i, _, _), (p, s) in zip(rows, model_languages(rows)))
+    assert got == want
+
+
+def test_language_id_slices_and_rare_words(spark, monkeypatch):
+    """Nothing frequent enough to be sent, tiny slices, texts cut into pieces: the same results."""
+    r = random.Random(5)
+    rows = [(i, _words(r, "abcdef" if i % 2 else "uvwxyz", 30), "ab" if i % 2 else "uv") for i in range(60)]
+    df = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in rows], SCHEMA).coalesce(2)
+    want = sorted(map(tuple, language_id.identify(df).collect()))
+    monkeypatch.setattr(language_id, "MAX_FREQUENT", 1)
+    assert sorted(map(tuple, language_id.identify(df).collect())) == want
+    monkeypatch.setattr(language_id, "_SLICE_DOCS", 7)
+    monkeypatch.setattr(language_id, "_TOKENS", 50)
+    assert sorted(map(tuple, language_id.identify(df).collect())) == want
+    whole = [w for words in language_id.words_of(rows[0][1] * 50) for w in words]
+    monkeypatch.setattr(language_id, "_PIECE", 7)
+    assert [w for words in language_id.words_of(rows[0][1] * 50) for w in words] == whole
+
+
+def test_language_id_of_a_very_long_text_and_without_training(spark):
+    long = "wort und " * 400_000
+    df = spark.createDataFrame([(1, long, "de", "s", 0), (2, "word and more", "en", "s", 0), (3, "wort", "de", "s", 0)], SCHEMA)
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(df).collect()}
+    assert got[1] == "de" and got[2] == "en"
+    bare = df.withColumn("lang", df["lang"].substr(9, 1)).where("false")
+    assert language_id.identify(bare).collect() == []
+    none = spark.createDataFrame([(1, "word", None, "s", 0)], SCHEMA)
+    assert [tuple(x) for x in language_id.identify(none).collect()] == [(1, False, "und", 0.0)]
+
+
+def test_language_id_held_out_accuracy(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(df).alias("p").join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 150 and sum(x["lang_pred"] == x["lang"] for x in got) >= 0.98 * len(got)
+
+
+# ------------------------------------------------------------- spelling variants
+
+def model_spelling(rows):
+    lower = {i: i + 32 for i in range(65, 91)}
+    counts = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            counts[spelling.mistyped("" if i is None else str(i), run.translate(lower))] += 1
+    n = {w: k for w, k in counts.items() if len(w) >= 5 and k >= 3}
+    near = defaultdict(set)
+    holes = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            holes[w[:i], w[i + 1:]].add(w)
+            if (v := w[:i] + w[i + 1:]) in n:
+                near[w].add(v)
+                near[v].add(w)
+    for same in holes.values():
+        for w in same:
+            near[w] |= same - {w}
+    form = {w: v for w in n if near[w] and n[v := min(near[w], key=lambda v: (-n[v], v))] >= 2 * n[w]}
+    out = {}
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None)
+    return out
+
+
+def spelling_rows(seed):
+    r = random.Random(seed)
+    base = ["".join(r.choice("abÀé") for _ in range(r.randint(4, 14))) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        words = []
+        for _ in range(r.randint(0, 60)):
+            w = base[min(int(r.expovariate(0.1)), 59)]
+            if r.random() < 0.3:
+                k = r.randrange(len(w) + 1)
+                w = r.choice([w[:k] + r.choice("abÀé×") + w[k:], w[:k] + w[k + 1:], w[:k] + r.choice("ABé") + w[k + 1:]])
+            words.append(w if r.random() < 0.8 else w.upper())
+        rows.append((i, r.choice([" ", "-", "1", "中", "\n"]).join(words)))
+    return rows + [(None, "nulls nulls nulls"), (900, None), (901, ""), rows[0], rows[0]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_spelling_variants_match_model(spark, seed):
+    rows = spelling_rows(seed)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(4)
+    df = df.withColumn("word", df["lang"]).withColumn("n", df["n_chars"]).withColumn("id", df["lang"]).withColumn("t", df["lang"])
+    got = {x["word"]: (x["form"], x["root"], x["n"], x["n_near"], x["form_n"]) for x in spelling.spelling_variants(df).collect()}
+    assert got == model_spelling(rows)
+
+
+def test_spelling_keys_meet_exactly_one_edit():
+    """Any two words share a key with open parts one edit apart if and only if they are one edit apart."""
+    def edit(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d = [p := i] + [p := min(d[j] + 1, p + 1, d[j - 1] + (x != y)) for j, y in enumerate(b, 1)]
+        return d[-1]
+
+    r = random.Random(6)
+    words = list({"".join(r.choice("ab") for _ in range(r.choice([5, 6, 7, 8, 9, 20, 21, 60]))) for _ in range(150)})
+    words += [w[:k] + r.choice("abc") + w[k + r.randint(0, 1):] for w in words for k in [r.randrange(len(w))]]
+    words = sorted(set(words))
+    for a in words:
+        short = spelling.keys(a, 0)
+        for b in words:
+            if a == b or len(b) - len(a) not in (0, 1):
+                continue
+            far = dict(spelling.keys(b, len(b) - len(a)))
+            meet = any(k in far and edit(o, far[k]) == 1 for k, o in short)
+            assert meet == (edit(a, b) == 1), (a, b)
+
+
+def test_spelling_of_long_runs_and_pieces(spark, monkeypatch):
+    run = "".join(random.Random(7).choice("abcdefg") for _ in range(200_000))
+    rows = [(i, f"{run} x {run[:100_000]}{run[100_001:]}") for i in range(5)] + [(i, run) for i in range(5, 12)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {x["word"]: x for x in spelling.spelling_variants(df).collect()}
+    assert sorted(x["n_near"] for x in got.values()) == [1, 1] and {x["n"] for x in got.values()} == {5, 12}
+    assert {x["root"] for x in got.values()} == {run}
+    text = " ".join(t for _, t in spelling_rows(3)[:50])
+    whole = sum(spelling._runs(text), Counter())
+    monkeypatch.setattr(spelling, "_PIECE", 5)
+    assert sum(spelling._runs(text), Counter()) == whole
+
+
+def test_spelling_of_an_empty_table(spark):
+    assert spelling.spelling_variants(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+# ------------------------------------------------------------- centroid clustering
+
+def model_clusters(rows, dim, k=8, rounds=10):
+    kept = [(i, [math.floor(1024 * x) if abs(x) < 2 ** 60 else int(x) * 1024 for x in v]) for i, v in rows
+            if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return []
+    first = sorted(kept, key=lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    cents = [v for _, v in first[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(cents)) for _, v in kept]
+
+    for _ in range(rounds):
+        at = assign()
+        for j in range(len(cents)):
+            own = [v for (_, v), (_, a) in zip(kept, at) if a == j]
+            if own:
+                cents[j] = [sum(c) // len(c) for c in zip(*own)]
+    at = assign()
+    sums = Counter()
+    for d, j in at:
+        sums[j] += d
+    def fit(x):
+        return x if x < 2 ** 63 else None
+    wide = any(fit(d) is None for d, _ in at)
+    return [(i, j, fit(d), fit(sums[j]), fit(sum(sums.values())), hashlib.sha256(",".join(map(str, cents[j])).encode()).hexdigest())
+            for (i, _), (d, j) in zip(kept, at)], wide
+
+
+def run_clusters(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    df = df.withColumn("cluster", df["vec_id"]).withColumn("x", df["vec_id"]).withColumn("v", df["vec_id"])
+    return Counter(map(tuple, centroids.centroid_clusters(df, **kw).collect()))
+
+
+@pytest.mark.parametrize("n", [200, 5])
+def test_clusters_match_model(spark, n):
+    r = np.random.default_rng(n)
+    rows = [(i, (r.normal(size=64) + 3 * (i % 5)).round(2).tolist()) for i in range(n)]
+    rows += [rows[0], rows[0], (None, rows[1][1]), (7001, None), (7002, [1.0] * 63), (7003, [float("nan")] * 64),
+             (7004, [None] + [1.0] * 63), (7005, [float("inf")] + [0.0] * 63), (7006, [])]
+    want, _ = model_clusters(rows, 64)
+    assert run_clusters(spark, rows) == Counter(want)
+
+
+def test_clusters_tie_goes_to_the_smaller_number(spark):
+    rows = [(i, [float(i % 2)] * 4) for i in range(40)]
+    want, _ = model_clusters(rows, 4)
+    assert run_clusters(spark, rows, dim=4) == Counter(want)
+
+
+def test_clusters_of_huge_components(spark):
+    r = random.Random(3)
+    fit = [(i, [r.uniform(-1, 1) * 2.0 ** 18 for _ in range(4)]) for i in range(40)]
+    assert run_clusters(spark, fit, dim=4) == Counter(model_clusters(fit, 4)[0])
+    big = [(i, [r.uniform(-1, 1) * 10.0 ** r.choice([1, 300]) for _ in range(4)]) for i in range(40)]
+    want = {x[0]: x for x in model_clusters(big, 4)[0]}
+    got = run_clusters(spark, big, dim=4)
+    assert len(got) == 40 and {g[0]: (g[1], g[2], g[5]) for g in got} == {i: (x[1], x[2], x[5]) for i, x in want.items()}
+
+
+def test_clusters_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert centroids.centroid_clusters(df).collect() == []
+    assert centroids.centroid_clusters(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_dot_products_are_updated_not_recomputed():
+    r = np.random.default_rng(1)
+    x, cents = r.integers(-50, 50, (20, 8)), r.integers(-50, 50, (3, 8))
+    moved = cents.copy()
+    moved[1, 2] += 7
+    moved[2] = 0
+    assert (centroids.update_dots(x, x @ cents.T, moved - cents) == x @ moved.T).all()
