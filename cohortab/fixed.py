@@ -8,6 +8,7 @@ as expected; every module takes them from here.
 TOTAL_LABEL = "Total"                                    # pooled arm
 ALL_CHOICE = "All"                                       # "no filter" choice of a report control
 NA_TEXT = "NA"                                           # a missing value printed as text
+NAN_TEXT, POSITIVE_INFINITY_TEXT, NEGATIVE_INFINITY_TEXT = "NaN", "Inf", "-Inf"  # statistics that are no numbers
 SEX_ALL = ["M", "F"]                                     # what the "All" choice of the sex control keeps
 ANY_EVENT_LABEL = "Any TEAE"                             # first row of the adverse-event summary
 TERM_INDENT = "  "                                       # indent of a term under its body system

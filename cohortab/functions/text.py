@@ -9,7 +9,8 @@ rounding does:
 * ``sprintf`` style (one decimal always shown): the exact binary value decides,
   an exact tie goes to the even digit. The product with 20 is split into two
   exact doubles, so no decimal tie is invented or lost.
-* Statistics print without trailing zeros (``12.50`` -> ``12.5``).
+* Statistics print without trailing zeros (``12.50`` -> ``12.5``), and what is no
+  number as ``NaN``, ``Inf`` or ``-Inf``.
 * ``paste`` joins text and prints a missing value as ``NA``; plain
   ``F.concat`` gives NULL when any part is missing (the "strict" cell style).
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohortab.fixed import NA_TEXT, TERM_INDENT
+from cohortab.fixed import NA_TEXT, NAN_TEXT, NEGATIVE_INFINITY_TEXT, POSITIVE_INFINITY_TEXT, TERM_INDENT
 
 ColumnOrName = Column | str
 
@@ -117,8 +118,10 @@ def number_text(x: ColumnOrName, digits: int) -> Column:
         value.try_cast(f"decimal(38,{digits})")).cast("string")
     stripped = F.regexp_replace(rounded, r"\.?0+$", "")
     text = F.when(stripped == "-0", F.lit("0")).otherwise(stripped)
-    # Values a decimal cannot hold (infinities, |x| >= 1e36) print as plain doubles.
-    return F.when(rounded.isNull() & value.isNotNull(), value.cast("string")).otherwise(text)
+    # Values a decimal cannot hold (|x| >= 1e36) print as plain doubles, those that are no numbers by name.
+    endless = F.when(value > 0, F.lit(POSITIVE_INFINITY_TEXT)).otherwise(F.lit(NEGATIVE_INFINITY_TEXT))
+    return (F.when(F.isnan(value), F.lit(NAN_TEXT)).when(F.abs(value) == F.lit(float("inf")), endless)
+            .when(rounded.isNull() & value.isNotNull(), value.cast("string")).otherwise(text))
 
 
 def paste(*parts: ColumnOrName | str) -> Column:

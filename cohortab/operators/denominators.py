@@ -58,18 +58,12 @@ def arm_order(names, total: str | None = TOTAL_LABEL) -> list:
     return arms + ([total] if total is not None else [])
 
 
-def distinct_arms(df: DataFrame, trt: str, subject: str | None = None, total: str | None = TOTAL_LABEL) -> DataFrame:
-    """The arms of the rows that have a subject, as text."""
-    rows = df.filter(F.col(subject).isNotNull()) if subject else df
-    return rows.select(arm_text(trt, total).alias(trt)).distinct()
-
-
 def report_arms(denominators: DataFrame | None, events: DataFrame | None, key: str,
                 total: str | None = TOTAL_LABEL, max_arms: int | None = None):
     """One job for a report's arms: ``(denominator table, arm order)``.
 
-    ``denominators`` is the ``(key, N)`` table and ``events`` the arms of the
-    counted rows: an arm of either is a column. The fetched denominators
+    ``denominators`` is the ``(key, N)`` table and ``events`` holds the arms of the
+    counted rows, one row each: an arm of either is a column. The fetched denominators
     re-enter the plan as a local table. ``max_arms`` is the caller's own limit;
     by default there is none (the report has as many columns in any case).
     """

@@ -10,23 +10,27 @@ only moves partial counts. Grouping flags (not NULL tests) tell a rolled-up
 level from a level whose value is genuinely missing.
 
 ``rank_levels`` ranks level values by the pooled count (descending, then
-name) with windows over the pooled rows of the aggregated table. ``join_null_safe`` is
-the join for keys where a missing value must match a missing value.
+name), from the aggregated table written once (``staged``): the facts are read
+for the counts only, and ranks, arms and cells come from the written counts.
+``join_null_safe`` is the join for keys where a missing value must match a
+missing value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortab.functions.text import count_pct_cell
 from cohortab.operators.population import TOTAL_LABEL, arm_text
+from cohortab.operators.ranking import running_total
+from cohortab.sources.staging import staged
 from cohortab.sources.tables import reject_reserved, require_columns
 
 # Columns the incidence operators add.
-INCIDENCE_OUTPUTS = ("level", "n", "denom", "cell", "ord_1", "ord_2", "ord_3", "ord_4", "_subj")
+INCIDENCE_OUTPUTS = ("level", "n", "denom", "cell", "ord_1", "ord_2", "ord_3", "ord_4", "_subj", "pos")
 
 
 def ord_col(k: int) -> str:
@@ -80,41 +84,34 @@ def incidence(df: DataFrame, trt: str, levels: Sequence[str], subject: str = "us
         "n")
 
 
-def pooled_rows(counts: DataFrame, trt: str, level: int, total: str = TOTAL_LABEL) -> DataFrame:
-    """The pooled arm's rows of one depth, of an aggregated table with ``level`` and ``n``.
-
-    The condition is multiplied into the count, so the optimizer keeps it
-    above the aggregation: these rows and the table itself then share one
-    exchange instead of aggregating the input twice.
-    """
-    return above_aggregation(counts, "n", (F.col(trt) == F.lit(total)) & (F.col("level") == F.lit(level)))
-
-
-def above_aggregation(counts: DataFrame, count_col: str, condition: Column) -> DataFrame:
-    """Rows of an aggregated table (counts are positive) that meet a condition, without pushing it below the aggregate."""
-    return counts.filter(F.col(count_col) * condition.cast("long") > 0)
-
-
-def rank_levels(inc: DataFrame, trt: str, levels: Sequence[str], total: str = TOTAL_LABEL) -> DataFrame:
+def rank_levels(inc: DataFrame, trt: str, levels: Sequence[str], total: str = TOTAL_LABEL,
+                by: Sequence[str] = ()) -> DataFrame:
     """Add ``ord_k`` (k = 1..depth) to every row at depth >= k, ranked from the pooled arm.
 
     Depth-1 values are ranked over all of them by pooled count (descending),
     then name (missing last); deeper values are ranked within their parent,
     which sorts the same as one running number. Only values the pooled arm
-    has are ranked; other rows get NULL.
+    has are ranked; other rows get NULL. Tables that differ in the ``by``
+    columns are ranked each for itself.
 
-    Only the pooled arm's rows of a depth are ranked (one row per value; the
-    first depth's go through one task, deeper ones are partitioned by parent),
-    and the ranks are joined back onto the aggregated table.
+    The counts are written once; all depths are numbered by one
+    ``running_total`` over the pooled arm's rows (one row per value, spread
+    over tasks) and joined back onto the written counts.
     """
-    levels = list(levels)
+    levels, by = list(levels), list(by)
+    inc = staged(inc, "incidence")
+    parents = [F.when(F.col("level") > j, F.col(c)).alias(f"_up{j}") for j, c in enumerate(levels[:-1], start=1)]
+    own = F.lit(None).cast("string")
+    for k, c in enumerate(levels, start=1):
+        own = F.when(F.col("level") == k, F.col(c)).otherwise(own)
+    pooled = (inc.filter((F.col(trt) == F.lit(total)) & (F.col("level") >= 1))
+              .select(*by, "level", *levels, "n", *parents, own.alias("_own_name")))
+    numbered = running_total(pooled, [*by, "level", *[f"_up{j}" for j in range(1, len(levels))]],
+                             [F.col("n").desc(), F.col("_own_name").asc_nulls_last()], name="_ord", of=inc)
     out = inc
     for k in range(1, len(levels) + 1):
-        keys = levels[:k]
-        order = [F.col("n").desc(), F.col(keys[-1]).asc_nulls_last()]
-        w = Window.partitionBy(*keys[:-1]).orderBy(*order) if k > 1 else Window.orderBy(*order)
-        ranks = pooled_rows(inc, trt, k, total).select(*keys, F.row_number().over(w).cast("long").alias(ord_col(k)))
-        out = join_null_safe(out, ranks, keys, how="left", extra=F.col("level") >= F.lit(k))
+        ranks = numbered.filter(F.col("level") == k).select(*by, *levels[:k], F.col("_ord").alias(ord_col(k)))
+        out = join_null_safe(out, ranks, [*by, *levels[:k]], how="left", extra=F.col("level") >= F.lit(k))
     return out
 
 

@@ -14,12 +14,14 @@ sets in one aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortab.fixed import FLAG_CODES
-from cohortab.operators.incidence import join_null_safe, pooled_rows
+from cohortab.operators.incidence import join_null_safe
 from cohortab.operators.population import TOTAL_LABEL, arm_text
+from cohortab.operators.ranking import running_total
+from cohortab.sources.staging import staged
 from cohortab.sources.tables import reject_reserved, require_columns
 
 # Columns the lab operators add.
@@ -72,13 +74,19 @@ def rank_flags(counts: DataFrame, trt: str = "trta", param: str = "param", ind:
     ``ord_par``: parameters by pooled subject count (descending), then name
     (missing last). ``ord_gra``: within a parameter, the flags the pooled arm
     has, in text order (missing last), from 1; a flag only an arm has (its
-    subjects' pooled pick was another flag) gets NULL. Only the pooled rows are
-    ranked; their ranks are joined back onto the aggregated counts.
+    subjects' pooled pick was another flag) gets NULL. The counts are written
+    once; only the pooled rows are numbered (spread over tasks) and their ranks
+    are joined back onto the written counts.
     """
-    by_count = Window.orderBy(F.col("n").desc(), F.col(param).asc_nulls_last())
-    params = pooled_rows(counts, trt, 1, total).select(param, F.row_number().over(by_count).cast("long").alias("ord_par"))
-    by_text = Window.partitionBy(param).orderBy(F.col(ind).asc_nulls_last())
-    flags = pooled_rows(counts, trt, 2, total).select(
-        param, ind, F.row_number().over(by_text).cast("long").alias("ord_gra"))
+    counts = staged(counts, "flag-counts")
+    is_flag = F.col("level") == 2
+    pooled = (counts.filter(F.col(trt) == F.lit(total))
+              .select("level", param, ind, F.when(is_flag, F.col(param)).alias("_up"),
+                      F.when(is_flag, F.lit(0).cast("long")).otherwise(F.col("n")).alias("_by"),
+                      F.when(is_flag, F.col(ind)).otherwise(F.col(param)).alias("_own_name")))
+    numbered = running_total(pooled, ["level", "_up"], [F.col("_by").desc(), F.col("_own_name").asc_nulls_last()],
+                             name="_ord", of=counts)
+    params = numbered.filter(F.col("level") == 1).select(param, F.col("_ord").alias("ord_par"))
+    flags = numbered.filter(is_flag).select(param, ind, F.col("_ord").alias("ord_gra"))
     out = join_null_safe(counts, flags, [param, ind], extra=F.col("level") == 2)
     return join_null_safe(out, params, [param])

@@ -1,158 +1,143 @@
-"""Exact median per group with bounded memory per task.
+"""Exact median per group in two passes over the data, without a whole group in one task.
 
 Spark's exact percentile keeps a map of every distinct value of a group; for a
 pooled group over a continuous column at scale that map is the whole column in
-one task. This operator never holds more than ``band_limit`` values of a group:
-
-1. One counting pass gives ``n`` per group, hence the 1-based ranks of the
-   middle value(s): ``(n+1) div 2`` and ``n div 2 + 1`` (one target if equal).
-2. A target whose current value band holds more than ``band_limit`` values is
-   narrowed: one pass computes approximate quantiles of the band on a fixed
-   grid (rank error <= m/accuracy), of which only the two grid values ``a <= b``
-   around the target rank leave the executors, and a second pass counts exactly how many band
-   values are ``< a``, ``<= a``, ``< b``, ``<= b``. The target is then either
-   exactly ``a`` or ``b`` (ties included), or lies strictly inside ``(a, b)``,
-   a band about ``4/grid`` of the old one. Progress is guaranteed because the
-   ends are excluded.
-3. Targets whose band is small enough are resolved in one lazy aggregation:
-   the band's values sorted into an array (at most ``band_limit`` long) and
-   the value at ``rank - below`` picked on the executors.
-
-For most groups step 2 never runs: one counting pass plus the lazy pick. Driver
-state is one small row per target; joins against it broadcast a table whose
-size is known (two rows per group at most). NaN counts as missing, like NULL.
+one task. Here:
+
+1. One aggregation gives each group's count and a mergeable rank sketch (KLL).
+   The sketch's quantiles a few rank errors below and above the middle bound a
+   band that holds the middle value(s).
+2. A second pass counts the values of the band by value, and those below it: a
+   row per distinct value, about 0.1 % of a large group. The counts are written
+   and summed up in value order by ``running_total`` (range partitions), and the
+   value at which the running count reaches the middle rank is the median.
+
+A sketch keeps every value of a group of at most half its size, so the middle
+values of such a group are read off exactly, and without larger groups there is
+no second pass.
+
+The counts tell whether a band really held the middle. A group whose sketch
+missed it (beyond the sketch's error bound) is counted again over its whole
+range, so the result is exact in any case. Groups stay in tables: nothing per
+group reaches the driver. NaN counts as missing, like NULL.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    BooleanType,
-    DoubleType,
-    LongType,
-    StructField,
-    StructType,
-)
-
-BAND_LIMIT = 1_000_000
-GRID = 2_000
-ACCURACY = 10_000  # Spark's default: rank error 1e-4 of the band, sketch of modest size
-
-
-def _band_filter(x, lo, hi, lo_open, hi_open):
-    lower = F.when(lo_open, x > lo).otherwise(x >= lo)
-    upper = F.when(hi_open, x < hi).otherwise(x <= hi)
-    return lower & upper
-
-
-def _targets_frame(spark, keys, key_types, targets, extra=()):
-    fields = [StructField(k, t, True) for k, t in zip(keys, key_types)]
-    fields += [StructField("_tid", LongType(), False), StructField("_lo", DoubleType(), False),
-               StructField("_hi", DoubleType(), False), StructField("_lo_open", BooleanType(), False),
-               StructField("_hi_open", BooleanType(), False), StructField("_below", LongType(), False),
-               StructField("_k", LongType(), False)]
-    fields += [StructField(name, DoubleType(), True) for name in extra]
-    rows = []
-    for t in targets:
-        rows.append(tuple(t["key"]) + (t["tid"], t["lo"], t["hi"], t["lo_open"], t["hi_open"],
-                                       t["below"], t["k"]) + tuple(t.get(name) for name in extra))
-    return spark.createDataFrame(rows, StructType(fields))
-
-
-def _banded(data, tf, keys):
-    cond = None
+
+from cohortab.operators.ranking import running_total
+from cohortab.sources.staging import staged
+
+SKETCH_K = 32_768  # size of a sketch: at most some 800 KB, rank error 0.02 %
+SLACK = 3.0        # rank errors on either side of the middle
+_HALF, _OVER = 0.5, 0.5 + 1e-6  # the ranks of the two middle values in a sketch that keeps all values
+
+
+def rank_error(k: int) -> float:
+    """The published single-sided rank error (99 % confidence) of a KLL sketch of size ``k``."""
+    return 2.296 / k ** 0.9021
+
+
+def number(x) -> Column:
+    """A value as a double, NaN as missing."""
+    v = (F.col(x) if isinstance(x, str) else x).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def rank_sketch(x, k: int = SKETCH_K) -> Column:
+    """The aggregate that ``median_from_sketches`` starts from."""
+    return F.kll_sketch_agg_double(x, F.lit(k))
+
+
+def _same(keys: Sequence[str], other: str) -> Column:
+    cond = F.lit(True)
     for k in keys:
-        term = data[k].eqNullSafe(tf[k])
-        cond = term if cond is None else cond & term
-    joined = data.join(F.broadcast(tf), cond, "inner").drop(*[tf[k] for k in keys])
-    band = _band_filter(F.col("_x"), F.col("_lo"), F.col("_hi"), F.col("_lo_open"), F.col("_hi_open"))
-    return joined.filter(band)
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{other}{k}"))
+    return cond
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], x: str, band_limit: int = BAND_LIMIT,
-                 grid: int = GRID, accuracy: int = ACCURACY,
-                 counts: Sequence[tuple[tuple, int]] | None = None) -> DataFrame:
-    """``(keys..., median)``: exact median of ``x`` per group; groups with no value are absent.
+def _renamed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"{prefix}{k}") for k in keys], *[c for c in df.columns if c not in keys])
+
+
+def _band_counts(values: DataFrame, bands: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, v, m``: how often each value of the group's band occurs; v NULL counts the values below it."""
+    joined = values.join(_renamed(bands.select(*keys, "lo", "hi"), keys, "_b_"), _same(keys, "_b_")).filter(F.col("_x") <= F.col("hi"))
+    inside = F.when(F.col("_x") >= F.col("lo"), F.col("_x"))
+    return joined.select(*keys, inside.alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("m"))
 
-    ``band_limit`` bounds the values that one task sorts; the result does not
-    depend on it. The driver holds one row per group.
 
-    ``counts`` may carry the non-missing count per group (``[(key_tuple, n)]``)
-    when the caller already has it, which saves the counting pass.
+def _middle() -> tuple[Column, Column]:
+    """The ranks of the two middle values (equal for an odd count)."""
+    n = F.col("n")
+    return (n + 1 - (n + 1) % 2) / 2, (n - n % 2) / 2 + 1
+
+
+def _missed(bands: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups whose middle ranks are not all inside the band."""
+    got = counts.groupBy(*keys).agg(F.sum(F.when(F.col("v").isNull(), F.col("m")).otherwise(0)).alias("under"),
+                                    F.sum("m").alias("upto"))
+    low, high = _middle()
+    return (bands.join(_renamed(got, keys, "_c_"), _same(keys, "_c_"), "left")
+            .filter(F.coalesce((F.col("under") >= low) | (F.col("upto") < high), F.lit(True))).select(*keys, "n", "lo", "hi"))
+
+
+def _mean_of_ends(rows: DataFrame, keys: Sequence[str], low: Column, high: Column) -> DataFrame:
+    """``keys, median``: the mean of the two middle values (themselves where they are equal)."""
+    ends = rows.select(*keys, low.alias("_low"), high.alias("_high"))
+    mean = F.col("_low") * F.lit(0.5) + F.col("_high") * F.lit(0.5)
+    return ends.select(*keys, F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(mean).alias("median"))
+
+
+def median_from_sketches(sketches: DataFrame, values: DataFrame, keys: Sequence[str], k: int = SKETCH_K,
+                         slack: float = SLACK) -> DataFrame:
+    """``(keys..., median)`` from ``sketches (keys, n, sketch)`` of the values and ``values (keys, _x)``, NaN-free.
+
+    ``sketches`` should be a written table: it is read a few times. Groups
+    without a value (n 0) are absent.
+    """
+    keys = list(keys)
+
+    def quantile(rank: float) -> Column:
+        return F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, rank))))
+
+    filled = sketches.filter(F.col("n") > 0)
+    complete = _mean_of_ends(filled.filter(2 * F.col("n") <= k), keys, quantile(_HALF), quantile(_OVER))
+    off = slack * rank_error(k)
+    bands = filled.filter(2 * F.col("n") > k).select(*keys, "n", quantile(0.5 - off).alias("lo"), quantile(0.5 + off).alias("hi"))
+    if bands.isEmpty():
+        return complete
+    values = values.filter(F.col("_x").isNotNull())
+    counts = staged(_band_counts(values, bands, keys), "band-counts")
+    missed, source = _missed(bands, counts, keys), counts
+    if not missed.isEmpty():
+        missed = staged(missed, "missed-bands")
+        whole = missed.withColumn("lo", F.lit(float("-inf"))).withColumn("hi", F.lit(float("inf")))
+        again = staged(_band_counts(values, whole, keys), "whole-counts")
+        hit = counts.join(_renamed(missed.select(*keys), keys, "_m_"), _same(keys, "_m_"), "left_anti")
+        counts, source = hit.unionByName(again), None
+    # the values below the band come first in the running count
+    summed = running_total(counts, keys, [F.col("v").asc_nulls_first()], F.col("m"), name="upto", of=source)
+    summed = summed.filter(F.col("v").isNotNull())
+    n = bands.select(*keys, "n")
+    joined = summed.join(_renamed(n, keys, "_n_"), _same(keys, "_n_"))
+    low, high = _middle()
+    ends = joined.groupBy(*keys).agg(F.min(F.when(F.col("upto") >= low, F.col("v"))).alias("_low"),
+                                     F.min(F.when(F.col("upto") >= high, F.col("v"))).alias("_high"))
+    return complete.unionByName(_mean_of_ends(ends, keys, F.col("_low"), F.col("_high")))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], x: str, k: int = SKETCH_K, slack: float = SLACK) -> DataFrame:
+    """``(keys..., median)``: exact median of ``x`` per group; groups with no value are absent.
+
+    ``k`` sizes the sketches and ``slack`` the bands; the result does not depend
+    on them.
     """
     keys = list(keys)
-    spark = df.sparkSession
-    xv = F.col(x).cast("double")
-    data = (df.select(*keys, F.when(F.isnan(xv), F.lit(None)).otherwise(xv).alias("_x"))
-              .filter(F.col("_x").isNotNull()))
-    key_types = [data.schema[k].dataType for k in keys]
-
-    if counts is None:
-        rows = data.groupBy(*keys).agg(F.count("_x").alias("_n")).collect()  # one row per group
-        counts = [(tuple(r[c] for c in keys), r["_n"]) for r in rows]
-    targets = []
-    for key, n in counts:
-        if not n:
-            continue
-        for k in sorted({(n + 1) // 2, n // 2 + 1}):
-            targets.append({"key": list(key), "tid": len(targets), "k": k, "m": n,
-                            "lo": -math.inf, "hi": math.inf, "lo_open": False, "hi_open": False,
-                            "below": 0, "value": None})
-
-    # Every round leaves a strictly smaller band (its ends are excluded), so this ends.
-    slack = 2.0 / accuracy
-    while active := [t for t in targets if t["value"] is None and t["m"] > band_limit]:
-        for t in active:
-            rel = (t["k"] - t["below"]) / t["m"]
-            t["ja"] = float(max(0, math.floor((rel - slack) * grid)))
-            t["jb"] = float(min(grid, math.ceil((rel + slack) * grid)))
-        tf = _targets_frame(spark, keys, key_types, active, extra=("ja", "jb"))
-        pcts = [i / grid for i in range(grid + 1)]
-        at = [F.element_at("_q", F.col(j).cast("int") + 1).alias(name) for j, name in (("ja", "a"), ("jb", "b"))]
-        ends = {r["_tid"]: r for r in _banded(data, tf, keys).groupBy("_tid", "ja", "jb").agg(
-            F.percentile_approx("_x", pcts, accuracy).alias("_q")).select("_tid", *at).collect()}
-        for t in active:
-            t["a"], t["b"] = ends[t["tid"]]["a"], ends[t["tid"]]["b"]
-        tf = _targets_frame(spark, keys, key_types, active, extra=("a", "b"))
-        xb = F.col("_x")
-        cnt = {r["_tid"]: r for r in _banded(data, tf, keys).groupBy("_tid").agg(
-            F.count_if(xb < F.col("a")).alias("lt_a"), F.count_if(xb <= F.col("a")).alias("le_a"),
-            F.count_if(xb < F.col("b")).alias("lt_b"), F.count_if(xb <= F.col("b")).alias("le_b"),
-        ).collect()}
-        for t in active:
-            c, k, below = cnt[t["tid"]], t["k"], t["below"]
-            if k <= below + c["lt_a"]:
-                t.update(hi=t["a"], hi_open=True, m=c["lt_a"])
-            elif k <= below + c["le_a"]:
-                t["value"] = t["a"]
-            elif k <= below + c["lt_b"]:
-                t.update(lo=t["a"], lo_open=True, hi=t["b"], hi_open=True,
-                         below=below + c["le_a"], m=c["lt_b"] - c["le_a"])
-            elif k <= below + c["le_b"]:
-                t["value"] = t["b"]
-            else:
-                t.update(lo=t["b"], lo_open=True, below=below + c["le_b"], m=t["m"] - c["le_b"])
-    pending = [t for t in targets if t["value"] is None]
-    resolved = [t for t in targets if t["value"] is not None]
-    picks = None
-    if pending:
-        tf = _targets_frame(spark, keys, key_types, pending)
-        picks = (_banded(data, tf, keys)
-                 .groupBy(*keys, "_tid", "_k", "_below")
-                 .agg(F.sort_array(F.collect_list("_x")).alias("_vals"))
-                 .select(*keys, "_tid", F.element_at("_vals", (F.col("_k") - F.col("_below")).cast("int"))
-                         .alias("_v")))
-    if resolved:
-        fixed = _targets_frame(spark, keys, key_types, resolved, extra=("value",)) \
-            .select(*keys, "_tid", F.col("value").alias("_v"))
-        picks = fixed if picks is None else picks.unionByName(fixed)
-    if picks is None:
-        return spark.createDataFrame([], StructType(
-            [StructField(k, t, True) for k, t in zip(keys, key_types)] + [StructField("median", DoubleType())]))
-    # Mean of the lower and upper middle value (one value when n is odd), as 0.5*a + 0.5*b.
-    return picks.groupBy(*keys).agg(
-        (F.sum(F.col("_v") * F.lit(0.5)) * F.lit(2.0) / F.count("_v")).alias("median"))
+    values = df.select(*keys, number(x).alias("_x")).filter(F.col("_x").isNotNull())
+    sketches = values.groupBy(*keys).agg(F.count("_x").alias("n"), rank_sketch("_x", k).alias("sketch"))
+    return median_from_sketches(staged(sketches, "sketches"), values, keys, k, slack)

@@ -51,15 +51,22 @@ def with_total(df: DataFrame, trt: str, label: str = TOTAL_LABEL) -> DataFrame:
     return df.withColumn(trt, F.explode(F.array(arm_text(trt, label), F.lit(label))))
 
 
+def choice_condition(col: str, choice, all_label: str = ALL_CHOICE) -> Column | None:
+    """The condition of a report control; None where it keeps everything."""
+    if choice is None or (isinstance(choice, str) and choice == all_label):
+        return None
+    if isinstance(choice, Iterable) and not isinstance(choice, str):
+        return F.col(col).isin(list(choice))
+    return F.col(col) == F.lit(choice)
+
+
 def choice_filter(df: DataFrame, col: str, choice, all_label: str = ALL_CHOICE) -> DataFrame:
     """A report control: ``All`` (or None) keeps everything, a list keeps members, else equality."""
-    if choice is None or (isinstance(choice, str) and choice == all_label):
+    condition = choice_condition(col, choice, all_label)
+    if condition is None:
         return df
     require_columns(df, col, where="choice_filter")
-    if isinstance(choice, Iterable) and not isinstance(choice, str):
-        values = list(choice)
-        return df.filter(F.col(col).isin(values))
-    return df.filter(F.col(col) == F.lit(choice))
+    return df.filter(condition)
 
 
 def apply_choices(df: DataFrame, choices: dict | None, all_label: str = ALL_CHOICE) -> DataFrame:

@@ -33,11 +33,11 @@ from cohortab.sources.tables import is_numeric, require_columns
 
 
 def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "split",
-              total: str = TOTAL_LABEL, median: str = "exact", want_arms: bool = True):
+              total: str = TOTAL_LABEL, median: str = "exact", want_arms: bool = True, empty: str = "missing"):
     """Long text rows ``Variable, Stat, var_pos, stat_pos, trt, Value`` for all variables.
 
     Returns ``(long_df, arms)``: the arm list (byte order, pooled arm last)
-    comes with the counts for the median, or from a distinct over the arms.
+    comes from the written statistics.
     """
     variables = list(variables)
     if not variables:
@@ -48,7 +48,7 @@ def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "s
     stats, counts, arms = summaries(df, trt, numeric, categorical, total, median, want_arms)
     parts = []
     if numeric:
-        parts.append(numeric_rows(stats, trt, style))
+        parts.append(numeric_rows(stats, trt, style, empty))
     if categorical:
         parts.append(categorical_rows(counts, trt))
     long = reduce(lambda a, b: a.unionByName(b), parts)
@@ -58,10 +58,13 @@ def demo_long(df: DataFrame, trt: str, variables: Sequence[str], style: str = "s
 
 def demo_table(df: DataFrame, trt: str, variables: Sequence[str], style: str = "split",
                arms: Sequence[str] | None = None, where: dict | None = None,
-               total: str = TOTAL_LABEL, median: str = "exact") -> DataFrame:
-    """Wide demography table: ``Variable, Stat, var_pos, stat_pos, <arm>..., <total>``."""
+               total: str = TOTAL_LABEL, median: str = "exact", empty: str = "missing") -> DataFrame:
+    """Wide demography table: ``Variable, Stat, var_pos, stat_pos, <arm>..., <total>``.
+
+    ``empty`` tells how a group without a numeric value prints, see ``numeric_rows``.
+    """
     df = apply_choices(df, where)
-    long, found = demo_long(df, trt, variables, style, total, median, want_arms=arms is None)
+    long, found = demo_long(df, trt, variables, style, total, median, want_arms=arms is None, empty=empty)
     arms = list(arms) if arms is not None else found
     wide = to_wide(long, ["Variable", "Stat", "var_pos", "stat_pos"], trt, "Value", arms)
     if style == "split":

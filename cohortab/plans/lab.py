@@ -11,8 +11,8 @@ pooled count (descending, then name), header first.
 
 Plan shape: scan -> filter -> project -> grouping sets (subject, arm, param) /
 (subject, param) with ``min(flag)`` -> grouping sets (arm, param, flag) /
-(arm, param) with ``count`` -> ranks of the pooled rows joined back -> join of
-the arm denominators -> pivot.
+(arm, param) with ``count`` -> written once. From the written counts: the arms,
+ranks of the pooled rows joined back, join of the arm denominators, pivot.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from cohortab.operators.population import TOTAL_LABEL, choice_filter, population
 from cohortab.operators.reshape import complete_grid, pivot_positional, to_wide
 from cohortab.fixed import LAB_LABEL_HEADING, ZERO_CELL
 from cohortab.plans.ae import denominators
+from cohortab.sources.staging import staged
 from cohortab.sources.tables import require_columns
 
 
@@ -46,9 +47,10 @@ def lab_counts(adlb: DataFrame, adsl: DataFrame, trt: str = "trta", param: str =
     rows = population(adlb, flag, flag_value) if flag else adlb
     if params is not None:
         rows = choice_filter(rows, param, list(params))
-    bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, rows, max_arms, arms)
     first = one_flag_per_subject(rows, trt, param, ind, subject, total)
-    ranked = rank_flags(flag_counts(first, trt, param, ind), trt, param, ind, total)
+    counts = staged(flag_counts(first, trt, param, ind), "flag-counts")
+    bign, arms = denominators(adsl, adsl_trt, trt, subject, flag, flag_value, total, counts, max_arms, arms)
+    ranked = rank_flags(counts, trt, param, ind, total)
     ranked = ranked.withColumn("ord_gra", F.when(F.col("level") == 1, F.lit(0).cast("long"))
                                .otherwise(F.col("ord_gra")))
     return with_percent(ranked, bign, trt, style="paste"), arms

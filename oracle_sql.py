@@ -152,6 +152,16 @@ COMBINED = [("N", "CAST(n AS VARCHAR)"),
             ("Median", num_text("median", 2)), ("Min", num_text("mn", 2)), ("Max", num_text("mx", 2))]
 
 
+# The statistics of no value: the mean is no number, the ends are infinite.
+EMPTY_TEXT = {"Mean": "NaN", "Min": "Inf", "Max": "-Inf"}
+
+
+def _with_ends(stats):
+    rows = [(name, f"CASE WHEN n = 0 THEN '{EMPTY_TEXT[name]}' ELSE {e} END" if name in EMPTY_TEXT else e)
+            for name, e in stats]
+    return [(name, f"CASE WHEN n = 0 THEN 'NaN (NA)' ELSE {e} END" if name == "Mean (SD)" else e) for name, e in rows]
+
+
 def _num_ctes(trt: str, var: str, where: str = "") -> str:
     """CTE ``ns``: typed statistics per arm (incl. Total) of one numeric variable."""
     return f"""nd AS (
@@ -192,9 +202,13 @@ cs AS (SELECT cc2.Variable, cc2.Stat, CAST(clv.stat_pos AS BIGINT) AS stat_pos,
        FROM cc2 LEFT JOIN clv ON cc2.Variable = clv.Variable AND cc2.Stat IS NOT DISTINCT FROM clv.Stat)"""
 
 
-def _numeric(style) -> str:
+NO_AGE = "CASE WHEN trt01a <> 'MACHINERY' THEN age END"
+
+
+def _numeric(style, age: str = "age", ends: bool = False) -> str:
     stats = SPLIT if style == "split" else COMBINED
-    return with_ctes(ADSL, _num_ctes("trt01a", "age")) + \
+    stats = _with_ends(stats) if ends else stats
+    return with_ctes(ADSL, _num_ctes("trt01a", age)) + \
         f"SELECT Variable, Stat, stat_pos, arm AS trt01a, Value FROM ({_num_rows('age', stats)}) x"
 
 
@@ -235,13 +249,14 @@ socr AS (
 ptr AS (
   SELECT soc, pt, row_number() OVER (PARTITION BY soc ORDER BY n DESC, pt ASC NULLS LAST) AS ord_2
   FROM inc WHERE trta = 'Total' AND level = 2),
-cells AS (
-  SELECT i.trta, i.level, i.soc, i.pt, i.n, s.ord_1, p.ord_2, b.N AS denom,
-         {cell('i.n', 'b.N')} AS cell
+pct AS MATERIALIZED (
+  SELECT i.trta, i.level, i.soc, i.pt, i.n, s.ord_1, p.ord_2, b.N AS denom, {percent('i.n', 'b.N')} AS pc
   FROM inc i
   LEFT JOIN socr s ON i.level >= 1 AND i.soc IS NOT DISTINCT FROM s.soc
   LEFT JOIN ptr p ON i.level >= 2 AND i.soc IS NOT DISTINCT FROM p.soc AND i.pt IS NOT DISTINCT FROM p.pt
-  LEFT JOIN bign b ON i.trta IS NOT DISTINCT FROM b.trta)"""
+  LEFT JOIN bign b ON i.trta IS NOT DISTINCT FROM b.trta),
+steps AS MATERIALIZED (SELECT *, CAST({nearest('pc', 10)} AS BIGINT) AS t FROM pct),
+cells AS (SELECT trta, level, soc, pt, n, ord_1, ord_2, denom, n || ' (' || {tenths_text('t')} || ')' AS cell FROM steps)"""
 
 
 def _ae_summary(where: str = "", indent: str = "  ", bign: str = BIGN) -> str:
@@ -257,6 +272,12 @@ FROM (
 GROUP BY label, ord_soc, ord, ord_pt"""
 
 
+def _ae_summary_choices() -> str:
+    settings = [AE_FILTER, "AND aerel IN ('F', 'O')", ""]
+    return "\nUNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS choice, * FROM ({_ae_summary(w)}) s{i}"
+                               for i, w in enumerate(settings))
+
+
 AE_FILTER = "AND aerel = 'F' AND aesev = '1-URGENT'"
 
 
@@ -277,7 +298,8 @@ def _with_percent() -> str:
   denom, cell FROM cells"""
 
 
-TERM = f"""te AS (SELECT usubjid, aebodsys, aedecod, coalesce(trta, 'NA') AS trta FROM adae WHERE usubjid IS NOT NULL),
+TERM_ROWS = "te AS (SELECT usubjid, {soc} AS aebodsys, {pt} AS aedecod, coalesce(trta, 'NA') AS trta FROM adae WHERE usubjid IS NOT NULL)"
+TERM_TABLES = f"""
 tc AS (SELECT aebodsys, aedecod, trta, count(DISTINCT usubjid) AS n FROM te GROUP BY aebodsys, aedecod, trta),
 sn AS (SELECT trta, count(DISTINCT usubjid) AS N FROM te GROUP BY trta),
 tl AS (SELECT tc.*, {cell('tc.n', 'sn.N', 'sprintf')} AS cell
@@ -289,6 +311,8 @@ tw AS (SELECT aebodsys, aedecod,
 thf AS (SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY aebodsys ORDER BY aedecod ASC NULLS LAST) AS rn FROM tw) z WHERE rn = 1)"""
 
+TERM = TERM_ROWS.format(soc="aebodsys", pt="aedecod") + ",\n" + TERM_TABLES
+
 ARM_COLS = ", ".join(_q(a) for a in ARMS) + ', "Total"'
 
 
@@ -322,8 +346,8 @@ FROM (
 GROUP BY aebodsys"""
 
 
-def _ae_term_table() -> str:
-    return with_ctes(ADAE, TERM) + f"""SELECT aebodsys AS label, aebodsys AS soc_key, TRUE AS is_header,
+def _ae_term_table(soc: str = "aebodsys", pt: str = "aedecod") -> str:
+    return with_ctes(ADAE, TERM_ROWS.format(soc=soc, pt=pt), TERM_TABLES) + f"""SELECT aebodsys AS label, aebodsys AS soc_key, TRUE AS is_header,
   CAST(NULL AS VARCHAR) AS term_key, {ARM_COLS} FROM thf
 UNION ALL
 SELECT '  ' || coalesce(aedecod, 'NA'), aebodsys, FALSE, aedecod, {ARM_COLS} FROM tw"""
@@ -492,6 +516,8 @@ def statements() -> dict[str, str]:
         "facet_default": _facet("param", 3),
         "numeric_split": _numeric("split"),
         "numeric_combined": _numeric("combined"),
+        "numeric_empty_split": _numeric("split", NO_AGE, ends=True),
+        "numeric_empty_combined": _numeric("combined", NO_AGE, ends=True),
         "categorical_summary": _categorical(),
         "demo_table": _demo("trt01a", "split"),
         "demo_table_combined": _demo("trt01p", "combined", "AND sex IN ('M', 'F')", PLANNED + ["Total"]),
@@ -500,6 +526,7 @@ def statements() -> dict[str, str]:
         "with_percent": _with_percent(),
         "ae_summary": _ae_summary(),
         "ae_summary_filtered": _ae_summary(AE_FILTER, indent="&nbsp;&nbsp;&nbsp;"),
+        "ae_summary_choices": _ae_summary_choices(),
         "ae_summary_extra_arm": _ae_summary(bign=BIGN_LESS),
         "lab_table_extra_arm": _lab_table(BIGN_LESS),
         "percent_cells": _percent_cells(),
@@ -509,6 +536,7 @@ def statements() -> dict[str, str]:
         "soc_header_first": _soc_header_first(),
         "soc_header_distinct": _soc_header_distinct(),
         "ae_term_table": _ae_term_table(),
+        "ae_term_table_columns": _ae_term_table("lower(aebodsys)", "substr(aedecod, 1, 7)"),
         "flag_code": _flag_code(),
         "one_flag_per_subject": _one_flag(),
         "param_incidence": _param_incidence(),

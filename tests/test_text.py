@@ -72,5 +72,6 @@ def test_paste_prints_missing_as_na(spark):
 
 
 def test_number_text_values_beyond_decimal_range(spark):
-    df = spark.createDataFrame([(float("inf"),), (1e40,), (-1e40,)], "x double")
-    assert [r[0] for r in df.select(number_text("x", 2)).collect()] == ["Infinity", "1.0E40", "-1.0E40"]
+    inf = float("inf")
+    df = spark.createDataFrame([(inf,), (-inf,), (float("nan"),), (1e40,), (-1e40,), (None,)], "x double")
+    assert [r[0] for r in df.select(number_text("x", 2)).collect()] == ["Inf", "-Inf", "NaN", "1.0E40", "-1.0E40", None]
