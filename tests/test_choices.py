@@ -1,0 +1,110 @@
+"""Several control settings from one pass, expressions as arguments, and statistics of no value."""
+import random
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from cohortab.operators.choices import incidence_of, subject_bits
+from cohortab.operators.incidence import incidence
+from cohortab.operators.population import apply_choices
+from cohortab.operators.summary import numeric_summary
+from cohortab.plans import ae
+from cohortab.plans.demo import demo_table
+from cohortab.sources.tables import named_inputs
+
+LEVELS = ["soc", "pt"]
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    r = random.Random(1)
+    data = [(r.choice([None, *range(500), *[7] * 200]), r.choice(["A", "B", None]), r.choice(["s1", "s2", None]),
+             r.choice(["p1", "p2", "p3", None]), r.choice(["x", "y", None]), r.choice(["1", "2", "3"])) for _ in range(3_000)]
+    return spark.createDataFrame(data, "usubjid int, trta string, soc string, pt string, rel string, sev string").repartition(4)
+
+
+SETTINGS = [None, {"rel": "x"}, {"rel": ["x", "y"], "sev": "All"}, {"rel": None, "sev": ["1", "3"]}, {"rel": "x", "sev": "2"},
+            {"rel": "nowhere"}, {"rel": []}]
+
+
+def test_bits_give_the_incidence_of_every_setting(events):
+    bits = subject_bits(events, "trta", LEVELS, ["rel", "sev"])
+    got = rows(incidence_of(bits, "trta", LEVELS, SETTINGS), "choice", "trta", "level", *LEVELS, "n")
+    for i, setting in enumerate(SETTINGS):
+        want = rows(incidence(apply_choices(events, setting), "trta", LEVELS), "trta", "level", *LEVELS, "n")
+        want = [w for w in want if w[-1]]  # the pooled row of no event has no subject
+        assert sorted((g[1:] for g in got if g[0] == i), key=str) == sorted(want, key=str), setting
+
+
+def test_words_are_no_more_than_distinct_rows(events):
+    bits = subject_bits(events, "trta", LEVELS, ["rel"])
+    assert bits.agg(F.sum(F.bit_count("bits"))).first()[0] == events.where("usubjid IS NOT NULL").select(
+        F.explode(F.array(F.coalesce("trta", F.lit("NA")), F.lit("Total"))).alias("a"),
+        F.explode(F.array(F.struct(F.lit(0).alias("l"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("p")),
+                          F.struct(F.lit(1).alias("l"), F.col("soc").alias("s"), F.lit(None).cast("string").alias("p")),
+                          F.struct(F.lit(2).alias("l"), F.col("soc").alias("s"), F.col("pt").alias("p")))).alias("k"),
+        "rel", "usubjid").distinct().count()
+    assert bits.count() < 0.5 * bits.agg(F.sum(F.bit_count("bits"))).first()[0]
+
+
+def test_controls_named_like_inner_columns_are_refused(events):
+    with pytest.raises(ValueError, match="word"):
+        subject_bits(events.withColumn("word", F.lit(1)), "trta", LEVELS, ["word"])
+    with pytest.raises(ValueError, match="lacks"):
+        incidence_of(subject_bits(events, "trta", LEVELS, ["rel"]), "trta", LEVELS, [{"sev": "1"}])
+
+
+def test_summary_of_several_settings_equals_each_alone(spark, events):
+    adsl = spark.createDataFrame([(i, "AB"[i % 2], "Y") for i in range(500)], "usubjid int, trt01a string, saffl string")
+    names = {"trt": "trta", "soc": "soc", "pt": "pt", "flag": None}
+    adsl_names = dict(names, arms=["A", "B", "NA", "Total"])
+    both = ae.ae_summary_choices(events, adsl, SETTINGS[:5], **adsl_names)
+    for i, setting in enumerate(SETTINGS[:5]):
+        alone = ae.ae_summary(events, adsl, where=setting, **adsl_names)
+        assert rows(both.filter(F.col("choice") == i).drop("choice")) == rows(alone)
+
+
+def test_expressions_equal_names(events):
+    names = ae.ae_term_table(events, soc="soc", pt="pt")
+    same = ae.ae_term_table(events, F.col("trta"), F.col("soc"), F.col("pt"), F.col("usubjid"))
+    assert same.columns == names.columns and rows(same) == rows(names)
+    upper = ae.ae_term_table(events.withColumn("soc", F.upper("soc")), soc="soc", pt="pt")
+    assert rows(ae.ae_term_table(events, soc=F.upper("soc"), pt=F.col("pt").alias("term"))) == rows(upper)
+    total = ae.row_total(events, soc=F.upper("soc").alias("soc"), pt="pt")
+    assert total.columns == ["soc", "pt", "total_n"]
+    assert ae.soc_header(events, soc=F.lower("soc"), pt="pt").columns[0] == "lower(soc)"
+
+
+def test_arguments_that_clash(events):
+    with pytest.raises(ValueError, match="two arguments are named"):
+        named_inputs(events, F.upper("soc").alias("PT"), F.col("pt"))
+    with pytest.raises(ValueError, match="several columns"):
+        named_inputs(events, F.col("*"))
+    with pytest.raises(ValueError, match="alias"):
+        named_inputs(events, F.lit(0.5) + F.col("usubjid"))
+    with pytest.raises(ValueError, match="lacks"):
+        named_inputs(events, "nothing")
+    with pytest.raises(ValueError, match="output"):
+        ae.ae_term_table(events, soc=F.upper("soc").alias("cell"), pt="pt")
+    df, names = named_inputs(events, "soc", "soc", F.col("pt"))
+    assert df.columns == ["soc", "pt"] and names == ["soc", "soc", "pt"]
+
+
+def test_statistics_of_no_value(spark):
+    df = spark.createDataFrame([("A", None), ("A", None), ("B", 1.0), ("B", 4.0), ("C", 7.0)], "arm string, x double")
+
+    def cells(**kw):
+        return {(r.Stat, r.arm): r.Value for r in numeric_summary(df, "arm", ["x"], **kw).collect()}
+
+    split, plain = cells(empty="limits"), cells()
+    assert [split[s, "A"] for s in ("N", "Mean", "Median", "SD", "Min", "Max")] == ["0", "NaN", None, None, "Inf", "-Inf"]
+    assert [plain[s, "A"] for s in ("N", "Mean", "Median", "SD", "Min", "Max")] == ["0", None, None, None, None, None]
+    assert {k: v for k, v in split.items() if k[1] != "A"} == {k: v for k, v in plain.items() if k[1] != "A"}
+    combined = cells(style="combined", empty="limits")
+    assert [combined[s, "A"] for s in ("N", "Mean (SD)", "Median", "Min", "Max")] == ["0", "NaN (NA)", None, "Inf", "-Inf"]
+    assert combined["Mean (SD)", "C"] == "7 (NA)"
+    wide = {r.Stat: r.A for r in demo_table(df, "arm", ["x"], empty="limits").collect()}
+    assert wide["Mean"] == "NaN" and wide["Min"] == "Inf"
+    with pytest.raises(ValueError, match="empty groups"):
+        cells(empty="zero")
