@@ -3,55 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortab.sources.staging import discard, staged as stage  # noqa: F401  (the operators take them from here)
+
 # The word rule of every text operator: runs of anything but ASCII white space.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a local one only where unset (tests).
-
-    Without a shared folder only a local master will do: executors on other
-    machines would each write to a disk of their own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="cohortab-stage-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the written table.
-
-    Cuts the lineage: executors lost later re-read the files instead of
-    recomputing, and several readers share one computation.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def discard(staged: DataFrame) -> None:
-    """Remove the files of a table from ``stage`` that nothing will read again."""
-    jvm = staged.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(staged._staged_at)
-    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_or_empty(col):
     return F.coalesce(col, F.lit(""))
 

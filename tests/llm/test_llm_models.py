@@ -1,4 +1,5 @@
 """Classifier, merge-dropout encoding, embeddings, tool calls and the pipeline."""
+import hashlib
 import json
 import os
 import random
@@ -6,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from cohortab.llm import chat_tools, embedding_dedup, quality_model
+from cohortab.llm import chat_tools, embedding_dedup, quality_model, quality_rules
 from cohortab.llm import sentencepiece_dropout as sp
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -285,7 +286,7 @@ def test_pipeline_stages(spark):
                                          "best_fit_packing"]
     for name, f in cp.STAGES:
         before = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
-        columns = docs.columns
+        columns, given = docs.columns, docs
         docs = stage(f(spark, docs, sf), name)
         if name == "best_fit_packing":
             assert sum(r["size"] for r in docs.collect()) == sum(len(t[1].encode()) + 1 for t in before)
@@ -293,7 +294,8 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns
         after = {r["doc_id"]: r for r in docs.collect()}
         if name == "quality_rules":
-            assert set(after) == {w[0] for w in brute_quality(before, 0.10, 20, 20) if w[8]}
+            assert set(after) == {w[0] for w in brute_quality(before, quality_rules.LINE_LIMIT, quality_rules.MIN_LEFT_PERCENT)
+                                  if w[8]}
         elif name == "simhash_near_dedup":
             fps = [brute_fp(t[1]) for t in before]
             links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
@@ -301,7 +303,15 @@ def test_pipeline_stages(spark):
         elif name == "suffix_array_dedup":
             want = {w[0]: w for w in brute_repeats(before)}
             assert set(after) == set(want)
-            assert all(len(r["text"].encode()) <= want[i][1] - want[i][2] for i, r in after.items())
+            for i, r in after.items():
+                text = r["text"].encode()
+                assert len(text) <= want[i][1] - want[i][2]
+                if len(text) == want[i][1] - want[i][2]:  # no character was cut through
+                    assert hashlib.sha256(text).hexdigest() == want[i][4]
+            assert sum(w[2] for w in want.values()) > 0
         else:
-            assert 0 < len(after) <= len(before)
+            labels = spark.read.parquet(f"{sf}/labels.parquet")
+            good = {r["doc_id"] for r in quality_model.quality_scores(given, labels).collect() if r["predicted"]}
+            assert set(after) == good and 0 < len(good)
+            assert all(after[t[0]]["text"] == t[1] for t in before if t[0] in good)
     assert cp.run(spark, sf).count() == docs.count()
