@@ -180,10 +180,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
     orphans = lone.select(conv_col, "call_id", *none, F.col("turn").alias("result_turn"), F.col("content").alias("result"),
                           F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("call_json"),
                           F.lit("").alias("violations"), F.lit("orphan").alias("status"))
-    last = [F.col(c).asc_nulls_last() for c in ("depth", "call_turn", "call_id", "result_turn", "result")]
-    rows = running_total(calls_out.unionByName(orphans), [conv_col], [F.col("call_turn").isNull().asc(), *last], name="position")
-    return rows.select(conv_col, "call_id", "name", "call_turn", "result_turn", "result", "depth", "position", "call_json",
-                       "violations", "status")
+    rows = stage(calls_out.unionByName(orphans).withColumn("__row", F.monotonically_increasing_id()), "linked")
+    order = ["depth", "call_turn", "call_id", "result_turn", "__row"]
+    narrow = rows.select(conv_col, *order, F.col("call_turn").isNull().alias("__late"))  # texts stay where they are
+    numbered = running_total(narrow, [conv_col], [F.col("__late").asc(), *[F.col(c).asc_nulls_last() for c in order]],
+                             name="position").select("__row", "position")
+    return rows.join(numbered, "__row").select(
+        conv_col, "call_id", "name", "call_turn", "result_turn", "result", "depth", "position", "call_json", "violations", "status")
 
 
 # ------------------------------------------------------------- calls in plain conversations
