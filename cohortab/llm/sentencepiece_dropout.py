@@ -31,9 +31,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 17
 LONG_WORD = 48      # symbols from which a word is encoded on its own, by a heap
-SLICE = 1_500       # rows whose words are encoded together,
-SLICE_CHARS = 6 << 20   # ... and characters (a longer text is on its own)
-SIDE = 3 << 14      # occurrences encoded side by side
+SLICE = 1_000       # rows whose words are encoded together,
+SLICE_CHARS = 4 << 20   # ... and characters (a longer text is on its own)
+SIDE = 1 << 15      # occurrences encoded side by side
 TABLE = 1 << 22     # spans of different words that are looked up at a time
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
