@@ -1,0 +1,72 @@
+"""Distinct subjects counted from words of 64, and the work that saves."""
+import random
+import re
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from cohortab.operators import choices
+from cohortab.operators.incidence import incidence
+from cohortab.operators.words import BIT, WORD, subject_words
+
+
+@pytest.fixture(scope="module")
+def data():
+    r = random.Random(5)
+    hot = [("s7", r.choice("AB"), r.choice(["x", "y"]), r.choice("pqr"), "1") for _ in range(2_000)]
+    return hot + [(r.choice([None, *[f"s{i}" for i in range(700)]]), r.choice(["A", "B", None]),
+                   r.choice(["x", "y", None]), r.choice(["p", "q", "r", None]), r.choice(["1", "2", None])) for _ in range(6_000)]
+
+
+@pytest.fixture(scope="module")
+def events(spark, data):
+    return spark.createDataFrame(data, "usubjid string, trta string, soc string, pt string, sev string").repartition(7)
+
+
+def _model(data, met=lambda sev: True):
+    seen = {}
+    for s, arm, soc, pt, sev in data:
+        if s is not None and met(sev):
+            for a in (arm or "NA", "Total"):
+                for key in ((a, 0, None, None), (a, 1, soc, None), (a, 2, soc, pt)):
+                    seen.setdefault(key, set()).add(s)
+    return {k: len(v) for k, v in seen.items()}
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_counts_equal_sets_of_subjects(spark, data, events, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        got = {r[:-1]: r[-1] for r in rows(incidence(events, "trta", ["soc", "pt"]), "trta", "level", "soc", "pt", "n")}
+        assert got == _model(data)
+        bits = choices.subject_bits(events, "trta", ["soc", "pt"], ["sev"])
+        settings = [{"sev": "1"}, {"sev": ["1", "2"]}, None, {"sev": "none"}]
+        met = [lambda s: s == "1", lambda s: s in ("1", "2"), lambda s: True, lambda s: False]
+        out = rows(choices.incidence_of(bits, "trta", ["soc", "pt"], settings), "choice", "trta", "level", "soc", "pt", "n")
+        for i, f in enumerate(met):
+            assert {r[1:-1]: r[-1] for r in out if r[0] == i} == _model(data, f)
+        assert choices.incidence_of(bits, "trta", ["soc", "pt"], []).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_every_subject_has_a_bit_of_its_own(events):
+    cells = subject_words(events.filter("usubjid IS NOT NULL"), "usubjid", ["usubjid", "soc"])
+    own = cells.select("usubjid", WORD, BIT).distinct()
+    subjects = events.select("usubjid").na.drop().distinct().count()
+    assert own.count() == subjects == own.select(WORD, BIT).distinct().count()
+    assert own.select(WORD).distinct().count() <= subjects // 64 + 8 + 1
+
+
+
+def test_bits_take_one_written_table_and_no_copy_of_a_word_per_setting(events, monkeypatch):
+    labels = []
+    real = choices.staged
+    monkeypatch.setattr(choices, "staged", lambda df, label: (labels.append((label, df)), real(df, label))[1])
+    bits = choices.subject_bits(events, "trta", ["soc", "pt"], ["sev"])
+    assert [label for label, _ in labels] == ["subject-bits"]
+    plan = labels[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((\w+)#\d+L?, ", plan) == [WORD, "_subj"], plan
+    plan = choices.incidence_of(bits, "trta", ["soc", "pt"], [None, {"sev": "1"}])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan[:plan.index("Exchange")] and "Generate" not in plan[plan.index("Exchange"):], plan
