@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from cohortab.operators import choices
 from cohortab.operators.incidence import incidence
 from cohortab.operators.words import BIT, WORD, subject_words
+from cohortab.sources import study
+
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +73,17 @@ def test_bits_take_one_written_table_and_no_copy_of_a_word_per_setting(events, m
     assert re.findall(r"hashpartitioning\((\w+)#\d+L?, ", plan) == [WORD, "_subj"], plan
     plan = choices.incidence_of(bits, "trta", ["soc", "pt"], [None, {"sev": "1"}])._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan[:plan.index("Exchange")] and "Generate" not in plan[plan.index("Exchange"):], plan
+
+
+def test_subjects_are_looked_up_per_order(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = study.adverse_events(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(i for i, line in enumerate(plan) if re.search(r"Join \[o_custkey#\w+\], \[c_custkey#\w+\]", line))
+    depth = re.search(r"\w", plan[at]).start()
+    below = [line for line in plan[at + 1:]]
+    end = next((i for i, line in enumerate(below) if re.search(r"\w", line) and re.search(r"\w", line).start() <= depth), len(below))
+    below = "\n".join(below[:end])
+    assert "orders.parquet" in below and "customer.parquet" in below and "lineitem.parquet" not in below
