@@ -62,6 +62,12 @@ def test_every_subject_has_a_bit_of_its_own(events):
     assert own.select(WORD).distinct().count() <= subjects // 64 + 8 + 1
 
 
+def test_level_rows_are_packed_before_they_are_shuffled(events):
+    plan = incidence(events, "trta", ["soc", "pt"])._jdf.queryExecution().executedPlan().toString()
+    after_expand = plan[:plan.index("Expand")]
+    assert "partial_bit_or" in after_expand and "distinct" not in plan
+    assert not re.search(r"hashpartitioning\([^)]*\b(?:_subj|usubjid)#", after_expand), after_expand
+
 
 def test_bits_take_one_written_table_and_no_copy_of_a_word_per_setting(events, monkeypatch):
     labels = []
